@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curation
+from . import analytics, curation
 
-ALL = {**curation.QUERIES}
+ALL = {**curation.QUERIES, **analytics.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
