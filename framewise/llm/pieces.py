@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 #: Characters of new words that are merged in one flat array at most, unless one word is longer.
-FLAT_CHARS = 2_000_000
+FLAT_CHARS = 500_000
 
 
 class PieceModel:
@@ -214,7 +214,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def slices(texts: list[str | None], chars: int = 4_000_000) -> Iterator[list[str]]:
+def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[list[str]]:
     """Consecutive groups of texts of about ``chars`` characters; null counts as empty."""
     group, size = [], 0
     for t in texts:
