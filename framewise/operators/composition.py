@@ -65,3 +65,25 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     sides = [df.groupBy(name.alias("name")).agg(F.count("*").alias(n)) for df, n in ((left, "n_left"), (right, "n_right"))]
     out = sides[0].join(sides[1], "name", "full_outer").na.fill(0, ["n_left", "n_right"])
     return out.withColumn("status", F.when(F.col("n_left") == 0, "right_only").when(F.col("n_right") == 0, "left_only").when((F.col("n_left") > 1) | (F.col("n_right") > 1), "duplicated").otherwise("matched"))
+
+
+def share_gates(clips: DataFrame, column: str, wanted: dict[str, float], tolerance: float) -> DataFrame:
+    """Share of each value of ``column`` against the wanted one; ok within the tolerance. Values that do not occur have share 0."""
+    targets = clips.sparkSession.createDataFrame(sorted(wanted.items()), f"{column} string, wanted double")
+    total = clips.agg(F.count("*").alias("total"))
+    counted = targets.join(clips.groupBy(column).agg(F.count("*").alias("n")), column, "left").na.fill(0, ["n"]).crossJoin(total)  # one row
+    share = F.when(F.col("total") > 0, F.round(F.col("n") / F.col("total"), 6)).otherwise(0.0)
+    return counted.withColumn("share", share).withColumn("ok", F.abs(F.col("share") - F.col("wanted")) <= tolerance).drop("total")
+
+
+def all_categories(lists: dict[str, DataFrame]) -> DataFrame:
+    """File lists of several categories as one."""
+    out = None
+    for name, df in lists.items():
+        part = df.withColumn("category", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def first_by_path(files: DataFrame, n: int) -> DataFrame:
+    return files.orderBy("path").limit(n)

@@ -133,3 +133,10 @@ def macro_mean(metrics: DataFrame, column: str) -> DataFrame:
     """Mean of clip means, NaN left out, each clip once."""
     value = F.when(~F.isnan(column), F.col(column))
     return metrics.groupBy("clip_id").agg(F.avg(value).alias("m")).agg(F.avg("m").alias("macro"), F.count("m").alias("clips"))
+
+
+def seam_ratio(motion: DataFrame, seams: DataFrame) -> DataFrame:
+    """Absolute motion at each seam (clip_id, frame_idx) over the clip's median absolute motion; null where that is 0."""
+    middle = motion.groupBy("clip_id").agg(F.median(F.abs("motion")).alias("median"))
+    at = seams.select("clip_id", "frame_idx").join(motion, ["clip_id", "frame_idx"]).join(middle, "clip_id")
+    return at.select("clip_id", "frame_idx", F.when(F.col("median") > 0, F.abs("motion") / F.col("median")).alias("ratio"))

@@ -119,3 +119,15 @@ def evaluation_grid(checkpoints: DataFrame, items: DataFrame, first: int = 10, p
     """Every checkpoint with the first items by order: prompt and output name. The items' side holds ``first`` rows at most."""
     few = items.orderBy("ord").limit(first).withColumn("prompt", F.concat(F.lit(prefix), F.col("text"))).select("ord", "prompt")
     return checkpoints.crossJoin(F.broadcast(few)).withColumn("output", F.concat_ws("_", "root", "step", "ord"))
+
+
+def throughput(items: DataFrame) -> DataFrame:
+    """By kind: success rate, and seconds and cost per approved item (null without one). items: kind, approved, seconds, cost."""
+    approved = F.count_if("approved")
+    per = lambda c: F.when(approved > 0, F.sum(c) / approved)
+    return items.groupBy("kind").agg(F.avg(F.col("approved").cast("double")).alias("success"), per("seconds").alias("seconds_each"), per("cost").alias("cost_each"))
+
+
+def first_eligible(metadata: DataFrame, k: int) -> DataFrame:
+    """The first k videos by ordinal; a row without a type counts as one."""
+    return metadata.where(F.coalesce("type", F.lit("video")) == "video").orderBy("ord").limit(k)

@@ -10,6 +10,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import with_ordinal
+
 
 def draw(key: Column, seed: int, purpose: str, epoch: Column | int = 0) -> Column:
     """A number in [0, 1) of 32 bits."""
@@ -132,3 +134,25 @@ def schedule(n_batches: int, accumulation: int, max_steps: int, resume_step: int
     """Steps an epoch, epochs and the epoch a resumed run is in."""
     steps = -(-n_batches // accumulation)
     return {"steps_per_epoch": steps, "epochs": -(-max_steps // steps), "resume_epoch": resume_step // steps}
+
+
+def uniform_indices(length: Column, fps: Column, count: int = 24, seconds: int = 60) -> Column:
+    """``count`` indices spread evenly over the first ``seconds`` of a clip, cut to whole ones."""
+    last = F.least(length, F.floor(fps * seconds)) - 1
+    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * last / (count - 1)).cast("int"))
+
+
+def resolution_choice(key: Column, smallest_side: Column, sizes: Sequence[int], seed: int) -> Column:
+    """A drawn size below 1.25 times the batch's smallest mean side; the smallest size where none is."""
+    fits = F.filter(F.array(*map(F.lit, sorted(sizes))), lambda s: s < 1.25 * smallest_side)
+    fits = F.when(F.size(fits) > 0, fits).otherwise(F.array(F.lit(min(sizes))))
+    return F.element_at(fits, F.floor(draw(key, seed, "size") * F.size(fits)).cast("int") + 1)
+
+
+def draw_with_replacement(rows: DataFrame, key: str, count: int, seed: int) -> DataFrame:
+    """``count`` draws (draw_no, key) from the rows in the order of their key; a row may come more than once, no rows give no draws."""
+    ranked = with_ordinal(rows.select(key).orderBy(key), "__rank", 0)
+    total = rows.agg(F.count("*").alias("__n"))
+    drawn = rows.sparkSession.range(count).withColumnRenamed("id", "draw_no").crossJoin(total)  # one row
+    drawn = drawn.where("__n > 0").withColumn("__rank", F.floor(draw(F.col("draw_no").cast("string"), seed, "replace") * F.col("__n")).cast("long"))
+    return drawn.join(ranked, "__rank").select("draw_no", key)

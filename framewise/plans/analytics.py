@@ -278,12 +278,45 @@ def run_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_LABELS = """SELECT p_partkey, 'ckpt' || p_partkey || '_s' || lpad(p_size::VARCHAR, 3, '0') || '_g' || ((p_size % 10 + 1) * 10) || '_f33' AS label,
   p_partkey::INT AS checkpoint, p_size / 100.0::DOUBLE AS scale, (p_size % 10 + 1)::DOUBLE AS guidance, 33 AS frames FROM part"""
 
+
+def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = views.table(spark, sf_dir, "orders")
+    out = runs.throughput(o.select(F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "F").alias("approved"), (F.col("o_orderkey") % 100).alias("seconds"), F.col("o_totalprice").alias("cost")))
+    return out.select("kind", *[F.round(c, 4).alias(c) for c in ("success", "seconds_each", "cost_each")])
+
+
+THROUGHPUT = """SELECT o_orderpriority AS kind, round(avg((o_orderstatus = 'F')::INT), 4) AS success, round(sum(o_orderkey % 100)::DOUBLE / count(*) FILTER (o_orderstatus = 'F'), 4) AS seconds_each,
+  round(sum(o_totalprice) / count(*) FILTER (o_orderstatus = 'F'), 4) AS cost_each FROM orders GROUP BY ALL"""
+
+
+def seam_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Motion at every ninth frame against the clip's median."""
+    m = _metrics(spark, sf_dir)
+    return fr.seam_ratio(m, m.where("frame_idx % 9 = 0 and frame_idx > 0")).withColumn("ratio", F.round("ratio", 5))
+
+
+SEAM_RATIOS = with_views("""+m AS (SELECT clip, median(abs(score)) AS m FROM series GROUP BY clip)
+SELECT clip AS clip_id, idx AS frame_idx, round(CASE WHEN m > 0 THEN abs(score) / m END, 5) AS ratio FROM series JOIN m USING (clip) WHERE idx % 9 = 0 AND idx > 0""", "series")
+
+
+def uniform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 even indices, and a drawn resolution, by probe."""
+    p = views.probes(spark, sf_dir)
+    at = sampling.uniform_indices(F.col("nb_read_frames"), F.lit(1))
+    size = sampling.resolution_choice(F.col("p_partkey").cast("string"), F.least("width", "height"), (256, 512, 768), 7)
+    return p.select("p_partkey", F.array_join(F.transform(at, lambda x: x.cast("string")), ",").alias("indices"), size.alias("size"))
+
+
+UNIFORM_FRAMES = with_views(f"""+x AS (SELECT p_partkey, least(nb_read_frames, 60) - 1 AS last, {draw_sql("size", "p_partkey")} AS u,
+  CASE WHEN len(list_filter([256, 512, 768], lambda s: s < 1.25 * least(width, height))) > 0 THEN list_filter([256, 512, 768], lambda s: s < 1.25 * least(width, height)) ELSE [256] END AS fits FROM probes)
+SELECT p_partkey, array_to_string(list_transform(range(0, 24), lambda i: floor(i * last / 23.0)::INT), ',') AS indices, fits[floor(u * len(fits))::INT + 1] AS size FROM x""", "probes")
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (shot_windows, SHOT_WINDOWS), (straddle_rejection, STRADDLE), (usable_lengths, USABLE_LENGTHS), (resampled_clips, RESAMPLED), (densified, DENSIFIED), (balanced_samples, BALANCED), (full_batches, FULL_BATCHES),
         (seeded_draws, SEEDED_DRAWS), (frame_indices, FRAME_INDICES), (nearest_seconds, NEAREST_SECONDS), (bad_rows, BAD_ROWS), (frame_metrics, FRAME_METRICS), (reconstruction_quality, RECONSTRUCTION),
         (consistency_summary, CONSISTENCY), (flicker_suspects, FLICKER), (structural_similarity, None), (loss_curves, LOSS_CURVES), (sparklines, SPARKLINES), (checkpoint_plan, CHECKPOINT_PLAN), (rubric_verdicts, RUBRIC),
-        (failure_rates, FAILURE_RATES), (run_ranking, RUN_RANKING), (evaluation_grid, EVALUATION_GRID), (run_labels, RUN_LABELS),
+        (failure_rates, FAILURE_RATES), (run_ranking, RUN_RANKING), (evaluation_grid, EVALUATION_GRID), (run_labels, RUN_LABELS), (throughput, THROUGHPUT), (seam_ratios, SEAM_RATIOS), (uniform_frames, UNIFORM_FRAMES),
     )
 }

@@ -120,3 +120,17 @@ def test_sources(spark, tmp_path):
     (tmp_path / "log.txt").write_text("a\rb\r\nc\n")
     assert [r["value"] for r in tables.read_log_lines(spark, f"{tmp_path}/log.txt").orderBy("line_no").collect()] == ["a", "b", "c"]
     assert tables.list_files(spark, str(tmp_path), "*.txt").count() == 3
+
+
+def test_shares_lists_and_draws(spark):
+    clips = spark.createDataFrame([("gray",)] * 7 + [("show",)] * 3, "bg_type string")
+    got = {r["bg_type"]: (r["n"], r["share"], r["ok"]) for r in composition.share_gates(clips, "bg_type", {"gray": 0.7, "show": 0.2, "none": 0.0}, 0.05).collect()}
+    assert got == {"gray": (7, 0.7, True), "show": (3, 0.3, False), "none": (0, 0.0, True)}
+    files = spark.createDataFrame([("b",), ("a",)], "path string")
+    assert composition.all_categories({"x": files, "y": files}).groupBy("category").count().count() == 2
+    assert composition.first_by_path(files, 1).first()["path"] == "a"
+    rows = spark.createDataFrame([(0, "image"), (1, None), (2, "video")], "ord int, type string")
+    assert [r["ord"] for r in runs.first_eligible(rows, 2).collect()] == [1, 2]
+    drawn = sampling.draw_with_replacement(rows, "ord", 50, 3).collect()
+    assert len(drawn) == 50 and {r["ord"] for r in drawn} == {0, 1, 2}
+    assert sampling.draw_with_replacement(rows.limit(0), "ord", 5, 3).count() == 0
