@@ -140,3 +140,100 @@ def seam_ratio(motion: DataFrame, seams: DataFrame) -> DataFrame:
     middle = motion.groupBy("clip_id").agg(F.median(F.abs("motion")).alias("median"))
     at = seams.select("clip_id", "frame_idx").join(motion, ["clip_id", "frame_idx"]).join(middle, "clip_id")
     return at.select("clip_id", "frame_idx", F.when(F.col("median") > 0, F.abs("motion") / F.col("median")).alias("ratio"))
+
+
+def hue_saturation(rgb: np.ndarray) -> np.ndarray:
+    """Histograms of 50 hues by 60 saturations of images (n, pixels, 3) of bytes, hue in half degrees, in 12-bit fixed point as 8-bit image libraries count it."""
+    r, g, b = (rgb[..., i].astype(np.int64) for i in range(3))
+    v = np.maximum(np.maximum(r, g), b)
+    d = v - np.minimum(np.minimum(r, g), b)
+    per_v, per_d = np.rint(255 * 4096 / np.maximum(v, 1)).astype(np.int64), np.rint(30 * 4096 / np.maximum(d, 1)).astype(np.int64)
+    s = (d * per_v + 2048) >> 12
+    turn = np.where(v == r, g - b, np.where(v == g, b - r + 2 * d, r - g + 4 * d))
+    h = (turn * per_d + 2048) >> 12
+    h = np.minimum(h + 180 * (h < 0), 179)
+    cell = (h * 50 // 180) * 60 + s * 60 // 256 + 3000 * np.arange(len(rgb))[:, None]
+    return np.bincount(cell.ravel(), minlength=3000 * len(rgb)).reshape(len(rgb), 3000).astype(float)
+
+
+def histogram_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlation of the hue and saturation histograms of two stacks of images (n, pixels, 3); 1 where one of them is even."""
+    x, y = (h - h.mean(axis=1, keepdims=True) for h in (hue_saturation(a), hue_saturation(b)))
+    below = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+    return np.where(below > 0, (x * y).sum(1) / np.where(below > 0, below, 1), 1.0)
+
+
+def similarity_terms(a: np.ndarray, b: np.ndarray, axes: tuple[int, ...]) -> tuple[float, float]:
+    """Mean structural similarity and contrast term of two arrays under a Gaussian window of at most 11 along ``axes``, edges repeated 5 times.
+
+    The range is 255 if a value of ``a`` is above 128, else 1, and one more if one is below -0.5.
+    """
+    g = gaussian(min(11, *a.shape[-2:]))
+
+    def smooth(x: np.ndarray) -> np.ndarray:
+        for axis in axes:
+            x = np.pad(x, [(5, 5) if k == axis else (0, 0) for k in range(x.ndim)], mode="edge")
+            n = x.shape[axis] - len(g) + 1
+            x = sum(w * np.take(x, np.arange(k, k + n), axis=axis) for k, w in enumerate(g))
+        return x
+
+    span = (255 if a.max() > 128 else 1) + (1 if a.min() < -0.5 else 0)
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
+    ma, mb = smooth(a), smooth(b)
+    v1 = 2 * (smooth(a * b) - ma * mb) + c2
+    v2 = smooth(a * a) - ma * ma + smooth(b * b) - mb * mb + c2
+    return float(((2 * ma * mb + c1) * v1 / ((ma * ma + mb * mb + c1) * v2)).mean()), float((v1 / v2).mean())
+
+
+def thumbnail(image: np.ndarray, size: int = 32) -> np.ndarray:
+    """Bilinear samples (channels, size, size) at the centres of a ``size`` by ``size`` grid over (channels, height, width)."""
+    for axis in (1, 2):
+        n = image.shape[axis]
+        at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, None)
+        low = np.minimum(at.astype(int), n - 1)
+        part = (at - low).reshape([-1 if k == axis else 1 for k in range(3)])
+        image = np.take(image, low, axis) * (1 - part) + np.take(image, np.minimum(low + 1, n - 1), axis) * part
+    return image
+
+
+#: Weights of the scales of multi-scale similarity.
+SCALE_WEIGHTS = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
+
+
+def multi_scale(a: np.ndarray, b: np.ndarray, published: bool = False) -> float | None:
+    """Multi-scale similarity of two images (channels, height, width); null below 16 pixels a side or for a negative term.
+
+    The similarity of the last scale counts once for each scale above it, or once in all as ``published``.
+    """
+    if min(a.shape[1:]) < 16:
+        return None
+    out, terms = 1.0, []
+    for i in range(len(SCALE_WEIGHTS)):
+        if i:
+            a, b = (x[:, : x.shape[1] // 2 * 2, : x.shape[2] // 2 * 2].reshape(x.shape[0], x.shape[1] // 2, 2, x.shape[2] // 2, 2).mean(axis=(2, 4)) for x in (a, b))
+        terms.append(similarity_terms(a, b, (1, 2)))
+    if min(t[1] for t in terms[:-1]) < 0 or terms[-1][0] < 0:
+        return None
+    for (_, contrast), w in zip(terms[:-1], SCALE_WEIGHTS, strict=False):
+        out *= contrast**w
+    return out * terms[-1][0] ** (SCALE_WEIGHTS[-1] * (1 if published else len(SCALE_WEIGHTS) - 1))
+
+
+def colour_pairs(pairs: DataFrame, height: int, width: int) -> DataFrame:
+    """Adds hist_corr, similarity (of volumes of 32 x 32 thumbnails) and ms_ssim to pairs with columns a and b, RGB pixel arrays (height, width, 3) of one size.
+
+    Values are cut to whole bytes for the histograms and scaled to 0..1 for the similarities, whose classes ``tiling.densify`` gives.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            a, b = (np.stack(pdf[c].to_numpy()).astype(float).reshape(-1, height, width, 3) for c in "ab")
+            whole = [np.clip(x, 0, 255).astype(np.uint8).reshape(len(x), -1, 3) for x in (a, b)]
+            planes = [(x.transpose(2, 0, 1) / 255, y.transpose(2, 0, 1) / 255) for x, y in zip(a, b, strict=True)]
+            small = [similarity_terms(thumbnail(x), thumbnail(y), (0, 1, 2))[0] for x, y in planes]
+            yield pdf.drop(columns=["a", "b"]).assign(hist_corr=histogram_correlation(*whole), similarity=small, ms_ssim=pd.Series([multi_scale(x, y) for x, y in planes], index=pdf.index, dtype=object))
+
+    schema = pairs.drop("a", "b").schema.add("hist_corr", "double").add("similarity", "double").add("ms_ssim", "double")
+    return pairs.mapInPandas(run, schema)

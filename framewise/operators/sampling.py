@@ -33,19 +33,52 @@ def oversample(rows: DataFrame, column: str, weights: Mapping[str, int]) -> Data
     return rows.where(times > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), times)))
 
 
+#: Parts a group is ranked in: a power of two, so that a draw of 32 bits falls into one exactly.
+RANK_BINS = 4096
+
+
+def with_positions(rows: DataFrame, u: Column, key: str, group: Sequence[str]) -> DataFrame:
+    """Adds __u (the draw), position (from 0, in the order of draw and key within ``group``) and __n (rows of the group).
+
+    A group is cut at fixed draws into RANK_BINS parts that are ranked on their own; counts of the parts before give the
+    rest, so no task sorts a whole group. Null group values form a group.
+    """
+    rows = rows.withColumn("__u", u).withColumn("__bin", F.floor(F.col("__u") * RANK_BINS).cast("int"))
+    rows = rows.withColumn("__group", F.struct(F.lit(0).alias("all"), *group))  # structs compare nulls as equal
+    counts = rows.groupBy("__group", "__bin").agg(F.count("*").alias("__in"))
+    w = Window.partitionBy("__group")
+    before = F.sum("__in").over(w.orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__group", "__bin", F.coalesce(before, F.lit(0)).alias("__before"), F.sum("__in").over(w).alias("__n"))
+    local = F.row_number().over(Window.partitionBy("__group", "__bin").orderBy("__u", key)) - 1
+    ranked = rows.withColumn("__local", local).join(counts, ["__group", "__bin"])
+    return ranked.withColumn("position", F.col("__before") + F.col("__local")).drop("__group", "__bin", "__before", "__local")
+
+
 def epoch_order(rows: DataFrame, key: str, seed: int, epoch: int, group: Sequence[str] = (), resume: int = 0) -> DataFrame:
     """Adds position (from 0) in the epoch's shuffled order within ``group``; positions before ``resume`` are done."""
-    shuffled = rows.withColumn("__draw", draw(F.col(key).cast("string"), seed, "order", epoch))
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy("__draw", key)) - 1
-    return shuffled.withColumn("position", rank).where(F.col("position") >= resume).drop("__draw")
+    ranked = with_positions(rows, draw(F.col(key).cast("string"), seed, "order", epoch), key, group)
+    return ranked.where(F.col("position") >= resume).drop("__u", "__n")
 
 
 def full_batches(rows: DataFrame, key: str, group: Sequence[str], size: int, seed: int, epoch: int) -> DataFrame:
     """Batches of ``size`` rows of one group in shuffled order; the incomplete last ones are not given out. batch_rank orders a batch by its last row."""
-    ordered = epoch_order(rows, key, seed, epoch, group).withColumn("batch", F.floor(F.col("position") / size))
-    members = F.count("*").over(Window.partitionBy(*group))
-    last = F.max(draw(F.col(key).cast("string"), seed, "order", epoch)).over(Window.partitionBy(*group, "batch"))
-    return ordered.withColumn("__n", members).where((F.col("batch") + 1) * size <= F.col("__n")).withColumn("batch_rank", last).drop("__n")
+    ranked = with_positions(rows, draw(F.col(key).cast("string"), seed, "order", epoch), key, group).withColumn("batch", F.floor(F.col("position") / size))
+    last = F.max("__u").over(Window.partitionBy(*group, "batch"))
+    return ranked.where((F.col("batch") + 1) * size <= F.col("__n")).withColumn("batch_rank", last).drop("__u", "__n")
+
+
+def carried_batches(rows: DataFrame, key: str, group: Sequence[str], size: int, seed: int, epochs: int) -> DataFrame:
+    """Batches over ``epochs`` epochs in which a group's incomplete last batch goes on in the next epoch; only the very last is not given out.
+
+    A row for each epoch, with epoch, position (in the group over all epochs), batch, and what orders batches: batch_epoch
+    and batch_rank, epoch and draw of a batch's last row.
+    """
+    each = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    ranked = with_positions(each, draw(F.col(key).cast("string"), seed, "order", F.col("epoch")), key, [*group, "epoch"])
+    ranked = ranked.withColumn("position", F.col("epoch") * F.col("__n") + F.col("position")).withColumn("batch", F.floor(F.col("position") / size))
+    full = ranked.where((F.col("batch") + 1) * size <= F.col("__n") * epochs)
+    full = full.withColumn("__last", F.max(F.struct("epoch", "__u")).over(Window.partitionBy(*group, "batch")))
+    return full.withColumn("batch_epoch", F.col("__last.epoch")).withColumn("batch_rank", F.col("__last.__u")).drop("__u", "__n", "__last")
 
 
 def drop_captions(rows: DataFrame, key: str, p: float, seed: int) -> DataFrame:
@@ -122,12 +155,18 @@ def nearest_per_second(frames: DataFrame, most: int = 24) -> DataFrame:
 
 
 def substitute_bad(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """Adds use: a row's own key, or for a bad row a drawn good row's of its type; null where the type has none."""
-    w = Window.partitionBy("type")
-    good = rows.where("good").withColumn("__rank", F.row_number().over(w.orderBy(key)) - 1).select("type", "__rank", F.col(key).alias("__key"))
-    counts = rows.groupBy("type").agg(F.count_if("good").alias("__n"))
-    drawn = rows.join(counts, "type").withColumn("__rank", F.when(~F.col("good") & (F.col("__n") > 0), F.floor(draw(F.col(key).cast("string"), seed, "bad") * F.col("__n")).cast("int")))
-    return drawn.join(good, ["type", "__rank"], "left").withColumn("use", F.when(F.col("good"), F.col(key)).otherwise(F.col("__key"))).drop("__rank", "__n", "__key")
+    """Adds use: a row's own key, or for a bad row a drawn good row's of its type; null where the type has none.
+
+    Null types form a type; a null ``good`` is bad. Good rows are numbered in a shuffled order by parts of it.
+    """
+    rows = rows.withColumn("good", F.coalesce("good", F.lit(False)))
+    ranked = with_positions(rows.where("good").select("type", key), draw(F.col(key).cast("string"), seed, "good"), key, ["type"])
+    good = ranked.select(F.struct("type", F.col("position").alias("at")).alias("__pick"), F.col(key).alias("__key"))
+    counts = rows.groupBy(F.col("type").alias("__type")).agg(F.count_if("good").alias("__n"))
+    bad = rows.where("not good").join(counts, F.col("type").eqNullSafe(F.col("__type")))
+    at = F.when(F.col("__n") > 0, F.floor(draw(F.col(key).cast("string"), seed, "bad") * F.col("__n")))
+    bad = bad.withColumn("__pick", F.struct("type", at.alias("at"))).join(good, "__pick", "left").withColumn("use", F.col("__key"))
+    return rows.where("good").withColumn("use", F.col(key)).unionByName(bad.select(*[f"`{c}`" for c in rows.columns], "use"))
 
 
 def schedule(n_batches: int, accumulation: int, max_steps: int, resume_step: int = 0) -> dict[str, int]:
@@ -156,3 +195,61 @@ def draw_with_replacement(rows: DataFrame, key: str, count: int, seed: int) -> D
     drawn = rows.sparkSession.range(count).withColumnRenamed("id", "draw_no").crossJoin(total)  # one row
     drawn = drawn.where("__n > 0").withColumn("__rank", F.floor(draw(F.col("draw_no").cast("string"), seed, "replace") * F.col("__n")).cast("long"))
     return drawn.join(ranked, "__rank").select("draw_no", key)
+
+
+#: Weights of the ten mask modes of clips, and of the first two for single frames.
+MASK_WEIGHTS = (0.05, 0.2, 0.2, 0.2, 0.05, 0.05, 0.05, 0.1, 0.05, 0.05)
+STILL_WEIGHTS = (0.2, 0.8)
+
+
+def between(u: Column, low: Column, high: Column) -> Column:
+    """A whole number from ``low`` to below ``high`` (``low`` where that is none)."""
+    return (low + F.floor(u * F.greatest(high - low, F.lit(1)))).cast("int")
+
+
+def mask_plan(clips: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds the plan of an inpainting mask to clips with frames, height and width; no pixels are painted.
+
+    mask_mode: 0 a box in all frames, 1 everything, 2 all but the first 1 to 4 frames, 3 all but as many at both ends, 4 a box in
+    a run of frames, 5 single pixels of even chance, 6 a small box of its own in each of some frames, 7 an ellipse, 8 a circle, 9
+    whole frames of even chance. frame_from and frame_to, x_from and x_to, y_from and y_to bound the masked part, ends excluded
+    (modes 0 to 4, 7 and 8; an ellipse's box is cut at the frame's edges); boxes holds (frame, x_from, x_to, y_from, y_to) of modes
+    6 and 9; coverage is the masked share, expected for mode 5 and null for 7 and 8. Columns that do not apply are null.
+    """
+    u = lambda purpose: draw(F.col(key).cast("string"), seed, f"mask-{purpose}")
+    at = lambda i, purpose: draw(F.concat_ws("/", F.col(key).cast("string"), i.cast("string")), seed, f"mask-{purpose}")
+    f, h, w = (F.col(c).cast("int") for c in ("frames", "height", "width"))
+    zero, quarter = F.lit(0), lambda x: F.floor(x / 4).cast("int")
+    mode = F.when(f == 1, pick_weighted(u("mode"), (0, 1), STILL_WEIGHTS)).otherwise(pick_weighted(u("mode"), tuple(range(10)), MASK_WEIGHTS))
+    m = F.col("mask_mode")
+    side = F.floor(F.least(h, w) / 8).cast("int"), quarter(F.least(h, w))
+    rows = clips.withColumn("mask_mode", mode.cast("int")).withColumn("__cx", between(u("x"), zero, w)).withColumn("__cy", between(u("y"), zero, h))
+    for c, size, purpose in (("__rx", w, "a"), ("__ry", h, "b")):  # half sides of boxes, half axes
+        other = between(u("a" if purpose == "b" else purpose), *side)
+        rows = rows.withColumn(c, F.when(m == 8, other).when(m == 7, between(u(purpose), *side)).otherwise(F.floor(between(u(purpose), quarter(size), quarter(size) * 3) / 2).cast("int")))
+    near, cut = m.isin(0, 4, 7, 8), between(u("cut"), F.lit(1), F.lit(5))
+    half = F.floor(f / 2).cast("int")
+    first = F.when(m.isin(2, 3), F.least(cut, f)).when(m == 4, between(u("first"), zero, half)).otherwise(zero)
+    last = F.when(m == 3, F.greatest(f - cut, F.least(cut, f))).when(m == 4, between(u("last"), half, f)).otherwise(f)
+    whole = ~m.isin(5, 6, 9)
+    rows = rows.withColumn("frame_from", F.when(whole, first)).withColumn("frame_to", F.when(whole, last))
+    for axis, size in (("x", w), ("y", h)):
+        rows = rows.withColumn(f"{axis}_from", F.when(whole, F.when(near, F.greatest(F.col(f"__c{axis}") - F.col(f"__r{axis}"), zero)).otherwise(zero)))
+        rows = rows.withColumn(f"{axis}_to", F.when(whole, F.when(near, F.least(F.col(f"__c{axis}") + F.col(f"__r{axis}"), size)).otherwise(size)))
+
+    def small(i: Column) -> Column:
+        bh, bw = between(at(i, "h"), F.lit(1), quarter(h) + 1), between(at(i, "w"), F.lit(1), quarter(w) + 1)
+        x, y = between(at(i, "left"), zero, w - bw + 1), between(at(i, "top"), zero, h - bh + 1)
+        return F.struct(i.alias("frame"), x.alias("x_from"), (x + bw).alias("x_to"), y.alias("y_from"), (y + bh).alias("y_to"))
+
+    all_frames = F.sequence(zero, F.greatest(f, F.lit(1)) - 1)
+    count = between(u("count"), F.lit(1), F.greatest(half, F.lit(1)) + 1)
+    some = F.transform(F.slice(F.array_sort(F.transform(all_frames, lambda i: F.struct(at(i, "frame").alias("u"), i.alias("i")))), 1, count), lambda x: x["i"])
+    boxes = F.when(m == 6, F.transform(F.array_sort(some), small)).when(
+        m == 9, F.transform(F.filter(all_frames, lambda i: at(i, "frame") > 0.5), lambda i: F.struct(i.alias("frame"), zero.alias("x_from"), w.alias("x_to"), zero.alias("y_from"), h.alias("y_to")))
+    )
+    area = lambda b: (b["x_to"] - b["x_from"]).cast("double") * (b["y_to"] - b["y_from"])
+    covered = (F.col("frame_to") - F.col("frame_from")).cast("double") * (F.col("x_to") - F.col("x_from")) * (F.col("y_to") - F.col("y_from"))
+    covered = F.when(m.isin(6, 9), F.aggregate("boxes", F.lit(0.0), lambda s, b: s + area(b))).when(m <= 4, covered)
+    rows = rows.withColumn("boxes", boxes)
+    return rows.withColumn("coverage", F.when(m == 5, 0.5).otherwise(covered / (f.cast("double") * h * w))).drop("__cx", "__cy", "__rx", "__ry")

@@ -137,7 +137,7 @@ def bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.substitute_bad(m, "doc_id", 7).select("doc_id", "type", "use")
 
 
-BAD_ROWS = with_views(f"""+m AS (SELECT doc_id, type, trim(text) <> '' AS good FROM metadata), g AS (SELECT type, doc_id, row_number() OVER (PARTITION BY type ORDER BY doc_id) - 1 AS k FROM m WHERE good),
+BAD_ROWS = with_views(f"""+m AS (SELECT doc_id, type, trim(text) <> '' AS good FROM metadata), g AS (SELECT type, doc_id, row_number() OVER (PARTITION BY type ORDER BY {draw_sql("good", "doc_id")}, doc_id) - 1 AS k FROM m WHERE good),
 n AS (SELECT type, count(*) AS n FROM g GROUP BY type) SELECT m.doc_id, m.type, CASE WHEN good THEN m.doc_id ELSE g.doc_id END AS use
 FROM m JOIN n USING (type) LEFT JOIN g ON NOT m.good AND g.type = m.type AND g.k = floor({draw_sql("bad", "m.doc_id")} * n)::BIGINT""", "metadata")
 
@@ -311,6 +311,73 @@ UNIFORM_FRAMES = with_views(f"""+x AS (SELECT p_partkey, least(nb_read_frames, 6
   CASE WHEN len(list_filter([256, 512, 768], lambda s: s < 1.25 * least(width, height))) > 0 THEN list_filter([256, 512, 768], lambda s: s < 1.25 * least(width, height)) ELSE [256] END AS fits FROM probes)
 SELECT p_partkey, array_to_string(list_transform(range(0, 24), lambda i: floor(i * last / 23.0)::INT), ',') AS indices, fits[floor(u * len(fits))::INT + 1] AS size FROM x""", "probes")
 
+
+def carried_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of 4 over three epochs, incomplete ones going on in the next epoch."""
+    out = sampling.carried_batches(views.metadata(spark, sf_dir), "doc_id", ("type", "source"), 4, 7, 3)
+    return out.select("doc_id", "type", "source", "epoch", "position", F.col("batch").cast("long").alias("batch"), "batch_epoch", F.round("batch_rank", 6).alias("batch_rank"))
+
+
+CARRIED_BATCHES = with_views("""+e AS (SELECT doc_id, type, source, unnest([0, 1, 2]) AS epoch FROM metadata),
+d AS (SELECT *, ('0x' || substr(md5('order:7:' || epoch || ':' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY type, source ORDER BY epoch, u, doc_id) - 1 AS position, count(*) OVER (PARTITION BY type, source) AS n FROM d),
+b AS (SELECT *, position // 4 AS batch FROM r), l AS (SELECT type, source, batch, max(epoch) AS batch_epoch, round(arg_max(u, (epoch, u)), 6) AS batch_rank FROM b GROUP BY ALL)
+SELECT doc_id, type, source, epoch, position, batch, batch_epoch, batch_rank FROM b JOIN l USING (type, source, batch) WHERE (batch + 1) * 4 <= n""", "metadata")
+
+
+def mask_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inpainting masks planned for every probe."""
+    p = views.probes(spark, sf_dir).withColumn("frames", F.when(F.col("p_partkey") % 13 == 0, 1).otherwise(F.col("nb_read_frames")))
+    out = sampling.mask_plan(p, "p_partkey", 7)
+    listed = F.array_join(F.transform("boxes", lambda b: F.concat_ws(" ", *[b[c].cast("string") for c in ("frame", "x_from", "x_to", "y_from", "y_to")])), ",")
+    return out.select("p_partkey", "mask_mode", "frame_from", "frame_to", "x_from", "x_to", "y_from", "y_to", listed.alias("boxes"), F.round("coverage", 6).alias("coverage"))
+
+
+def _mask_sql() -> str:
+    def u(purpose: str, key: str = "p_partkey") -> str:
+        return draw_sql(f"mask-{purpose}", key)
+
+    def at(purpose: str) -> str:
+        return u(purpose, "p_partkey || '/' || i")
+
+    def among(x: str, low: str, high: str) -> str:
+        return f"({low} + floor({x} * greatest({high} - ({low}), 1))::INT)"
+
+    upto, modes = 0.0, ""
+    for k, w in enumerate(sampling.MASK_WEIGHTS):
+        upto += w
+        modes += f" WHEN u < {upto}::DOUBLE / {float(sum(sampling.MASK_WEIGHTS))}::DOUBLE THEN {k}"
+    axis = "".join(
+        f"CASE WHEN m = 8 THEN {among(u('a'), 's // 8', 's // 4')} WHEN m = 7 THEN {among(u(p), 's // 8', 's // 4')} ELSE {among(u(p), f'{size} // 4', f'{size} // 4 * 3')} // 2 END AS r{c}, {among(u(c), '0', size)} AS c{c}, "
+        for c, size, p in (("x", "w", "a"), ("y", "h", "b"))
+    )
+    frame_at = f"SELECT p_partkey, m, f, h, w, many, unnest(range(0, f)) AS i FROM x WHERE m IN (6, 9)"  # noqa: F541
+    edge = "".join(f"CASE WHEN m IN (0, 4, 7, 8) THEN greatest(c{c} - r{c}, 0) WHEN m NOT IN (5, 6, 9) THEN 0 END AS {c}_from, CASE WHEN m IN (0, 4, 7, 8) THEN least(c{c} + r{c}, {s}) WHEN m NOT IN (5, 6, 9) THEN {s} END AS {c}_to, " for c, s in (("x", "w"), ("y", "h")))
+    return f"""+v AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE nb_read_frames END AS f, height AS h, width AS w, least(height, width) AS s, {u("mode")} AS u FROM probes),
+y AS (SELECT *, CASE WHEN f = 1 THEN CASE WHEN u < 0.2 THEN 0 ELSE 1 END ELSE CASE{modes} ELSE 9 END END AS m FROM v),
+x AS (SELECT *, {axis}{among(u("cut"), "1", "5")} AS cut, {among(u("count"), "1", "greatest(f // 2, 1) + 1")} AS many, {among(u("first"), "0", "f // 2")} AS fst, {among(u("last"), "f // 2", "f")} AS lst FROM y),
+i AS ({frame_at}), j AS (SELECT *, {at("frame")} AS fu, {among(at("h"), "1", "h // 4 + 1")} AS bh, {among(at("w"), "1", "w // 4 + 1")} AS bw FROM i),
+k AS (SELECT *, {among(at("left"), "0", "w - bw + 1")} AS bx, {among(at("top"), "0", "h - bh + 1")} AS ly FROM j QUALIFY m = 9 AND fu > 0.5 OR m = 6 AND row_number() OVER (PARTITION BY p_partkey ORDER BY fu, i) <= many),
+b AS (SELECT p_partkey, string_agg(CASE WHEN m = 6 THEN concat_ws(' ', i, bx, bx + bw, ly, ly + bh) ELSE concat_ws(' ', i, 0, w, 0, h) END, ',' ORDER BY i) AS boxes, sum(CASE WHEN m = 6 THEN bw * bh ELSE w * h END)::DOUBLE AS area FROM k GROUP BY ALL),
+z AS (SELECT p_partkey, m, f, h, w, {edge}CASE WHEN m IN (2, 3) THEN least(cut, f) WHEN m = 4 THEN fst WHEN m NOT IN (5, 6, 9) THEN 0 END AS frame_from,
+  CASE WHEN m = 3 THEN greatest(f - cut, least(cut, f)) WHEN m = 4 THEN lst WHEN m NOT IN (5, 6, 9) THEN f END AS frame_to FROM x)
+SELECT p_partkey, m AS mask_mode, frame_from, frame_to, x_from, x_to, y_from, y_to, CASE WHEN m IN (6, 9) THEN coalesce(boxes, '') END AS boxes,
+  round(CASE WHEN m = 5 THEN 0.5 WHEN m IN (6, 9) THEN coalesce(area, 0) / (f::DOUBLE * h * w) WHEN m <= 4 THEN (frame_to - frame_from)::DOUBLE * (x_to - x_from) * (y_to - y_from) / (f::DOUBLE * h * w) END, 6) AS coverage
+FROM z LEFT JOIN b USING (p_partkey)"""
+
+
+MASK_PLANS = with_views(_mask_sql(), "probes")
+
+
+def colour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histogram correlation, thumbnail similarity with its class, and multi-scale similarity of adjacent frames, drawn 16 x 16 in three channels."""
+    f = fr.with_previous(views.frames(spark, sf_dir)).where("previous is not null")
+    cell = lambda i: F.floor(i / 96) * 8 + F.floor(F.floor(i / 3) % 16 / 2)
+    drawn = lambda p: F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.get(F.col(p), ((cell(i) + 21 * (i % 3)) % 64).cast("int")))
+    out = fr.colour_pairs(f.select("clip_id", "frame_idx", drawn("previous").alias("a"), drawn("pixels").alias("b")), 16, 16)
+    return out.withColumn("kind", F.when(F.col("similarity") > 0.996, "duplicate").when(F.col("similarity") < 0.2, "hold").otherwise("interpolate"))
+
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
@@ -318,5 +385,6 @@ QUERIES = {
         (seeded_draws, SEEDED_DRAWS), (frame_indices, FRAME_INDICES), (nearest_seconds, NEAREST_SECONDS), (bad_rows, BAD_ROWS), (frame_metrics, FRAME_METRICS), (reconstruction_quality, RECONSTRUCTION),
         (consistency_summary, CONSISTENCY), (flicker_suspects, FLICKER), (structural_similarity, None), (loss_curves, LOSS_CURVES), (sparklines, SPARKLINES), (checkpoint_plan, CHECKPOINT_PLAN), (rubric_verdicts, RUBRIC),
         (failure_rates, FAILURE_RATES), (run_ranking, RUN_RANKING), (evaluation_grid, EVALUATION_GRID), (run_labels, RUN_LABELS), (throughput, THROUGHPUT), (seam_ratios, SEAM_RATIOS), (uniform_frames, UNIFORM_FRAMES),
+        (carried_batches, CARRIED_BATCHES), (mask_plans, MASK_PLANS), (colour_similarity, None),
     )
 }

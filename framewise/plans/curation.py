@@ -226,9 +226,32 @@ SELECT conv_id, array_to_string(list_filter([CASE WHEN len(list_filter(regexp_sp
   CASE WHEN identity IS NULL THEN 'no_identity' END, CASE WHEN len(list_filter(coalesce(beats, []), lambda b: regexp_matches(b, '(?i)the hat|beak'))) > 0 THEN 'forbidden_term' END,
   CASE WHEN conv_id % 2 <> 0 THEN 'no_style' END, CASE WHEN identity IS NULL THEN 'no_negatives' END], lambda x: x IS NOT NULL), ',') AS problems FROM r"""
 
+
+def breakdown_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of a shot breakdown drawn from order lines, by shot: suppliers in the black and small parts are registered."""
+    li = views.table(spark, sf_dir, "lineitem")
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
+    clips = li.select(
+        F.col("l_orderkey").alias("shot_id"), F.col("l_linenumber").alias("clip_no"), F.when(F.col("l_returnflag") == "R", " ").otherwise("plate").alias("background"),
+        F.array(name("S", "l_suppkey")).alias("characters"), F.array(name("P", "l_partkey"), name("Q", "l_suppkey")).alias("props"), F.when(F.col("l_quantity") > 40, 33).otherwise(49).alias("frames"),
+    )
+    supplier, part = views.table(spark, sf_dir, "supplier"), views.table(spark, sf_dir, "part")
+    registry = supplier.where("s_acctbal > 0").select(F.lit("character").alias("kind"), name("S", "s_suppkey").alias("id"))
+    registry = registry.unionByName(part.where("p_size < 40").select(F.lit("prop").alias("kind"), name("P", "p_partkey").alias("id")))
+    registry = registry.unionByName(supplier.select(F.lit("prop").alias("kind"), name("Q", "s_suppkey").alias("id")))
+    return val.breakdown_problems(clips, registry).groupBy("shot_id", "problem").agg(F.count("*").alias("n"), F.min("item").alias("first_item"))
+
+
+BREAKDOWN_PROBLEMS = """WITH p AS (SELECT l_orderkey AS shot_id, 'unknown_character' AS problem, 'S' || l_suppkey AS item FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+  UNION ALL SELECT l_orderkey, 'unknown_prop', 'P' || l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)
+  UNION ALL SELECT l_orderkey, 'unknown_prop', 'Q' || l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
+  UNION ALL SELECT l_orderkey, 'frames', NULL FROM lineitem WHERE l_quantity > 40 UNION ALL SELECT l_orderkey, 'background', NULL FROM lineitem WHERE l_returnflag = 'R')
+SELECT shot_id, problem, count(*) AS n, min(item) AS first_item FROM p GROUP BY ALL"""
+
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
+        (breakdown_problems, BREAKDOWN_PROBLEMS),
         (caption_curation, CAPTION_CURATION), (caption_prune, CAPTION_PRUNE), (caption_spot_check, CAPTION_SPOT_CHECK), (semantic_prune, SEMANTIC_PRUNE), (segment_plan, SEGMENT_PLAN),
         (composition_gates, COMPOSITION_GATES), (action_parity, ACTION_PARITY), (prop_frequency, PROP_FREQUENCY), (top_sources, TOP_SOURCES), (character_presence, CHARACTER_PRESENCE),
         (clip_conformance, CLIP_CONFORMANCE), (metadata_problems, METADATA_PROBLEMS), (first_problems, FIRST_PROBLEMS), (frame_counts, FRAME_COUNTS), (probe_sizes, PROBE_SIZES),

@@ -134,3 +134,81 @@ def test_shares_lists_and_draws(spark):
     drawn = sampling.draw_with_replacement(rows, "ord", 50, 3).collect()
     assert len(drawn) == 50 and {r["ord"] for r in drawn} == {0, 1, 2}
     assert sampling.draw_with_replacement(rows.limit(0), "ord", 5, 3).count() == 0
+
+
+def test_positions_of_hot_and_null_groups(spark):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, F.lit("rare")).alias("type"), (F.col("id") % 7 > 0).alias("good")).repartition(7)
+    got = sampling.epoch_order(rows, "id", 1, 2, ["type"]).withColumn("u", sampling.draw(F.col("id").cast("string"), 1, "order", 2)).collect()
+    for kind in ("hot", "rare", None):
+        mine = sorted((r for r in got if r["type"] == kind), key=lambda r: (r["u"], r["id"]))
+        assert [r["position"] for r in mine] == list(range(len(mine))) and mine
+    assert sampling.epoch_order(rows, "id", 1, 2, resume=2990).count() == 10
+    assert sampling.epoch_order(rows.limit(0), "id", 1, 2).count() == 0
+    used = sampling.substitute_bad(rows, "id", 3).collect()
+    kind_of, good = {r["id"]: r["type"] for r in got}, {r["id"] for r in got if r["good"]}
+    assert len(used) == 3000 and all(r["use"] in good and kind_of[r["use"]] == r["type"] for r in used)
+    none = spark.createDataFrame([(1, "a", False), (2, "a", None)], "id long, type string, good boolean")
+    assert [r["use"] for r in sampling.substitute_bad(none, "id", 3).collect()] == [None, None]
+
+
+def test_carried_batches(spark):
+    rows = spark.createDataFrame([(i, "a" if i < 7 else None) for i in range(10)], "id long, kind string")
+    got = sampling.carried_batches(rows, "id", ["kind"], 4, 5, 3).collect()
+    of = lambda kind: sorted((r["batch"], r["position"], r["epoch"], r["batch_epoch"]) for r in got if r["kind"] == kind)
+    assert [x[0] for x in of("a")] == [i // 4 for i in range(20)] and [x[2] for x in of("a")] == [i // 7 for i in range(20)]
+    assert [x[3] for x in of("a")] == [0] * 4 + [1] * 8 + [2] * 8 and len(of(None)) == 8
+
+
+def test_mask_plan(spark):
+    clips = spark.createDataFrame([(i, 1 if i % 10 == 0 else 2 + i % 48, 8 + i % 90, 8 + i % 70) for i in range(3000)], "id long, frames int, height int, width int")
+    got = sampling.mask_plan(clips, "id", 7).collect()
+    assert {r["mask_mode"] for r in got if r["frames"] > 1} == set(range(10)) and {r["mask_mode"] for r in got if r["frames"] == 1} == {0, 1}
+    for r in got:
+        assert r["coverage"] is None or 0 <= r["coverage"] <= 1
+        if r["mask_mode"] in (6, 9):
+            assert len({b["frame"] for b in r["boxes"]}) == len(r["boxes"]) and (r["mask_mode"] == 9 or 1 <= len(r["boxes"]) <= max(r["frames"] // 2, 1))
+            assert all(0 <= b["x_from"] < b["x_to"] <= r["width"] and 0 <= b["y_from"] < b["y_to"] <= r["height"] and b["frame"] < r["frames"] for b in r["boxes"])
+        elif r["mask_mode"] != 5:
+            assert 0 <= r["frame_from"] <= r["frame_to"] <= r["frames"] and 0 <= r["x_from"] <= r["x_to"] <= r["width"] and 0 <= r["y_from"] <= r["y_to"] <= r["height"]
+
+
+def test_breakdown_problems(spark):
+    clips = spark.createDataFrame([(1, 1, "plate", ["a"], ["p", "x", None], 49), (1, 2, None, None, ["p"], None)], "shot_id long, clip_no int, background string, characters array<string>, props array<string>, frames int")
+    registry = spark.createDataFrame([("character", "a"), ("prop", "p"), ("character", "x")], "kind string, id string")
+    got = {tuple(r) for r in validate.breakdown_problems(clips, registry).collect()}
+    assert got == {(1, 1, "unknown_prop", "x"), (1, 1, "unknown_prop", None), (1, 2, "frames", None), (1, 2, "background", None)}
+
+
+def test_colour_metrics(spark):
+    import colorsys
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 256, (2, 40, 3), np.uint8), rng.integers(0, 256, (2, 40, 3), np.uint8)
+    b[:, :20] = a[:, :20]
+    got = frames.hue_saturation(a)
+    for image, counts in zip(a, got, strict=True):
+        want = np.zeros(3000)
+        for pixel in image:
+            h, s, _ = colorsys.rgb_to_hsv(*(pixel / 255))
+            want[int((round(h * 180) % 180) * 50 // 180) * 60 + int(round(s * 255) * 60 // 256)] += 1
+        assert np.abs(want - counts).sum() <= 2  # one pixel at a rounding edge
+    x, y = frames.hue_saturation(a), frames.hue_saturation(b)
+    assert np.allclose(frames.histogram_correlation(a, b), [np.corrcoef(p, q)[0, 1] for p, q in zip(x, y, strict=True)])
+    assert np.allclose(frames.histogram_correlation(a, a), 1)
+    g = frames.gaussian()
+    cube = g[:, None, None] * g[None, :, None] * g[None, None, :]
+    p, q = rng.random((3, 12, 12)), rng.random((3, 12, 12))
+
+    def blur(v):
+        v = np.pad(v, 5, mode="edge")
+        return np.array([[[(v[k : k + 11, i : i + 11, j : j + 11] * cube).sum() for j in range(12)] for i in range(12)] for k in range(3)])
+
+    mp, mq = blur(p), blur(q)
+    vp, vq, cov = blur(p * p) - mp**2, blur(q * q) - mq**2, blur(p * q) - mp * mq
+    want = ((2 * mp * mq + 1e-4) * (2 * cov + 9e-4) / ((mp**2 + mq**2 + 1e-4) * (vp + vq + 9e-4))).mean()
+    assert abs(frames.similarity_terms(p, q, (0, 1, 2))[0] - want) < 1e-12
+    assert np.allclose(frames.thumbnail(np.arange(64.0 * 64).reshape(1, 64, 64))[0], np.arange(64.0 * 64).reshape(32, 2, 32, 2).mean(axis=(1, 3)))
+    big = rng.random((3, 40, 36))
+    assert abs(frames.multi_scale(big, big) - 1) < 1e-9 and frames.multi_scale(big[:, :15], big[:, :15]) is None
+    pairs = spark.createDataFrame([(1, [0.0] * 768, [0.0] * 768)], "id int, a array<double>, b array<double>")
+    assert [round(v, 9) for v in frames.colour_pairs(pairs, 16, 16).first()[1:]] == [1.0, 1.0, 1.0]
