@@ -1,7 +1,7 @@
 """Embedding near-duplicates by collision counting on one-dimensional projections.
 
-Unit vectors of one label are sorted by one projection and cut into blocks; blocks nearer than the largest distance
-a linked pair can have are compared. In a tile the pairs whose projections fall into each other's window are counted
+Unit vectors of one label are sorted by one projection and cut into blocks; a row meets only
+blocks nearer than the largest distance a linked pair can have. In a tile the pairs whose projections fall into each other's window are counted
 over many projections; pairs that reach the calibrated count are verified by their exact cosine. The count is set
 from simulated pairs at the threshold, so that one of them in a few hundred thousand falls below it.
 """
@@ -111,10 +111,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     picked = F.when(F.col("n_blocks") > 1, F.transform(F.sequence(F.lit(1), F.least("n_blocks", F.lit(1000)) - 1), lambda i: F.element_at("q", F.greatest((i * 1000 / F.least("n_blocks", F.lit(1000))).cast("int"), F.lit(1))))).otherwise(F.array().cast("array<double>"))
     cuts = save(cuts.select("group", "n_blocks", picked.alias("cuts")), "vector-blocks")
     dealt = reps.join(cuts, "group").withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("first"))))
+    reach = math.sqrt(max(2 - 2 * cosine, 0)) + 1e-6  # no projections of a linked pair are further apart
+    dealt = dealt.withColumn("low", F.size(F.filter("cuts", lambda c: c <= F.col("first") - reach))).withColumn("high", F.size(F.filter("cuts", lambda c: c <= F.col("first") + reach)))
     # a range that holds too many equal values, or more than 1000 ranges' worth of rows, is split by hash
     parts = F.greatest(F.ceil(F.col("n_blocks") / 1000), F.lit(1)).cast("int")
-    dealt = dealt.withColumn("n_blocks", parts * (F.size("cuts") + 1)).withColumn("block", F.col("range") * parts + F.pmod(F.xxhash64("uid"), parts).cast("int"))
-    tiles = over_tiles(dealt.select("group", "n_blocks", "block", "uid", "copies", "unit"), lambda t, itself: link_tile(t, itself, cosine), LINKED)
+    dealt = dealt.withColumn("block", F.col("range") * parts + F.pmod(F.xxhash64("uid"), parts).cast("int"))
+    # rows meet only blocks of ranges in reach of their own projection
+    dealt = dealt.withColumn("low", F.col("low") * parts).withColumn("high", (F.col("high") + 1) * parts - 1)
+    tiles = over_tiles(dealt.select("group", "block", "low", "high", "uid", "copies", "unit"), lambda t, itself: link_tile(t, itself, cosine), LINKED, ("low", "high"))
     tiles = save(tiles, "vector-links")
     links = tiles.groupBy("uid").agg(F.sum("links").alias("links"))
     last = 2**63 - 1

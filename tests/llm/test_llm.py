@@ -178,7 +178,9 @@ def test_components(spark):
     assert got == {a: find(a) for a, b in ((x, y) for p in pairs for x, y in (p, p[::-1])) if a != b}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block_rows", [2_048, 16])
+def test_embeddings(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", block_rows)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))
     near = [base[i % 20] + rng.normal(size=16) * s for i in range(120) for s in (0.04, 0.1)]
