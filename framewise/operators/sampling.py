@@ -10,8 +10,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import with_ordinal
-
 
 def draw(key: Column, seed: int, purpose: str, epoch: Column | int = 0) -> Column:
     """A number in [0, 1) of 32 bits."""
@@ -189,8 +187,8 @@ def resolution_choice(key: Column, smallest_side: Column, sizes: Sequence[int],
 
 
 def draw_with_replacement(rows: DataFrame, key: str, count: int, seed: int) -> DataFrame:
-    """``count`` draws (draw_no, key) from the rows in the order of their key; a row may come more than once, no rows give no draws."""
-    ranked = with_ordinal(rows.select(key).orderBy(key), "__rank", 0)
+    """``count`` draws (draw_no, key) from the rows, numbered in a shuffled order; a row may come more than once, no rows give no draws."""
+    ranked = with_positions(rows.select(key), draw(F.col(key).cast("string"), seed, "number"), key, ()).select(key, F.col("position").alias("__rank"))
     total = rows.agg(F.count("*").alias("__n"))
     drawn = rows.sparkSession.range(count).withColumnRenamed("id", "draw_no").crossJoin(total)  # one row
     drawn = drawn.where("__n > 0").withColumn("__rank", F.floor(draw(F.col("draw_no").cast("string"), seed, "replace") * F.col("__n")).cast("long"))
