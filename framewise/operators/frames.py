@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -163,25 +164,29 @@ def histogram_correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(below > 0, (x * y).sum(1) / np.where(below > 0, below, 1), 1.0)
 
 
+@lru_cache(maxsize=32)
+def smoothing(n: int, size: int) -> np.ndarray:
+    """The Gaussian window over n values, edges repeated 5 times, as a matrix."""
+    out = np.zeros((n + 11 - size, n))
+    for row in range(len(out)):
+        np.add.at(out[row], np.clip(row - 5 + np.arange(size), 0, n - 1), gaussian(size))
+    return out
+
+
 def similarity_terms(a: np.ndarray, b: np.ndarray, axes: tuple[int, ...]) -> tuple[float, float]:
     """Mean structural similarity and contrast term of two arrays under a Gaussian window of at most 11 along ``axes``, edges repeated 5 times.
 
     The range is 255 if a value of ``a`` is above 128, else 1, and one more if one is below -0.5.
     """
-    g = gaussian(min(11, *a.shape[-2:]))
-
-    def smooth(x: np.ndarray) -> np.ndarray:
-        for axis in axes:
-            x = np.pad(x, [(5, 5) if k == axis else (0, 0) for k in range(x.ndim)], mode="edge")
-            n = x.shape[axis] - len(g) + 1
-            x = sum(w * np.take(x, np.arange(k, k + n), axis=axis) for k, w in enumerate(g))
-        return x
-
+    size = min(11, *a.shape[-2:])
+    smooth = np.stack([a, b, a * b, a * a, b * b])
+    for axis in axes:
+        smooth = np.moveaxis(np.tensordot(smoothing(a.shape[axis], size), smooth, (1, axis + 1)), 0, axis + 1)
     span = (255 if a.max() > 128 else 1) + (1 if a.min() < -0.5 else 0)
     c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
-    ma, mb = smooth(a), smooth(b)
-    v1 = 2 * (smooth(a * b) - ma * mb) + c2
-    v2 = smooth(a * a) - ma * ma + smooth(b * b) - mb * mb + c2
+    ma, mb, ab, aa, bb = smooth
+    v1 = 2 * (ab - ma * mb) + c2
+    v2 = aa - ma * ma + bb - mb * mb + c2
     return float(((2 * ma * mb + c1) * v1 / ((ma * ma + mb * mb + c1) * v2)).mean()), float((v1 / v2).mean())
 
 
