@@ -149,13 +149,18 @@ def weight(f: str, weights: Mapping[str, float]) -> float:
 
 
 def extract(page: str | None, weights: Mapping[str, float]) -> str:
-    """The main text: the best stretch's words outside boilerplate, white space made one space, blocks joined by one space."""
+    """The main text: the best stretch's words outside boilerplate, white space made one space, blocks joined by one space.
+
+    Boilerplate inside the stretch is taken out afterwards, so its words and tags weigh nothing in the scan.
+    """
     if not page:
         return ""
     nodes = list(parse(page))
     best, best_from, best_to, run, start = 0.0, 0, 0, 0.0, 0
     known: dict[str, float] = {}
-    for i, (kind, value, _, _) in enumerate(nodes):
+    for i, (kind, value, out, _) in enumerate(nodes):
+        if out:
+            continue
         f = feature(kind, value)
         w = known.get(f)
         if w is None:

@@ -146,6 +146,27 @@ def test_best_stretch_brute_force():
         assert bool(text) == (best > 0)
 
 
+def test_boilerplate_in_article_cuts_nothing():
+    """Excluded elements of any length and place inside an article: all other words of the article stay, as the best stretch by brute force says."""
+    rng = random.Random(3)
+    boxes = ['<div class="advert">%s</div>', '<div class="notice"><p>%s</p></div>', "<form><p>%s</p><label>n</label></form>", '<section class="newsletter"><div><p>%s</p></div></section>', "<aside><ul><li>%s</li></ul></aside>"]
+    for weights in ({}, {"out": -3.0, "p": 2.0, "h1": 2.0, "<div": -2.0, "</div": -2.0}):
+        for _ in range(60):
+            words = iter(f"w{i}" for i in range(1000))
+            some = lambda n: " ".join(next(words) for _ in range(n))  # noqa: B023, E731
+            parts, want = [], []
+            for k in range(rng.randint(2, 5)):
+                text = some(rng.randint(8, 40))
+                want.append(text)
+                parts.append(f"<h1>{text}</h1>" if k == 0 else f"<p>{text}</p>")
+                parts.append(rng.choice(boxes) % "buy now ".join(["x"] * rng.randint(1, 300)))
+            page = f"<body><nav><a>Home</a></nav><article>{''.join(parts)}</article><footer>foot words</footer></body>"
+            assert main_text.extract(page, weights) == " ".join(want)
+            nodes = [(k, v, o, 0 if o else main_text.weight(main_text.feature(k, v), weights) * (1 if k == "<" else len(v.split()))) for k, v, o, _ in main_text.parse(page)]
+            i, j = max(((i, j) for i in range(len(nodes)) for j in range(i, len(nodes) + 1)), key=lambda x: (sum(w for *_, w in nodes[x[0] : x[1]]), x[0] - x[1]))
+            assert " ".join(v.strip() for k, v, o, _ in nodes[i:j] if k != "<" and not o) == " ".join(want)
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "u", None), (9, "v\nw", ""), (None, "v", ""), (3, "z", "a\r\n\r\nWARC/1.1\r\n\r\nb é"), (4, "z", "x" * 300_000), (7, None, "x" * 300_000), (7, None, "x" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash"))
