@@ -23,10 +23,14 @@ from pyspark.sql import functions as F
 #: Labelled pages that weights are learned from, at most: those of the smallest hashed ids.
 SAMPLE_PAGES = 2_000
 
-# Element names of HTML.
+# Element names of HTML. NAMED ones have weights of their own.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "object", "canvas", "math")
+NAMED = BLOCKS | VOID | frozenset("a b i em strong span u small sup sub code".split())
+#: Elements whose content is never shown as text; one that is not closed hides nothing.
+HIDDEN = frozenset("noscript template iframe svg select".split())
+#: Wrappers around text of the page, that say nothing about its place.
+WRAPPERS = frozenset("object canvas math param".split())
 #: Elements that are never part of a main text.
 OUTSIDE = frozenset("head title nav footer aside form button label menu dialog fieldset".split())
 #: Parts of class, id and role values that name boilerplate.
@@ -37,7 +41,7 @@ BOILERPLATE = re.compile(
     re.I,
 )
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|noscript|template|textarea|iframe|svg|select|object|canvas|math)\b[^>]*>.*?(?:</\1\s*>|$)"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(script|style|textarea)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|$)"
     r"|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)>?",
     re.S | re.I,
 )
@@ -58,14 +62,32 @@ def is_boilerplate(tag: str, attrs: Mapping[str, str], in_article: bool) -> bool
     return bool(named or unseen)
 
 
+def hidden_ends(tokens: list[re.Match]) -> dict[int, int]:
+    """For each start tag of a HIDDEN element that is closed, the place of its end tag among ``tokens``."""
+    ends: dict[int, int] = {}
+    open_tags: dict[str, list[int]] = {}
+    for i, m in enumerate(tokens):
+        if m[3] and (tag := m[3].lower()) in HIDDEN:
+            if not m[2]:
+                if tag != "svg" or not m[4].rstrip().endswith("/"):
+                    open_tags.setdefault(tag, []).append(i)
+            elif open_tags.get(tag):
+                ends[open_tags[tag].pop()] = i
+    return ends
+
+
 def parse(page: str) -> Iterator[tuple[str, str, bool, bool]]:
     """(kind, value, boilerplate, marked) in page order.
 
     kind '<': value is a tag name, '/' before closing ones; else the kind is a word's place, value the text of a node.
     """
     stack: list[tuple[str, bool, bool]] = []  # tag, boilerplate, marked: with what stands above
-    at = 0
-    for m in [*TOKEN.finditer(page), None]:
+    at, resume = 0, 0
+    tokens = list(TOKEN.finditer(page))
+    ends = hidden_ends(tokens)
+    for i, m in enumerate([*tokens, None]):
+        if i < resume:  # in a hidden element
+            continue
         if text := page[at : m.start() if m else len(page)]:
             block = next((t for t, _, _ in reversed(stack) if t in BLOCKS), "")
             linked = any(t == "a" for t, _, _ in stack)
@@ -77,13 +99,20 @@ def parse(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         if not m[3]:  # a comment, a declaration or an element whose content is no text
             continue
         tag = m[3].lower()
+        if tag in HIDDEN:
+            if i in ends:
+                at, resume = tokens[ends[i]].end(), ends[i] + 1
+            continue
+        # tags of formulas and wrappers change no stretch's weight
+        silent = tag in WRAPPERS or tag not in NAMED and any(t == "math" for t, _, _ in stack)
         out, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if m[2]:
             if any(t == tag for t, _, _ in stack):
                 while stack[-1][0] != tag:
                     stack.pop()
                 _, out, marked = stack.pop()
-                yield "<", "/" + tag, out, marked
+                if not silent:
+                    yield "<", "/" + tag, out, marked
             elif tag in ("p", "br"):
                 yield "<", tag, out, marked
             continue
@@ -99,14 +128,15 @@ def parse(page: str) -> Iterator[tuple[str, str, bool, bool]]:
         in_article = any(t in ("article", "main") for t, _, _ in stack)
         out = out or is_boilerplate(tag, attrs, in_article)
         marked = marked or tag in ("article", "main") or attrs.get("itemprop", "").lower() == "articlebody"
-        yield "<", tag, out, marked
+        if not silent:
+            yield "<", tag, out, marked
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             stack.append((tag, out, marked))
 
 
 def feature(kind: str, value: str) -> str:
     """What a weight is learned for: a place of words, or a tag (names out of HTML's together)."""
-    return kind if kind != "<" else "<" + (value if value.lstrip("/") in BLOCKS | VOID | {"a", "b", "i", "em", "strong", "span", "u", "small", "sup", "sub", "code"} else "?")
+    return kind if kind != "<" else "<" + (value if value.lstrip("/") in NAMED else "?")
 
 
 def count_features(page: str) -> tuple[Counter, Counter]:

@@ -167,6 +167,29 @@ def test_boilerplate_in_article_cuts_nothing():
             assert " ".join(v.strip() for k, v, o, _ in nodes[i:j] if k != "<" and not o) == " ".join(want)
 
 
+@pytest.mark.parametrize(
+    ("inside", "want"),
+    [
+        ('<svg class="i"/>', ""), ("<math/>", ""), ("<svg-icon>", ""), ("<select-menu>", ""), ("<object-view>", ""), ("<script-note></script-note>", ""), ("<template>", ""), ("<noscript>", ""), ("<iframe src=x>", ""), ("<select>", ""), ("<svg>", ""),
+        ("<svg><title>icon</title><path d=''/><text>label</text></svg>", ""), ("<select><option>one<option>two</select>", ""), ("<template><template>a</template>b</template>", ""), ("<noscript></div><p>enable it</noscript>", ""), ("<select><svg></svg></select>", ""),
+        ("<svg><p>kept words</p>", "kept words"), ("<template><p>kept words</p><template>gone</template>", "kept words"),
+        ("<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math>", "x=2"), ("<math><mi>x</mi>", "x"), ("<object data=x><param name=a><param name=b>fallback text</object>", "fallback text"), ("<canvas>fallback text</canvas>", "fallback text"),
+        ("<p>a<object><p>b</p></object></p>", "a b"),
+        ("<script>var x = '<p>no</p>'</script>", ""), ("<style>p { }</style>", ""), ("<textarea>no <p>no</p></textarea>", ""), ("<SCRIPT\n>no</script\n>", ""),
+    ],
+)
+def test_raw_and_embedded_elements(inside, want):
+    page = f"<body><article><p>Lead with some words here</p>{inside}<p>two three four five</p></article></body>"
+    assert main_text.extract(page, {}) == " ".join(f"Lead with some words here {want} two three four five".split())
+
+
+def test_formulas_cut_nothing():
+    formula = "<math>" + "<mrow><mi>x</mi><mo>+</mo></mrow>" * 40 + "</math>"
+    assert main_text.extract(f"<article><p>Short lead {formula} and the rest</p></article>", {"<?": -2.0}) == "Short lead " + "x+" * 40 + " and the rest"
+    for tag in ("script", "style", "textarea"):
+        assert main_text.extract(f"<article><p>Words of the article</p></article><{tag}>never closed <p>no words</p>", {}) == "Words of the article"
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "u", None), (9, "v\nw", ""), (None, "v", ""), (3, "z", "a\r\n\r\nWARC/1.1\r\n\r\nb é"), (4, "z", "x" * 300_000), (7, None, "x" * 300_000), (7, None, "x" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash"))
