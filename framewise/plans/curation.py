@@ -53,6 +53,14 @@ CAPTION_SPOT_CHECK = r"""SELECT doc_id AS clip_id, doc_id || '_' || translate(su
 FROM documents d JOIN benchmark b ON item_id = doc_id % 40 WHERE doc_id % 10 = 0"""
 
 
+def caption_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour variant of every whole caption; that of caption_spot_check ends at 200 characters, as its SQL does."""
+    return views.captions(spark, sf_dir).select("clip_id", cap.ground_colours(F.col("suffix"), {"the": "blue"}, "thing").alias("grounded"))
+
+
+CAPTION_GROUNDING = with_views(r"SELECT clip_id, regexp_replace(suffix, '\bthe\b', 'the, a blue thing', 'g') AS grounded FROM captions", "captions")
+
+
 def semantic_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id"), F.col("vec_id").alias("clause_ord"), F.col("embedding").alias("vector"))
     out = cap.prune_semantic(e.where("clause_ord % 5 <> 0"), e.where("clause_ord % 5 = 0"), 0.25)
@@ -252,7 +260,7 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (breakdown_problems, BREAKDOWN_PROBLEMS),
-        (caption_curation, CAPTION_CURATION), (caption_prune, CAPTION_PRUNE), (caption_spot_check, CAPTION_SPOT_CHECK), (semantic_prune, SEMANTIC_PRUNE), (segment_plan, SEGMENT_PLAN),
+        (caption_curation, CAPTION_CURATION), (caption_prune, CAPTION_PRUNE), (caption_spot_check, CAPTION_SPOT_CHECK), (caption_grounding, CAPTION_GROUNDING), (semantic_prune, SEMANTIC_PRUNE), (segment_plan, SEGMENT_PLAN),
         (composition_gates, COMPOSITION_GATES), (action_parity, ACTION_PARITY), (prop_frequency, PROP_FREQUENCY), (top_sources, TOP_SOURCES), (character_presence, CHARACTER_PRESENCE),
         (clip_conformance, CLIP_CONFORMANCE), (metadata_problems, METADATA_PROBLEMS), (first_problems, FIRST_PROBLEMS), (frame_counts, FRAME_COUNTS), (probe_sizes, PROBE_SIZES),
         (fitted_sizes, FITTED_SIZES), (aspect_buckets, ASPECT_BUCKETS), (file_totals, FILE_TOTALS), (identical_texts, IDENTICAL_TEXTS), (name_reconciliation, NAME_RECONCILIATION), (prompt_problems, PROMPT_PROBLEMS),

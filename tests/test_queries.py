@@ -1,6 +1,7 @@
 """Every query with SQL against DuckDB on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -35,3 +36,11 @@ def test_entry_without_llm():
     import __spark_entry__ as entry
 
     assert set(registry.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_captions_are_grounded_whole(spark):
+    """Beyond the first 200 characters too: by Python's regular expressions, over texts that are longer."""
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    got = {r["clip_id"]: r["grounded"] for r in registry.queries()["caption_grounding"](spark, DIR).collect()}
+    assert got == {i: re.sub(r"\bthe\b", "the, a blue thing", t) for i, t in texts.items()}
+    assert any(re.search(r"\bthe\b", t[200:]) for t in texts.values())
