@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 6_000
 ROWS, DIMS, NONZERO, WINDOW, REPEAT_WITHIN = 1 << 14, 64, 8, 2, 6
 PARTS = 16
+#: Longer words, as of texts without white space, are read in pieces of so many characters.
+PIECE = 64
 CACHE_WORDS = 300_000
 
 
@@ -42,7 +44,7 @@ def row_of(token: str) -> int:
 
 def shape_of(word: str) -> str:
     """Letters and digits by kind, runs shortened: 'Rewh.###' -> 'Xx.#'."""
-    s = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word[:64])
+    s = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word)
     return re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "9", s))
 
 
@@ -59,8 +61,10 @@ class Tokens:
         return out
 
     def rows(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of the words, and of shapes; a word met again within REPEAT_WITHIN words has a row of its own instead of its shape's."""
+        """Rows of the words (of a long one's pieces), and of shapes; a word met again within REPEAT_WITHIN words has a row of its own instead of its shape's."""
         words = (text or "").split()
+        if max(map(len, words), default=0) > PIECE:
+            words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
         get, missing = self.known.get, self.__missing
         both = np.array([(x if (x := get(w)) is not None else missing(w)) for w in words], np.int64)
         again = np.zeros(len(both), bool)

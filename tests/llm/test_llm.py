@@ -110,6 +110,17 @@ def test_scores_of_odd_rows(spark):
     assert classifier.score_quality(docs.limit(0), labels).count() == 0 and rules.quality_rules(docs.limit(0), labels).count() == 0
 
 
+def test_long_words_are_read_whole():
+    """A text without white space has a row of words and one of shapes for each piece, to its end."""
+    tokens, start = classifier.Tokens(), "ab" * 32
+    for a, b in (("x" * 5_000 + "99.X", "x" * 5_000 + "y==z"), ("日本" * 3_000 + "語。", "日本" * 3_000 + "Q1")):
+        (word, shape), (word2, shape2) = tokens.rows(start + a), tokens.rows(start + b)
+        assert len(word) == len(shape) == -(-len(start + a) // 64)
+        assert (word[:-1] == word2[:-1]).all() and word[-1] != word2[-1] and shape[-1] != shape2[-1]
+    assert tokens.rows(f"c {start}")[0].tolist() == [classifier.row_of("c"), classifier.row_of(start)]
+    assert tokens.rows(f"{start}Cd9")[1].tolist() == [classifier.row_of("\x01x"), classifier.row_of("\x01Xx9")]
+
+
 PAGE = """<html><head><title>T</title><script>var x = "<p>no</p>";</script></head><body><header><h1>Site</h1><a href=x>Home</a></header>
 <div class="cookie-notice">We use cookies &amp; more</div><div id="content"><h1>Real title</h1><p>First para with <b>bo</b>ld words &eacute; and&nbsp;more text here
 for the reader.<p>Unclosed para that goes on.<div class="advert">Buy now</div><p>Second para with text that goes on and on, for a while.</p>
