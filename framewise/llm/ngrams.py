@@ -168,14 +168,12 @@ def link_tile(tile: pa.Table, itself: bool, threshold: float) -> pa.RecordBatch
     return linked(left[hit], right[hit], ids, copies) if hit.any() else None
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, text_key, class_id and n_links per row of ``docs`` (doc_id, text).
+#: Stands for a null doc_id.
+LAST = 2**63 - 1
 
-    Texts link when the Jaccard similarity of their shingle sets is at least ``threshold``; n_links counts the other
-    rows linked directly, copies too, and class_id is the smallest doc_id reachable. Texts without words (null, empty,
-    white space) link with nothing. Repeated rows are copies; null doc_ids count as the largest, and a class of null
-    ids alone has a null class_id. Extra columns are not read. text_key is the text's MD5.
-    """
+
+def classified(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text_key, n_links and kept per row: kept is the least (doc_id, text_key) of the row's class, null for texts without words; LAST stands for a null id."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,8 +188,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n", "sig"])
 
     signed = save(source.mapInArrow(sign, "doc_id long, text_key string, n long, sig binary"), "signatures")
-    last = 2**63 - 1
-    reps = signed.where("n > 0").groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(last))).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    reps = signed.where("n > 0").groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = save(reps.withColumn("uid", F.monotonically_increasing_id()), "texts")
     # candidate groups: texts of one band key point at the smallest
     bands = reps.select("uid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 2 * BAND_HASHES + 1, F.lit(2 * BAND_HASHES))))).alias("band"))
@@ -208,25 +205,39 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blobs, pa.binary())], names=[*names, "shingles"])
 
     names = ["group", "n_blocks", "block", "uid", "copies", "sig"]
-    texts = source.select(F.coalesce("doc_id", F.lit(last)).alias("rep"), "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
+    texts = source.select(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
+    texts = texts.groupBy("rep", "text_key").agg(F.first("text").alias("text"))  # repeated rows are one before they are dealt
     texts = texts.join(members, ["rep", "text_key"]).withColumn("block", F.pmod(F.xxhash64("uid"), "n_blocks").cast("int")).select(*names, "text")
     tiles = over_tiles(texts.mapInArrow(cut, "group long, n_blocks int, block int, uid long, copies long, sig binary, shingles binary"), lambda t, itself: link_tile(t, itself, threshold), LINKED)
     tiles = save(tiles, "text-links")
     links = tiles.groupBy("uid").agg(F.sum("links").alias("links"))
-    named = components(tiles.select("uid", "root")).join(reps.select(F.col("uid").alias("node"), "rep"), "node")
-    named = named.join(named.groupBy("root").agg(F.min("rep").alias("class")), "root").select(F.col("node").alias("uid"), "class")
+    named = components(tiles.select("uid", "root")).join(reps.select(F.col("uid").alias("node"), F.struct("rep", "text_key").alias("own")), "node")
+    named = named.join(named.groupBy("root").agg(F.min("own").alias("kept")), "root").select(F.col("node").alias("uid"), "kept")
     found = reps.select("uid", "text_key", "rep", "copies").join(links, "uid", "left").join(named, "uid", "left")
-    found = save(found.select("text_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("class", "rep").alias("class")), "text-classes")
-    out = signed.select("doc_id", "text_key").join(found, "text_key", "left")
-    return out.select("doc_id", "text_key", F.when(F.col("class").isNull(), F.col("doc_id")).when(F.col("class") != last, F.col("class")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    found = save(found.select("text_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("kept", F.struct("rep", "text_key")).alias("kept")), "text-classes")
+    return signed.select("doc_id", "text_key").join(found, "text_key", "left")
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, text_key, class_id and n_links per row of ``docs`` (doc_id, text).
+
+    Texts link when the Jaccard similarity of their shingle sets is at least ``threshold``; n_links counts the other
+    rows linked directly, copies too, and class_id is the smallest doc_id reachable. Texts without words (null, empty,
+    white space) link with nothing. Repeated rows are copies; null doc_ids count as the largest, and a class of null
+    ids alone has a null class_id. Extra columns are not read. text_key is the text's MD5.
+    """
+    name = F.col("kept.rep")
+    named = F.when(F.col("kept").isNull(), F.col("doc_id")).when(name != LAST, name).alias("class_id")
+    return classified(docs, threshold).select("doc_id", "text_key", named, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their class's, all columns kept; of repeated rows of one id and text one stays.
+    """One row of ``docs`` of each class, all columns kept: that of the smallest doc_id (null ones last), then of the smallest text_key.
 
     Texts without words are a class each, so they stay (repeated rows of one id once).
     """
-    classes = near_duplicate_classes(docs, threshold).where("class_id <=> doc_id").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+    own = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "text_key")
+    classes = classified(docs, threshold).where(F.col("kept").isNull() | (F.col("kept") == own)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
     rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", key)
     kept = rows.join(classes, rows["__id"].eqNullSafe(classes["__id"]) & (rows["__text"] == classes["__text"]), "left_semi")

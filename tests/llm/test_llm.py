@@ -201,6 +201,16 @@ def test_formulas_cut_nothing():
         assert main_text.extract(f"<article><p>Words of the article</p></article><{tag}>never closed <p>no words</p>", {}) == "Words of the article"
 
 
+def test_one_row_of_each_class(spark):
+    """Classes of null ids, and near-identical texts of one id, leave one row; texts without words stay."""
+    word = lambda k, n: [f"{k}{i}" for i in range(n)]
+    edits = lambda k: [" ".join([*word(k, 150), x]) for x in ("end", "edit", "other")]
+    rows = [(None, t) for t in edits("n") * 2] + [(5, t) for t in edits("r")] + [(8, t) for t in edits("m")] + [(None, edits("m")[1]), (7, edits("m")[2]), (9, "alone"), (None, ""), (3, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["text"].split(" ")[0]) for r in ngrams.one_of_each_class(docs).collect())
+    assert got == [(0, ""), (0, "n0"), (3, ""), (5, "r0"), (7, "m0"), (9, "alone")]
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "u", None), (9, "v\nw", ""), (None, "v", ""), (3, "z", "a\r\n\r\nWARC/1.1\r\n\r\nb é"), (4, "z", "x" * 300_000), (7, None, "x" * 300_000), (7, None, "x" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload_digest", F.lit("clash"))
