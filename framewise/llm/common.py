@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +43,21 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_rows(df: DataFrame, key: str, text: str, rows: int, *values: str) -> DataFrame:
+    """At most ``rows`` different rows (key, text, values) of ``df``, those of the smallest hashed keys; rows of a null key go.
+
+    Keys and hashes alone are sorted; rows of one key are told apart by their text's hash, and repeated ones are one row.
+    """
+    mark = F.xxhash64(text)
+    chosen = df.where(F.col(key).isNotNull()).select(F.col(key).alias("__key"), mark.alias("__mark")).distinct()
+    chosen = chosen.orderBy(F.xxhash64("__key"), "__key", "__mark").limit(rows)
+    found = df.join(F.broadcast(chosen), (F.col(key) == F.col("__key")) & (mark == F.col("__mark")))  # at most ``rows`` of two numbers
+    first = [F.first(c).alias(c) for c in (text, *values)]
+    return found.groupBy(key, "__mark").agg(*first).drop("__mark")
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """``df[name]`` cast to ``kind``, or null where there is no such column."""
-    from pyspark.sql import functions as F
-
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
