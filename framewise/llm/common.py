@@ -61,8 +61,24 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-#: Rows of an Arrow batch, at most: whole texts make rows large.
-BATCH_ROWS = 1_000
+#: A key is hot when it holds this share of all rows or more; so there are at most 1 / HOT_SHARE hot keys.
+HOT_SHARE = 1e-3
+
+
+def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, one row for each key and how many of the ``total`` rows have it in column n.
+
+    Hot keys are at most a thousand, whatever the input, so their rows are joined by broadcast and stay where they are;
+    no task gets more than about a thousandth of all rows for one key. Null keys meet nothing. n is dropped.
+    """
+    hot = keyed.where(F.col("n") >= max(HOT_SHARE * total, 2)).drop("n")
+    cold = keyed.where(F.col("n") < max(HOT_SHARE * total, 2)).drop("n")
+    few = F.broadcast(hot)
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+#: Rows and bytes of an Arrow batch, at most: whole texts make rows large.
+BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -73,6 +89,7 @@ def prepare(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")

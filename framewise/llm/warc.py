@@ -1,27 +1,32 @@
 """WARC archives with revisit resolution.
 
-Headers alone (digest and record key) are shuffled by payload digest to find each digest's original response; the
-others become revisit records that name it and hold no payload. Archives are text files of records that Spark's
-writer commits task by task, so a lost executor leaves no half-written archive; they are read back whole, one file
-after another, and cut by the records' own lengths.
+Rows get a key and are saved once, in buckets of the partition they lie in. Headers alone (digest, page_id, key) are
+shuffled by payload digest to find each digest's original response; the others become revisit records that name it and
+hold no payload. What is found goes back to the saved rows by key: the few columns of it are dealt to the buckets, and
+payloads stay where they are. Archives are text files of records that Spark's writer commits task by task, so a lost
+executor leaves no half-written archive; they are read back as a stream of pieces, one record in memory at a time, and
+cut by the records' own lengths.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import join_keyed, new_path, save
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records of an archive, at most; one file is read by one task.
-ARCHIVE_RECORDS = 5_000
+#: Bytes of payload an archive holds, on average at most, and its records, at most; one file is read by one task.
+ARCHIVE_BYTES, ARCHIVE_RECORDS = 128 << 20, 50_000
+#: Stands for a null page_id.
+LAST = 2**63 - 1
 
 
 def base32_sha1(data: Column) -> Column:
@@ -44,82 +49,135 @@ def record_urn(key: Column) -> Column:
 
 
 def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """For each digest of records of at least ``least_bytes``: the original, the record of smallest page_id (then key).
+    """For each digest of two records or more of at least ``least_bytes``: their number n and the original, the record of smallest page_id (then key).
 
     headers: payload_digest, payload_bytes, page_id, key. Counting and choosing need one row per digest and task, so a
     digest that a third of the records share is reduced before it is shuffled.
     """
     first = F.min(F.struct(F.col("page_id"), F.col("key")))
-    return headers.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(first.alias("original"))
+    return headers.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(first.alias("original"), F.count("*").alias("n")).where("n > 1")
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes a record per row of ``pages`` (page_id, url, html), payloads in UTF-8; null html is an empty payload.
+def staged_rows(pages: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table of buckets by partition, and the table's name: page_id, url, payload, digest, bytes, part and key.
 
-    A revisit record refers to the original's id and target. Repeated rows are records of their own: of equal page_ids
-    the first in the input's order is taken as the smaller. A null page_id counts as the largest.
+    The table is written once and by each task into one bucket, so keys stay what they are when an executor is lost.
     """
+    spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("key"))
+    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(LAST)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    last = F.coalesce("page_id", F.lit(2**63 - 1))
-    headers = rows.select("payload_digest", "payload_bytes", last.alias("page_id"), "key")
-    joined = rows.join(resolve_revisits(headers, least_bytes), "payload_digest", "left")
+    rows = rows.withColumn("part", F.spark_partition_id()).withColumn("key", F.monotonically_increasing_id())
+    name = f"framewise_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.write.format("parquet").bucketBy(buckets, "part").option("path", new_path(spark, "warc-rows")).saveAsTable(name)
+    return spark.table(name), name
+
+
+def with_originals(staged: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """``staged`` with the original of every revisit (page_id and key), null for responses; payloads are not shuffled."""
+    headers = staged.select("payload_digest", "payload_bytes", "page_id", "part", "key")
+    found = save(resolve_revisits(headers, least_bytes), "warc-originals")
+    revisits = join_keyed(headers.select("payload_digest", "part", "key"), found, ["payload_digest"], headers.count())
+    revisits = save(revisits.where(F.col("original.key") != F.col("key")).select("part", "key", "original"), "warc-revisits")
+    return staged.join(revisits.hint("shuffle_hash"), ["part", "key"], "left")  # a bucket's headers are held, its payloads pass by
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Writes a record per row of ``pages`` (page_id, url, html), payloads in UTF-8; null html is an empty payload.
+
+    A revisit record refers to the original's id and target. Repeated rows are records of their own: of equal page_ids
+    the first as saved is taken as the smaller. A null page_id counts as the largest.
+    """
+    spark = pages.sparkSession
+    staged, table = staged_rows(pages)
+    average = staged.agg(F.avg("payload_bytes")).first()[0] or 1.0
     name = lambda page, key: record_urn(F.concat_ws(":", page, key))
-    revisit = F.col("original").isNotNull() & (F.col("original.key") != F.col("key"))
-    own, other = name(last, F.col("key")), name(F.col("original.page_id"), F.col("original.key"))
-    number = lambda c: F.when(c == 2**63 - 1, "").otherwise(c.cast("string"))
+    revisit = F.col("original").isNotNull()
+    own, other = name(F.col("page_id"), F.col("key")), name(F.col("original.page_id"), F.col("original.key"))
+    number = lambda c: F.when(c == LAST, "").otherwise(c.cast("string"))
     http = F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n")
     block = F.concat(http, F.when(revisit, "").otherwise(F.col("payload")))
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit("\r\n"))
     safe = F.regexp_replace("url", r"[\r\n]", " ")
+    refers = F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", other), line("WARC-Refers-To-Page-ID", number(F.col("original.page_id"))))
     head = F.concat(
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")), line("WARC-Record-ID", own), line("WARC-Date", F.lit(date)),
-        line("WARC-Target-URI", safe), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Page-ID", number(last)), line("WARC-Payload-Length", F.col("payload_bytes").cast("string")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", other), line("WARC-Refers-To-Page-ID", number(F.col("original.page_id"))))).otherwise(""),
+        line("WARC-Target-URI", safe), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))), line("WARC-Page-ID", number(F.col("page_id"))),
+        line("WARC-Payload-Length", F.col("payload_bytes").cast("string")), F.when(revisit, refers).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    # a record ends with two line ends: the writer's line separator
-    joined.select(F.concat(head, block).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", ARCHIVE_RECORDS).text(path)
-
-
-def cut_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """Headers, HTTP head and payload of each record of an archive."""
-    at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.index(b"\r\n\r\n", at)
-        headers = dict(x.split(": ", 1) for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])
-        size = int(headers["Content-Length"])
-        block = data[end + 4 : end + 4 + size]
-        head, _, payload = block.partition(b"\r\n\r\n")
-        yield headers, head, payload
-        at = end + 4 + size + 4
+    most = max(1, min(ARCHIVE_RECORDS, int(archive_bytes / max(average, 1.0))))
+    key = "spark.sql.requireAllClusterKeysForCoPartition"  # buckets by part do for a join by part and key
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        records = with_originals(staged, least_bytes).select(F.concat(head, block).alias("value"))
+        # a record ends with two line ends: the writer's line separator
+        records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+    finally:
+        spark.conf.set(key, before)
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def cut_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """Headers, HTTP head and payload of each record of archives that come in pieces, cut at every empty line."""
+    pieces, end = iter(pieces), b"\r\n\r\n"
+    held = bytearray()
+    for piece in pieces:
+        held += piece + end
+        while held.startswith(b"\r\n"):  # of a payload that ends with line ends, after the last record of a file
+            del held[:2]
+        if not held:
+            continue
+        at = held.index(end)
+        headers = dict(x.split(": ", 1) for x in held[:at].decode("utf-8", "replace").split("\r\n")[1:])
+        upto = at + 4 + int(headers["Content-Length"])
+        if len(held) < upto + 4:
+            parts, missing = [], upto + 4 - len(held)
+            while missing > 0:
+                parts += (next(pieces), end)
+                missing -= len(parts[-2]) + 4
+            held += b"".join(parts)
+        http, _, payload = bytes(held[at + 4 : upto]).partition(end)
+        yield headers, http, payload
+        del held[: upto + 4]
 
 
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string"
+KINDS = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
     """READ columns per record (and payload, null for revisits, if ``payloads``). The digest and the size of a response are
     computed from its payload, those of a revisit come from its headers."""
-    import zlib
+    names = [x.split()[0] for x in READ.split(", ")] + ["payload"] * payloads
+
+    def row(h: dict[str, str], payload: bytes) -> tuple:
+        full = h["WARC-Type"] == "response"
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if full else h["WARC-Payload-Digest"].removeprefix("sha1:")
+        number = lambda k: int(h[k]) if h.get(k, "").strip() else None
+        size = len(payload) if full else int(h["WARC-Payload-Length"])
+        return number("WARC-Page-ID"), h["WARC-Target-URI"], size, digest, h["WARC-Type"], number("WARC-Refers-To-Page-ID"), h["WARC-Record-ID"], h.get("WARC-Refers-To"), payload if full else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file in batch.column(0):
-                rows = []
-                for h, _, payload in cut_records(zlib.decompressobj(31).decompress(memoryview(file.as_buffer()))):
-                    full = h["WARC-Type"] == "response"
-                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if full else h["WARC-Payload-Digest"].removeprefix("sha1:")
-                    refers = h.get("WARC-Refers-To-Page-ID", "")
-                    rows.append((int(h["WARC-Page-ID"]) if h["WARC-Page-ID"].strip() else None, h["WARC-Target-URI"], len(payload) if full else int(h["WARC-Payload-Length"]), digest, h["WARC-Type"], int(refers) if refers.strip() else None, h["WARC-Record-ID"], h.get("WARC-Refers-To"), payload if full and payloads else None))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 9
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()][: 8 + payloads]
-                names = [x.split()[0] for x in READ.split(", ")] + ["payload"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names[: len(kinds)])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content")
-    return files.mapInArrow(run, READ + ", payload binary" * payloads)
+        def give(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True))[: len(names)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=False)], names=names)
+
+        rows, held = [], 0
+        for h, _, payload in cut_records(x.as_py() for batch in batches for x in batch.column(0)):
+            rows.append(row(h, payload))
+            held += len(payload) if payloads else 0
+            if len(rows) >= 1_000 or held >= 32 << 20:
+                yield give(rows)
+                rows, held = [], 0
+        if rows:
+            yield give(rows)
+
+    # a compressed file is read whole by one task and in order, and ends with a record's end
+    pieces = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "*.txt.gz").schema("value string").text(path)
+    return pieces.select(F.col("value").cast("binary")).mapInArrow(run, READ + ", payload binary" * payloads)
 
 
 def with_payloads(records: DataFrame) -> DataFrame:

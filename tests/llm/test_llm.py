@@ -306,6 +306,50 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_line_ends(spark):
+    """Payloads that begin and end with line ends of all kinds, one file after another."""
+    ends = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\n\r\n\r\n\r", "\r\n\r\nWARC/1.1\r\n"]
+    texts = [a + x + b for a in ends for b in ends for x in ("", "x", "é\r\n\r\ny")]
+    pages = spark.createDataFrame(list(enumerate(texts)), "page_id long, html string").withColumn("url", F.lit("u"))
+    for size in (1, 1 << 20):
+        path = new_path(spark, "t")
+        warc.write_archives(pages, path, archive_bytes=size)
+        got = warc.with_payloads(warc.read_archives(spark, path, payloads=True)).collect()
+        assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got) == list(enumerate(texts))
+
+
+def test_warc_payloads_are_not_shuffled(spark):
+    """Neither on the way to the archives nor for revisits: the payload side of the last join has no exchange."""
+    pages = spark.range(4_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "same page").otherwise(F.concat(F.lit("page "), F.col("id"))).alias("html"))
+    staged, name = warc.staged_rows(pages.repartition(6))
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    spark.conf.set(key, "false")
+    try:
+        joined = warc.with_originals(staged)
+        assert joined.where("original is not null").count() == 1_333
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") + plan.count("Exchange(") == 1 and "Bucketed: true" in plan, plan
+    finally:
+        spark.conf.unset(key)
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_warc_of_shuffled_input_and_large_pages(spark):
+    """Rows in an order that no recomputation repeats, pages of a megabyte, and several archives: every payload comes back."""
+    letter = F.substring(F.lit("abcdefghij"), (F.col("id") % 10 + 1).cast("int"), F.lit(1))
+    pages = spark.range(40).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.repeat(letter, 1_000_000), F.lit("\r\n\r\n")).alias("html"))
+    pages = pages.repartition(5, F.rand())
+    path = new_path(spark, "t")
+    warc.write_archives(pages, path, archive_bytes=3 << 20)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path").count()
+    assert files >= 10
+    got = warc.with_payloads(warc.read_archives(spark, path, payloads=True)).select("page_id", "record_type", "refers_to", F.sha2("payload", 256).alias("d"), F.length("payload").alias("n"))
+    for r in got.collect():
+        want = (chr(97 + r["page_id"] % 10) * 1_000_000 + "\r\n\r\n").encode()
+        assert (r["n"], r["d"]) == (len(want), hashlib.sha256(want).hexdigest())
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if r["page_id"] < 10 else ("revisit", r["page_id"] % 10))
+
+
 def test_components(spark):
     rng = random.Random(0)
     pairs = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(80)]
