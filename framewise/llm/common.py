@@ -35,12 +35,16 @@ def remove(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
+def save_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage: writes ``df`` as Parquet into the shared folder and reads it back; also gives the path."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    return save_at(df, name)[0]
 
 
 def bounded_rows(df: DataFrame, key: str, text: str, rows: int, *values: str) -> DataFrame:

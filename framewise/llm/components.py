@@ -5,28 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import join_keyed, remove, save_at
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge of ``edges`` (two columns of whole numbers); root: the smallest node reachable.
 
-    Each round points neighbours at smaller ones, in joins and grouped minima over edges alone, and writes what is left;
-    rounds grow with the logarithm of the largest component's diameter, and nothing but a count reaches the driver.
+    Each round points neighbours at smaller ones, in joins and grouped minima over edges alone, writes what is left and
+    removes what the round before wrote. A node of very many edges is joined by broadcast, so its edges stay where they
+    are. Rounds grow with the logarithm of the largest component's diameter, and nothing but counts reach the driver.
     """
+    spark = edges.sparkSession
     a, b = edges.columns[:2]
-    e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    e, last = save(e, "edges"), None
+    e, path = save_at(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
+    last = None
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(state) == last:
+        count, marks = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if (count, marks) == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        last = tuple(state)
+        last = count, marks
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+        least, least_path = save_at(least, "least")
+        large = join_keyed(both.where("v > u"), least, ["u"], 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large, large_path = save_at(large, "large")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))  # a node's larger ones are gone, so few edges are left to it
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = save(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        e, new = save_at(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+        for old in (path, least_path, large_path):
+            remove(spark, old)
+        path = new

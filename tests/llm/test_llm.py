@@ -1,6 +1,7 @@
 """The training-data operators against brute force, public tokenizers and exact round trips; nulls, empty inputs, ties, repeated rows and clashing columns."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -369,9 +370,10 @@ def test_components(spark):
     assert got == {a: find(a) for a, b in ((x, y) for p in pairs for x, y in (p, p[::-1])) if a != b}
 
 
-@pytest.mark.parametrize("block_rows", [2_048, 16])
+@pytest.mark.parametrize("block_rows", [8_192, 16])
 def test_embeddings(spark, monkeypatch, block_rows):
     monkeypatch.setattr(embeddings, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(embeddings, "CELL_ROWS", block_rows)
     rng = np.random.default_rng(1)
     base = rng.normal(size=(60, 16))
     near = [base[i % 20] + rng.normal(size=16) * s for i in range(120) for s in (0.04, 0.1)]
@@ -392,6 +394,48 @@ def test_embeddings(spark, monkeypatch, block_rows):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_collisions_brute_force():
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(40, 7)), rng.normal(size=(55, 7))
+    b[:9] = a[:9]
+    want = (np.abs(a[:, None, :] - b[None, :, :]) <= 0.3).sum(2)
+    assert (embeddings.collisions(a, b, 0.3) == want).all() and embeddings.collisions(a[:0], b, 0.3).shape == (0, 55)
+    assert (embeddings.collisions(a, b, 1e-12)[np.arange(9), np.arange(9)] == 7).all()
+
+
+def test_embedding_recall_in_64_dimensions(spark, monkeypatch):
+    """Thousands of links around the threshold, several cells, a cluster of one direction: all links that brute force finds, and no more."""
+    monkeypatch.setattr(embeddings, "BLOCK_ROWS", 256)
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 128)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1_200, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = []
+    for i in range(2_400):  # at cosines of 0.975 to 1 from their base vector
+        d = rng.normal(size=64)
+        x = base[i % 1_200]
+        d -= (d @ x) * x
+        c = rng.uniform(0.975, 1)
+        near.append(c * x + math.sqrt(1 - c * c) * d / np.linalg.norm(d))
+    dense = base[0] + 0.012 * rng.normal(size=(300, 64))
+    v = np.concatenate([base, near, dense]).astype(np.float32).astype(float)
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = u @ u.T >= 0.98
+    np.fill_diagonal(hit, False)
+    found = sum(r["n_links"] for r in got.values())
+    assert hit.sum() > 4_000 and all(got[i]["n_links"] <= n for i, n in enumerate(hit.sum(1)))
+    assert found >= 0.999 * hit.sum(), (found, hit.sum())
+    if found == hit.sum():
+        for i in range(len(v)):
+            seen, todo = {i}, [i]
+            while todo:
+                todo += (new := set(np.flatnonzero(hit[todo.pop()]).tolist()) - seen)
+                seen |= new
+            assert got[i]["component_id"] == min(seen)
+
+
 def near_copies():
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3_000)]
