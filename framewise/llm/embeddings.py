@@ -97,7 +97,7 @@ def link_tile(tile: pa.Table, itself: bool, cosine: float) -> pa.RecordBatch | N
 
 
 def dealt_to_cells(reps: DataFrame, cosine: float) -> DataFrame:
-    """Rows by cell: group (a cell of a label), block, n_blocks, low and high (its blocks' partners), uid, copies and unit.
+    """Rows by cell: group (a cell of a label), block, partners (the blocks it meets), uid, copies and unit.
 
     A lead cuts a label's rows at their median; the leads used are those that most rows lie clear of, one for each
     halving down to CELL_ROWS. A row is at home in one cell and visits those of smaller number that its windows reach
@@ -128,7 +128,7 @@ def dealt_to_cells(reps: DataFrame, cosine: float) -> DataFrame:
     part = lambda n: F.pmod(F.xxhash64("uid"), F.greatest(n, F.lit(1))).cast("int")
     rows = rows.withColumn("block", F.when(F.col("visits"), F.col("homes") + part(F.col("visitors"))).otherwise(part(F.col("homes"))))
     high = F.when(F.col("visits"), F.col("homes") - 1).otherwise(F.col("homes") + F.col("visitors") - 1)
-    return rows.select("group", "block", (F.col("homes") + F.col("visitors")).alias("n_blocks"), F.lit(0).alias("low"), high.alias("high"), "uid", "copies", "unit")
+    return rows.select("group", "block", F.sequence(F.lit(0), high).alias("partners"), "uid", "copies", "unit")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
@@ -163,7 +163,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     group = F.xxhash64("label", F.size("embedding")).alias("group")
     reps = reps.select("embedding", F.monotonically_increasing_id().alias("uid"), group, F.col("rep").cast("long").alias("rep"), "copies", "k1", "k2")
     reps = save(reps.mapInArrow(unit, "uid long, group long, rep long, copies long, k1 long, k2 int, unit binary, leads array<double>, reach double"), "vectors")
-    tiles = over_tiles(dealt_to_cells(reps, cosine), lambda t, itself: link_tile(t, itself, cosine), LINKED, ("low", "high"))
+    tiles = over_tiles(dealt_to_cells(reps, cosine), lambda t, itself: link_tile(t, itself, cosine), LINKED)
     tiles = save(tiles, "vector-links")
     links = tiles.groupBy("uid").agg(F.sum("links").alias("links"))
     roots = components(tiles.select("uid", "root"))

@@ -1,10 +1,11 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Each distinct text has the set of its 5-word shingles and a MinHash signature. Texts that share a band of the
-signature are candidates; bands join texts into candidate groups, and groups are compared in tiles. In a tile the
-hashes of a pair are compared step by step: a pair is dropped as soon as the posterior probability that its Jaccard
-similarity reaches the threshold, given the matches so far, falls below the tolerance. The pairs that are left are
-verified on their whole shingle sets. Only links that hold join texts into classes.
+Each distinct text has the set of its 5-word shingles and a MinHash signature. Texts that share a band of the signature
+are candidates. They are dealt into blocks, those of one neighbourhood together, and a text meets the blocks in which it
+has a candidate. In such a tile the hashes of a pair are compared step by step: a pair is dropped as soon as the
+posterior probability that its Jaccard similarity reaches the threshold, given the matches so far, falls below the
+tolerance. The pairs that are left are verified on their whole shingle sets. Only links that hold join texts into
+classes.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import join_keyed, save
 from .components import components
 from .tiles import LINKED, linked, over_tiles
 
@@ -172,9 +173,8 @@ def link_tile(tile: pa.Table, itself: bool, threshold: float) -> pa.RecordBatch
 LAST = 2**63 - 1
 
 
-def classified(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, text_key, n_links and kept per row: kept is the least (doc_id, text_key) of the row's class, null for texts without words; LAST stands for a null id."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+def signed_rows(source: DataFrame) -> DataFrame:
+    """doc_id, text_key, n (shingles) and sig per row of ``source`` (doc_id, text without nulls), saved."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,37 +185,79 @@ def classified(docs: DataFrame, threshold: float) -> DataFrame:
                 keys.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest())
                 counts.append(len(s))
                 signatures.append(signature(s).tobytes() if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())], names=["doc_id", "text_key", "n", "sig"])
+            columns = [batch.column(0), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "sig"])
+
+    return save(source.mapInArrow(sign, "doc_id long, text_key string, n long, sig binary"), "signatures")
+
+
+def shared_bands(reps: DataFrame) -> DataFrame:
+    """uid, band, leader (smallest uid) and n (texts) of every band that two texts or more share, saved. reps: uid, sig."""
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 2 * BAND_HASHES + 1, F.lit(2 * BAND_HASHES))))
+    bands = reps.select("uid", F.explode(keys).alias("band"))
+    buckets = save(bands.groupBy("band").agg(F.min("uid").alias("leader"), F.count("*").alias("n")).where("n > 1"), "bands")
+    return save(join_keyed(bands, buckets.select("band", "leader", "n", F.col("n").alias("texts")), ["band"], BANDS * reps.count()), "shared-bands")
+
 
-    signed = save(source.mapInArrow(sign, "doc_id long, text_key string, n long, sig binary"), "signatures")
-    reps = signed.where("n > 0").groupBy("text_key").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+def dealt_to_blocks(reps: DataFrame) -> DataFrame:
+    """uid, block and partners of every text that shares a band. reps: uid, n, sig.
+
+    A text's neighbourhood is the smallest uid two steps away over shared bands. Neighbourhoods of half a block or more
+    have blocks of their own, others share them by hash. Partners are the blocks of the texts that share a band.
+    """
+    shared = shared_bands(reps)
+    rows = shared.count()
+    label = save(shared.groupBy("uid").agg(F.min("leader").alias("label")), "labels")
+    nearest = shared.select("uid", "band", "texts").join(label, "uid").groupBy("band").agg(F.min("label").alias("label"), F.first("texts").alias("n"))
+    label = join_keyed(shared.select("uid", "band"), save(nearest, "band-labels"), ["band"], rows).groupBy("uid").agg(F.min("label").alias("label"))
+    label = save(label.join(reps.select("uid", "n"), "uid").select("uid", "label", F.col("n").alias("shingles")), "labels")
+    size = lambda rows, shingles: F.greatest(F.col(rows) / BLOCK_ROWS, F.col(shingles) / BLOCK_SHINGLES)
+    sizes = label.groupBy("label").agg(F.count("*").alias("n"), F.sum("shingles").alias("shingles")).withColumn("blocks", size("n", "shingles"))
+    sizes = save(sizes.select("label", "n", "blocks"), "neighbourhoods")
+    few = sizes.agg(F.sum(F.when(F.col("blocks") < 0.5, F.col("blocks")))).first()[0] or 0.0
+    small = F.pmod(F.xxhash64("label"), F.lit(int(2 * few) + 1))
+    own = F.xxhash64("label", F.pmod(F.xxhash64("uid"), F.ceil("blocks")))
+    block = F.when(F.col("blocks") < 0.5, small).otherwise(own).alias("block")
+    blocks = save(join_keyed(label, sizes, ["label"], label.count()).select("uid", block), "blocks")
+    in_band = shared.select("uid", "band", "texts").join(blocks, "uid")
+    reach = in_band.groupBy("band").agg(F.sort_array(F.collect_set("block")).alias("blocks"), F.first("texts").alias("n")).where(F.size("blocks") > 1)
+    others = join_keyed(shared.select("uid", "band"), save(reach, "band-blocks"), ["band"], rows).groupBy("uid").agg(F.collect_set("blocks").alias("others"))
+    partners = F.array_distinct(F.flatten(F.coalesce(F.col("others"), F.array().cast("array<array<bigint>>"))))
+    return blocks.join(others, "uid", "left").select("uid", "block", F.array_union(F.array("block"), partners).alias("partners"))
+
+
+def classified(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text_key, n_links and kept per row: kept is the least (doc_id, text_key) of the row's class, null for texts without words; LAST stands for a null id."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    signed = signed_rows(source)
+    reps = signed.where("n > 0").groupBy("text_key")
+    reps = reps.agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = save(reps.withColumn("uid", F.monotonically_increasing_id()), "texts")
-    # candidate groups: texts of one band key point at the smallest
-    bands = reps.select("uid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * 2 * BAND_HASHES + 1, F.lit(2 * BAND_HASHES))))).alias("band"))
-    leaders = bands.groupBy("band").agg(F.min("uid").alias("leader"), F.count("*").alias("m")).where("m > 1").drop("m")
-    candidates = bands.join(leaders, "band").where("uid <> leader").select("uid", "leader")
-    groups = save(components(candidates).select(F.col("node").alias("uid"), F.col("root").alias("group")), "candidates")
-    members = save(groups.join(reps, "uid"), "members")
-    sizes = members.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).cast("int").alias("n_blocks"))
-    members = members.join(sizes, "group").select("group", "n_blocks", "uid", "copies", "sig", "rep", "text_key")
+    names = ["block", "partners", "uid", "copies", "sig"]
+    members = save(dealt_to_blocks(reps).join(reps, "uid").select(*names, "rep", "text_key"), "members")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [shingle_set(t.as_py()).tobytes() for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blobs, pa.binary())], names=[*names, "shingles"])
 
-    names = ["group", "n_blocks", "block", "uid", "copies", "sig"]
-    texts = source.select(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
+    texts = source.where("text <> ''").select(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
     texts = texts.groupBy("rep", "text_key").agg(F.first("text").alias("text"))  # repeated rows are one before they are dealt
-    texts = texts.join(members, ["rep", "text_key"]).withColumn("block", F.pmod(F.xxhash64("uid"), "n_blocks").cast("int")).select(*names, "text")
-    tiles = over_tiles(texts.mapInArrow(cut, "group long, n_blocks int, block int, uid long, copies long, sig binary, shingles binary"), lambda t, itself: link_tile(t, itself, threshold), LINKED)
-    tiles = save(tiles, "text-links")
+    texts = texts.join(members, ["rep", "text_key"]).select(*names, "text")
+    cuts = texts.mapInArrow(cut, "block long, partners array<long>, uid long, copies long, sig binary, shingles binary").withColumn("group", F.lit(0).cast("long"))
+    tiles = save(over_tiles(cuts, lambda t, itself: link_tile(t, itself, threshold), LINKED), "text-links")
     links = tiles.groupBy("uid").agg(F.sum("links").alias("links"))
     named = components(tiles.select("uid", "root")).join(reps.select(F.col("uid").alias("node"), F.struct("rep", "text_key").alias("own")), "node")
-    named = named.join(named.groupBy("root").agg(F.min("own").alias("kept")), "root").select(F.col("node").alias("uid"), "kept")
+    named = save(named, "text-components")
+    least = save(named.groupBy("root").agg(F.min("own").alias("kept"), F.count("*").alias("n")), "text-roots")
+    named = join_keyed(named, least, ["root"], named.count()).select(F.col("node").alias("uid"), "kept")
     found = reps.select("uid", "text_key", "rep", "copies").join(links, "uid", "left").join(named, "uid", "left")
-    found = save(found.select("text_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("kept", F.struct("rep", "text_key")).alias("kept")), "text-classes")
-    return signed.select("doc_id", "text_key").join(found, "text_key", "left")
+    n_links, kept = F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.coalesce("kept", F.struct("rep", "text_key"))
+    found = save(found.select("text_key", n_links.alias("n_links"), kept.alias("kept"), F.col("copies").alias("n")), "text-classes")
+    kept_type = found.schema["kept"].dataType
+    wordless = signed.where("n = 0").select("doc_id", "text_key", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast(kept_type).alias("kept"))
+    worded = signed.where("n > 0").select("doc_id", "text_key")
+    return join_keyed(worded, found, ["text_key"], worded.count()).select("doc_id", "text_key", "n_links", "kept").unionByName(wordless)
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -237,8 +279,7 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     Texts without words are a class each, so they stay (repeated rows of one id once).
     """
     own = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "text_key")
-    classes = classified(docs, threshold).where(F.col("kept").isNull() | (F.col("kept") == own)).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text")).distinct()
+    classes = classified(docs, threshold).where(F.col("kept").isNull() | (F.col("kept") == own)).select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("text_key").alias("__text")).distinct()
     key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__text", key)
-    kept = rows.join(classes, rows["__id"].eqNullSafe(classes["__id"]) & (rows["__text"] == classes["__text"]), "left_semi")
-    return kept.dropDuplicates(["__id", "__text"]).drop("__id", "__text")
+    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__text", key)
+    return rows.dropDuplicates(["__id", "__text"]).join(classes, ["__id", "__text"], "left_semi").drop("__id", "__text")

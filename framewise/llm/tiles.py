@@ -10,18 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def over_tiles(members: DataFrame, work: Callable[[pa.Table, bool], pa.RecordBatch | None], schema: str, partners: tuple[str, str] | None = None) -> DataFrame:
+def over_tiles(members: DataFrame, work: Callable[[pa.Table, bool], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Runs ``work`` on every tile of every group.
 
-    members: group (whole number), n_blocks, block (below n_blocks) and what ``work`` reads. ``work`` gets the rows of
-    a tile, whose column side is 0 or 1, and whether it is a block with itself (all rows have side 0). Rows are sent
-    once for each block of their group, or for each from the first to the last of ``partners`` (two columns of members;
-    the blocks in which a row's partners can be, its own among them). A task holds one tile at a time; tiles of small groups share tasks.
+    members: group and block (whole numbers), partners (the blocks of the group that a row meets, its own among them if
+    it meets that) and what ``work`` reads. ``work`` gets the rows of a tile, whose column side is 0 or 1, and whether it
+    is a block with itself (all rows have side 0). A task holds one tile at a time; tiles of small groups share tasks.
     """
     spark = members.sparkSession
-    dealt = members.withColumn("__other", F.explode(F.sequence(*(partners or (F.lit(0), F.col("n_blocks") - 1))))).drop(*(partners or ()))
+    dealt = members.withColumn("__other", F.explode("partners")).drop("partners")
     dealt = dealt.withColumn("__i", F.least("block", "__other")).withColumn("__j", F.greatest("block", "__other"))
-    dealt = dealt.withColumn("side", (F.col("block") > F.col("__i")).cast("int")).drop("__other", "n_blocks", "block")
+    dealt = dealt.withColumn("side", (F.col("block") > F.col("__i")).cast("int")).drop("__other", "block")
     keys = ["group", "__i", "__j"]
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "side")
 
