@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_rows, save
+
 #: Labelled rows that the model is fitted on, at most: those of the smallest hashed ids.
 SAMPLE_ROWS = 6_000
 ROWS, DIMS, NONZERO, WINDOW, REPEAT_WITHIN = 1 << 14, 64, 8, 2, 6
@@ -178,11 +180,11 @@ def in_fold(column: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, Network | None]:
-    """Word vectors and network from at most ``rows`` labelled documents outside the held-out fold."""
-    from .common import save
-
-    chosen = labels.where("quality is not null and doc_id is not null").where(~in_fold()).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = save(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "classifier-sample")  # at most ``rows`` ids are broadcast
+    """Word vectors and network from at most ``rows`` different labelled rows outside the held-out fold."""
+    chosen = labels.where("quality is not null and doc_id is not null").where(~in_fold()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids are broadcast
+    sample = save(bounded_rows(labelled, "doc_id", "text", rows, "quality"), "classifier-sample")
     vectors = word_vectors(sample)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_rows
+
 SYMBOLS = "[#*$%&|<>]"
 SPACES = "\t\n\x0b\x0c\r "
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")
@@ -158,9 +160,11 @@ def learn_rules(x: dict[str, np.ndarray], bad: np.ndarray, most_rules: int = 12,
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Counts and quality of a bounded sample of labelled rows, chosen by hashed id."""
-    chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return with_counts(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), keep=["doc_id", "quality"])  # at most ``rows`` ids
+    """Counts and quality of at most ``rows`` different labelled rows, chosen by hashed id."""
+    chosen = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most ``rows`` ids
+    return with_counts(bounded_rows(labelled, "doc_id", "text", rows, "quality"), keep=["doc_id", "quality"])
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> list[Rule]:
