@@ -7,21 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Patterns of appearance terms that a caption's anchor covers.
-BLOCKLIST = (
-    "penguin", "pudgy", "plump", "rotund", "chubby", "bird", "avian", "white belly", "heart[- ]shaped", "thick (black )?outline", "black outline",
-    "orange beak", "beak", "flippers? (is|are) (orange|black)", "scarf", "neckwear", "hat", "blush", "cheeks", "tuft",
-    "crimson", "azure", "cornflower", "rose[- ]pink", "cartoon style", "art style",
-)
-
-
 def split_clauses(text: Column) -> Column:
     """Clauses at white space after . ; , and at ' while ' and ' and ' (lower case); stripped, empty ones dropped."""
     parts = F.split(text, r"(?U)(?<=[.;,])\s+|\s+(?:while|and)\s+")
     return F.filter(F.transform(parts, lambda s: F.btrim(s, F.lit(" ,.;"))), lambda s: s != "")
 
 
-def blocked(clause: Column, patterns: Sequence[str] = BLOCKLIST, word_boundary: bool = False) -> Column:
+def blocked(clause: Column, patterns: Sequence[str], word_boundary: bool = False) -> Column:
     """A pattern occurs in the clause, in any case; also inside words unless ``word_boundary``."""
     any_of = "|".join(patterns)
     return clause.rlike(rf"(?i)\b(?:{any_of})\b" if word_boundary else f"(?i){any_of}")
@@ -33,21 +25,35 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
+#: Anchors of a clip that one row holds, at most.
+ANCHORS = 256
+
+
 def prune_semantic(clauses: DataFrame, anchors: DataFrame, threshold: float) -> DataFrame:
-    """clauses (clip_id, clause_ord, vector) with their largest cosine to the clip's anchor vectors; dropped above ``threshold``, kept without anchors."""
-    best = clauses.join(anchors.select("clip_id", F.col("vector").alias("anchor")), "clip_id").groupBy("clip_id", "clause_ord").agg(F.max(cosine(F.col("vector"), F.col("anchor"))).alias("best"))
+    """clauses (clip_id, clause_ord, vector) with their largest cosine to the clip's anchor vectors; dropped above ``threshold``, kept without anchors.
+
+    A clip's anchors come in arrays of at most about ANCHORS, dealt by hash, so a clause is joined to few rows; each
+    gives the largest cosine over its array, and the largest of these counts.
+    """
+    counts = anchors.groupBy("clip_id").agg(F.ceil(F.count("*") / ANCHORS).cast("long").alias("parts"))
+    dealt = anchors.join(counts, "clip_id").withColumn("part", F.pmod(F.xxhash64("vector"), "parts"))
+    packed = dealt.groupBy("clip_id", "part").agg(F.collect_list("vector").alias("held")).drop("part")
+    # the largest cosine inside an array first: clause rows are not multiplied by anchors
+    top = F.array_max(F.transform("held", lambda a: cosine(F.col("vector"), a)))
+    best = clauses.join(packed, "clip_id").select("clip_id", "clause_ord", top.alias("best")).groupBy("clip_id", "clause_ord").agg(F.max("best").alias("best"))
     return clauses.drop("vector").join(best, ["clip_id", "clause_ord"], "left").withColumn("dropped", F.coalesce(F.col("best") > threshold, F.lit(False)))
 
 
-def prune(captions: DataFrame, patterns: Sequence[str] = BLOCKLIST, repair: bool = True, word_boundary: bool = False) -> DataFrame:
+def prune(captions: DataFrame, patterns: Sequence[str], repair: bool = True, word_boundary: bool = False) -> DataFrame:
     """clip_id, anchor, suffix -> with suffix_in, kept, dropped, suffix_out and final.
 
-    An emptied suffix gives 'anchor.' (``repair``) or 'anchor, .'. Null texts count as empty.
+    An emptied suffix gives 'anchor.' (``repair``) or 'anchor, .'. Null texts count as empty. Each clause is looked at once.
     """
     start, rest = F.trim(F.coalesce("anchor", F.lit(""))), F.trim(F.coalesce("suffix", F.lit("")))
-    hit = lambda s: blocked(s, patterns, word_boundary)
-    out = captions.withColumn("anchor", start).withColumn("suffix_in", rest).withColumn("clauses", split_clauses(F.col("suffix_in")))
-    out = out.withColumn("kept", F.filter("clauses", lambda s: ~hit(s))).withColumn("dropped", F.filter("clauses", hit)).withColumn("suffix_out", F.array_join("kept", ", "))
+    flagged = F.transform(split_clauses(F.col("suffix_in")), lambda s: F.struct(s.alias("text"), blocked(s, patterns, word_boundary).alias("hit")))
+    out = captions.withColumn("anchor", start).withColumn("suffix_in", rest).withColumn("clauses", flagged)
+    texts = lambda hit: F.transform(F.filter("clauses", lambda c: c["hit"] if hit else ~c["hit"]), lambda c: c["text"])
+    out = out.withColumn("kept", texts(False)).withColumn("dropped", texts(True)).withColumn("suffix_out", F.array_join("kept", ", "))
     bare = F.regexp_replace("anchor", ",+$", "")
     full = F.concat(bare, F.lit(", "), F.col("suffix_out"), F.lit("."))
     final = F.replace(F.when((F.size("kept") == 0), F.concat(bare, F.lit("."))).otherwise(full) if repair else full, F.lit(" ,"), F.lit(","))
@@ -75,6 +81,22 @@ def ground_colours(text: Column, colours: Mapping[str, str], noun: str) -> Colum
     return text
 
 
+def with_id_token(text: Column, token: str) -> Column:
+    """The caption after an id token; a null caption counts as empty."""
+    return F.concat(F.lit(token), F.lit(" "), F.coalesce(text, F.lit("")))
+
+
+def trigger_variant(text: Column, identity: Column, token: str) -> Column:
+    """The caption with its identity text, where it starts with it, replaced by a rare token; the rest is kept as it is."""
+    rest = F.substring(text, F.length(identity) + 1, F.length(text))
+    return F.when((identity != "") & text.startswith(identity), F.concat(F.lit(token), rest)).otherwise(text)
+
+
+def clip_captions(clips: DataFrame, captions: DataFrame) -> DataFrame:
+    """Clips with their captions by clip_id, without one null; of several captions of a clip the least text."""
+    return clips.join(captions.groupBy("clip_id").agg(F.min("text").alias("text")), "clip_id", "left")
+
+
 def every_nth(rows: DataFrame, ordinal: str, part: float) -> DataFrame:
     """Rows of every round(1/part)-th ordinal (halves to even, from 0); only the first for a part of 0 or less."""
     if part <= 0:

@@ -36,6 +36,12 @@ def presence(clips: DataFrame, names: tuple[str, str]) -> DataFrame:
     return clips.agg(F.count_if(a & ~b).alias("only_first"), F.count_if(b & ~a).alias("only_second"), F.count_if(a & b).alias("both"), F.count_distinct("source_file").alias("sources"))
 
 
+def footage(clips: DataFrame) -> DataFrame:
+    """By source: shots, clips, clips a shot, and seconds of footage. clips: source_file, shot, duration_s."""
+    out = clips.groupBy("source_file").agg(F.count_distinct("shot").alias("shots"), F.count("*").alias("clips"), F.round(F.sum("duration_s"), 3).alias("footage_s"))
+    return out.withColumn("clips_per_shot", F.round(F.col("clips") / F.col("shots"), 6))
+
+
 def content_type(path: Column) -> Column:
     return (
         F.when(path.endswith(".mp4"), "video/mp4").when(path.endswith(".png"), "image/png").when(path.endswith(".md"), "text/markdown")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -25,6 +25,12 @@ def psnr(a: Column, b: Column) -> Column:
     return F.when(mse < 1e-9, 99.0).otherwise(10 * F.log10(F.lit(65025.0) / mse))
 
 
+def psnr_exact(a: Column, b: Column) -> Column:
+    """The variant of stricter equality: 99 below a mean squared error of 1e-8, by 20 log10 of the range over its root."""
+    mse = fold(a, b, lambda x, y: (x - y) * (x - y))
+    return F.when(mse < 1e-8, 99.0).otherwise(20 * F.log10(F.lit(255.0) / F.sqrt(mse)))
+
+
 def luminance(r: Column, g: Column, b: Column) -> Column:
     return (0.299 * r + 0.587 * g + 0.114 * b) / 255
 
@@ -34,6 +40,56 @@ def with_previous(frames: DataFrame) -> DataFrame:
     return frames.withColumn("previous", F.lag("pixels").over(w))
 
 
+def with_first(frames: DataFrame, column: str = "pixels") -> DataFrame:
+    """Each frame with its clip's first one, as column first; frame 0 is compared with itself.
+
+    Frames are joined to frame 0 by clip, so no clip is sorted; a clip without frame 0 has none.
+    """
+    start = frames.where("frame_idx = 0").select("clip_id", F.col(column).alias("first"))
+    return frames.join(start, "clip_id", "left")
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Correlation of two equally long arrays, such as histograms; 1 where one of them is even, as histogram comparisons count it."""
+    n = F.size(a)
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    ma, mb = total(a) / n, total(b) / n
+    cov = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb)))
+    va, vb = total(F.transform(a, lambda x: (x - ma) * (x - ma))), total(F.transform(b, lambda y: (y - mb) * (y - mb)))
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(va * vb > 0, cov / F.sqrt(va * vb)).otherwise(1.0))
+
+
+def histogram(values: Column, bins: int, low: float, high: float) -> Column:
+    """Counts of an array's values in ``bins`` even bins from ``low`` to ``high``; values outside count in the outer ones."""
+    cell = F.transform(values, lambda x: F.least(F.greatest(F.floor((x - low) * bins / (high - low)), F.lit(0)), F.lit(bins - 1)).cast("int"))
+    ones = F.array_sort(F.concat(cell, F.sequence(F.lit(0), F.lit(bins - 1))))  # each bin once more, so that none is missing
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda i: (F.size(F.filter(ones, lambda x: x == i)) - 1).cast("double"))
+
+
+def first_frame_drift(metrics: DataFrame) -> DataFrame:
+    """By clip: frames, mean of adjacent histogram correlations, correlation of the first and last frame with frame 0, and their difference, the palette drift.
+
+    metrics: clip_id, frame_idx, adjacent (with the frame before; null for the first) and versus_first, both cut to 4
+    places before, as summaries are made from printed values.
+    """
+    adjacent, versus = F.round("adjacent", 4), F.round("versus_first", 4)
+    out = metrics.groupBy("clip_id").agg(
+        F.count("*").alias("frames"), F.avg(adjacent).alias("adjacent_mean"), F.min_by(versus, "frame_idx").alias("first"), F.max_by(versus, "frame_idx").alias("last")
+    )
+    return out.withColumn("palette_drift", F.round(F.col("first") - F.col("last"), 4))
+
+
+def reconstruction(source: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """Frames of both tables by clip and frame, up to the shorter: columns a and b; frames of one alone go."""
+    return source.select("clip_id", "frame_idx", F.col("pixels").alias("a")).join(rebuilt.select("clip_id", "frame_idx", F.col("pixels").alias("b")), ["clip_id", "frame_idx"])
+
+
+def quality_by_clip(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean and least of each column by clip, and frames."""
+    parts = [f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("least", F.min))]
+    return scored.groupBy("clip_id").agg(*parts, F.count("*").alias("frames"))
+
+
 def summary(metrics: DataFrame) -> DataFrame:
     """Mean, least and population deviation of adjacent similarity (to 4 places before), of clips of two frames or more."""
     s = F.round("similarity", 4)
@@ -125,6 +181,17 @@ def structural(pairs: DataFrame, height: int, width: int) -> DataFrame:
     return pairs.mapInPandas(run, schema)
 
 
+def end_frames(frames: DataFrame) -> DataFrame:
+    """The first and last frame of each clip as columns a and b; a clip of one frame has it twice."""
+    pick = lambda f: f(F.col("pixels"), F.col("frame_idx"))
+    return frames.groupBy("clip_id").agg(pick(F.min_by).alias("a"), pick(F.max_by).alias("b"))
+
+
+def loop_closure(frames: DataFrame, height: int, width: int, least: float = 0.92) -> DataFrame:
+    """clip_id, ssim of its first and last frame, and whether that closes the loop."""
+    return loop_closed(structural(end_frames(frames), height, width).select("clip_id", "ssim"), least)
+
+
 def loop_closed(ends: DataFrame, least: float = 0.92) -> DataFrame:
     """Whether the similarity of first and last frame (column ssim) closes the loop."""
     return ends.withColumn("closed", F.col("ssim") >= least)

@@ -49,15 +49,39 @@ def short_side(w: Column, h: Column, target: int) -> tuple[Column, Column]:
     return one(w), one(h)
 
 
-def cover_crop(w: Column, h: Column, to_w: Column, to_h: Column) -> dict[str, Column]:
-    """Size that covers the target and offsets of the centre crop."""
+def cover_crop(w: Column, h: Column, to_w: Column, to_h: Column, rounded: bool = False) -> dict[str, Column]:
+    """Size that covers the target and offsets of the centre crop: cut to whole pixels, or ``rounded``, halves to even."""
     wide = h / w > to_h / to_w
     resize_w = F.when(wide, to_w).otherwise(F.floor(w * to_h / h)).cast("int")
     resize_h = F.when(wide, F.floor(h * to_w / w)).otherwise(to_h).cast("int")
-    half = lambda a, b: F.floor(F.greatest(a - b, F.lit(0)) / 2).cast("int")
+    whole = F.bround if rounded else F.floor
+    half = lambda a, b: whole(F.greatest(a - b, F.lit(0)) / 2).cast("int")
     return {"resize_w": resize_w, "resize_h": resize_h, "crop_x": half(resize_w, to_w), "crop_y": half(resize_h, to_h)}
 
 
+def bucket_crop(rows: DataFrame, height: str, width: str) -> DataFrame:
+    """Adds resize_w, resize_h, crop_x and crop_y that fit a row into its bucket (bucket_h, bucket_w, as closest_bucket or random_bucket give them)."""
+    crop = cover_crop(F.col(width), F.col(height), F.col("bucket_w"), F.col("bucket_h"), rounded=True)
+    return rows.withColumns(crop)
+
+
+def random_bucket(rows: DataFrame, ratio: Column, side: int = 512) -> DataFrame:
+    """Adds bucket_h and bucket_w of a drawn crop ratio (one of CROP_RATIOS): the bucket of that ratio, scaled to ``side``."""
+    table = {r: (h, w) for r, h, w in RATIOS_512}
+    pick = lambda k: F.coalesce(*[F.when(ratio == r, F.lit(table[r][k])) for r in CROP_RATIOS])
+    scaled = lambda k: floor_to(pick(k) * side / 512, 16)
+    return rows.withColumn("bucket_h", scaled(0)).withColumn("bucket_w", scaled(1))
+
+
+def read_caps(configs: DataFrame) -> DataFrame:
+    """Adds cap_h and cap_w from a model's configuration in JSON (column config): see resolution_caps; text that is no JSON has the fallback."""
+    c = F.from_json("config", "patch_size int, sample_height int, sample_width int")
+    patch = F.coalesce(c["patch_size"], F.lit(2))
+    both = c["sample_height"].isNotNull() & c["sample_width"].isNotNull() & (patch > 0)  # one without the other is no size
+    h, w = resolution_caps(F.when(both, c["sample_height"]), F.when(both, c["sample_width"]), patch)
+    return configs.withColumn("cap_h", h).withColumn("cap_w", w)
+
+
 def snap_4k1(n: Column) -> Column:
     """The largest 4k + 1 up to n (0 below 1)."""
     return F.when(n >= 1, F.floor((n - 1) / 4) * 4 + 1).otherwise(0).cast("int")

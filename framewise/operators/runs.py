@@ -38,9 +38,30 @@ def loss_curve(points: DataFrame, tail: int = 50) -> DataFrame:
 
 def elapsed(lines: DataFrame) -> DataFrame:
     """Last elapsed time and first seconds an iteration by run."""
-    time, pace = F.nullif(F.regexp_extract("value", r"\[(\d+:\d+(?::\d+)?)<", 1), F.lit("")), F.nullif(F.regexp_extract("value", r"([0-9.]+)s/it", 1), F.lit(""))
+    time = F.nullif(F.regexp_extract("value", r"\[(\d+:\d+(?::\d+)?)<", 1), F.lit(""))
+    pace = F.nullif(F.regexp_extract("value", r"([0-9.]+)s/it", 1), F.lit(""))
     rows = lines.withColumn("__t", time).withColumn("__p", pace.try_cast("double"))
-    return rows.groupBy("run").agg(F.max_by("__t", F.when(F.col("__t").isNotNull(), F.col("line_no"))).alias("elapsed_last"), F.min_by("__p", F.when(F.col("__p").isNotNull(), F.col("line_no"))).alias("s_per_it"))
+    at = lambda c: F.when(F.col(c).isNotNull(), F.col("line_no"))
+    return rows.groupBy("run").agg(F.max_by("__t", at("__t")).alias("elapsed_last"), F.min_by("__p", at("__p")).alias("s_per_it"))
+
+
+#: What a log says when its run is over.
+END_MARKS = ("end_training", "Steps: 100%")
+
+
+def completion(lines: DataFrame, points: DataFrame, total_steps: DataFrame, marks: Sequence[str] = END_MARKS) -> DataFrame:
+    """run, steps_reached, total_steps and completed of every run of ``lines``.
+
+    A run is complete when a line holds one of ``marks``, or when it reached its planned number of steps: both known and
+    the plan above 0. total_steps: run, total_steps, one row for each run.
+    """
+    marked = F.lit(False)
+    for m in marks:
+        marked = marked | F.coalesce(F.contains(F.col("value"), F.lit(m)), F.lit(False))
+    out = lines.groupBy("run").agg(F.bool_or(marked).alias("__marked"))
+    out = out.join(points.groupBy("run").agg(F.max("step").alias("steps_reached")), "run", "left").join(total_steps.select("run", "total_steps"), "run", "left")
+    reached = F.coalesce((F.col("steps_reached") > 0) & (F.col("total_steps") > 0) & (F.col("steps_reached") >= F.col("total_steps")), F.lit(False))
+    return out.withColumn("completed", F.col("__marked") | reached).drop("__marked")
 
 
 def sparkline(points: DataFrame, width: int = 60, levels: int = 8) -> DataFrame:
@@ -54,31 +75,70 @@ def sparkline(points: DataFrame, width: int = 60, levels: int = 8) -> DataFrame:
 
 
 def find_checkpoints(files: DataFrame) -> DataFrame:
-    """Checkpoint folders with weights: root, step, path."""
-    step = F.nullif(F.regexp_extract("path", r"checkpoint-(\d+)$", 1), F.lit("")).cast("long")
-    return files.where("has_weights").withColumn("step", step).where("step is not null")
-
-
-def resolve_checkpoint(checkpoints: DataFrame, wanted: str) -> DataFrame:
-    """By root the checkpoint of 'latest' or of a step, with found and the steps there are if it is not."""
-    target = F.max("step") if wanted == "latest" else F.max(F.when(F.col("step") == int(wanted), F.col("step")))
-    return checkpoints.groupBy("root").agg(target.alias("step"), F.count("*").alias("available")).withColumn("found", F.col("step").isNotNull())
+    """Folders with weights: root, step, path, is_final. Of a root's own folder, which holds the final weights, the step is null.
+
+    files: root, path (of a folder, by its name below the root; the root itself is '' or null) and has_weights. Other folders are left out.
+    """
+    name = F.regexp_replace(F.coalesce("path", F.lit("")), r"/+$", "")
+    step = F.nullif(F.regexp_extract(name, r"(?:^|/)checkpoint-(\d+)$", 1), F.lit("")).cast("long")
+    own = (name == "") | (name == F.col("root").cast("string"))
+    return files.where("has_weights").withColumn("step", step).withColumn("is_final", step.isNull() & own).where(F.col("step").isNotNull() | F.col("is_final"))
+
+
+def resolve_checkpoint(checkpoints: DataFrame, wanted: str | int = "latest") -> DataFrame:
+    """By root the checkpoint wanted: step, path, label, found, and how many steps there are.
+
+    'latest' is the highest step, or the root's weights where there is no step; 'final' the root's weights, or else the
+    highest step; a number that step alone. A root without it has found false and lists its steps in alternatives, the
+    first hundred.
+    """
+    number = None if wanted in ("latest", "final") else int(wanted)
+    order = F.struct(F.coalesce(F.col("is_final"), F.lit(False)).cast("int").alias("final"), F.coalesce("step", F.lit(-1)).alias("step"))
+    if wanted == "latest":
+        order = F.struct(F.coalesce("step", F.lit(-1)).alias("step"))
+    fits = F.lit(True) if number is None else F.col("step") == number
+    steps = F.count_if(F.col("step").isNotNull()).alias("available")
+    some = F.slice(F.array_sort(F.collect_set("step")), 1, 100) if number is not None else F.lit(None)
+    best = F.max_by(F.struct("step", "path"), F.when(fits, order)).alias("best")
+    out = checkpoints.groupBy("root").agg(best, F.bool_or(fits).alias("found"), steps, *([some.alias("__some")] if number is not None else []))
+    out = out.withColumn("found", F.coalesce("found", F.lit(False))).withColumn("step", F.when(F.col("found"), F.col("best.step"))).withColumn("path", F.when(F.col("found"), F.col("best.path")))
+    label = F.when(F.col("found"), F.when(F.col("step").isNull(), "final").otherwise(F.concat(F.lit("checkpoint-"), F.col("step"))))
+    told = F.when(~F.col("found"), F.array_join(F.col("__some").cast("array<string>"), ", ")) if number is not None else F.lit(None).cast("string")
+    return out.withColumn("label", label).withColumn("alternatives", told).select("root", "step", "path", "label", "found", "available", "alternatives")
 
 
 def retention(checkpoints: DataFrame, limit: int) -> DataFrame:
-    """Plan before one more is written: the newest limit - 1 stay."""
+    """Plan before one more is written: the newest limit - 1 stay. A root's own weights have no step and are no part of it."""
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.desc("step")))
-    return checkpoints.withColumn("remove", rank > limit - 1)
+    return checkpoints.where("step is not null").withColumn("remove", rank > limit - 1)
 
 
 def newest(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("root").agg(F.max_by("path", F.struct("mtime", "step")).alias("path"))
 
 
-def rank_by(runs: DataFrame, metrics: Sequence[tuple[str, bool]]) -> DataFrame:
-    """Rank by metrics in order, each (column, larger is better)."""
+#: Runs that a ranking compares, at most: they are ranked by one task.
+MOST_RANKED = 100_000
+
+
+def rank_by(runs: DataFrame, metrics: Sequence[tuple[str, bool]], most: int = MOST_RANKED) -> DataFrame:
+    """Rank by metrics in order, each (column, larger is better), over a report of at most ``most`` rows; more raise when it runs."""
     order = [F.desc_nulls_last(c) if up else F.asc_nulls_last(c) for c, up in metrics]
-    return runs.withColumn("rank", F.rank().over(Window.partitionBy().orderBy(*order)))
+    everything = Window.partitionBy()
+    told = F.raise_error(F.lit(f"more than {most} rows to rank")).cast("int")
+    ranked = runs.withColumn("rank", F.rank().over(everything.orderBy(*order)))
+    return ranked.withColumn("rank", F.when(F.col("rank") > most, told).otherwise(F.col("rank")))
+
+
+def compare_runs(runs: DataFrame, summaries: DataFrame, last_frames: DataFrame) -> DataFrame:
+    """Comparison of checkpoints: each run with its clip's adjacent similarity (mean, least), palette drift, last correlation with the first frame, and retention flag.
+
+    runs: run, clip_id. summaries: clip_id, mean, least. last_frames: clip_id, first and last correlation with frame 0.
+    Runs whose metrics are missing stay, with nulls and without a flag.
+    """
+    out = runs.join(summaries.select("clip_id", "mean", "least"), "clip_id", "left").join(last_frames.select("clip_id", "first", "last"), "clip_id", "left")
+    out = out.withColumn("palette_drift", F.round(F.col("first") - F.col("last"), 4))
+    return out.withColumn("flag", F.when(F.col("last").isNotNull(), retention_flag(F.col("last")))).drop("first")
 
 
 def run_label(checkpoint: Column, scale: Column, guidance: Column, frames: Column) -> Column:
@@ -131,3 +191,8 @@ def throughput(items: DataFrame) -> DataFrame:
 def first_eligible(metadata: DataFrame, k: int) -> DataFrame:
     """The first k videos by ordinal; a row without a type counts as one."""
     return metadata.where(F.coalesce("type", F.lit("video")) == "video").orderBy("ord").limit(k)
+
+
+def first_captions(metadata: DataFrame, k: int = 3) -> DataFrame:
+    """ord and text of the first k entries of any type; a missing text is empty."""
+    return metadata.orderBy("ord").limit(k).select("ord", F.coalesce("text", F.lit("")).alias("text"))

@@ -108,7 +108,28 @@ def strided_indices(length: Column, frames: int, stride: int, u: Column) -> Colu
     """``frames`` indices over a clip of at most (frames - 1) * stride + 1 source frames with a drawn start; they repeat where it is short."""
     span = F.least(length, F.lit((frames - 1) * stride + 1))
     start = F.floor(u * (length - span + 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: (start + F.floor(i * (span - 1) / (frames - 1))).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: (start + F.floor(i * (span - 1) / max(frames - 1, 1))).cast("int"))
+
+
+def dropped_ends_indices(length: Column, frames: int, stride: int, head: float, tail: float, u: Column) -> Column:
+    """Indices as strided_indices gives them, between a dropped head and tail given as parts of the length.
+
+    At most ``frames``, fewer where the part that is left holds fewer at the stride; null, an error row, where it holds
+    none. ``head`` and ``tail`` are where the part begins and ends, of 1. The start is 0 where the clip spans all that is
+    left before ``tail``.
+    """
+    n = F.least(F.lit(frames), F.floor(F.floor(length * (tail - head)) / stride).cast("int"))
+    end = F.floor(length * tail).cast("int")
+    span = F.least(end, (n - 1) * stride + 1)
+    low = F.floor(F.lit(head) * end).cast("int")
+    start = F.when(end == span, 0).otherwise(low + F.least(F.floor(u * (end - span - low + 1)), end - span - low).cast("int"))
+    step = lambda i: F.when(n > 1, F.floor(i * (span - 1) / F.greatest(n - 1, F.lit(1)))).otherwise(0)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (start + step(i)).cast("int")))
+
+
+def single_frame(length: Column, u: Column) -> Column:
+    """One frame drawn from the whole clip."""
+    return F.least(F.floor(u * length), length - 1).cast("int")
 
 
 def head_tail_indices(length: Column, head: int, tail: int, most: int) -> Column:
@@ -133,6 +154,13 @@ def frame_skip(fps: Column, total: Column, target: int = 8, least: int = 49) ->
     return F.element_at(ok, 1)
 
 
+def kept_frames(fps: Column, total: Column, target: int = 8, least: int = 49) -> Column:
+    """Indices of the first ``least`` frames that frame_skip keeps."""
+    step = frame_skip(fps, total, target, least) + 1
+    count = F.least(F.lit(least), F.ceil(total / step))
+    return F.when(total > 0, F.transform(F.sequence(F.lit(0), F.greatest(count.cast("int"), F.lit(1)) - 1), lambda i: (i * step).cast("int"))).otherwise(F.array().cast("array<int>"))
+
+
 def nearest_per_second(frames: DataFrame, most: int = 24) -> DataFrame:
     """Per clip and whole second up to the rounded last time, at most ``most`` seconds: the nearest frame, the earliest of equally near ones.
 
@@ -167,10 +195,33 @@ def substitute_bad(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return rows.where("good").withColumn("use", F.col(key)).unionByName(bad.select(*[f"`{c}`" for c in rows.columns], "use"))
 
 
-def schedule(n_batches: int, accumulation: int, max_steps: int, resume_step: int = 0) -> dict[str, int]:
-    """Steps an epoch, epochs and the epoch a resumed run is in."""
+def schedule(n_batches: int, accumulation: int, max_steps: int, resume_step: int = 0, batch_size: int = 1, processes: int = 1) -> dict[str, int]:
+    """Steps an epoch, epochs, the epoch a resumed run is in, and the effective batch."""
     steps = -(-n_batches // accumulation)
-    return {"steps_per_epoch": steps, "epochs": -(-max_steps // steps), "resume_epoch": resume_step // steps}
+    effective = batch_size * processes * accumulation
+    return {"steps_per_epoch": steps, "epochs": -(-max_steps // steps), "resume_epoch": resume_step // steps, "effective_batch": effective}
+
+
+def schedules(plans: DataFrame, accumulation: int, max_steps: int, batch_size: int, resume_step: int = 0, processes: int = 1) -> DataFrame:
+    """The same as columns, for plans with n_batches; a plan without batches has null steps, epochs and resume_epoch."""
+    steps = F.when(F.col("n_batches") > 0, F.ceil(F.col("n_batches") / accumulation)).cast("long")
+    out = plans.withColumn("steps_per_epoch", steps).withColumn("epochs", F.ceil(F.lit(max_steps) / F.col("steps_per_epoch")).cast("long"))
+    return out.withColumn("resume_epoch", F.floor(F.lit(resume_step) / F.col("steps_per_epoch")).cast("long")).withColumn("effective_batch", F.lit(batch_size * processes * accumulation).cast("long"))
+
+
+def epoch_draws(rows: DataFrame, key: str, seed: int, epoch: int, count: int, resume: int = 0) -> DataFrame:
+    """``count`` draws of an epoch without replacement: whole shuffles of all rows, then the first of one more; draws before ``resume`` are done.
+
+    A row for each draw, with draw_no; each shuffle has an order of its own.
+    """
+    total = rows.count()
+    if not total:
+        return rows.withColumn("draw_no", F.lit(0).cast("long")).limit(0)
+    rounds = -(-count // total)
+    each = rows.withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(max(rounds - 1, 0)))))
+    u = draw(F.concat_ws("/", F.col(key).cast("string"), F.col("__round")), seed, "order", epoch)
+    ranked = with_positions(each, u, key, ["__round"]).withColumn("draw_no", F.col("__round") * total + F.col("position"))
+    return ranked.where((F.col("draw_no") >= resume) & (F.col("draw_no") < count)).drop("__round", "__u", "__n", "position")
 
 
 def uniform_indices(length: Column, fps: Column, count: int = 24, seconds: int = 60) -> Column:

@@ -97,7 +97,7 @@ def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
                     sampling.pick_weighted(sampling.draw(key, 7, "crop"), CROP_RATIOS, CROP_WEIGHTS).alias("crop"))
 
 
-def _crop_sql() -> str:
+def crop_sql() -> str:
     from ..operators.geometry import CROP_RATIOS, CROP_WEIGHTS
 
     upto, whens = 0.0, ""
@@ -108,7 +108,7 @@ def _crop_sql() -> str:
 
 
 SEEDED_DRAWS = f"""WITH x AS (SELECT doc_id, {draw_sql("caption", "doc_id")} AS c, {draw_sql("down", "doc_id")} AS d, {draw_sql("crop", "doc_id")} AS u FROM documents)
-SELECT doc_id, c < 0.1 AS emptied, CASE WHEN d < 0.75 THEN 1 WHEN d < 0.75 + 0.25::DOUBLE / 3 THEN 1.25 WHEN d < 0.75 + 0.25::DOUBLE / 3 * 2 THEN 1.5 ELSE 2 END::DOUBLE AS down, {_crop_sql()} AS crop FROM x"""
+SELECT doc_id, c < 0.1 AS emptied, CASE WHEN d < 0.75 THEN 1 WHEN d < 0.75 + 0.25::DOUBLE / 3 THEN 1.25 WHEN d < 0.75 + 0.25::DOUBLE / 3 * 2 THEN 1.5 ELSE 2 END::DOUBLE AS down, {crop_sql()} AS crop FROM x"""
 
 
 def frame_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,9 +157,9 @@ SELECT clip_id, frame_idx, round(list_avg(list_transform(d, lambda x: abs(x))),
 def reconstruction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and least PSNR by clip of frames against their quantised form, joined on clip and frame."""
     f = views.frames(spark, sf_dir)
-    r = f.select("clip_id", "frame_idx", F.transform("pixels", lambda p: 16 * F.floor(p / 16 + 0.5)).alias("rebuilt"))
-    both = f.join(r, ["clip_id", "frame_idx"]).withColumn("psnr", fr.psnr(F.col("pixels"), F.col("rebuilt")))
-    return both.groupBy("clip_id").agg(F.round(F.avg("psnr"), 4).alias("mean"), F.round(F.min("psnr"), 4).alias("least"), F.count("*").alias("frames"))
+    r = f.select("clip_id", "frame_idx", F.transform("pixels", lambda p: 16 * F.floor(p / 16 + 0.5)).alias("pixels"))
+    both = fr.quality_by_clip(fr.reconstruction(f, r).withColumn("psnr", fr.psnr(F.col("a"), F.col("b"))), ["psnr"])
+    return both.select("clip_id", F.round("psnr_mean", 4).alias("mean"), F.round("psnr_least", 4).alias("least"), "frames")
 
 
 RECONSTRUCTION = with_views("""+e AS (SELECT clip_id, 10 * log10(65025.0::DOUBLE / list_avg(list_transform(pixels, lambda p: (p - 16 * floor(p / 16 + 0.5)) * (p - 16 * floor(p / 16 + 0.5))))) AS psnr FROM frames)
@@ -196,7 +196,7 @@ def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.structural(f.select("clip_id", "frame_idx", F.col("previous").alias("a"), F.col("pixels").alias("b")), 8, 8)
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id")
     n, total = F.row_number().over(w.orderBy("ts", "event_id")), F.count("*").over(w)
@@ -205,7 +205,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def loss_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(spark, sf_dir)
+    lines = log_lines(spark, sf_dir)
     curve = runs.loss_curve(runs.log_points(lines)).join(runs.elapsed(lines), "run")
     return curve.select("run", "steps_reached", "loss_first", "loss_last", "loss_min", F.round("loss_tail", 5).alias("loss_tail"), F.round("lr_last", 9).alias("lr_last"), "elapsed_last", "s_per_it")
 
@@ -216,7 +216,7 @@ SELECT run, max(i) AS steps_reached, arg_min(v, i) AS loss_first, arg_max(v, i)
 
 
 def sparklines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.sparkline(runs.log_points(_lines(spark, sf_dir))).groupBy("run").agg(F.count("*").alias("points"), F.sum("level").alias("levels"))
+    return runs.sparkline(runs.log_points(log_lines(spark, sf_dir))).groupBy("run").agg(F.count("*").alias("points"), F.sum("level").alias("levels"))
 
 
 SPARKLINES = """WITH x AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, value AS v FROM events),
@@ -228,7 +228,7 @@ def checkpoint_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By root: latest step with weights, checkpoints kept by a limit of 5, newest by time."""
     c = runs.find_checkpoints(views.checkpoints(spark, sf_dir))
     kept = runs.retention(c, 5).groupBy("root").agg(F.count_if(~F.col("remove")).alias("kept"), F.count_if("remove").alias("removed"))
-    return runs.resolve_checkpoint(c, "latest").join(kept, "root").join(runs.newest(c), "root").select("root", "step", "available", "found", "kept", "removed", "path")
+    return runs.resolve_checkpoint(c, "latest").drop("path").join(kept, "root").join(runs.newest(c), "root").select("root", "step", "available", "found", "kept", "removed", "path")
 
 
 CHECKPOINT_PLAN = with_views("""SELECT root, max(step) AS step, count(*) AS available, true AS found, least(count(*), 4) AS kept, count(*) - least(count(*), 4) AS removed, arg_max(path, (mtime, step)) AS path FROM checkpoints WHERE has_weights GROUP BY root""", "checkpoints")

@@ -14,9 +14,13 @@ from . import views
 from .views import with_views
 
 
+#: What the queries prune: made-up words and parts of words that occur in the given texts.
+PATTERNS = ("thing", "ouble", "r[eé]tion", "black (thick )?line", "wh(er|ha)", "[- ]shaped", "aux(ment|que)", "schlich", "d[eé]le", "(is|are) red", "ción", "zz")
+
+
 def caption_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: clauses kept and dropped, and captions emptied, by source."""
-    pruned = cap.prune(views.captions(spark, sf_dir))
+    pruned = cap.prune(views.captions(spark, sf_dir), PATTERNS)
     return pruned.groupBy("source").agg(
         F.count("*").alias("captions"), F.sum(F.size("kept")).cast("long").alias("kept"), F.sum(F.size("dropped")).cast("long").alias("dropped"),
         F.count_if(F.size("kept") == 0).alias("emptied"), F.sum(F.length("final")).cast("long").alias("final_chars"),
@@ -26,14 +30,14 @@ def caption_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLAUSES = r"""clauses AS (SELECT clip_id, source, anchor, list_filter(list_transform(string_split(regexp_replace(regexp_replace(suffix, '([.;,])\s+', '\1' || chr(1), 'g'), '\s+(while|and)\s+', chr(1), 'g'), chr(1)),
   lambda s: trim(s, ' ,.;')), lambda s: s <> '') AS c FROM captions),
 pruned AS (SELECT *, list_filter(c, lambda s: NOT regexp_matches(s, '(?i)PATTERN')) AS kept, list_filter(c, lambda s: regexp_matches(s, '(?i)PATTERN')) AS dropped, regexp_replace(anchor, ',+$', '') AS bare FROM clauses),
-finals AS (SELECT *, replace(CASE WHEN len(kept) = 0 THEN bare || '.' ELSE bare || ', ' || array_to_string(kept, ', ') || '.' END, ' ,', ',') AS final FROM pruned)""".replace("PATTERN", "|".join(cap.BLOCKLIST))
+finals AS (SELECT *, replace(CASE WHEN len(kept) = 0 THEN bare || '.' ELSE bare || ', ' || array_to_string(kept, ', ') || '.' END, ' ,', ',') AS final FROM pruned)""".replace("PATTERN", "|".join(PATTERNS))
 
 CAPTION_CURATION = with_views(f"""+{CLAUSES}
 SELECT source, count(*) AS captions, sum(len(kept))::BIGINT AS kept, sum(len(dropped))::BIGINT AS dropped, count(*) FILTER (len(kept) = 0) AS emptied, sum(length(final))::BIGINT AS final_chars FROM finals GROUP BY source""", "captions")
 
 
 def caption_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = cap.prune(views.captions(spark, sf_dir))
+    out = cap.prune(views.captions(spark, sf_dir), PATTERNS)
     return out.select("clip_id", "suffix_out", F.array_join("dropped", "; ").alias("dropped"), "final")
 
 
@@ -44,17 +48,17 @@ def caption_spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth caption: slug, unquoted and prefixed text, mention flags, a colour variant."""
     rows = cap.every_nth(views.captions(spark, sf_dir).withColumn("ord", F.col("clip_id")), "ord", 0.1)
     quoted = F.concat(F.lit('"'), F.col("anchor"), F.when(F.col("clip_id") % 20 == 0, '"').otherwise(""))
-    return rows.select("clip_id", cap.slug(F.col("suffix"), F.col("clip_id")).alias("slug"), cap.unquote(quoted).alias("unquoted"), F.concat(F.lit("IDTOKEN "), F.col("anchor")).alias("prefixed"),
-                       *cap.mentions(F.col("suffix"), ("the", "und")), cap.ground_colours(F.substring("suffix", 1, 200), {"the": "blue"}, "thing").alias("grounded"))
+    return rows.select("clip_id", cap.slug(F.col("suffix"), F.col("clip_id")).alias("slug"), cap.unquote(quoted).alias("unquoted"), cap.with_id_token(F.col("anchor"), "IDTOKEN").alias("prefixed"),
+                       *cap.mentions(F.col("suffix"), ("the", "und")), cap.ground_colours(F.col("suffix"), {"the": "blue"}, "thing").alias("grounded"))
 
 
 CAPTION_SPOT_CHECK = r"""SELECT doc_id AS clip_id, doc_id || '_' || translate(substr(d.text, 1, 25), '. ''",', '_____') AS slug, CASE WHEN doc_id % 20 = 0 THEN b.text ELSE '"' || b.text END AS unquoted, 'IDTOKEN ' || b.text AS prefixed,
-  contains(lower(d.text), 'the') AS has_the, contains(lower(d.text), 'und') AS has_und, regexp_replace(substr(d.text, 1, 200), '\bthe\b', 'the, a blue thing', 'g') AS grounded
+  contains(lower(d.text), 'the') AS has_the, contains(lower(d.text), 'und') AS has_und, regexp_replace(d.text, '\bthe\b', 'the, a blue thing', 'g') AS grounded
 FROM documents d JOIN benchmark b ON item_id = doc_id % 40 WHERE doc_id % 10 = 0"""
 
 
 def caption_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The colour variant of every whole caption; that of caption_spot_check ends at 200 characters, as its SQL does."""
+    """The colour variant of every caption."""
     return views.captions(spark, sf_dir).select("clip_id", cap.ground_colours(F.col("suffix"), {"the": "blue"}, "thing").alias("grounded"))
 
 

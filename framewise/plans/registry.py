@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import analytics, curation
+from . import analytics, curation, details
 
-ALL = {**curation.QUERIES, **analytics.QUERIES}
+ALL = {**curation.QUERIES, **analytics.QUERIES, **details.QUERIES}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

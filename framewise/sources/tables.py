@@ -4,30 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SEGMENT_COLUMNS = ("source_file", "in", "out", "character", "action_label", "bg_type", "alpha_file", "bg_plate", "props")
 METADATA_SCHEMA = "file_path string, text string, type string, width int, height int, source_skit string, source_shot string, window string"
+#: Lines that are numbered by one task.
+LINES = 1 << 20
 CAPTION_SCHEMA = "clip_id string, anchor string, suffix string"
 
 
-def with_ordinal(df: DataFrame, name: str, start: int) -> DataFrame:
-    """Rows numbered in the source's order; the counting job needs the sizes of partitions alone."""
-    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + start)).toDF(schema)
+def numbered(df: DataFrame, name: str, start: int, of_file: bool = True) -> DataFrame:
+    """Rows of files, with file, numbered in the order they stand in: within their file, or over all files by path if not ``of_file``.
+
+    A file's blocks are numbered on their own, and each goes on where the blocks before it end: counts of blocks alone
+    are summed, and no task holds more than a block. Numbers depend on neither file sizes nor how Spark packs files.
+    """
+    rows = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    keys = ["file", "__block"]
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    blocks = Window.partitionBy("file").orderBy("__block") if of_file else Window.partitionBy().orderBy(*keys)
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy("__at")) - 1 + start
+    ranked = rows.withColumn("__local", local).join(before.drop("__n"), keys)
+    return ranked.withColumn(name, (F.col("__local") + F.col("__before")).cast("long")).drop("__block", "__at", "__local", "__before")
 
 
 def read_segments(spark: SparkSession, path: str) -> DataFrame:
+    """Segments of one sheet or more, with row_ord, from 1 in each sheet."""
     schema = ", ".join(f"`{c}` string" for c in SEGMENT_COLUMNS)
-    return with_ordinal(spark.read.schema(schema).option("header", True).csv(path), "row_ord", 1)
+    return numbered(spark.read.schema(schema).option("header", True).csv(path), "row_ord", 1).drop("file")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header or a JSON array, by the file's suffix."""
-    reader = spark.read.schema(METADATA_SCHEMA)
-    return reader.option("header", True).csv(path) if path.endswith(".csv") else reader.option("multiLine", True).json(path)
+    """CSV with a header or, by the file's suffix, JSON: an array of entries, or an object that holds it as 'data'.
+
+    Rows have ord, their place from 0; extra keys of entries are not read.
+    """
+    if path.endswith(".csv"):
+        return numbered(spark.read.schema(METADATA_SCHEMA).option("header", True).csv(path), "ord", 0, of_file=False).drop("file")
+    fields = METADATA_SCHEMA.split(", ")
+    names = [f.split()[0] for f in fields]
+    found = spark.read.schema(f"{METADATA_SCHEMA}, data array<struct<{', '.join(f.replace(' ', ': ', 1) for f in fields)}>>").option("multiLine", True).json(path)
+    # an array's entries are rows, an object with data is one row that holds them
+    at, here = F.monotonically_increasing_id(), F.col("_metadata.file_path")
+    entries = F.coalesce(F.col("data"), F.array(F.struct(*names)))
+    rows = found.select(here.alias("__file"), at.alias("__at"), F.posexplode(entries).alias("__pos", "__e"))
+    rank = F.row_number().over(Window.partitionBy("__file").orderBy("__at", "__pos")) - 1  # a file of this kind is read by one task
+    counts = rows.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("__rank", rank).join(counts.select("__file", before.alias("__before")), "__file")
+    return rows.select(*[F.col(f"__e.{n}").alias(n) for n in names], (F.col("__rank") + F.col("__before")).cast("long").alias("ord"))
 
 
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
@@ -36,11 +63,19 @@ def read_captions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_line_pairs(spark: SparkSession, captions: str, paths: str) -> tuple[DataFrame, DataFrame]:
-    """(pairs, unmatched): non-blank lines of two files by position, with their line numbers and whether these agree."""
+    """(pairs, unmatched): non-blank lines of two sources by position, with their line numbers and whether these agree."""
 
     def lines(path: str, name: str) -> DataFrame:
-        numbered = with_ordinal(spark.read.text(path), "line", 1).where(F.trim("value") != "")
-        return with_ordinal(numbered.orderBy("line"), "ord", 0).select("ord", F.trim("value").alias(name), F.col("line").alias(f"{name}_line"))
+        rows = numbered(spark.read.text(path), "line", 1, of_file=False)
+        blank = F.trim("value") == ""
+        keep = rows.where(~blank).select(F.trim("value").alias(name), F.col("line").alias(f"{name}_line"))
+        # lines in parts of fixed length: each is numbered on its own, after the counts of those before it
+        part = F.floor(F.col(f"{name}_line") / LINES)
+        counts = keep.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+        before = F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        local = F.row_number().over(Window.partitionBy("__part").orderBy(f"{name}_line")) - 1
+        ranked = keep.withColumn("__part", part).withColumn("__local", local).join(counts.select("__part", before.alias("__before")), "__part")
+        return ranked.select((F.col("__local") + F.col("__before")).alias("ord"), name, f"{name}_line")
 
     both = lines(captions, "text").join(lines(paths, "path"), "ord", "full_outer").withColumn("aligned", F.col("text_line") == F.col("path_line"))
     bad = F.col("text").isNull() | F.col("path").isNull()
@@ -58,9 +93,8 @@ def choose_columns(df: DataFrame, caption: str | None = None, video: str | None
 
 
 def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """run (file), line_no, value; carriage returns end lines too."""
-    rows = spark.read.text(path, wholetext=False).withColumn("run", F.input_file_name())
-    return with_ordinal(rows, "line_no", 1).select("run", "line_no", "value")
+    """run (file), line_no (from 1 in each file), value; carriage returns end lines too."""
+    return numbered(spark.read.text(path), "line_no", 1).select(F.col("file").alias("run"), "line_no", "value")
 
 
 def list_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

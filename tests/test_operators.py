@@ -27,11 +27,11 @@ def test_plan_rules(spark):
 
 def test_captions(spark):
     assert one(spark, captions.split_clauses(F.lit("A b. c, d and e while f;g ,"))) == ["A b", "c", "d", "e", "f;g"]
-    assert one(spark, captions.blocked(F.lit("that is"))) and not one(spark, captions.blocked(F.lit("that is"), word_boundary=True))
+    assert one(spark, captions.blocked(F.lit("that is"), ("hat",))) and not one(spark, captions.blocked(F.lit("that is"), ("hat",), word_boundary=True))
     df = spark.createDataFrame([("c", "An anchor,", "a hat. red coat")], "clip_id string, anchor string, suffix string")
-    assert captions.prune(df).first()["final"] == "An anchor, red coat."
+    assert captions.prune(df, ("hat",)).first()["final"] == "An anchor, red coat."
     empty = spark.createDataFrame([("c", "An anchor,", None)], "clip_id string, anchor string, suffix string")
-    assert captions.prune(empty).first()["final"] == "An anchor." and captions.prune(empty, repair=False).first()["final"] == "An anchor, ."
+    assert captions.prune(empty, ("hat",)).first()["final"] == "An anchor." and captions.prune(empty, ("hat",), repair=False).first()["final"] == "An anchor, ."
     assert one(spark, captions.unquote(F.lit('"a"'))) == "a" and one(spark, captions.unquote(F.lit('"'))) == '"'
     rows = spark.range(10).withColumnRenamed("id", "ord")
     assert captions.every_nth(rows, "ord", 0.4).count() == 5 and captions.every_nth(rows, "ord", 0).count() == 1
@@ -48,7 +48,9 @@ def test_geometry(spark):
 
 
 def test_schedule_and_samples(spark):
-    assert sampling.schedule(37, 2, 2500) == {"steps_per_epoch": 19, "epochs": 132, "resume_epoch": 0}
+    assert sampling.schedule(37, 2, 2500, batch_size=2) == {"steps_per_epoch": 19, "epochs": 132, "resume_epoch": 0, "effective_batch": 4}
+    plans = sampling.schedules(spark.createDataFrame([(37,), (0,)], "n_batches long"), 2, 2500, 2)
+    assert [tuple(r) for r in plans.orderBy(F.desc("n_batches")).collect()] == [(37, 19, 132, 0, 4), (0, None, None, None, 4)]
     rows = spark.createDataFrame([(i, "rare" if i < 33 else "rest") for i in range(298)], ["id", "kind"])
     assert sampling.oversample(rows, "kind", {"rare": 3}).count() == 364
     kinds = spark.createDataFrame([("video",), ("image",), (None,)], "type string")
@@ -122,6 +124,184 @@ def test_sources(spark, tmp_path):
     assert tables.list_files(spark, str(tmp_path), "*.txt").count() == 3
 
 
+SHEET = "source_file,in,out,character,action_label,bg_type,alpha_file,bg_plate,props\n"
+
+
+def test_ordinals_count_within_files(spark, tmp_path):
+    """Sheets of one, many and few rows, split into blocks and packed in any order: each counts from 1."""
+    sizes = {"a": 1, "b": 900, "c": 3, "d": 0}
+    for name, n in sizes.items():
+        (tmp_path / f"{name}.csv").write_text(SHEET + "".join(f"{name}.mp4,{i},9,a,x,,,,p\n" for i in range(1, n + 1)))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for split, cost in (("700", "0"), ("128m", "4m"), ("128m", "0")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            got = tables.read_segments(spark, f"{tmp_path}/*.csv").select("source_file", "in", "row_ord").collect()
+            assert sorted((r["source_file"], r["row_ord"]) for r in got) == [(f"{k}.mp4", i) for k, n in sizes.items() for i in range(1, n + 1)]
+            assert all(int(r["in"]) == r["row_ord"] for r in got)
+            for name in ("x.log", "y.log"):
+                (tmp_path / name).write_text("".join(f"line {i}\r" for i in range(1, 400)) + "end\n")
+            lines = tables.read_log_lines(spark, f"{tmp_path}/*.log").collect()
+            assert sorted((r["run"][-5:], r["line_no"]) for r in lines) == [(n, i) for n in ("x.log", "y.log") for i in range(1, 401)]
+            assert all(r["value"] in (f"line {r['line_no']}", "end") for r in lines)
+            for name, step in (("c.txt", 3), ("p.txt", 2)):  # blank lines in different places
+                (tmp_path / name).write_text("".join("\n" if i % step == 0 else f"{name}{i}\n" for i in range(600)))
+            pairs, bad = tables.read_line_pairs(spark, f"{tmp_path}/c.txt", f"{tmp_path}/p.txt")
+            left, right = [i for i in range(600) if i % 3], [i for i in range(600) if i % 2]
+            want = [(f"c.txt{a}", f"p.txt{b}", a == b) for a, b in zip(left, right, strict=False)]
+            assert [(r["text"], r["path"], r["aligned"]) for r in pairs.orderBy("ord").collect()] == want
+            assert bad.count() == len(left) - len(right)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_metadata_forms(spark, tmp_path):
+    """An array of entries, an object that holds one, and CSV: the same rows in order."""
+    import json
+
+    entries = [{"file_path": f"{i}.mp4", "text": f"t{i}", "type": "video", "width": i, "more": [1]} for i in range(4)]
+    (tmp_path / "a.json").write_text(json.dumps(entries))
+    (tmp_path / "b.json").write_text(json.dumps({"data": entries, "version": 2}))
+    (tmp_path / "c.csv").write_text("file_path,text,type,width,height,source_skit,source_shot,window\n" + "".join(f"{i}.mp4,t{i},video,{i},,,,\n" for i in range(4)))
+    for name in ("a.json", "b.json", "c.csv"):
+        got = tables.read_metadata(spark, f"{tmp_path}/{name}").orderBy("ord").collect()
+        assert [(r["ord"], r["file_path"], r["text"], r["width"], r["height"]) for r in got] == [(i, f"{i}.mp4", f"t{i}", i, None) for i in range(4)], name
+    got = runs.first_captions(tables.read_metadata(spark, f"{tmp_path}/b.json"), 2).collect()
+    assert [r["text"] for r in got] == ["t0", "t1"]
+
+
+def test_written_tables(spark, tmp_path):
+    """Manifests, captions, spot checks and reports come back as they were written; nothing is overwritten."""
+    rows = spark.createDataFrame([("a", 'x, "y"', 1.5), ("b", None, None)], "clip_id string, text string, score double")
+    want = [("a", 'x, "y"', 1.5), ("b", None, None)]
+    for kind, reader in (("parquet", spark.read), ("json", spark.read.schema(rows.schema)), ("csv", spark.read.schema(rows.schema).option("header", True).option("escape", "\\"))):
+        tables.write_table(rows, f"{tmp_path}/{kind}", kind, ("clip_id", "text", "score"))
+        assert [tuple(r) for r in getattr(reader, kind)(f"{tmp_path}/{kind}").orderBy("clip_id").collect()] == want
+    tables.write_table(rows, f"{tmp_path}/order", "csv", ("score", "clip_id"))
+    assert spark.read.option("header", True).csv(f"{tmp_path}/order").columns == ["score", "clip_id"]
+    try:
+        tables.write_table(rows, f"{tmp_path}/json", "json")
+        raise AssertionError("overwritten")
+    except Exception as e:
+        assert "ALREADY_EXISTS" in str(e).upper()
+    assert [r["row"] for r in tables.markdown_rows(rows, ("clip_id", "score")).collect()] == ["| a | 1.5 |", "| b | – |"]
+    try:
+        tables.choose_columns(rows, "none")
+        raise AssertionError("found")
+    except ValueError as e:
+        assert "clip_id, text, score" in str(e)
+
+
+def test_checkpoints_and_completion(spark):
+    files = [("r", "checkpoint-5", True), ("r", "checkpoint-40/", True), ("r", "checkpoint-7", False), ("r", "logs", True), ("r", "", True), ("s", None, True), ("t", "x/checkpoint-3", True)]
+    found = runs.find_checkpoints(spark.createDataFrame(files, "root string, path string, has_weights boolean"))
+    assert sorted((r["root"], -1 if r["step"] is None else r["step"], r["is_final"]) for r in found.collect()) == [("r", -1, True), ("r", 5, False), ("r", 40, False), ("s", -1, True), ("t", 3, False)]
+    told = {w: {r["root"]: (r["label"], r["found"], r["alternatives"]) for r in runs.resolve_checkpoint(found, w).collect()} for w in ("latest", "final", "5")}
+    assert told["latest"] == {"r": ("checkpoint-40", True, None), "s": ("final", True, None), "t": ("checkpoint-3", True, None)}
+    assert told["final"] == {"r": ("final", True, None), "s": ("final", True, None), "t": ("checkpoint-3", True, None)}
+    assert told["5"] == {"r": ("checkpoint-5", True, None), "s": (None, False, ""), "t": (None, False, "3")}
+    kept = {r["step"]: r["remove"] for r in runs.retention(found.where("root = 'r'"), 2).collect()}
+    assert kept == {5: True, 40: False}
+    lines = spark.createDataFrame([("a", 1, "Steps: 100%|x"), ("b", 1, "3/9 [00:01<1, loss=1, lr=1]"), ("c", 1, "9/9 [00:01<1, loss=1, lr=1]"), ("d", 1, None)], "run string, line_no int, value string")
+    plan = spark.createDataFrame([("b", 9), ("c", 9), ("d", 0)], "run string, total_steps long")
+    assert {r["run"]: r["completed"] for r in runs.completion(lines, runs.log_points(lines), plan).collect()} == {"a": True, "b": False, "c": True, "d": False}
+    many = spark.range(11).withColumn("score", F.col("id"))
+    try:
+        runs.rank_by(many, (("score", True),), most=10).collect()
+        raise AssertionError("ranked")
+    except Exception as e:
+        assert "more than 10 rows" in str(e)
+
+
+def test_drift_of_published_series(spark):
+    """First and last correlation with the first frame of 33 frames: 1.0 and 0.3275 drift by 0.6725."""
+    rows = [("c", i, None if i == 0 else 0.9, 1.0 - i * (1.0 - 0.3275) / 32) for i in range(33)]
+    got = frames.first_frame_drift(spark.createDataFrame(rows, "clip_id string, frame_idx int, adjacent double, versus_first double")).first()
+    assert (got["frames"], got["first"], got["last"], got["palette_drift"]) == (33, 1.0, 0.3275, 0.6725)
+    assert one(spark, frames.correlation(F.array(F.lit(1.0), F.lit(2.0), F.lit(4.0)), F.array(F.lit(2.0), F.lit(4.0), F.lit(8.0)))) == 1.0
+    assert one(spark, frames.correlation(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(2.0), F.lit(4.0)))) == 1.0
+
+
+def test_frame_index_rules(spark):
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 5, 30, 77, 400):
+        for head, tail, frames_, stride in ((0.1, 0.9, 16, 3), (0.0, 1.0, 49, 2), (0.2, 0.3, 4, 4)):
+            u = float(rng.random())
+            got = one(spark, sampling.dropped_ends_indices(F.lit(n), frames_, stride, head, tail, F.lit(u)))
+            m = min(frames_, int(n * (tail - head) // stride))
+            if m == 0:
+                assert got is None
+                continue
+            end = int(tail * n)
+            span = min(end, (m - 1) * stride + 1)
+            low, high = (0, 0) if end == span else (int(head * end), end - span)
+            assert len(got) == m and low <= got[0] <= high
+            assert got == np.linspace(got[0], got[0] + span - 1, m, dtype=int).tolist()
+        assert 0 <= one(spark, sampling.single_frame(F.lit(n), F.lit(0.999999))) < n
+        kept = one(spark, sampling.kept_frames(F.lit(30), F.lit(n)))
+        skip = min(5, max(0, -(-30 // 8) - 1))
+        while skip and n / (skip + 1) < 49:
+            skip -= 1
+        assert kept == list(range(0, n, skip + 1))[:49]
+    assert one(spark, sampling.strided_indices(F.lit(9), 1, 3, F.lit(0.5))) == [4]
+
+
+def slow_edges(a):
+    p = np.pad(a, 1, mode="reflect")
+    kx = np.array([[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]])
+    out = np.zeros(a.shape)
+    for i in range(a.shape[0]):
+        for j in range(a.shape[1]):
+            w = p[i : i + 3, j : j + 3]
+            out[i, j] = np.hypot((w * kx).sum(), (w * kx.T).sum())
+    return out
+
+
+def test_edges_flat_areas_and_loops(spark):
+    """Edge similarity and flat-area error by direct loops; first and last frames by clip."""
+    rng = np.random.default_rng(4)
+    a = rng.random((12, 14)) * 255
+    a[:6, :8] = 90.0
+    b = np.clip(a + rng.normal(size=a.shape) * 9, 0, 255)
+    flat = np.full((12, 14), 7.0)
+    rows = [(1, a.ravel().tolist(), b.ravel().tolist()), (2, flat.ravel().tolist(), b.ravel().tolist())]
+    got = {r["id"]: r for r in frames.structural(spark.createDataFrame(rows, "id int, a array<double>, b array<double>"), 12, 14).collect()}
+    ea, eb = slow_edges(a), slow_edges(b)
+    top = ea.max()
+    g = np.outer(frames.gaussian(), frames.gaussian())
+    blur = lambda x: np.array([[(np.pad(x, 5, mode="reflect")[i : i + 11, j : j + 11] * g).sum() for j in range(14)] for i in range(12)])
+    c1, c2 = (0.01 * top) ** 2, (0.03 * top) ** 2
+    ma, mb = blur(ea), blur(eb)
+    va, vb, cov = blur(ea * ea) - ma**2, blur(eb * eb) - mb**2, blur(ea * eb) - ma * mb
+    want = (((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean()
+    assert abs(got[1]["edge_ssim"] - want) < 1e-9 and abs(got[1]["ssim"] - slow_ssim(a, b)) < 1e-9
+    calm = ea < 0.06 * top + 1e-6
+    assert calm.any() and abs(got[1]["flat_mae"] - np.abs(a - b)[calm].mean()) < 1e-9
+    assert abs(got[2]["flat_mae"] - np.abs(flat - b).mean()) < 1e-9
+    clips = [("x", 2, a), ("x", 0, b), ("x", 1, flat), ("y", 5, a)]
+    df = spark.createDataFrame([(c, i, v.ravel().tolist()) for c, i, v in clips], "clip_id string, frame_idx int, pixels array<double>")
+    ends = {r["clip_id"]: r for r in frames.loop_closure(df, 12, 14).collect()}
+    assert abs(ends["x"]["ssim"] - slow_ssim(b, a)) < 1e-9 and ends["x"]["closed"] == (ends["x"]["ssim"] >= 0.92) and ends["y"]["closed"]
+    assert one(spark, frames.psnr_exact(F.array(F.lit(1.0)), F.array(F.lit(1.0)))) == 99.0
+
+
+def test_hot_clips_and_variants(spark):
+    """A clip of many anchors and clauses has the cosine that brute force gives."""
+    rng = np.random.default_rng(6)
+    a, c = rng.normal(size=(700, 5)), rng.normal(size=(300, 5))
+    table = lambda v, names: spark.createDataFrame([("hot", i, x.tolist()) for i, x in enumerate(v)], names)
+    clauses = table(c, "clip_id string, clause_ord int, vector array<double>").unionByName(spark.createDataFrame([("none", 0, [1.0] * 5)], "clip_id string, clause_ord int, vector array<double>"))
+    got = {(r["clip_id"], r["clause_ord"]): r for r in captions.prune_semantic(clauses, table(a, "clip_id string, n int, vector array<double>"), 0.9).collect()}
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    best = (unit(c) @ unit(a).T).max(1)
+    assert all(abs(got["hot", i]["best"] - x) < 1e-12 and got["hot", i]["dropped"] == (x > 0.9) for i, x in enumerate(best))
+    assert got["none", 0]["best"] is None and not got["none", 0]["dropped"]
+    assert one(spark, captions.trigger_variant(F.lit("A bird, runs"), F.lit("A bird"), "TOK")) == "TOK, runs"
+    assert one(spark, captions.trigger_variant(F.lit("A bird, runs"), F.lit(""), "TOK")) == "A bird, runs"
+
+
 def test_shares_lists_and_draws(spark):
     clips = spark.createDataFrame([("gray",)] * 7 + [("show",)] * 3, "bg_type string")
     got = {r["bg_type"]: (r["n"], r["share"], r["ok"]) for r in composition.share_gates(clips, "bg_type", {"gray": 0.7, "show": 0.2, "none": 0.0}, 0.05).collect()}
