@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,19 +16,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets a temporary one; others raise."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='framewise-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
 
+#: Open scratch scopes, the innermost last: paths to remove when each ends.
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
+    """Tables saved inside are removed at its end, but for paths given to what it yields, which pass to the scope around it.
+
+    All that reads the others must have run by then, so a scope ends after a table that needs them was written.
+    """
+    own: list[str] = []
+    kept: list[str] = []
+    _scopes.append(own)
+    try:
+        yield kept.append
+    finally:
+        _scopes.remove(own)
+        for path in own:
+            if path not in kept:
+                remove(spark, path)
+            elif _scopes:
+                _scopes[-1].append(path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder; it is removed when the session's JVM ends."""
+    """An unused path below the shared folder; it is removed with its scratch scope, or else when the session's JVM ends."""
     path = f"{shared_dir(spark)}/framewise/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if _scopes:
+        _scopes[-1].append(path)
     return path
 
 

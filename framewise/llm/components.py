@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, remove, save_at
+from .common import join_keyed, remove, save_at, scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,14 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
         last = count, marks
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        least, least_path = save_at(least, "least")
-        large = join_keyed(both.where("v > u"), least, ["u"], 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        large, large_path = save_at(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # a node's larger ones are gone, so few edges are left to it
-        small = large.join(least, "u")
-        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e, new = save_at(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        for old in (path, least_path, large_path):
-            remove(spark, old)
+        with scratch(spark) as keep:
+            least = save_at(least, "least")[0]
+            large = join_keyed(both.where("v > u"), least, ["u"], 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v"))
+            large = save_at(large.unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct(), "large")[0]
+            least = large.groupBy("u").agg(F.min("v").alias("m"))  # a node's larger ones are gone, so few edges are left to it
+            small = large.join(least, "u")
+            small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+            e, new = save_at(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+            keep(new)
+        remove(spark, path)
         path = new

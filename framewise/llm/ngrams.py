@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, save
+from .common import join_keyed, save, save_at, scratch
 from .components import components
 from .tiles import LINKED, linked, over_tiles
 
@@ -234,7 +234,9 @@ def classified(docs: DataFrame, threshold: float) -> DataFrame:
     reps = reps.agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
     reps = save(reps.withColumn("uid", F.monotonically_increasing_id()), "texts")
     names = ["block", "partners", "uid", "copies", "sig"]
-    members = save(dealt_to_blocks(reps).join(reps, "uid").select(*names, "rep", "text_key"), "members")
+    with scratch(docs.sparkSession) as keep:
+        members, path = save_at(dealt_to_blocks(reps).join(reps, "uid").select(*names, "rep", "text_key"), "members")
+        keep(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

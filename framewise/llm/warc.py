@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_keyed, new_path, save
+from .common import join_keyed, new_path, save, scratch
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -90,8 +90,6 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     the first as saved is taken as the smaller. A null page_id counts as the largest.
     """
     spark = pages.sparkSession
-    staged, table = staged_rows(pages)
-    average = staged.agg(F.avg("payload_bytes")).first()[0] or 1.0
     name = lambda page, key: record_urn(F.concat_ws(":", page, key))
     revisit = F.col("original").isNotNull()
     own, other = name(F.col("page_id"), F.col("key")), name(F.col("original.page_id"), F.col("original.key"))
@@ -107,17 +105,20 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         line("WARC-Payload-Length", F.col("payload_bytes").cast("string")), F.when(revisit, refers).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    most = max(1, min(ARCHIVE_RECORDS, int(archive_bytes / max(average, 1.0))))
     key = "spark.sql.requireAllClusterKeysForCoPartition"  # buckets by part do for a join by part and key
     before = spark.conf.get(key)
     spark.conf.set(key, "false")
-    try:
-        records = with_originals(staged, least_bytes).select(F.concat(head, block).alias("value"))
-        # a record ends with two line ends: the writer's line separator
-        records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
-    finally:
-        spark.conf.set(key, before)
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    with scratch(spark):
+        staged, table = staged_rows(pages)
+        try:
+            average = staged.agg(F.avg("payload_bytes")).first()[0] or 1.0
+            most = max(1, min(ARCHIVE_RECORDS, int(archive_bytes / max(average, 1.0))))
+            records = with_originals(staged, least_bytes).select(F.concat(head, block).alias("value"))
+            # a record ends with two line ends: the writer's line separator
+            records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+        finally:
+            spark.conf.set(key, before)
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def cut_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:

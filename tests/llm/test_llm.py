@@ -63,6 +63,16 @@ def test_unigram_matches_tokenizer():
             assert count.count_text(text) == len(t.encode(text).ids), repr(text)[:80]
 
 
+def test_token_counts_of_odd_rows(spark):
+    """Null and empty texts, null and repeated ids, very long texts, clashing columns, the empty table."""
+    rows = [(None, None), (1, ""), (2, "a b"), (2, "a b"), (None, "a b"), (3, "word " * 60_000), (4, "x" * 90_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
+    count = unigram.Counter(unigram.read_vocabulary(piece_model())[0])
+    got = Counter((r["doc_id"], r["n_tokens"]) for r in unigram.token_counts(docs, piece_model()).collect())
+    assert got == Counter((i, count.count_text(t or "")) for i, t in rows) and got[(None, 0)] == 1
+    assert unigram.token_counts(docs.limit(0), piece_model()).count() == 0
+
+
 def test_quality_statistics_brute_force(spark):
     def slow(t):
         words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -487,6 +497,33 @@ def test_near_duplicates_brute_force(spark, monkeypatch):
     assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in ngrams.near_duplicate_classes(lone).collect()} == {(None, 4, 2), (4, 4, 2)}
 
 
+def test_chained_texts(spark, monkeypatch):
+    """A long chain of texts that resemble only their neighbours, some at the threshold, and a hub of boilerplate: links by brute force."""
+    monkeypatch.setattr(ngrams, "BLOCK_ROWS", 8)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(5_000)]
+    text, texts = [rng.choice(words) for _ in range(120)], []
+    for i in range(80):
+        texts.append(" ".join(text))
+        k = rng.randrange(110)
+        step = (2, 6, 14, 30)[i % 4]
+        text = text[:k] + [rng.choice(words) for _ in range(step)] + text[k + step :] if k + step <= 120 else text[:-step] + [rng.choice(words) for _ in range(step)]
+    common = [rng.choice(words) for _ in range(90)]
+    texts += [" ".join(common + [rng.choice(words) for _ in range(n)]) for n in (5, 10, 20, 30, 40, 60) for _ in range(6)]
+    shingles = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    links = {i: {j for j in range(len(texts)) if j != i and texts[i] != texts[j] and len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]) - 1e-9} for i in range(len(texts))}
+    for i, t in enumerate(texts):
+        links[i] |= {j for j, u in enumerate(texts) if j != i and u == t}
+    got = {r["doc_id"]: r for r in ngrams.near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(map(len, links.values())) > 60
+    for i in links:
+        seen, todo = {i}, [i]
+        while todo:
+            todo += (new := links[todo.pop()] - seen)
+            seen |= new
+        assert (got[i]["n_links"], got[i]["class_id"]) == (len(links[i]), min(seen))
+
+
 def test_pruning_keeps_pairs_at_threshold():
     rng = np.random.default_rng(0)
     matches = rng.random((100_000, ngrams.HASHES)) < 0.8
@@ -573,22 +610,3 @@ def test_query_against_sql(spark, name):
         con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{DIR}/{f}'")
     got, want = queries()[name](spark, DIR), con.sql(oracle_sql()[name])
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(want.columns, want.fetchall())
-
-
-def test_pipeline_stages(spark):
-    """Each stage against what its operator says of its own input."""
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, DIR)
-        assert out.columns == docs.columns, name
-        path = new_path(spark, "stage")
-        out.write.parquet(path)
-        after = spark.read.parquet(path)
-        assert 0 < after.count() and not after.subtract(docs).count()
-        if name == "n-gram Jaccard join":
-            ids = {r["doc_id"] for r in ngrams.near_duplicate_classes(docs).where("doc_id = class_id").collect()}
-            assert sorted(r["doc_id"] for r in after.collect()) == sorted(ids)
-        docs = after
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
-    assert last.count() == docs.count()
