@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import classifier, mixing, ngrams, pieces, rules
-from framewise.llm.common import new_path, prepare, table
+from framewise.llm.common import new_path, prepare, scratch, table
 from framewise.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, piece_model
 
 #: The mixture takes as many tokens as the stage is given: over-full sources are cut, scarce ones repeated.
@@ -19,11 +19,21 @@ SHARE = 1.0
 ORACLE_SQL = None
 
 
+def aside(docs: DataFrame, *used: str) -> DataFrame:
+    """All columns of ``docs`` under names that no operator gives, and those a stage uses: an extra column may have any name."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"__keep{i}") for i, c in enumerate(docs.columns)], *used)
+
+
+def back(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col(f"__keep{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is at least one half."""
     prepare(spark)
-    scored = classifier.score_quality(docs, table(spark, sf_dir, "labels"), keep=docs.columns)
-    return scored.where("predicted = 1").select(*[f"`{c}`" for c in docs.columns])
+    kept = [f"__keep{i}" for i in range(len(docs.columns))]
+    scored = classifier.score_quality(aside(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), keep=kept)
+    return back(scored.where("predicted = 1"), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +52,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture's documents, a row for each epoch."""
-    rows = docs.withColumn("__tokens", mixing.count_words(F.col("text")))
-    if "domain" not in docs.columns:
-        rows = rows.withColumn("domain", mixing.source_domain(F.col("source")))
-    return mixing.mix(rows, MIX_WEIGHTS, SHARE, MIX_EPOCHS, MIX_SEED, token_col="__tokens").select(*[f"`{c}`" for c in docs.columns])
+    rows = aside(docs, "doc_id", "lang", "source").withColumn("n_tokens", mixing.count_words(F.col(f"__keep{docs.columns.index('text')}")))
+    rows = rows.withColumn("domain", mixing.source_domain(F.col("source")))
+    return back(mixing.mix(rows, MIX_WEIGHTS, SHARE, MIX_EPOCHS, MIX_SEED), docs)
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,6 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage{i}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):  # what a stage saved on its way is of no use once its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
