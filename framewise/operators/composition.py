@@ -70,7 +70,8 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     name = F.regexp_replace(F.lower(F.trim(F.col(key))), r"_v\d+$", "")
     sides = [df.groupBy(name.alias("name")).agg(F.count("*").alias(n)) for df, n in ((left, "n_left"), (right, "n_right"))]
     out = sides[0].join(sides[1], "name", "full_outer").na.fill(0, ["n_left", "n_right"])
-    return out.withColumn("status", F.when(F.col("n_left") == 0, "right_only").when(F.col("n_right") == 0, "left_only").when((F.col("n_left") > 1) | (F.col("n_right") > 1), "duplicated").otherwise("matched"))
+    return out.withColumn("status", F.when(F.col("n_left") == 0, "right_only").when(F.col("n_right") == 0,
+        "left_only").when((F.col("n_left") > 1) | (F.col("n_right") > 1), "duplicated").otherwise("matched"))
 
 
 def share_gates(clips: DataFrame, column: str, wanted: dict[str, float], tolerance: float) -> DataFrame:

@@ -143,9 +143,10 @@ def blur(images: np.ndarray) -> np.ndarray:
     return images
 
 
-def ssim_stack(a: np.ndarray, b: np.ndarray, data_range: float = 255.0) -> np.ndarray:
-    """Structural similarity of each pair of images of two stacks."""
-    c1, c2 = (0.01 * data_range) ** 2, (0.03 * data_range) ** 2
+def ssim_stack(a: np.ndarray, b: np.ndarray, data_range: float | np.ndarray = 255.0) -> np.ndarray:
+    """Structural similarity of each pair of images of two stacks; ``data_range`` is one for all or one for each pair."""
+    span = np.asarray(data_range, float).reshape(-1, 1, 1)
+    c1, c2 = (0.01 * span) ** 2, (0.03 * span) ** 2
     ma, mb = blur(a), blur(b)
     va, vb, cov = blur(a * a) - ma * ma, blur(b * b) - mb * mb, blur(a * b) - ma * mb
     return (((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma * ma + mb * mb + c1) * (va + vb + c2))).mean(axis=(1, 2))
@@ -174,8 +175,9 @@ def structural(pairs: DataFrame, height: int, width: int) -> DataFrame:
             flat = ea < (0.06 * top + 1e-6)[:, None, None]
             count = flat.sum(axis=(1, 2))
             mae = np.where(count > 0, (np.abs(a - b) * flat).sum(axis=(1, 2)) / np.maximum(count, 1), np.nan)
-            edge = [ssim_stack(x[None], y[None], max(t, 1e-6))[0] for x, y, t in zip(ea, eb, top, strict=True)]
-            yield pdf.drop(columns=["a", "b"]).assign(ssim=ssim_stack(a, b), edge_ssim=edge, flat_mae=pd.Series(mae, index=pdf.index).astype(object).where(count > 0, None))
+            edge = ssim_stack(ea, eb, np.maximum(top, 1e-6))
+            flat_mae = pd.Series(mae, index=pdf.index).astype(object).where(count > 0, None)
+            yield pdf.drop(columns=["a", "b"]).assign(ssim=ssim_stack(a, b), edge_ssim=edge, flat_mae=flat_mae)
 
     schema = pairs.drop("a", "b").schema.add("ssim", "double").add("edge_ssim", "double").add("flat_mae", "double")
     return pairs.mapInPandas(run, schema)
@@ -305,7 +307,8 @@ def colour_pairs(pairs: DataFrame, height: int, width: int) -> DataFrame:
             whole = [np.clip(x, 0, 255).astype(np.uint8).reshape(len(x), -1, 3) for x in (a, b)]
             planes = [(x.transpose(2, 0, 1) / 255, y.transpose(2, 0, 1) / 255) for x, y in zip(a, b, strict=True)]
             small = [similarity_terms(thumbnail(x), thumbnail(y), (0, 1, 2))[0] for x, y in planes]
-            yield pdf.drop(columns=["a", "b"]).assign(hist_corr=histogram_correlation(*whole), similarity=small, ms_ssim=pd.Series([multi_scale(x, y) for x, y in planes], index=pdf.index, dtype=object))
+            yield pdf.drop(columns=["a", "b"]).assign(hist_corr=histogram_correlation(*whole), similarity=small, ms_ssim=pd.Series([multi_scale(x, y) for x, y in planes],
+                index=pdf.index, dtype=object))
 
     schema = pairs.drop("a", "b").schema.add("hist_corr", "double").add("similarity", "double").add("ms_ssim", "double")
     return pairs.mapInPandas(run, schema)

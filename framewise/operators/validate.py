@@ -99,6 +99,7 @@ def breakdown_problems(clips: DataFrame, registry: DataFrame, frames: Sequence[i
     """
     of = lambda kind: F.transform(F.coalesce(f"{kind}s", F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("id")))
     named = clips.select("shot_id", "clip_no", F.explode(F.concat(of("character"), of("prop"))).alias("n")).select("shot_id", "clip_no", "n.kind", "n.id")
-    unknown = named.join(registry.select("kind", "id"), ["kind", "id"], "left_anti").select("shot_id", "clip_no", F.concat(F.lit("unknown_"), F.col("kind")).alias("problem"), F.col("id").alias("item"))
+    unknown = named.join(registry.select("kind", "id"), ["kind", "id"], "left_anti").select("shot_id", "clip_no",
+        F.concat(F.lit("unknown_"), F.col("kind")).alias("problem"), F.col("id").alias("item"))
     wrong = F.array_compact(F.array(F.when(~F.coalesce(F.col("frames").isin(*frames), F.lit(False)), "frames"), F.when(F.trim(F.coalesce("background", F.lit(""))) == "", "background")))
     return unknown.unionByName(clips.select("shot_id", "clip_no", F.explode(wrong).alias("problem"), F.lit(None).cast("string").alias("item")))

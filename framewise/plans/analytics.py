@@ -50,8 +50,10 @@ def resampled_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("clip").agg(F.count("*").alias("frames"), F.sum("src_idx").alias("src_sum"), F.max("src_idx").alias("src_last"))
 
 
-RESAMPLED = with_views("""+n AS (SELECT clip, count(*) AS n FROM series GROUP BY clip), r AS (SELECT clip, n, unnest(range(0, 49)) AS k FROM n WHERE floor((n - 1) * 16 / 24.0) + 1 + 16 >= 49),
-x AS (SELECT clip, least(floor(k * 24 / 16.0), n - 1)::BIGINT AS src FROM r) SELECT clip, count(*) AS frames, sum(src)::BIGINT AS src_sum, max(src) AS src_last FROM x GROUP BY clip""", "series")
+RESAMPLED = with_views("""+n AS (SELECT clip, count(*) AS n FROM series GROUP BY clip),
+  r AS (SELECT clip, n, unnest(range(0, 49)) AS k FROM n WHERE floor((n - 1) * 16 / 24.0) + 1 + 16 >= 49),
+x AS (SELECT clip, least(floor(k * 24 / 16.0), n - 1)::BIGINT AS src FROM r) SELECT clip, count(*) AS frames, sum(src)::BIGINT AS src_sum, max(src) AS src_last FROM x
+  GROUP BY clip""", "series")
 
 
 def densified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +63,8 @@ def densified(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DENSIFIED = with_views("""+p AS (SELECT clip, CASE WHEN idx % 50 <> 49 THEN similarity END AS s, unnest(range(0, 4)) AS step FROM series)
-SELECT clip, CASE WHEN step = 0 THEN 'source' WHEN s IS NULL THEN 'hold' WHEN s > 0.996 THEN 'duplicate' WHEN s < 0.2 THEN 'hold' ELSE 'interpolate' END AS kind, count(*) AS n FROM p GROUP BY ALL""", "series")
+SELECT clip, CASE WHEN step = 0 THEN 'source' WHEN s IS NULL THEN 'hold' WHEN s > 0.996 THEN 'duplicate' WHEN s < 0.2 THEN 'hold' ELSE 'interpolate' END AS kind, count(*) AS n
+  FROM p GROUP BY ALL""", "series")
 
 
 def draw_sql(purpose: str, key: str, seed: int = 7) -> str:
@@ -84,7 +87,8 @@ def full_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FULL_BATCHES = with_views(f"""+d AS (SELECT doc_id, type, source, {draw_sql("order", "doc_id")} AS u FROM metadata),
 r AS (SELECT *, row_number() OVER (PARTITION BY type, source ORDER BY u, doc_id) - 1 AS position, count(*) OVER (PARTITION BY type, source) AS n FROM d),
-b AS (SELECT *, position // 4 AS batch FROM r) SELECT doc_id, type, source, position, batch, round(max(u) OVER (PARTITION BY type, source, batch), 6) AS batch_rank FROM b WHERE (batch + 1) * 4 <= n""", "metadata")
+b AS (SELECT *, position // 4 AS batch FROM r) SELECT doc_id, type, source, position, batch, round(max(u) OVER (PARTITION BY type, source, batch), 6) AS batch_rank FROM b
+  WHERE (batch + 1) * 4 <= n""", "metadata")
 
 
 def seeded_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,19 +112,24 @@ def crop_sql() -> str:
 
 
 SEEDED_DRAWS = f"""WITH x AS (SELECT doc_id, {draw_sql("caption", "doc_id")} AS c, {draw_sql("down", "doc_id")} AS d, {draw_sql("crop", "doc_id")} AS u FROM documents)
-SELECT doc_id, c < 0.1 AS emptied, CASE WHEN d < 0.75 THEN 1 WHEN d < 0.75 + 0.25::DOUBLE / 3 THEN 1.25 WHEN d < 0.75 + 0.25::DOUBLE / 3 * 2 THEN 1.5 ELSE 2 END::DOUBLE AS down, {crop_sql()} AS crop FROM x"""
+SELECT doc_id, c < 0.1 AS emptied, CASE WHEN d < 0.75 THEN 1 WHEN d < 0.75 + 0.25::DOUBLE / 3 THEN 1.25 WHEN d < 0.75 + 0.25::DOUBLE / 3 * 2 THEN 1.5 ELSE 2 END::DOUBLE AS down,
+  {crop_sql()} AS crop FROM x"""
 
 
 def frame_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.probes(spark, sf_dir)
     n, text = F.col("nb_read_frames"), lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
-    return p.select("p_partkey", text(sampling.strided_indices(n, 16, 3, sampling.draw(F.col("p_partkey").cast("string"), 7, "clip"))).alias("strided"), text(sampling.head_tail_indices(n, 4, 4, 20)).alias("head_tail"),
+    return p.select("p_partkey", text(sampling.strided_indices(n, 16, 3, sampling.draw(F.col("p_partkey").cast("string"), 7, "clip"))).alias("strided"),
+        text(sampling.head_tail_indices(n, 4, 4, 20)).alias("head_tail"),
                     text(sampling.key_frames(n)).alias("keys"), sampling.frame_skip(F.lit(30), n).alias("skip"))
 
 
-FRAME_INDICES = with_views(f"""+x AS (SELECT p_partkey, nb_read_frames AS n, least(nb_read_frames, 46) AS span, {draw_sql("clip", "p_partkey")} AS u, nb_read_frames - 8 AS left_ FROM probes),
-y AS (SELECT *, floor(u * (n - span + 1)) AS st, CASE WHEN left_ <= 20 THEN 1 ELSE left_ // 20 END AS stride FROM x), z AS (SELECT *, (least((left_ + stride - 1) // stride, 20) - 1) // 4 * 4 + 1 AS m FROM y)
-SELECT p_partkey, array_to_string(list_transform(range(0, 16), lambda i: (st + floor(i * (span - 1) / 15.0))::INT), ',') AS strided, array_to_string(list_transform(range(0, m), lambda i: 4 + i * stride), ',') AS head_tail,
+FRAME_INDICES = with_views(f"""+x AS (SELECT p_partkey, nb_read_frames AS n, least(nb_read_frames, 46) AS span, {draw_sql("clip", "p_partkey")} AS u, nb_read_frames - 8 AS left_
+  FROM probes),
+y AS (SELECT *, floor(u * (n - span + 1)) AS st, CASE WHEN left_ <= 20 THEN 1 ELSE left_ // 20 END AS stride FROM x),
+  z AS (SELECT *, (least((left_ + stride - 1) // stride, 20) - 1) // 4 * 4 + 1 AS m FROM y)
+SELECT p_partkey, array_to_string(list_transform(range(0, 16), lambda i: (st + floor(i * (span - 1) / 15.0))::INT), ',') AS strided,
+  array_to_string(list_transform(range(0, m), lambda i: 4 + i * stride), ',') AS head_tail,
   concat_ws(',', 0, n // 4, n // 2, n * 3 // 4, n - 1) AS keys, CASE WHEN n / 4.0 >= 49 THEN 3 WHEN n / 3.0 >= 49 THEN 2 WHEN n / 2.0 >= 49 THEN 1 ELSE 0 END AS skip FROM z""", "probes")
 
 
@@ -128,7 +137,8 @@ def nearest_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.nearest_per_second(views.series(spark, sf_dir).select("clip", "t", "idx"))
 
 
-NEAREST_SECONDS = with_views("""+l AS (SELECT clip, least(round_even(max(t), 0), 23)::INT AS last FROM series GROUP BY clip), s AS (SELECT clip, unnest(range(0, last + 1))::INT AS second FROM l)
+NEAREST_SECONDS = with_views("""+l AS (SELECT clip, least(round_even(max(t), 0), 23)::INT AS last FROM series GROUP BY clip),
+  s AS (SELECT clip, unnest(range(0, last + 1))::INT AS second FROM l)
 SELECT s.clip, second, arg_min(idx, (abs(t - second), idx)) AS idx FROM s JOIN series x ON x.clip = s.clip GROUP BY s.clip, second""", "series")
 
 
@@ -137,7 +147,8 @@ def bad_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.substitute_bad(m, "doc_id", 7).select("doc_id", "type", "use")
 
 
-BAD_ROWS = with_views(f"""+m AS (SELECT doc_id, type, trim(text) <> '' AS good FROM metadata), g AS (SELECT type, doc_id, row_number() OVER (PARTITION BY type ORDER BY {draw_sql("good", "doc_id")}, doc_id) - 1 AS k FROM m WHERE good),
+BAD_ROWS = with_views(f"""+m AS (SELECT doc_id, type, trim(text) <> '' AS good FROM metadata),
+  g AS (SELECT type, doc_id, row_number() OVER (PARTITION BY type ORDER BY {draw_sql("good", "doc_id")}, doc_id) - 1 AS k FROM m WHERE good),
 n AS (SELECT type, count(*) AS n FROM g GROUP BY type) SELECT m.doc_id, m.type, CASE WHEN good THEN m.doc_id ELSE g.doc_id END AS use
 FROM m JOIN n USING (type) LEFT JOIN g ON NOT m.good AND g.type = m.type AND g.k = floor({draw_sql("bad", "m.doc_id")} * n)::BIGINT""", "metadata")
 
@@ -145,7 +156,8 @@ FROM m JOIN n USING (type) LEFT JOIN g ON NOT m.good AND g.type = m.type AND g.k
 def frame_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fr.with_previous(views.frames(spark, sf_dir)).where("previous is not null")
     a, b = F.col("previous"), F.col("pixels")
-    return f.select("clip_id", "frame_idx", F.round(fr.mean_abs_diff(a, b), 3).alias("mad"), F.round(fr.psnr(a, b), 4).alias("psnr"), F.round(fr.luminance(a[0], a[1], a[2]), 6).alias("luminance"))
+    return f.select("clip_id", "frame_idx", F.round(fr.mean_abs_diff(a, b), 3).alias("mad"), F.round(fr.psnr(a, b), 4).alias("psnr"),
+        F.round(fr.luminance(a[0], a[1], a[2]), 6).alias("luminance"))
 
 
 FRAME_METRICS = with_views("""+p AS (SELECT *, lag(pixels) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS q FROM frames),
@@ -162,7 +174,8 @@ def reconstruction_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("clip_id", F.round("psnr_mean", 4).alias("mean"), F.round("psnr_least", 4).alias("least"), "frames")
 
 
-RECONSTRUCTION = with_views("""+e AS (SELECT clip_id, 10 * log10(65025.0::DOUBLE / list_avg(list_transform(pixels, lambda p: (p - 16 * floor(p / 16 + 0.5)) * (p - 16 * floor(p / 16 + 0.5))))) AS psnr FROM frames)
+RECONSTRUCTION = with_views("""+e AS (SELECT clip_id, 10 * log10(65025.0::DOUBLE / list_avg(list_transform(pixels,
+  lambda p: (p - 16 * floor(p / 16 + 0.5)) * (p - 16 * floor(p / 16 + 0.5))))) AS psnr FROM frames)
 SELECT clip_id, round(avg(psnr), 4) AS mean, round(min(psnr), 4) AS least, count(*) AS frames FROM e GROUP BY clip_id""", "frames")
 
 
@@ -179,14 +192,16 @@ def consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONSISTENCY = with_views("""+x AS (SELECT *, round(similarity, 4) AS s, row_number() OVER (PARTITION BY clip ORDER BY idx) AS rn, count(*) OVER (PARTITION BY clip) AS n,
   abs(score - 2 * lag(score) OVER (PARTITION BY clip ORDER BY idx) + lag(score, 2) OVER (PARTITION BY clip ORDER BY idx)) AS j FROM series)
 SELECT clip AS clip_id, count(*) AS pairs, arg_min(idx, (similarity, idx)) AS worst, round(avg(s), 5) AS mean, round(min(s), 5) AS least, round(stddev_pop(s), 5) AS deviation,
-  round(abs(avg(similarity) FILTER (rn <= greatest(floor(n * 0.15), 1)) - avg(similarity) FILTER (rn > n - greatest(floor(n * 0.15), 1))), 5) AS drift, round(avg(j), 5) AS jerk, round(avg((score < 10)::INT), 5) AS held FROM x GROUP BY clip""", "series")
+  round(abs(avg(similarity) FILTER (rn <= greatest(floor(n * 0.15), 1)) - avg(similarity) FILTER (rn > n - greatest(floor(n * 0.15), 1))), 5) AS drift, round(avg(j), 5) AS jerk,
+  round(avg((score < 10)::INT), 5) AS held FROM x GROUP BY clip""", "series")
 
 
 def flicker_suspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fr.flicker(_metrics(spark, sf_dir)).select("clip_id", "frame_idx", F.round("bound", 5).alias("bound"))
 
 
-FLICKER = with_views("""+x AS (SELECT clip AS clip_id, idx AS frame_idx, round(similarity, 4) AS s, avg(round(similarity, 4)) OVER w AS m, stddev_pop(round(similarity, 4)) OVER w AS d FROM series WINDOW w AS (PARTITION BY clip))
+FLICKER = with_views("""+x AS (SELECT clip AS clip_id, idx AS frame_idx, round(similarity, 4) AS s, avg(round(similarity, 4)) OVER w AS m,
+  stddev_pop(round(similarity, 4)) OVER w AS d FROM series WINDOW w AS (PARTITION BY clip))
 SELECT clip_id, frame_idx, round(m - 2 * CASE WHEN d = 0 THEN 1e-9 ELSE d END, 5) AS bound FROM x WHERE s < m - 2 * CASE WHEN d = 0 THEN 1e-9 ELSE d END""", "series")
 
 
@@ -200,18 +215,21 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events")
     w = Window.partitionBy("user_id")
     n, total = F.row_number().over(w.orderBy("ts", "event_id")), F.count("*").over(w)
-    text = F.concat(n, F.lit("/"), total, F.lit(" ["), F.lpad(F.floor(n / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"), F.lit("<0:00, 1.00s/it, loss="), F.col("value"), F.lit(", lr="), F.col("value") / 1e6, F.lit("]"))
+    text = F.concat(n, F.lit("/"), total, F.lit(" ["), F.lpad(F.floor(n / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((n % 60).cast("string"), 2, "0"),
+        F.lit("<0:00, 1.00s/it, loss="), F.col("value"), F.lit(", lr="), F.col("value") / 1e6, F.lit("]"))
     return e.select(F.col("user_id").alias("run"), n.alias("line_no"), text.alias("value"))
 
 
 def loss_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = log_lines(spark, sf_dir)
     curve = runs.loss_curve(runs.log_points(lines)).join(runs.elapsed(lines), "run")
-    return curve.select("run", "steps_reached", "loss_first", "loss_last", "loss_min", F.round("loss_tail", 5).alias("loss_tail"), F.round("lr_last", 9).alias("lr_last"), "elapsed_last", "s_per_it")
+    return curve.select("run", "steps_reached", "loss_first", "loss_last", "loss_min", F.round("loss_tail", 5).alias("loss_tail"), F.round("lr_last", 9).alias("lr_last"),
+        "elapsed_last", "s_per_it")
 
 
 LOSS_CURVES = """WITH x AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n, value AS v FROM events)
-SELECT run, max(i) AS steps_reached, arg_min(v, i) AS loss_first, arg_max(v, i) AS loss_last, min(v) AS loss_min, round(avg(v) FILTER (i > n - 50), 5) AS loss_tail, round(arg_max(v, i) / 1e6, 9) AS lr_last,
+SELECT run, max(i) AS steps_reached, arg_min(v, i) AS loss_first, arg_max(v, i) AS loss_last, min(v) AS loss_min, round(avg(v) FILTER (i > n - 50), 5) AS loss_tail,
+  round(arg_max(v, i) / 1e6, 9) AS lr_last,
   lpad((max(i) // 60)::VARCHAR, 2, '0') || ':' || lpad((max(i) % 60)::VARCHAR, 2, '0') AS elapsed_last, 1.0::DOUBLE AS s_per_it FROM x GROUP BY run"""
 
 
@@ -243,7 +261,8 @@ RUBRIC = with_views("SELECT item, round(avg(score), 5) AS mean, min(score) AS le
 
 def failure_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "events")
-    return runs.failure_rate(e.select(F.col("event_type").alias("kind"), (F.col("user_id") % 7).alias("seed"), (F.col("value") > 100).alias("failed"))).select("kind", F.round("rate", 6).alias("rate"), "seeds")
+    return runs.failure_rate(e.select(F.col("event_type").alias("kind"), (F.col("user_id") % 7).alias("seed"), (F.col("value") > 100).alias("failed"))).select("kind",
+        F.round("rate", 6).alias("rate"), "seeds")
 
 
 FAILURE_RATES = "SELECT event_type AS kind, round(avg((value > 100)::INT), 6) AS rate, count(DISTINCT user_id % 7) AS seeds FROM events GROUP BY event_type"
@@ -261,7 +280,8 @@ SELECT *, rank() OVER (ORDER BY mean, n DESC) AS rank, CASE WHEN mean / 100 > 0.
 
 def evaluation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), "text")
-    return runs.evaluation_grid(runs.find_checkpoints(views.checkpoints(spark, sf_dir)), items, 10, "IDTOKEN ").select("root", "step", "ord", F.length("prompt").alias("prompt_chars"), "output")
+    return runs.evaluation_grid(runs.find_checkpoints(views.checkpoints(spark, sf_dir)), items, 10, "IDTOKEN ").select("root", "step", "ord",
+        F.length("prompt").alias("prompt_chars"), "output")
 
 
 EVALUATION_GRID = with_views("""SELECT root, step, item_id AS ord, length('IDTOKEN ' || text) AS prompt_chars, root || '_' || step || '_' || item_id AS output
@@ -281,11 +301,13 @@ RUN_LABELS = """SELECT p_partkey, 'ckpt' || p_partkey || '_s' || lpad(p_size::VA
 
 def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = views.table(spark, sf_dir, "orders")
-    out = runs.throughput(o.select(F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "F").alias("approved"), (F.col("o_orderkey") % 100).alias("seconds"), F.col("o_totalprice").alias("cost")))
+    out = runs.throughput(o.select(F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "F").alias("approved"),
+        (F.col("o_orderkey") % 100).alias("seconds"), F.col("o_totalprice").alias("cost")))
     return out.select("kind", *[F.round(c, 4).alias(c) for c in ("success", "seconds_each", "cost_each")])
 
 
-THROUGHPUT = """SELECT o_orderpriority AS kind, round(avg((o_orderstatus = 'F')::INT), 4) AS success, round(sum(o_orderkey % 100)::DOUBLE / count(*) FILTER (o_orderstatus = 'F'), 4) AS seconds_each,
+THROUGHPUT = """SELECT o_orderpriority AS kind, round(avg((o_orderstatus = 'F')::INT), 4) AS success,
+  round(sum(o_orderkey % 100)::DOUBLE / count(*) FILTER (o_orderstatus = 'F'), 4) AS seconds_each,
   round(sum(o_totalprice) / count(*) FILTER (o_orderstatus = 'F'), 4) AS cost_each FROM orders GROUP BY ALL"""
 
 
@@ -308,7 +330,8 @@ def uniform_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNIFORM_FRAMES = with_views(f"""+x AS (SELECT p_partkey, least(nb_read_frames, 60) - 1 AS last, {draw_sql("size", "p_partkey")} AS u,
-  CASE WHEN len(list_filter([256, 512, 768], lambda s: s < 1.25 * least(width, height))) > 0 THEN list_filter([256, 512, 768], lambda s: s < 1.25 * least(width, height)) ELSE [256] END AS fits FROM probes)
+  CASE WHEN len(list_filter([256, 512, 768], lambda s: s < 1.25 * least(width, height))) > 0 THEN list_filter([256, 512, 768], lambda s: s < 1.25 * least(width, height))
+  ELSE [256] END AS fits FROM probes)
 SELECT p_partkey, array_to_string(list_transform(range(0, 24), lambda i: floor(i * last / 23.0)::INT), ',') AS indices, fits[floor(u * len(fits))::INT + 1] AS size FROM x""", "probes")
 
 
@@ -355,14 +378,18 @@ def _mask_sql() -> str:
     edge = "".join(f"CASE WHEN m IN (0, 4, 7, 8) THEN greatest(c{c} - r{c}, 0) WHEN m NOT IN (5, 6, 9) THEN 0 END AS {c}_from, CASE WHEN m IN (0, 4, 7, 8) THEN least(c{c} + r{c}, {s}) WHEN m NOT IN (5, 6, 9) THEN {s} END AS {c}_to, " for c, s in (("x", "w"), ("y", "h")))
     return f"""+v AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE nb_read_frames END AS f, height AS h, width AS w, least(height, width) AS s, {u("mode")} AS u FROM probes),
 y AS (SELECT *, CASE WHEN f = 1 THEN CASE WHEN u < 0.2 THEN 0 ELSE 1 END ELSE CASE{modes} ELSE 9 END END AS m FROM v),
-x AS (SELECT *, {axis}{among(u("cut"), "1", "5")} AS cut, {among(u("count"), "1", "greatest(f // 2, 1) + 1")} AS many, {among(u("first"), "0", "f // 2")} AS fst, {among(u("last"), "f // 2", "f")} AS lst FROM y),
+x AS (SELECT *, {axis}{among(u("cut"), "1", "5")} AS cut, {among(u("count"), "1", "greatest(f // 2, 1) + 1")} AS many, {among(u("first"), "0", "f // 2")} AS fst,
+  {among(u("last"), "f // 2", "f")} AS lst FROM y),
 i AS ({frame_at}), j AS (SELECT *, {at("frame")} AS fu, {among(at("h"), "1", "h // 4 + 1")} AS bh, {among(at("w"), "1", "w // 4 + 1")} AS bw FROM i),
-k AS (SELECT *, {among(at("left"), "0", "w - bw + 1")} AS bx, {among(at("top"), "0", "h - bh + 1")} AS ly FROM j QUALIFY m = 9 AND fu > 0.5 OR m = 6 AND row_number() OVER (PARTITION BY p_partkey ORDER BY fu, i) <= many),
-b AS (SELECT p_partkey, string_agg(CASE WHEN m = 6 THEN concat_ws(' ', i, bx, bx + bw, ly, ly + bh) ELSE concat_ws(' ', i, 0, w, 0, h) END, ',' ORDER BY i) AS boxes, sum(CASE WHEN m = 6 THEN bw * bh ELSE w * h END)::DOUBLE AS area FROM k GROUP BY ALL),
+k AS (SELECT *, {among(at("left"), "0", "w - bw + 1")} AS bx, {among(at("top"), "0", "h - bh + 1")} AS ly FROM j QUALIFY m = 9 AND fu > 0.5 OR m = 6
+  AND row_number() OVER (PARTITION BY p_partkey ORDER BY fu, i) <= many),
+b AS (SELECT p_partkey, string_agg(CASE WHEN m = 6 THEN concat_ws(' ', i, bx, bx + bw, ly, ly + bh) ELSE concat_ws(' ', i, 0, w, 0, h) END, ',' ORDER BY i) AS boxes,
+  sum(CASE WHEN m = 6 THEN bw * bh ELSE w * h END)::DOUBLE AS area FROM k GROUP BY ALL),
 z AS (SELECT p_partkey, m, f, h, w, {edge}CASE WHEN m IN (2, 3) THEN least(cut, f) WHEN m = 4 THEN fst WHEN m NOT IN (5, 6, 9) THEN 0 END AS frame_from,
   CASE WHEN m = 3 THEN greatest(f - cut, least(cut, f)) WHEN m = 4 THEN lst WHEN m NOT IN (5, 6, 9) THEN f END AS frame_to FROM x)
 SELECT p_partkey, m AS mask_mode, frame_from, frame_to, x_from, x_to, y_from, y_to, CASE WHEN m IN (6, 9) THEN coalesce(boxes, '') END AS boxes,
-  round(CASE WHEN m = 5 THEN 0.5 WHEN m IN (6, 9) THEN coalesce(area, 0) / (f::DOUBLE * h * w) WHEN m <= 4 THEN (frame_to - frame_from)::DOUBLE * (x_to - x_from) * (y_to - y_from) / (f::DOUBLE * h * w) END, 6) AS coverage
+  round(CASE WHEN m = 5 THEN 0.5 WHEN m IN (6, 9) THEN coalesce(area, 0) / (f::DOUBLE * h * w)
+  WHEN m <= 4 THEN (frame_to - frame_from)::DOUBLE * (x_to - x_from) * (y_to - y_from) / (f::DOUBLE * h * w) END, 6) AS coverage
 FROM z LEFT JOIN b USING (p_partkey)"""
 
 
@@ -381,10 +408,14 @@ def colour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (shot_windows, SHOT_WINDOWS), (straddle_rejection, STRADDLE), (usable_lengths, USABLE_LENGTHS), (resampled_clips, RESAMPLED), (densified, DENSIFIED), (balanced_samples, BALANCED), (full_batches, FULL_BATCHES),
-        (seeded_draws, SEEDED_DRAWS), (frame_indices, FRAME_INDICES), (nearest_seconds, NEAREST_SECONDS), (bad_rows, BAD_ROWS), (frame_metrics, FRAME_METRICS), (reconstruction_quality, RECONSTRUCTION),
-        (consistency_summary, CONSISTENCY), (flicker_suspects, FLICKER), (structural_similarity, None), (loss_curves, LOSS_CURVES), (sparklines, SPARKLINES), (checkpoint_plan, CHECKPOINT_PLAN), (rubric_verdicts, RUBRIC),
-        (failure_rates, FAILURE_RATES), (run_ranking, RUN_RANKING), (evaluation_grid, EVALUATION_GRID), (run_labels, RUN_LABELS), (throughput, THROUGHPUT), (seam_ratios, SEAM_RATIOS), (uniform_frames, UNIFORM_FRAMES),
+        (shot_windows, SHOT_WINDOWS), (straddle_rejection, STRADDLE), (usable_lengths, USABLE_LENGTHS), (resampled_clips, RESAMPLED), (densified, DENSIFIED),
+        (balanced_samples, BALANCED), (full_batches, FULL_BATCHES),
+        (seeded_draws, SEEDED_DRAWS), (frame_indices, FRAME_INDICES), (nearest_seconds, NEAREST_SECONDS), (bad_rows, BAD_ROWS), (frame_metrics, FRAME_METRICS),
+        (reconstruction_quality, RECONSTRUCTION),
+        (consistency_summary, CONSISTENCY), (flicker_suspects, FLICKER), (structural_similarity, None), (loss_curves, LOSS_CURVES), (sparklines, SPARKLINES),
+        (checkpoint_plan, CHECKPOINT_PLAN), (rubric_verdicts, RUBRIC),
+        (failure_rates, FAILURE_RATES), (run_ranking, RUN_RANKING), (evaluation_grid, EVALUATION_GRID), (run_labels, RUN_LABELS), (throughput, THROUGHPUT),
+        (seam_ratios, SEAM_RATIOS), (uniform_frames, UNIFORM_FRAMES),
         (carried_batches, CARRIED_BATCHES), (mask_plans, MASK_PLANS), (colour_similarity, None),
     )
 }

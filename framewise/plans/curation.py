@@ -27,13 +27,17 @@ def caption_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CLAUSES = r"""clauses AS (SELECT clip_id, source, anchor, list_filter(list_transform(string_split(regexp_replace(regexp_replace(suffix, '([.;,])\s+', '\1' || chr(1), 'g'), '\s+(while|and)\s+', chr(1), 'g'), chr(1)),
+CLAUSES = r"""clauses AS (SELECT clip_id, source, anchor, list_filter(list_transform(string_split(regexp_replace(regexp_replace(suffix, '([.;,])\s+', '\1' || chr(1), 'g'),
+  '\s+(while|and)\s+', chr(1), 'g'), chr(1)),
   lambda s: trim(s, ' ,.;')), lambda s: s <> '') AS c FROM captions),
-pruned AS (SELECT *, list_filter(c, lambda s: NOT regexp_matches(s, '(?i)PATTERN')) AS kept, list_filter(c, lambda s: regexp_matches(s, '(?i)PATTERN')) AS dropped, regexp_replace(anchor, ',+$', '') AS bare FROM clauses),
-finals AS (SELECT *, replace(CASE WHEN len(kept) = 0 THEN bare || '.' ELSE bare || ', ' || array_to_string(kept, ', ') || '.' END, ' ,', ',') AS final FROM pruned)""".replace("PATTERN", "|".join(PATTERNS))
+pruned AS (SELECT *, list_filter(c, lambda s: NOT regexp_matches(s, '(?i)PATTERN')) AS kept, list_filter(c, lambda s: regexp_matches(s, '(?i)PATTERN')) AS dropped,
+  regexp_replace(anchor, ',+$', '') AS bare FROM clauses),
+finals AS (SELECT *, replace(CASE WHEN len(kept) = 0 THEN bare || '.' ELSE bare || ', ' || array_to_string(kept, ', ') || '.' END, ' ,', ',') AS final
+  FROM pruned)""".replace("PATTERN", "|".join(PATTERNS))
 
 CAPTION_CURATION = with_views(f"""+{CLAUSES}
-SELECT source, count(*) AS captions, sum(len(kept))::BIGINT AS kept, sum(len(dropped))::BIGINT AS dropped, count(*) FILTER (len(kept) = 0) AS emptied, sum(length(final))::BIGINT AS final_chars FROM finals GROUP BY source""", "captions")
+SELECT source, count(*) AS captions, sum(len(kept))::BIGINT AS kept, sum(len(dropped))::BIGINT AS dropped, count(*) FILTER (len(kept) = 0) AS emptied,
+  sum(length(final))::BIGINT AS final_chars FROM finals GROUP BY source""", "captions")
 
 
 def caption_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +52,13 @@ def caption_spot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tenth caption: slug, unquoted and prefixed text, mention flags, a colour variant."""
     rows = cap.every_nth(views.captions(spark, sf_dir).withColumn("ord", F.col("clip_id")), "ord", 0.1)
     quoted = F.concat(F.lit('"'), F.col("anchor"), F.when(F.col("clip_id") % 20 == 0, '"').otherwise(""))
-    return rows.select("clip_id", cap.slug(F.col("suffix"), F.col("clip_id")).alias("slug"), cap.unquote(quoted).alias("unquoted"), cap.with_id_token(F.col("anchor"), "IDTOKEN").alias("prefixed"),
+    return rows.select("clip_id", cap.slug(F.col("suffix"), F.col("clip_id")).alias("slug"), cap.unquote(quoted).alias("unquoted"),
+        cap.with_id_token(F.col("anchor"), "IDTOKEN").alias("prefixed"),
                        *cap.mentions(F.col("suffix"), ("the", "und")), cap.ground_colours(F.col("suffix"), {"the": "blue"}, "thing").alias("grounded"))
 
 
-CAPTION_SPOT_CHECK = r"""SELECT doc_id AS clip_id, doc_id || '_' || translate(substr(d.text, 1, 25), '. ''",', '_____') AS slug, CASE WHEN doc_id % 20 = 0 THEN b.text ELSE '"' || b.text END AS unquoted, 'IDTOKEN ' || b.text AS prefixed,
+CAPTION_SPOT_CHECK = r"""SELECT doc_id AS clip_id, doc_id || '_' || translate(substr(d.text, 1, 25), '. ''",', '_____') AS slug, CASE WHEN doc_id % 20 = 0 THEN b.text
+  ELSE '"' || b.text END AS unquoted, 'IDTOKEN ' || b.text AS prefixed,
   contains(lower(d.text), 'the') AS has_the, contains(lower(d.text), 'und') AS has_und, regexp_replace(d.text, '\bthe\b', 'the, a blue thing', 'g') AS grounded
 FROM documents d JOIN benchmark b ON item_id = doc_id % 40 WHERE doc_id % 10 = 0"""
 
@@ -72,17 +78,20 @@ def semantic_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEMANTIC_PRUNE = """WITH e AS (SELECT label AS clip_id, vec_id AS clause_ord, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-m AS (SELECT a.clip_id, a.clause_ord, max(list_cosine_similarity(a.v, b.v)) AS best FROM e a JOIN e b ON a.clip_id = b.clip_id WHERE a.clause_ord % 5 <> 0 AND b.clause_ord % 5 = 0 GROUP BY ALL)
+m AS (SELECT a.clip_id, a.clause_ord, max(list_cosine_similarity(a.v, b.v)) AS best FROM e a JOIN e b ON a.clip_id = b.clip_id WHERE a.clause_ord % 5 <> 0 AND b.clause_ord % 5 = 0
+  GROUP BY ALL)
 SELECT clip_id, clause_ord, round(best, 5) AS best, best > 0.25 AS dropped FROM m"""
 
 
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = plan.plan_clips(views.segments(spark, sf_dir))
-    return out.select("row_ord", "clip_id", F.round("duration_s", 3).alias("duration_s"), "frames", "bg_type", "strategy", F.round("duration_s", 3).between(2.0, 5.2).alias("in_window"), "verdict", F.array_join("props", ",").alias("props"),
+    return out.select("row_ord", "clip_id", F.round("duration_s", 3).alias("duration_s"), "frames", "bg_type", "strategy",
+        F.round("duration_s", 3).between(2.0, 5.2).alias("in_window"), "verdict", F.array_join("props", ",").alias("props"),
                       plan.anchor(F.col("character"), {"a": "A,", "b": "B,"}, "A and B,").alias("anchor"), plan.resolve_path(F.col("source_file"), "/data/").alias("path"))
 
 
-SEGMENT_PLAN = with_views("""SELECT row_ord, clip_id, duration_s, frames, bg_type, strategy, duration_s BETWEEN 2.0 AND 5.2 AS in_window, CASE WHEN out_ms > in_ms THEN 'ok' ELSE 'empty' END AS verdict, array_to_string(props, ',') AS props,
+SEGMENT_PLAN = with_views("""SELECT row_ord, clip_id, duration_s, frames, bg_type, strategy, duration_s BETWEEN 2.0 AND 5.2 AS in_window, CASE WHEN out_ms > in_ms THEN 'ok'
+  ELSE 'empty' END AS verdict, array_to_string(props, ',') AS props,
   CASE character WHEN 'a' THEN 'A,' WHEN 'b' THEN 'B,' ELSE 'A and B,' END AS anchor, '/data/' || source_file AS path FROM planned""", "segments")
 
 
@@ -90,7 +99,8 @@ def composition_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.gates(plan.plan_clips(views.segments(spark, sf_dir)).where("verdict = 'ok'"))
 
 
-COMPOSITION_GATES = with_views("""SELECT count(*) AS total, round(avg(contains(character, '+')::INT), 6) AS multi_share, round(avg((bg_type = 'show')::INT), 6) AS show_share, round(avg((bg_type = 'show')::INT), 6) <= 0.3 AS show_ok
+COMPOSITION_GATES = with_views("""SELECT count(*) AS total, round(avg(contains(character, '+')::INT), 6) AS multi_share, round(avg((bg_type = 'show')::INT), 6) AS show_share,
+  round(avg((bg_type = 'show')::INT), 6) <= 0.3 AS show_ok
 FROM planned WHERE out_ms > in_ms""", "segments")
 
 
@@ -124,7 +134,8 @@ CHARACTER_PRESENCE = with_views("SELECT count(*) FILTER (character = 'a') AS onl
 
 def clip_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.probes(spark, sf_dir)
-    return p.select("p_partkey", plan.frame_rate(F.col("avg_frame_rate")).alias("fps"), val.conforms().alias("ok"), val.is_8n1(F.col("nb_read_frames")).alias("ok_8n1"), val.divisible(32).alias("div32"))
+    return p.select("p_partkey", plan.frame_rate(F.col("avg_frame_rate")).alias("fps"), val.conforms().alias("ok"), val.is_8n1(F.col("nb_read_frames")).alias("ok_8n1"),
+        val.divisible(32).alias("div32"))
 
 
 CLIP_CONFORMANCE = with_views("""SELECT p_partkey, fps::INT AS fps, ((width = 768 AND height = 1360) OR (width = 1360 AND height = 768)) AND fps = 16 AND nb_read_frames IN (49, 81) AS ok,
@@ -137,7 +148,8 @@ def metadata_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.array_join("problems", ",").alias("problems"))
 
 
-METADATA_PROBLEMS = with_views("""+j AS (SELECT m.*, p.file_path AS there, p.width AS w, p.height AS h, p.nb_read_frames AS n, p.fps FROM metadata m LEFT JOIN probes p ON m.file_path = p.file_path)
+METADATA_PROBLEMS = with_views("""+j AS (SELECT m.*, p.file_path AS there, p.width AS w, p.height AS h, p.nb_read_frames AS n, p.fps FROM metadata m
+  LEFT JOIN probes p ON m.file_path = p.file_path)
 SELECT doc_id, CASE WHEN there IS NULL THEN 'missing_file' ELSE array_to_string(list_filter([CASE WHEN trim(text) = '' THEN 'empty_caption' END, CASE WHEN n <> 33 THEN 'frames' END,
   CASE WHEN w <> 768 OR h <> 1360 THEN 'size' END, CASE WHEN fps <> 16 THEN 'rate' END], lambda x: x IS NOT NULL), ',') END AS problems FROM j""", "metadata", "probes")
 
@@ -172,15 +184,20 @@ def fitted_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, h, n = F.col("width"), F.col("height"), F.col("nb_read_frames")
     fit, short, crop = geo.fit_resolution(w, h, 768, 1360), geo.short_side(w, h, 480), geo.cover_crop(w, h, F.lit(720), F.lit(480))
     return p.select("p_partkey", fit[0].alias("fit_h"), fit[1].alias("fit_w"), short[0].alias("short_w"), short[1].alias("short_h"), *[c.alias(k) for k, c in crop.items()],
-                    geo.snap_4k1(n).alias("n_4k1"), geo.latent_length(n, 4).alias("latent"), geo.align_patch(n, 4, 2).alias("aligned"), geo.frames_for_budget(F.lit(512.0 * 512 * 49), h, 81, 4).alias("budget_frames"))
+                    geo.snap_4k1(n).alias("n_4k1"), geo.latent_length(n, 4).alias("latent"), geo.align_patch(n, 4, 2).alias("aligned"),
+                        geo.frames_for_budget(F.lit(512.0 * 512 * 49), h, 81, 4).alias("budget_frames"))
 
 
 FITTED_SIZES = with_views("""+s AS (SELECT *, least(768 / height::DOUBLE, 1360 / width::DOUBLE) AS sc, height::DOUBLE / width > 480 / 720::DOUBLE AS wide FROM probes),
-r AS (SELECT *, (CASE WHEN wide THEN 720 ELSE floor(width * 480 / height::DOUBLE) END)::INT AS resize_w, (CASE WHEN wide THEN floor(height * 720 / width::DOUBLE) ELSE 480 END)::INT AS resize_h FROM s)
+r AS (SELECT *, (CASE WHEN wide THEN 720 ELSE floor(width * 480 / height::DOUBLE) END)::INT AS resize_w,
+  (CASE WHEN wide THEN floor(height * 720 / width::DOUBLE) ELSE 480 END)::INT AS resize_h FROM s)
 SELECT p_partkey, least(greatest(floor(round_even(height * sc, 0) / 16) * 16, 16), 768)::INT AS fit_h, least(greatest(floor(round_even(width * sc, 0) / 16) * 16, 16), 1360)::INT AS fit_w,
-  (CASE WHEN least(width, height) > 480 THEN floor(width * 480 / least(width, height)::DOUBLE) ELSE width END)::INT AS short_w, (CASE WHEN least(width, height) > 480 THEN floor(height * 480 / least(width, height)::DOUBLE) ELSE height END)::INT AS short_h,
-  resize_w, resize_h, (greatest(resize_w - 720, 0) // 2)::INT AS crop_x, (greatest(resize_h - 480, 0) // 2)::INT AS crop_y, ((nb_read_frames - 1) // 4 * 4 + 1)::INT AS n_4k1, ((nb_read_frames - 1) // 4 + 1)::INT AS latent,
-  greatest(nb_read_frames - ((nb_read_frames - 1) // 4 + 1) % 2 * 4, 1)::INT AS aligned, (floor(least(512.0 * 512 * 49 / (height * height), 81.0) / 4) * 4 + 1)::INT AS budget_frames FROM r""", "probes")
+  (CASE WHEN least(width, height) > 480 THEN floor(width * 480 / least(width, height)::DOUBLE) ELSE width END)::INT AS short_w,
+  (CASE WHEN least(width, height) > 480 THEN floor(height * 480 / least(width, height)::DOUBLE) ELSE height END)::INT AS short_h,
+  resize_w, resize_h, (greatest(resize_w - 720, 0) // 2)::INT AS crop_x, (greatest(resize_h - 480, 0) // 2)::INT AS crop_y, ((nb_read_frames - 1) // 4 * 4 + 1)::INT AS n_4k1,
+  ((nb_read_frames - 1) // 4 + 1)::INT AS latent,
+  greatest(nb_read_frames - ((nb_read_frames - 1) // 4 + 1) % 2 * 4, 1)::INT AS aligned,
+  (floor(least(512.0 * 512 * 49 / (height * height), 81.0) / 4) * 4 + 1)::INT AS budget_frames FROM r""", "probes")
 
 
 def aspect_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,7 +209,8 @@ def aspect_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 ASPECT_BUCKETS = with_views(f"""+ratios AS (SELECT * FROM (VALUES {", ".join(f"({i}, {r}::DOUBLE, {h}, {w})" for i, (r, h, w) in enumerate(geo.RATIOS_512))}) v(o, r, h, w)),
 best AS (SELECT doc_id, arg_min((r, h, w), (abs(r - height::DOUBLE / width), o)) AS b FROM metadata, ratios GROUP BY doc_id),
 x AS (SELECT doc_id, b[1] AS ratio, b[2] AS h, b[3] AS w FROM best)
-SELECT doc_id, ratio, (floor(h * 592 / 512.0 / 16) * 16)::INT AS bucket_h, (floor(w * 592 / 512.0 / 16) * 16)::INT AS bucket_w, (floor(floor(sqrt(512.0::DOUBLE * 512 / ratio)) / 16) * 16)::INT AS area_h,
+SELECT doc_id, ratio, (floor(h * 592 / 512.0 / 16) * 16)::INT AS bucket_h, (floor(w * 592 / 512.0 / 16) * 16)::INT AS bucket_w,
+  (floor(floor(sqrt(512.0::DOUBLE * 512 / ratio)) / 16) * 16)::INT AS area_h,
   (floor(floor(floor(sqrt(512.0::DOUBLE * 512 / ratio)) * ratio) / 16) * 16)::INT AS area_w FROM x""", "metadata")
 
 
@@ -219,7 +237,8 @@ def name_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.reconcile(left, right, "name_in")
 
 
-NAME_RECONCILIATION = """WITH l AS (SELECT 'beat_' || (p_partkey % 500) AS name, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL), r AS (SELECT 'beat_' || (p_partkey % 700) AS name, count(*) AS n FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL)
+NAME_RECONCILIATION = """WITH l AS (SELECT 'beat_' || (p_partkey % 500) AS name, count(*) AS n FROM part WHERE p_partkey % 3 <> 0 GROUP BY ALL),
+  r AS (SELECT 'beat_' || (p_partkey % 700) AS name, count(*) AS n FROM part WHERE p_partkey % 5 <> 0 GROUP BY ALL)
 SELECT coalesce(l.name, r.name) AS name, coalesce(l.n, 0) AS n_left, coalesce(r.n, 0) AS n_right,
   CASE WHEN l.n IS NULL THEN 'right_only' WHEN r.n IS NULL THEN 'left_only' WHEN l.n > 1 OR r.n > 1 THEN 'duplicated' ELSE 'matched' END AS status FROM l FULL JOIN r ON l.name = r.name"""
 
@@ -233,8 +252,10 @@ def prompt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.prompt_problems(r, ("the hat", "beak")).select("conv_id", F.array_join("problems", ",").alias("problems"))
 
 
-PROMPT_PROBLEMS = r"""WITH r AS (SELECT conv_id, list(text) FILTER (role = 'system') AS identity, list(text) FILTER (role = 'user') AS beats, coalesce(string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS rendered FROM conversations GROUP BY conv_id)
-SELECT conv_id, array_to_string(list_filter([CASE WHEN len(list_filter(regexp_split_to_array(rendered, '\s+'), lambda w: w <> '')) > 200 THEN 'too_long' END, CASE WHEN contains(rendered, chr(10)) THEN 'paragraphs' END,
+PROMPT_PROBLEMS = r"""WITH r AS (SELECT conv_id, list(text) FILTER (role = 'system') AS identity, list(text) FILTER (role = 'user') AS beats,
+  coalesce(string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS rendered FROM conversations GROUP BY conv_id)
+SELECT conv_id, array_to_string(list_filter([CASE WHEN len(list_filter(regexp_split_to_array(rendered, '\s+'), lambda w: w <> '')) > 200 THEN 'too_long' END, CASE
+  WHEN contains(rendered, chr(10)) THEN 'paragraphs' END,
   CASE WHEN identity IS NULL THEN 'no_identity' END, CASE WHEN len(list_filter(coalesce(beats, []), lambda b: regexp_matches(b, '(?i)the hat|beak'))) > 0 THEN 'forbidden_term' END,
   CASE WHEN conv_id % 2 <> 0 THEN 'no_style' END, CASE WHEN identity IS NULL THEN 'no_negatives' END], lambda x: x IS NOT NULL), ',') AS problems FROM r"""
 
@@ -245,7 +266,8 @@ def breakdown_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda kind, key: F.concat(F.lit(kind), F.col(key).cast("string"))
     clips = li.select(
         F.col("l_orderkey").alias("shot_id"), F.col("l_linenumber").alias("clip_no"), F.when(F.col("l_returnflag") == "R", " ").otherwise("plate").alias("background"),
-        F.array(name("S", "l_suppkey")).alias("characters"), F.array(name("P", "l_partkey"), name("Q", "l_suppkey")).alias("props"), F.when(F.col("l_quantity") > 40, 33).otherwise(49).alias("frames"),
+        F.array(name("S", "l_suppkey")).alias("characters"), F.array(name("P", "l_partkey"), name("Q", "l_suppkey")).alias("props"),
+        F.when(F.col("l_quantity") > 40, 33).otherwise(49).alias("frames"),
     )
     supplier, part = views.table(spark, sf_dir, "supplier"), views.table(spark, sf_dir, "part")
     registry = supplier.where("s_acctbal > 0").select(F.lit("character").alias("kind"), name("S", "s_suppkey").alias("id"))
@@ -254,7 +276,8 @@ def breakdown_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.breakdown_problems(clips, registry).groupBy("shot_id", "problem").agg(F.count("*").alias("n"), F.min("item").alias("first_item"))
 
 
-BREAKDOWN_PROBLEMS = """WITH p AS (SELECT l_orderkey AS shot_id, 'unknown_character' AS problem, 'S' || l_suppkey AS item FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
+BREAKDOWN_PROBLEMS = """WITH p AS (SELECT l_orderkey AS shot_id, 'unknown_character' AS problem, 'S' || l_suppkey AS item FROM lineitem
+  WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)
   UNION ALL SELECT l_orderkey, 'unknown_prop', 'P' || l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 40)
   UNION ALL SELECT l_orderkey, 'unknown_prop', 'Q' || l_suppkey FROM lineitem WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier)
   UNION ALL SELECT l_orderkey, 'frames', NULL FROM lineitem WHERE l_quantity > 40 UNION ALL SELECT l_orderkey, 'background', NULL FROM lineitem WHERE l_returnflag = 'R')
@@ -264,9 +287,11 @@ QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
         (breakdown_problems, BREAKDOWN_PROBLEMS),
-        (caption_curation, CAPTION_CURATION), (caption_prune, CAPTION_PRUNE), (caption_spot_check, CAPTION_SPOT_CHECK), (caption_grounding, CAPTION_GROUNDING), (semantic_prune, SEMANTIC_PRUNE), (segment_plan, SEGMENT_PLAN),
+        (caption_curation, CAPTION_CURATION), (caption_prune, CAPTION_PRUNE), (caption_spot_check, CAPTION_SPOT_CHECK), (caption_grounding, CAPTION_GROUNDING),
+        (semantic_prune, SEMANTIC_PRUNE), (segment_plan, SEGMENT_PLAN),
         (composition_gates, COMPOSITION_GATES), (action_parity, ACTION_PARITY), (prop_frequency, PROP_FREQUENCY), (top_sources, TOP_SOURCES), (character_presence, CHARACTER_PRESENCE),
         (clip_conformance, CLIP_CONFORMANCE), (metadata_problems, METADATA_PROBLEMS), (first_problems, FIRST_PROBLEMS), (frame_counts, FRAME_COUNTS), (probe_sizes, PROBE_SIZES),
-        (fitted_sizes, FITTED_SIZES), (aspect_buckets, ASPECT_BUCKETS), (file_totals, FILE_TOTALS), (identical_texts, IDENTICAL_TEXTS), (name_reconciliation, NAME_RECONCILIATION), (prompt_problems, PROMPT_PROBLEMS),
+        (fitted_sizes, FITTED_SIZES), (aspect_buckets, ASPECT_BUCKETS), (file_totals, FILE_TOTALS), (identical_texts, IDENTICAL_TEXTS),
+        (name_reconciliation, NAME_RECONCILIATION), (prompt_problems, PROMPT_PROBLEMS),
     )
 }

@@ -33,10 +33,12 @@ def _corr_sql(a: str, b: str) -> str:
     return f"CASE WHEN {a} IS NULL THEN NULL WHEN {cov(a, a)} * {cov(b, b)} > 0 THEN {cov(a, b)} / sqrt({cov(a, a)} * {cov(b, b)}) ELSE 1.0 END::DOUBLE"
 
 
-HISTOGRAMS = f"""h AS (SELECT clip_id, frame_idx, list_transform(range(0, 16), lambda i: len(list_filter(pixels, lambda x: least(floor(x * 16 / 256), 15)::INT = i))::DOUBLE) AS hist FROM frames),
+HISTOGRAMS = f"""h AS (SELECT clip_id, frame_idx, list_transform(range(0, 16), lambda i: len(list_filter(pixels,
+  lambda x: least(floor(x * 16 / 256), 15)::INT = i))::DOUBLE) AS hist FROM frames),
 g AS (SELECT h.*, lag(h.hist) OVER (PARTITION BY h.clip_id ORDER BY h.frame_idx) AS previous, z.hist AS first FROM h LEFT JOIN h z ON z.clip_id = h.clip_id AND z.frame_idx = 0),
 m AS (SELECT clip_id, frame_idx, {_corr_sql("previous", "hist")} AS adjacent, {_corr_sql("first", "hist")} AS versus_first FROM g),
-drift AS (SELECT clip_id, count(*) AS frames, avg(round(adjacent, 4)) AS adjacent_mean, arg_min(round(versus_first, 4), frame_idx) AS first, arg_max(round(versus_first, 4), frame_idx) AS last FROM m GROUP BY clip_id)"""
+drift AS (SELECT clip_id, count(*) AS frames, avg(round(adjacent, 4)) AS adjacent_mean, arg_min(round(versus_first, 4), frame_idx) AS first,
+  arg_max(round(versus_first, 4), frame_idx) AS last FROM m GROUP BY clip_id)"""
 
 
 def first_frame_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,8 @@ def versus_first_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERSUS_FIRST = with_views(
-    """+d AS (SELECT f.clip_id, f.frame_idx, list_transform(list_zip(z.pixels, f.pixels), lambda p: p[1] - p[2]) AS d FROM frames f JOIN frames z ON z.clip_id = f.clip_id AND z.frame_idx = 0),
+    """+d AS (SELECT f.clip_id, f.frame_idx, list_transform(list_zip(z.pixels, f.pixels), lambda p: p[1] - p[2]) AS d FROM frames f JOIN frames z ON z.clip_id = f.clip_id
+  AND z.frame_idx = 0),
 e AS (SELECT *, list_avg(list_transform(d, lambda x: x * x)) AS mse FROM d)
 SELECT clip_id, frame_idx, round(list_avg(list_transform(d, lambda x: abs(x))), 3) AS mad,
   round(CASE WHEN mse < 1e-8 THEN 99.0 ELSE 20 * log10(255.0::DOUBLE / sqrt(mse)) END, 4) AS psnr FROM e""",
@@ -76,7 +79,8 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUN_COMPARISON = with_views(
     f"""+{HISTOGRAMS}, s AS (SELECT clip_id, avg(round(adjacent, 4)) AS mean, min(round(adjacent, 4)) AS least FROM m WHERE adjacent IS NOT NULL GROUP BY clip_id),
 r AS (SELECT DISTINCT unnest([label, label + 1000]) AS clip_id FROM embeddings)
-SELECT 'run' || r.clip_id AS run, round(mean, 5) AS mean, least, round(first - last, 4) AS palette_drift, last, CASE WHEN last > 0.7 THEN 'good' WHEN last > 0.5 THEN 'fading' WHEN last IS NOT NULL THEN 'LOST' END AS flag
+SELECT 'run' || r.clip_id AS run, round(mean, 5) AS mean, least, round(first - last, 4) AS palette_drift, last, CASE WHEN last > 0.7 THEN 'good' WHEN last > 0.5 THEN 'fading'
+  WHEN last IS NOT NULL THEN 'LOST' END AS flag
 FROM r LEFT JOIN s ON s.clip_id = r.clip_id LEFT JOIN drift d ON d.clip_id = r.clip_id""",
     "frames",
 )
@@ -91,7 +95,8 @@ def clip_macro_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MACRO_MEANS = with_views(
-    """+e AS (SELECT clip_id, 10 * log10(65025.0::DOUBLE / list_avg(list_transform(pixels, lambda p: (p - 16 * floor(p / 16 + 0.5)) * (p - 16 * floor(p / 16 + 0.5))))) AS psnr FROM frames WHERE frame_idx % 7 <> 0),
+    """+e AS (SELECT clip_id, 10 * log10(65025.0::DOUBLE / list_avg(list_transform(pixels, lambda p: (p - 16 * floor(p / 16 + 0.5)) * (p - 16 * floor(p / 16 + 0.5))))) AS psnr
+  FROM frames WHERE frame_idx % 7 <> 0),
 c AS (SELECT clip_id, avg(psnr) AS m FROM e GROUP BY clip_id) SELECT round(avg(m), 6) AS macro, count(*) AS clips FROM c""",
     "frames",
 )
@@ -122,7 +127,8 @@ CHECKPOINT_RESOLUTION = with_views(
   UNION ALL SELECT r_regionkey + 100, NULL, r_regionkey % 2 = 0 FROM region), g AS (SELECT * FROM f WHERE has_weights)
 SELECT root, coalesce('checkpoint-' || max(step), 'final') AS latest, count(step) AS available, CASE WHEN bool_or(step IS NULL) THEN 'final' ELSE 'checkpoint-' || max(step) END AS final,
   coalesce(bool_or(step = 33), false) AS has_33, CASE WHEN coalesce(bool_or(step = 33), false) THEN 'checkpoint-33' END AS path_33,
-  CASE WHEN NOT coalesce(bool_or(step = 33), false) THEN coalesce(array_to_string((list_sort(list(DISTINCT step) FILTER (step IS NOT NULL)))[1:100], ', '), '') END AS alternatives FROM g GROUP BY root""",
+  CASE WHEN NOT coalesce(bool_or(step = 33), false) THEN coalesce(array_to_string((list_sort(list(DISTINCT step) FILTER (step IS NOT NULL)))[1:100], ', '), '') END AS alternatives
+  FROM g GROUP BY root""",
     "checkpoints",
 )
 
@@ -152,7 +158,8 @@ LOG_FIELDS = "SELECT user_id AS run, 1::BIGINT AS first_step, count(*) AS total,
 def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OK where a run left with 0 and its output is there; adapter scale."""
     o = views.table(spark, sf_dir, "orders")
-    given = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("exit_code"), F.concat(F.lit("out/"), F.col("o_orderkey")).alias("output"), (F.col("o_orderkey") % 5).alias("rank"))
+    given = o.select("o_orderkey", F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("exit_code"), F.concat(F.lit("out/"), F.col("o_orderkey")).alias("output"),
+        (F.col("o_orderkey") % 5).alias("rank"))
     there = views.table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.concat(F.lit("out/"), F.col("l_orderkey")).alias("path"))
     scale = F.when(F.col("rank") > 0, runs.effective_scale(F.lit(32.0), F.col("rank")))
     return val.run_status(given, there).select("o_orderkey", "status", F.round(scale, 6).alias("scale"))
@@ -170,15 +177,18 @@ def frame_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = views.probes(spark, sf_dir).withColumn("n", F.when(F.col("p_partkey") % 9 == 0, 3).otherwise(F.col("nb_read_frames")))
     key, text = F.col("p_partkey").cast("string"), lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
     dropped = sampling.dropped_ends_indices(F.col("n"), 16, 3, 0.1, 0.9, sampling.draw(key, 7, "ends"))
-    return p.select("p_partkey", text(dropped).alias("dropped_ends"), sampling.single_frame(F.col("n"), sampling.draw(key, 7, "one")).alias("single"), text(sampling.kept_frames(F.lit(30), F.col("n"))).alias("kept"))
+    return p.select("p_partkey", text(dropped).alias("dropped_ends"), sampling.single_frame(F.col("n"), sampling.draw(key, 7, "one")).alias("single"),
+        text(sampling.kept_frames(F.lit(30), F.col("n"))).alias("kept"))
 
 
 FRAME_DRAWS = with_views(
     f"""+x AS (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN 3 ELSE nb_read_frames END AS n, {draw_sql("ends", "p_partkey")} AS u, {draw_sql("one", "p_partkey")} AS v FROM probes),
-y AS (SELECT *, least(16, floor(floor(n * 0.8::DOUBLE) / 3))::INT AS m, floor(n * 0.9::DOUBLE)::INT AS e FROM x), z AS (SELECT *, least(e, (m - 1) * 3 + 1) AS span, floor(0.1::DOUBLE * e)::INT AS low FROM y),
+y AS (SELECT *, least(16, floor(floor(n * 0.8::DOUBLE) / 3))::INT AS m, floor(n * 0.9::DOUBLE)::INT AS e FROM x),
+  z AS (SELECT *, least(e, (m - 1) * 3 + 1) AS span, floor(0.1::DOUBLE * e)::INT AS low FROM y),
 s AS (SELECT *, CASE WHEN e = span THEN 0 ELSE low + least(floor(u * (e - span - low + 1)), e - span - low)::INT END AS st,
   CASE WHEN n / 4.0 >= 49 THEN 4 WHEN n / 3.0 >= 49 THEN 3 WHEN n / 2.0 >= 49 THEN 2 ELSE 1 END AS step FROM z)
-SELECT p_partkey, CASE WHEN m > 0 THEN array_to_string(list_transform(range(0, m), lambda i: (st + CASE WHEN m > 1 THEN floor(i * (span - 1) / greatest(m - 1, 1)::DOUBLE) ELSE 0 END)::INT), ',') END AS dropped_ends,
+SELECT p_partkey, CASE WHEN m > 0 THEN array_to_string(list_transform(range(0, m),
+  lambda i: (st + CASE WHEN m > 1 THEN floor(i * (span - 1) / greatest(m - 1, 1)::DOUBLE) ELSE 0 END)::INT), ',') END AS dropped_ends,
   least(floor(v * n), n - 1)::INT AS single, array_to_string(list_transform(range(0, least(49, ceil(n / step::DOUBLE))::INT), lambda i: i * step), ',') AS kept FROM s""",
     "probes",
 )
@@ -192,7 +202,8 @@ def epoch_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EPOCH_DRAWS = """WITH n AS (SELECT count(*) AS n FROM documents), r AS (SELECT doc_id, unnest([0, 1]) AS round FROM documents),
 u AS (SELECT *, ('0x' || substr(md5('order:7:1:' || doc_id || '/' || round), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r),
-d AS (SELECT doc_id, round * n + row_number() OVER (PARTITION BY round ORDER BY u, doc_id) - 1 AS draw_no, n FROM u, n) SELECT doc_id, draw_no FROM d WHERE draw_no >= 10 AND draw_no < n * 3 // 2"""
+d AS (SELECT doc_id, round * n + row_number() OVER (PARTITION BY round ORDER BY u, doc_id) - 1 AS draw_no, n FROM u, n) SELECT doc_id, draw_no FROM d WHERE draw_no >= 10
+  AND draw_no < n * 3 // 2"""
 
 
 def replaced_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,7 +265,8 @@ def model_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size caps of models by their configuration; some lack a key or are no JSON."""
     p = views.table(spark, sf_dir, "part")
     whole = F.format_string('{"patch_size": %d, "sample_height": %d, "sample_width": 170, "other": 1}', F.col("p_partkey") % 3 + 1, F.col("p_size"))
-    config = F.when(F.col("p_partkey") % 4 == 0, whole).when(F.col("p_partkey") % 4 == 1, '{"sample_height": 96, "sample_width": 170}').when(F.col("p_partkey") % 4 == 2, '{"sample_height": 90}').otherwise("none")
+    config = F.when(F.col("p_partkey") % 4 == 0, whole).when(F.col("p_partkey") % 4 == 1, '{"sample_height": 96, "sample_width": 170}').when(F.col("p_partkey") % 4 == 2,
+        '{"sample_height": 90}').otherwise("none")
     return geo.read_caps(p.select("p_partkey", config.alias("config"))).select("p_partkey", "cap_h", "cap_w")
 
 
@@ -350,7 +362,8 @@ def share_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.share_gates(views.table(spark, sf_dir, "documents"), "lang", {"en": 0.6, "de": 0.25, "xx": 0.0, "fr": 0.9}, 0.15)
 
 
-SHARE_GATES = """WITH t AS (SELECT count(*) AS total FROM documents), w AS (SELECT * FROM (VALUES ('en', 0.6::DOUBLE), ('de', 0.25::DOUBLE), ('xx', 0.0::DOUBLE), ('fr', 0.9::DOUBLE)) v(lang, wanted)),
+SHARE_GATES = """WITH t AS (SELECT count(*) AS total FROM documents), w AS (SELECT *
+  FROM (VALUES ('en', 0.6::DOUBLE), ('de', 0.25::DOUBLE), ('xx', 0.0::DOUBLE), ('fr', 0.9::DOUBLE)) v(lang, wanted)),
 c AS (SELECT w.lang, wanted, count(d.lang) AS n FROM w LEFT JOIN documents d ON d.lang = w.lang GROUP BY ALL), s AS (SELECT *, round(n / total::DOUBLE, 6) AS share FROM c, t)
 SELECT lang, wanted, n, share, abs(share - wanted) <= 0.15::DOUBLE AS ok FROM s"""
 
@@ -361,7 +374,8 @@ def source_footage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SOURCE_FOOTAGE = with_views(
-    """SELECT source_file, count(DISTINCT action_label) AS shots, count(*) AS clips, round(sum(out_ms / 1000.0 - in_ms / 1000.0), 3) AS footage_s, round(count(*)::DOUBLE / count(DISTINCT action_label), 6) AS clips_per_shot
+    """SELECT source_file, count(DISTINCT action_label) AS shots, count(*) AS clips, round(sum(out_ms / 1000.0 - in_ms / 1000.0), 3) AS footage_s,
+  round(count(*)::DOUBLE / count(DISTINCT action_label), 6) AS clips_per_shot
 FROM planned WHERE out_ms > in_ms GROUP BY source_file""",
     "segments",
 )
@@ -377,7 +391,8 @@ def category_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CATEGORY_LISTS = """SELECT CASE page_id % 4 WHEN 0 THEN 'clips' WHEN 1 THEN 'reports' ELSE 'rest' END AS category,
-  CASE page_id % 6 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/markdown' WHEN 5 THEN 'application/octet-stream' ELSE 'text/plain' END AS type, count(*) AS n FROM pages GROUP BY ALL"""
+  CASE page_id % 6 WHEN 0 THEN 'video/mp4' WHEN 1 THEN 'image/png' WHEN 2 THEN 'text/markdown' WHEN 5 THEN 'application/octet-stream' ELSE 'text/plain' END AS type, count(*) AS n
+  FROM pages GROUP BY ALL"""
 
 
 def first_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,6 +420,7 @@ QUERIES = {
         (checkpoint_resolution, CHECKPOINT_RESOLUTION), (run_completion, RUN_COMPLETION), (log_fields, LOG_FIELDS), (run_states, RUN_STATES),
         (frame_draws, FRAME_DRAWS), (epoch_draws, EPOCH_DRAWS), (replaced_draws, REPLACED_DRAWS), (schedule_plans, SCHEDULE_PLANS), (bucket_crops, BUCKET_CROPS), (model_caps, MODEL_CAPS),
         (caption_variants, CAPTION_VARIANTS), (captions_by_stem, CAPTIONS_BY_STEM), (clip_captions, CLIP_CAPTIONS), (first_entries, FIRST_ENTRIES), (column_choices, COLUMN_CHOICES),
-        (eligible_clips, ELIGIBLE_CLIPS), (share_gates, SHARE_GATES), (source_footage, SOURCE_FOOTAGE), (category_lists, CATEGORY_LISTS), (first_paths, FIRST_PATHS), (key_checks, KEY_CHECKS),
+        (eligible_clips, ELIGIBLE_CLIPS), (share_gates, SHARE_GATES), (source_footage, SOURCE_FOOTAGE), (category_lists, CATEGORY_LISTS), (first_paths, FIRST_PATHS),
+        (key_checks, KEY_CHECKS),
     )
 }

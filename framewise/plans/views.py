@@ -28,14 +28,16 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return d.join(b.select("item_id", F.col("text").alias("anchor")), F.col("item_id") == F.col("doc_id") % 40).select(F.col("doc_id").alias("clip_id"), "source", "lang", "anchor", F.col("text").alias("suffix"))
+    return d.join(b.select("item_id", F.col("text").alias("anchor")), F.col("item_id") == F.col("doc_id") % 40).select(F.col("doc_id").alias("clip_id"), "source", "lang",
+        "anchor", F.col("text").alias("suffix"))
 
 
 def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select(
         "doc_id", F.concat(F.lit("train/"), F.col("doc_id"), F.lit(".mp4")).alias("file_path"), F.when(F.col("doc_id") % 17 == 0, " ").otherwise(F.col("text")).alias("text"),
-        F.when(F.col("doc_id") % 5 == 0, "image").otherwise("video").alias("type"), (16 * (1 + F.col("n_chars") % 80)).cast("int").alias("width"), (16 * (1 + F.col("doc_id") % 80)).cast("int").alias("height"), "source",
+        F.when(F.col("doc_id") % 5 == 0, "image").otherwise("video").alias("type"), (16 * (1 + F.col("n_chars") % 80)).cast("int").alias("width"),
+        (16 * (1 + F.col("doc_id") % 80)).cast("int").alias("height"), "source",
     )
 
 
@@ -46,7 +48,8 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = F.when(size % 3 == 0, 33).when(size % 3 == 1, 49).otherwise(81) + F.when(key % 11 == 0, size).otherwise(0)
     rate = F.when(key % 7 == 0, "24/1").otherwise("16/1")
     path = F.when(key % 3 == 0, F.concat(F.lit("train/"), F.floor(key / 3).cast("string"), F.lit(".mp4"))).otherwise(F.concat(F.lit("other/"), key.cast("string")))
-    return p.select("p_partkey", path.alias("file_path"), pick(768, 1360, 1080, 16 * size).alias("width"), pick(1360, 768, 1920, 512).alias("height"), frames.cast("int").alias("nb_read_frames"), rate.alias("avg_frame_rate"), rate.alias("r_frame_rate"))
+    return p.select("p_partkey", path.alias("file_path"), pick(768, 1360, 1080, 16 * size).alias("width"), pick(1360, 768, 1920, 512).alias("height"),
+        frames.cast("int").alias("nb_read_frames"), rate.alias("avg_frame_rate"), rate.alias("r_frame_rate"))
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +64,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     first = F.min("ts").over(Window.partitionBy("user_id"))
     micros = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
-    return e.select(F.col("user_id").alias("clip"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("value").alias("score"), (1 - F.col("value") / 500).alias("similarity"), (micros / 1e6 / 50_000).alias("t"), "event_id")
+    return e.select(F.col("user_id").alias("clip"), (F.row_number().over(w) - 1).cast("long").alias("idx"), F.col("value").alias("score"),
+        (1 - F.col("value") / 500).alias("similarity"), (micros / 1e6 / 50_000).alias("t"), "event_id")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +77,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
-    return o.select((F.col("o_custkey") % 20).alias("root"), F.col("o_orderkey").alias("step"), (F.col("o_orderstatus") != "P").alias("has_weights"), F.concat(F.lit("checkpoint-"), F.col("o_orderkey")).alias("path"), F.col("o_orderdate").alias("mtime"))
+    return o.select((F.col("o_custkey") % 20).alias("root"), F.col("o_orderkey").alias("step"), (F.col("o_orderstatus") != "P").alias("has_weights"),
+        F.concat(F.lit("checkpoint-"), F.col("o_orderkey")).alias("path"), F.col("o_orderdate").alias("mtime"))
 
 
 def rubric(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,14 +95,18 @@ VIEWS_SQL = {
     ['Prp_' || (json_extract_string(props, '$.k')::BIGINT % 12), 'Prp_' || (json_extract_string(props, '$.k')::BIGINT % 7)] AS props FROM events),
 planned AS (
   SELECT *, round(out_ms / 1000.0 - in_ms / 1000.0, 3) AS duration_s, CASE WHEN (out_ms - in_ms) * 16 >= 81000 THEN 81 ELSE 49 END AS frames,
-    'skit_' || regexp_extract(source_file, '_(\\d+)', 1) || '_' || CASE WHEN row_ord < 1000 THEN lpad(row_ord::VARCHAR, 3, '0') ELSE row_ord::VARCHAR END || '_' || replace(action_label, ' ', '-') AS clip_id,
+    'skit_' || regexp_extract(source_file, '_(\\d+)', 1) || '_' || CASE WHEN row_ord < 1000 THEN lpad(row_ord::VARCHAR, 3, '0')
+  ELSE row_ord::VARCHAR END || '_' || replace(action_label, ' ', '-') AS clip_id,
     CASE WHEN alpha AND bg_type = 'gray' THEN 'alpha-on-flat' WHEN alpha AND bg_type = 'show' AND plate THEN 'alpha-on-plate' ELSE 'baked' END AS strategy FROM segments)""",
     "captions": "captions AS (SELECT doc_id AS clip_id, source, lang, trim(b.text) AS anchor, trim(d.text) AS suffix FROM documents d JOIN benchmark b ON item_id = doc_id % 40)",
-    "metadata": """metadata AS (SELECT doc_id, 'train/' || doc_id || '.mp4' AS file_path, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS text, CASE WHEN doc_id % 5 = 0 THEN 'image' ELSE 'video' END AS type,
+    "metadata": """metadata AS (SELECT doc_id, 'train/' || doc_id || '.mp4' AS file_path, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS text, CASE
+  WHEN doc_id % 5 = 0 THEN 'image' ELSE 'video' END AS type,
   (16 * (1 + n_chars % 80))::INT AS width, (16 * (1 + doc_id % 80))::INT AS height, source FROM documents)""",
     "probes": """probes AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'train/' || (p_partkey // 3) || '.mp4' ELSE 'other/' || p_partkey END AS file_path,
-  (CASE p_partkey % 4 WHEN 0 THEN 768 WHEN 1 THEN 1360 WHEN 2 THEN 1080 ELSE 16 * p_size END)::INT AS width, (CASE p_partkey % 4 WHEN 0 THEN 1360 WHEN 1 THEN 768 WHEN 2 THEN 1920 ELSE 512 END)::INT AS height,
-  (CASE p_size % 3 WHEN 0 THEN 33 WHEN 1 THEN 49 ELSE 81 END + CASE WHEN p_partkey % 11 = 0 THEN p_size ELSE 0 END)::INT AS nb_read_frames, CASE WHEN p_partkey % 7 = 0 THEN 24 ELSE 16 END AS fps FROM part)""",
+  (CASE p_partkey % 4 WHEN 0 THEN 768 WHEN 1 THEN 1360 WHEN 2 THEN 1080 ELSE 16 * p_size END)::INT AS width,
+  (CASE p_partkey % 4 WHEN 0 THEN 1360 WHEN 1 THEN 768 WHEN 2 THEN 1920 ELSE 512 END)::INT AS height,
+  (CASE p_size % 3 WHEN 0 THEN 33 WHEN 1 THEN 49 ELSE 81 END + CASE WHEN p_partkey % 11 = 0 THEN p_size ELSE 0 END)::INT AS nb_read_frames, CASE WHEN p_partkey % 7 = 0 THEN 24
+  ELSE 16 END AS fps FROM part)""",
     "files": "files AS (SELECT page_id, url AS path, length(html) AS length, page_id AS age, page_id % 4 AS category FROM pages)",
     "series": """series AS (SELECT user_id AS clip, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx, value AS score, 1 - value / 500 AS similarity,
   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 1e6 / 50000 AS t, event_id FROM events)""",

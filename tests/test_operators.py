@@ -197,14 +197,16 @@ def test_written_tables(spark, tmp_path):
 def test_checkpoints_and_completion(spark):
     files = [("r", "checkpoint-5", True), ("r", "checkpoint-40/", True), ("r", "checkpoint-7", False), ("r", "logs", True), ("r", "", True), ("s", None, True), ("t", "x/checkpoint-3", True)]
     found = runs.find_checkpoints(spark.createDataFrame(files, "root string, path string, has_weights boolean"))
-    assert sorted((r["root"], -1 if r["step"] is None else r["step"], r["is_final"]) for r in found.collect()) == [("r", -1, True), ("r", 5, False), ("r", 40, False), ("s", -1, True), ("t", 3, False)]
+    assert sorted((r["root"], -1 if r["step"] is None else r["step"], r["is_final"]) for r in found.collect()) == [("r", -1, True), ("r", 5, False), ("r", 40, False),
+        ("s", -1, True), ("t", 3, False)]
     told = {w: {r["root"]: (r["label"], r["found"], r["alternatives"]) for r in runs.resolve_checkpoint(found, w).collect()} for w in ("latest", "final", "5")}
     assert told["latest"] == {"r": ("checkpoint-40", True, None), "s": ("final", True, None), "t": ("checkpoint-3", True, None)}
     assert told["final"] == {"r": ("final", True, None), "s": ("final", True, None), "t": ("checkpoint-3", True, None)}
     assert told["5"] == {"r": ("checkpoint-5", True, None), "s": (None, False, ""), "t": (None, False, "3")}
     kept = {r["step"]: r["remove"] for r in runs.retention(found.where("root = 'r'"), 2).collect()}
     assert kept == {5: True, 40: False}
-    lines = spark.createDataFrame([("a", 1, "Steps: 100%|x"), ("b", 1, "3/9 [00:01<1, loss=1, lr=1]"), ("c", 1, "9/9 [00:01<1, loss=1, lr=1]"), ("d", 1, None)], "run string, line_no int, value string")
+    lines = spark.createDataFrame([("a", 1, "Steps: 100%|x"), ("b", 1, "3/9 [00:01<1, loss=1, lr=1]"), ("c", 1, "9/9 [00:01<1, loss=1, lr=1]"), ("d", 1, None)],
+        "run string, line_no int, value string")
     plan = spark.createDataFrame([("b", 9), ("c", 9), ("d", 0)], "run string, total_steps long")
     assert {r["run"]: r["completed"] for r in runs.completion(lines, runs.log_points(lines), plan).collect()} == {"a": True, "b": False, "c": True, "d": False}
     many = spark.range(11).withColumn("score", F.col("id"))
@@ -292,7 +294,8 @@ def test_hot_clips_and_variants(spark):
     rng = np.random.default_rng(6)
     a, c = rng.normal(size=(700, 5)), rng.normal(size=(300, 5))
     table = lambda v, names: spark.createDataFrame([("hot", i, x.tolist()) for i, x in enumerate(v)], names)
-    clauses = table(c, "clip_id string, clause_ord int, vector array<double>").unionByName(spark.createDataFrame([("none", 0, [1.0] * 5)], "clip_id string, clause_ord int, vector array<double>"))
+    clauses = table(c, "clip_id string, clause_ord int, vector array<double>").unionByName(spark.createDataFrame([("none", 0, [1.0] * 5)],
+        "clip_id string, clause_ord int, vector array<double>"))
     got = {(r["clip_id"], r["clause_ord"]): r for r in captions.prune_semantic(clauses, table(a, "clip_id string, n int, vector array<double>"), 0.9).collect()}
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
     best = (unit(c) @ unit(a).T).max(1)
@@ -317,7 +320,8 @@ def test_shares_lists_and_draws(spark):
 
 
 def test_positions_of_hot_and_null_groups(spark):
-    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, F.lit("rare")).alias("type"), (F.col("id") % 7 > 0).alias("good")).repartition(7)
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 100 == 1, F.lit("rare")).alias("type"),
+        (F.col("id") % 7 > 0).alias("good")).repartition(7)
     got = sampling.epoch_order(rows, "id", 1, 2, ["type"]).withColumn("u", sampling.draw(F.col("id").cast("string"), 1, "order", 2)).collect()
     for kind in ("hot", "rare", None):
         mine = sorted((r for r in got if r["type"] == kind), key=lambda r: (r["u"], r["id"]))
@@ -353,7 +357,8 @@ def test_mask_plan(spark):
 
 
 def test_breakdown_problems(spark):
-    clips = spark.createDataFrame([(1, 1, "plate", ["a"], ["p", "x", None], 49), (1, 2, None, None, ["p"], None)], "shot_id long, clip_no int, background string, characters array<string>, props array<string>, frames int")
+    clips = spark.createDataFrame([(1, 1, "plate", ["a"], ["p", "x", None], 49), (1, 2, None, None, ["p"], None)],
+        "shot_id long, clip_no int, background string, characters array<string>, props array<string>, frames int")
     registry = spark.createDataFrame([("character", "a"), ("prop", "p"), ("character", "x")], "kind string, id string")
     got = {tuple(r) for r in validate.breakdown_problems(clips, registry).collect()}
     assert got == {(1, 1, "unknown_prop", "x"), (1, 1, "unknown_prop", None), (1, 2, "frames", None), (1, 2, "background", None)}
