@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import parts
+
 
 def fold(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
     """Mean of f over two equally long arrays."""
@@ -36,8 +38,8 @@ def luminance(r: Column, g: Column, b: Column) -> Column:
 
 
 def with_previous(frames: DataFrame) -> DataFrame:
-    w = Window.partitionBy("clip_id").orderBy("frame_idx")
-    return frames.withColumn("previous", F.lag("pixels").over(w))
+    """Each frame with the one before it in its clip, as column previous; null for the first."""
+    return parts.previous(frames, "clip_id", "frame_idx", "pixels", "previous")
 
 
 def with_first(frames: DataFrame, column: str = "pixels") -> DataFrame:
@@ -98,10 +100,11 @@ def summary(metrics: DataFrame) -> DataFrame:
 
 def flicker(metrics: DataFrame, k: float = 2.0) -> DataFrame:
     """Pairs whose similarity is below the clip's mean by more than k deviations."""
-    w = Window.partitionBy("clip_id")
     s = F.round("similarity", 4)
-    dev = F.stddev_pop(s).over(w)
-    return metrics.withColumn("bound", F.avg(s).over(w) - k * F.when(dev == 0, 1e-9).otherwise(dev)).where(s < F.col("bound"))
+    stats = metrics.groupBy(F.col("clip_id").alias("__clip")).agg(F.avg(s).alias("__mean"), F.stddev_pop(s).alias("__dev"))
+    bound = F.col("__mean") - k * F.when(F.col("__dev") == 0, 1e-9).otherwise(F.col("__dev"))
+    joined = metrics.join(stats, F.col("clip_id").eqNullSafe(F.col("__clip")))
+    return joined.withColumn("bound", bound).where(s < F.col("bound")).drop("__clip", "__mean", "__dev")
 
 
 def worst_pair(metrics: DataFrame) -> DataFrame:
@@ -110,11 +113,9 @@ def worst_pair(metrics: DataFrame) -> DataFrame:
 
 def drift(metrics: DataFrame, part: float = 0.15) -> DataFrame:
     """Absolute difference of the means over the first and last ``part`` of a clip's frames."""
-    w = Window.partitionBy("clip_id").orderBy("frame_idx")
-    n = F.count("*").over(Window.partitionBy("clip_id"))
-    edge = F.greatest(F.floor(n * part), F.lit(1))
-    r = metrics.withColumn("__rn", F.row_number().over(w)).withColumn("__edge", edge).withColumn("__n", n)
-    head, tail = F.avg(F.when(F.col("__rn") <= F.col("__edge"), F.col("similarity"))), F.avg(F.when(F.col("__rn") > F.col("__n") - F.col("__edge"), F.col("similarity")))
+    r = parts.ranked(metrics, "clip_id", "frame_idx").withColumn("__edge", F.greatest(F.floor(F.col("__n") * part), F.lit(1)))
+    head = F.avg(F.when(F.col("__rn") <= F.col("__edge"), F.col("similarity")))
+    tail = F.avg(F.when(F.col("__rn") > F.col("__n") - F.col("__edge"), F.col("similarity")))
     return r.groupBy("clip_id").agg(F.abs(head - tail).alias("drift"))
 
 
@@ -138,7 +139,7 @@ def blur(images: np.ndarray) -> np.ndarray:
     for axis in (1, 2):
         n = images.shape[axis]
         at = np.abs((np.arange(-r, n + r) + (n - 1)) % max(2 * (n - 1), 1) - (n - 1)) if n > 1 else np.zeros(2 * r + n, int)
-        padded = np.take(images, n - 1 - at if n > 1 else at, axis=axis)
+        padded = np.take(images, at, axis=axis)
         images = sum(w * np.take(padded, np.arange(k, k + n), axis=axis) for k, w in enumerate(g))
     return images
 

@@ -30,10 +30,13 @@ def loss_curve(points: DataFrame, tail: int = 50) -> DataFrame:
     """Steps reached, first, last and least loss, mean of the last ``tail`` points, last rate."""
     order = F.struct("line_no", "nth")
     rank = F.row_number().over(Window.partitionBy("run").orderBy(F.desc("line_no"), F.desc("nth")))
-    return points.withColumn("__rank", rank).groupBy("run").agg(
-        F.max("step").alias("steps_reached"), F.min_by("loss", order).alias("loss_first"), F.max_by("loss", order).alias("loss_last"), F.min("loss").alias("loss_min"),
-        F.avg(F.when(F.col("__rank") <= tail, F.col("loss"))).alias("loss_tail"), F.max_by("lr", order).alias("lr_last"),
+    last = points.withColumn("__rank", rank).where(F.col("__rank") <= tail)  # tasks leave out what can be no part of a tail before they shuffle
+    ends = points.groupBy("run").agg(
+        F.max("step").alias("steps_reached"), F.min_by("loss", order).alias("loss_first"), F.max_by("loss", order).alias("loss_last"),
+        F.min("loss").alias("loss_min"), F.max_by("lr", order).alias("lr_last"),
     )
+    tails = last.groupBy("run").agg(F.avg("loss").alias("loss_tail"))
+    return ends.join(tails, "run").select("run", "steps_reached", "loss_first", "loss_last", "loss_min", "loss_tail", "lr_last")
 
 
 def elapsed(lines: DataFrame) -> DataFrame:

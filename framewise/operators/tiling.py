@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import parts
+
 
 def shots(scores: DataFrame, threshold: float, least: int = 1) -> DataFrame:
     """clip, shot, start, end (inclusive), n: a new shot starts where the score passes the threshold; shorter ones than ``least`` go."""
-    w = Window.partitionBy("clip").orderBy("idx")
-    marked = scores.withColumn("shot", F.sum((F.col("score") > threshold).cast("long")).over(w))
+    marked = parts.running_count(scores, "clip", "idx", F.col("score") > threshold, "shot")
     out = marked.groupBy("clip", "shot").agg(F.min("idx").alias("start"), F.max("idx").alias("end"), F.count("*").alias("n"))
     return out.where(F.col("n") >= least)
 

@@ -208,7 +208,31 @@ SELECT clip_id, frame_idx, round(m - 2 * CASE WHEN d = 0 THEN 1e-9 ELSE d END, 5
 def structural_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SSIM, edge SSIM and flat-area error of adjacent frames."""
     f = fr.with_previous(views.frames(spark, sf_dir)).where("previous is not null")
-    return fr.structural(f.select("clip_id", "frame_idx", F.col("previous").alias("a"), F.col("pixels").alias("b")), 8, 8)
+    out = fr.structural(f.select("clip_id", "frame_idx", F.col("previous").alias("a"), F.col("pixels").alias("b")), 8, 8)
+    return out.select("clip_id", "frame_idx", *[F.round(c, 6).alias(c) for c in ("ssim", "edge_ssim", "flat_mae")])
+
+
+#: Blur and edges of 8 x 8 images as weights of a source pixel (src) for a pixel (pos), borders mirrored; then both similarities of the pairs (clip_id, frame_idx, a, b).
+STRUCTURE = """px AS (SELECT clip_id, frame_idx, j::INT AS pos, a[j + 1] AS a, b[j + 1] AS b FROM pairs, range(64) t(j)),
+taps AS (SELECT d, exp(-d * d / 4.5::DOUBLE) / sum(exp(-d * d / 4.5::DOUBLE)) OVER () AS w FROM range(-5, 6) t(d)),
+line AS (SELECT y, abs((y + d + 7) % 14 - 7) AS s, sum(w) AS w FROM range(8) t(y), taps GROUP BY ALL),
+blur AS (SELECT (r.y * 8 + c.y)::INT AS pos, (r.s * 8 + c.s)::INT AS src, r.w * c.w AS w FROM line r, line c),
+edge AS (SELECT (y * 8 + x)::INT AS pos, (abs((y + dy + 7) % 14 - 7) * 8 + abs((x + dx + 7) % 14 - 7))::INT AS src, dx * (2 - abs(dy)) AS wx, dy * (2 - abs(dx)) AS wy
+  FROM range(8) t(y), range(8) u(x), range(-1, 2) v(dy), range(-1, 2) z(dx)),
+e AS (SELECT clip_id, frame_idx, edge.pos, sqrt(pow(sum(wx * a), 2) + pow(sum(wy * a), 2)) AS ea, sqrt(pow(sum(wx * b), 2) + pow(sum(wy * b), 2)) AS eb
+  FROM px JOIN edge ON edge.src = px.pos GROUP BY ALL),
+top AS (SELECT *, max(ea) OVER (PARTITION BY clip_id, frame_idx) AS top FROM e),
+kinds AS (SELECT clip_id, frame_idx, 'ssim' AS kind, pos, a, b, 255.0::DOUBLE AS r FROM px UNION ALL SELECT clip_id, frame_idx, 'edge', pos, ea, eb, greatest(top, 1e-6) FROM top),
+means AS (SELECT clip_id, frame_idx, kind, blur.pos, any_value(r) AS r, sum(w * a) AS ma, sum(w * b) AS mb, sum(w * a * a) AS aa, sum(w * b * b) AS bb, sum(w * a * b) AS ab
+  FROM kinds JOIN blur ON blur.src = kinds.pos GROUP BY ALL),
+terms AS (SELECT clip_id, frame_idx, kind, (2 * ma * mb + pow(0.01 * r, 2)) * (2 * (ab - ma * mb) + pow(0.03 * r, 2))
+  / ((ma * ma + mb * mb + pow(0.01 * r, 2)) * ((aa - ma * ma) + (bb - mb * mb) + pow(0.03 * r, 2))) AS s FROM means),
+scores AS (SELECT clip_id, frame_idx, avg(s) FILTER (kind = 'ssim') AS ssim, avg(s) FILTER (kind = 'edge') AS edge_ssim FROM terms GROUP BY ALL),
+calm AS (SELECT clip_id, frame_idx, avg(abs(a - b)) FILTER (ea < 0.06 * top + 1e-6) AS flat_mae FROM top JOIN px USING (clip_id, frame_idx, pos) GROUP BY ALL)"""
+
+STRUCTURAL = with_views(f"""+p AS (SELECT clip_id, frame_idx, lag(pixels) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS a, pixels AS b FROM frames),
+pairs AS (SELECT * FROM p WHERE a IS NOT NULL), {STRUCTURE}
+SELECT clip_id, frame_idx, round(ssim, 6) AS ssim, round(edge_ssim, 6) AS edge_ssim, round(flat_mae, 6) AS flat_mae FROM scores JOIN calm USING (clip_id, frame_idx)""", "frames")
 
 
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,7 +436,7 @@ QUERIES = {
         (balanced_samples, BALANCED), (full_batches, FULL_BATCHES),
         (seeded_draws, SEEDED_DRAWS), (frame_indices, FRAME_INDICES), (nearest_seconds, NEAREST_SECONDS), (bad_rows, BAD_ROWS), (frame_metrics, FRAME_METRICS),
         (reconstruction_quality, RECONSTRUCTION),
-        (consistency_summary, CONSISTENCY), (flicker_suspects, FLICKER), (structural_similarity, None), (loss_curves, LOSS_CURVES), (sparklines, SPARKLINES),
+        (consistency_summary, CONSISTENCY), (flicker_suspects, FLICKER), (structural_similarity, STRUCTURAL), (loss_curves, LOSS_CURVES), (sparklines, SPARKLINES),
         (checkpoint_plan, CHECKPOINT_PLAN), (rubric_verdicts, RUBRIC),
         (failure_rates, FAILURE_RATES), (run_ranking, RUN_RANKING), (evaluation_grid, EVALUATION_GRID), (run_labels, RUN_LABELS), (throughput, THROUGHPUT),
         (seam_ratios, SEAM_RATIOS), (uniform_frames, UNIFORM_FRAMES),

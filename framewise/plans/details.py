@@ -104,7 +104,14 @@ c AS (SELECT clip_id, avg(psnr) AS m FROM e GROUP BY clip_id) SELECT round(avg(m
 
 def loop_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Similarity of every clip's first and last frame."""
-    return fr.loop_closure(views.frames(spark, sf_dir), 8, 8)
+    return fr.loop_closure(views.frames(spark, sf_dir), 8, 8, 0.5).withColumn("ssim", F.round("ssim", 6))
+
+
+LOOP_CLOSURE = with_views(
+    f"""+pairs AS (SELECT clip_id, 0 AS frame_idx, arg_min(pixels, frame_idx) AS a, arg_max(pixels, frame_idx) AS b FROM frames GROUP BY clip_id), {analytics.STRUCTURE}
+SELECT clip_id, round(ssim, 6) AS ssim, ssim >= 0.5 AS closed FROM scores""",
+    "frames",
+)
 
 
 # Checkpoints and runs
@@ -416,7 +423,7 @@ KEY_CHECKS = "SELECT doc_id, doc_id % 2 <> 0 OR doc_id % 3 = 0 AS fails, (doc_id
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (first_frame_drift, FIRST_FRAME_DRIFT), (versus_first_frame, VERSUS_FIRST), (run_comparison, RUN_COMPARISON), (clip_macro_means, MACRO_MEANS), (loop_closure, None),
+        (first_frame_drift, FIRST_FRAME_DRIFT), (versus_first_frame, VERSUS_FIRST), (run_comparison, RUN_COMPARISON), (clip_macro_means, MACRO_MEANS), (loop_closure, LOOP_CLOSURE),
         (checkpoint_resolution, CHECKPOINT_RESOLUTION), (run_completion, RUN_COMPLETION), (log_fields, LOG_FIELDS), (run_states, RUN_STATES),
         (frame_draws, FRAME_DRAWS), (epoch_draws, EPOCH_DRAWS), (replaced_draws, REPLACED_DRAWS), (schedule_plans, SCHEDULE_PLANS), (bucket_crops, BUCKET_CROPS), (model_caps, MODEL_CAPS),
         (caption_variants, CAPTION_VARIANTS), (captions_by_stem, CAPTIONS_BY_STEM), (clip_captions, CLIP_CAPTIONS), (first_entries, FIRST_ENTRIES), (column_choices, COLUMN_CHOICES),

@@ -289,6 +289,23 @@ def test_edges_flat_areas_and_loops(spark):
     assert one(spark, frames.psnr_exact(F.array(F.lit(1.0)), F.array(F.lit(1.0)))) == 99.0
 
 
+def test_order_in_parts(spark):
+    """Ranks, running counts and rows before, over parts of any width, with gaps, a null group and single rows."""
+    from framewise.operators import parts
+
+    rng = np.random.default_rng(8)
+    rows = [(g, int(i), float(rng.integers(0, 9))) for g, n in (("hot", 400), ("one", 1), (None, 30)) for i in rng.choice(3_000, n, replace=False)]
+    df = spark.createDataFrame(rows, "g string, i long, v double").repartition(5)
+    for span in (1, 7, 1_000, 4_096):
+        got = parts.previous(parts.running_count(parts.ranked(df, "g", "i", span), "g", "i", F.col("v") > 4, "c", span), "g", "i", "v", "p", span).collect()
+        assert len(got) == len(rows)
+        for g in ("hot", "one", None):
+            own = sorted((i, v) for h, i, v in rows if h == g)
+            mine = sorted((r["i"], r["__rn"], r["__n"], r["c"], r["p"]) for r in got if r["g"] == g)
+            want = [(i, k + 1, len(own), sum(v > 4 for _, v in own[: k + 1]), own[k - 1][1] if k else None) for k, (i, v) in enumerate(own)]
+            assert mine == want
+
+
 def test_hot_clips_and_variants(spark):
     """A clip of many anchors and clauses has the cosine that brute force gives."""
     rng = np.random.default_rng(6)
