@@ -44,22 +44,44 @@ def row_of(token: str) -> int:
     return zlib.crc32(token.encode("utf-8", "surrogatepass")) % ROWS
 
 
+#: The row of words that are met again.
+AGAIN = row_of("\x02again")
+
+
+class Kinds(dict):
+    """For str.translate: 'X' and 'x' for letters, '9' for digits, other characters as they are."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        out = self[code] = ("9" if c.isdecimal() else "X" if c.isupper() else "x") if c.isalnum() else c
+        return out
+
+
+KINDS = Kinds()
+
+
 def shape_of(word: str) -> str:
     """Letters and digits by kind, runs shortened: 'Rewh.###' -> 'Xx.#'."""
-    s = re.sub(r"[^\W\d_]", lambda m: "X" if m[0].isupper() else "x", word)
-    return re.sub(r"(.)\1+", r"\1", re.sub(r"\d", "9", s))
+    return re.sub(r"(.)\1+", r"\1", word.translate(KINDS))
 
 
 class Tokens:
-    """Rows of a text's words and of their shapes, with a bounded memory of words."""
+    """Rows of a text's words and of their shapes, with a bounded memory of words and of kinds of words."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
+        self.shapes: dict[str, int] = {}
 
     def __missing(self, word: str) -> int:
+        kinds = word.translate(KINDS)
+        shape = self.shapes.get(kinds)
+        if shape is None:
+            if len(self.shapes) >= CACHE_WORDS:
+                self.shapes = {}
+            shape = self.shapes[kinds] = row_of("\x01" + shape_of(word))
         if len(self.known) >= CACHE_WORDS:
             self.known = {}
-        out = self.known[word] = row_of(word) * ROWS + row_of("\x01" + shape_of(word))
+        out = self.known[word] = row_of(word) * ROWS + shape
         return out
 
     def rows(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -73,7 +95,7 @@ class Tokens:
         for k in range(1, min(REPEAT_WITHIN, len(both) - 1) + 1):
             again[k:] |= both[k:] == both[:-k]
         shape = both % ROWS
-        shape[again] = row_of("\x02again")
+        shape[again] = AGAIN
         return both // ROWS, shape
 
 
@@ -222,6 +244,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, k
                 texts = batch.column(batch.num_columns - 1).slice(k, 512).to_pylist()
                 scores.append(np.full(len(texts), 0.5) if model is None else model.score(pooled(texts, table, tokens)))
             score = np.concatenate(scores) if scores else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[*kept, "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[*kept,
+                "held_out", "score", "predicted"])
 
     return source.mapInArrow(run, source.drop("__text").schema.add("score", "double").add("predicted", "integer"))
