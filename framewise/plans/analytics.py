@@ -426,7 +426,62 @@ def colour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     cell = lambda i: F.floor(i / 96) * 8 + F.floor(F.floor(i / 3) % 16 / 2)
     drawn = lambda p: F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i: F.get(F.col(p), ((cell(i) + 21 * (i % 3)) % 64).cast("int")))
     out = fr.colour_pairs(f.select("clip_id", "frame_idx", drawn("previous").alias("a"), drawn("pixels").alias("b")), 16, 16)
-    return out.withColumn("kind", F.when(F.col("similarity") > 0.996, "duplicate").when(F.col("similarity") < 0.2, "hold").otherwise("interpolate"))
+    kind = F.when(F.col("similarity") > 0.996, "duplicate").when(F.col("similarity") < 0.2, "hold").otherwise("interpolate")
+    return out.select("clip_id", "frame_idx", *[F.round(c, 6).alias(c) for c in ("hist_corr", "similarity", "ms_ssim")], kind.alias("kind"))
+
+
+def _colour_sql() -> str:
+    """Hue and saturation cells in fixed point, and Gaussian windows as weights of source rows, from their rules."""
+
+    def channel(p: str, k: int) -> str:
+        return f"floor(least(255, greatest(0, {p}[(j + {21 * k}) % 64 + 1])))::BIGINT"
+
+    def hues(p: str) -> str:
+        return f"""SELECT clip_id, frame_idx, '{p}' AS side, {channel(p, 0)} AS r, {channel(p, 1)} AS g, {channel(p, 2)} AS u FROM pairs, range(64) t(j)"""
+
+    def smooth(name: str, source: str, axis: str, rest: str) -> str:
+        fields = ", ".join(f"sum(w * {c}) AS {c}" for c in ("a", "b", "ab", "aa", "bb"))
+        return f"{name} AS (SELECT clip_id, frame_idx, k, {rest}, o AS {axis}, {fields} FROM {source} s JOIN window_rows q ON q.n = s.n{axis} AND q.i = s.{axis} GROUP BY ALL)"
+
+    def products(source: str, n: str) -> str:
+        return f"SELECT clip_id, frame_idx, k, c, y, x, {n} AS ny, {n} AS nx, a, b, a * b AS ab, a * a AS aa, b * b AS bb FROM {source}"
+
+    shrunk = ",\n".join(
+        f"level{k} AS (SELECT clip_id, frame_idx, {k} AS k, {16 >> k} AS n, c, y // 2 AS y, x // 2 AS x, avg(a) AS a, avg(b) AS b FROM level{k - 1} GROUP BY ALL)" for k in range(1, 5)
+    )
+    terms = "(2 * (ab - a * b) + 9e-4) / ((aa - a * a) + (bb - b * b) + 9e-4)"
+    power = " * ".join(f"pow(max(contrast) FILTER (k = {k}), {w})" for k, w in enumerate(fr.SCALE_WEIGHTS[:-1]))
+    return f"""+p AS (SELECT clip_id, frame_idx, lag(pixels) OVER (PARTITION BY clip_id ORDER BY frame_idx) AS a, pixels AS b FROM frames), pairs AS (SELECT * FROM p WHERE a IS NOT NULL),
+rgb AS ({hues("a")} UNION ALL {hues("b")}), vd AS (SELECT *, greatest(r, g, u) AS v, greatest(r, g, u) - least(r, g, u) AS d FROM rgb),
+hs AS (SELECT *, floor((d * round_even(255 * 4096.0::DOUBLE / greatest(v, 1), 0) + 2048) / 4096) AS s,
+  floor(((CASE WHEN v = r THEN g - u WHEN v = g THEN u - r + 2 * d ELSE r - g + 4 * d END) * round_even(30 * 4096.0::DOUBLE / greatest(d, 1), 0) + 2048) / 4096) AS h FROM vd),
+cells AS (SELECT clip_id, frame_idx, side, floor(least(CASE WHEN h < 0 THEN h + 180 ELSE h END, 179) * 50 / 180)::INT * 60 + floor(s * 60 / 256)::INT AS cell FROM hs),
+counts AS (SELECT clip_id, frame_idx, cell, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM cells GROUP BY ALL),
+sums AS (SELECT clip_id, frame_idx, sum(na * nb) - 64 * 64 / 3000.0::DOUBLE AS ab, sum(na * na) - 64 * 64 / 3000.0::DOUBLE AS aa, sum(nb * nb) - 64 * 64 / 3000.0::DOUBLE AS bb FROM counts GROUP BY ALL),
+hist AS (SELECT clip_id, frame_idx, ab / sqrt(aa * bb) AS hist_corr FROM sums),
+sizes AS (SELECT * FROM (VALUES (32, 11), (16, 11), (8, 8), (4, 4), (2, 2), (1, 1), (3, 11)) v(n, size)),
+bell AS (SELECT n, size, t, exp(-pow(t - size // 2, 2) / 4.5::DOUBLE) / sum(exp(-pow(t - size // 2, 2) / 4.5::DOUBLE)) OVER (PARTITION BY n) AS w FROM sizes, range(11) z(t) WHERE t < size),
+window_rows AS (SELECT n, o, least(greatest(o - 5 + t, 0), n - 1) AS i, sum(w) AS w FROM bell, range(32) z(o) WHERE o < n + 11 - size GROUP BY ALL),
+level0 AS (SELECT clip_id, frame_idx, 0 AS k, 16 AS n, c, y, x, a[((y // 2) * 8 + x // 2 + 21 * c) % 64 + 1] / 255 AS a, b[((y // 2) * 8 + x // 2 + 21 * c) % 64 + 1] / 255 AS b
+  FROM pairs, range(3) t(c), range(16) q(y), range(16) z(x)),
+{shrunk},
+levels AS (SELECT * FROM level0 UNION ALL SELECT * FROM level1 UNION ALL SELECT * FROM level2 UNION ALL SELECT * FROM level3 UNION ALL SELECT * FROM level4),
+flat0 AS ({products("levels", "n")}), {smooth("flat1", "flat0", "y", "c, x, nx")}, {smooth("flat2", "flat1", "x", "c, y")},
+scales AS (SELECT clip_id, frame_idx, k, avg((2 * a * b + 1e-4) / (a * a + b * b + 1e-4) * {terms}) AS whole, avg({terms}) AS contrast FROM flat2 GROUP BY ALL),
+multi AS (SELECT clip_id, frame_idx, CASE WHEN min(contrast) FILTER (k < 4) >= 0 AND max(whole) FILTER (k = 4) >= 0 THEN {power} * pow(max(whole) FILTER (k = 4), {fr.SCALE_WEIGHTS[-1] * 4}) END AS ms_ssim
+  FROM scales GROUP BY ALL),
+taps AS (SELECT o, floor(greatest(o / 2.0::DOUBLE - 0.25, 0))::INT AS low, greatest(o / 2.0::DOUBLE - 0.25, 0) - floor(greatest(o / 2.0::DOUBLE - 0.25, 0)) AS part FROM range(32) t(o)),
+mixes AS (SELECT o, i, sum(w) AS w FROM (SELECT o, low AS i, 1 - part AS w FROM taps UNION ALL SELECT o, least(low + 1, 15), part FROM taps) GROUP BY ALL),
+tall AS (SELECT clip_id, frame_idx, c, o AS y, x, sum(w * a) AS a, sum(w * b) AS b FROM level0 JOIN mixes ON i = y GROUP BY ALL),
+thumbs AS (SELECT clip_id, frame_idx, 0 AS k, c, y, o AS x, sum(w * a) AS a, sum(w * b) AS b FROM tall JOIN mixes ON i = x GROUP BY ALL),
+deep0 AS (SELECT *, 3 AS nc FROM ({products("thumbs", "32")})), {smooth("deep1", "deep0", "c", "y, x, ny, nx")}, {smooth("deep2", "deep1", "y", "c, x, nx")}, {smooth("deep3", "deep2", "x", "c, y")},
+small AS (SELECT clip_id, frame_idx, avg((2 * a * b + 1e-4) / (a * a + b * b + 1e-4) * {terms}) AS similarity FROM deep3 GROUP BY ALL)
+SELECT clip_id, frame_idx, round(hist_corr, 6) AS hist_corr, round(similarity, 6) AS similarity, round(ms_ssim, 6) AS ms_ssim,
+  CASE WHEN similarity > 0.996 THEN 'duplicate' WHEN similarity < 0.2 THEN 'hold' ELSE 'interpolate' END AS kind
+FROM hist JOIN small USING (clip_id, frame_idx) JOIN multi USING (clip_id, frame_idx)"""
+
+
+COLOUR_SIMILARITY = with_views(_colour_sql(), "frames")
 
 
 QUERIES = {
@@ -440,6 +495,6 @@ QUERIES = {
         (checkpoint_plan, CHECKPOINT_PLAN), (rubric_verdicts, RUBRIC),
         (failure_rates, FAILURE_RATES), (run_ranking, RUN_RANKING), (evaluation_grid, EVALUATION_GRID), (run_labels, RUN_LABELS), (throughput, THROUGHPUT),
         (seam_ratios, SEAM_RATIOS), (uniform_frames, UNIFORM_FRAMES),
-        (carried_batches, CARRIED_BATCHES), (mask_plans, MASK_PLANS), (colour_similarity, None),
+        (carried_batches, CARRIED_BATCHES), (mask_plans, MASK_PLANS), (colour_similarity, COLOUR_SIMILARITY),
     )
 }
