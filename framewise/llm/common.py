@@ -77,6 +77,30 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return save_at(df, name)[0]
 
 
+@contextmanager
+def staged(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows`` with part and key, saved once as a table of buckets by part: what is found out about rows goes back to them by part and key.
+
+    Each task writes the rows it holds into one bucket, so keys stay what they are when an executor is lost, and a join
+    by part and key (``found.hint("shuffle_hash")``) deals the few columns that were found to the buckets and leaves the
+    rows, with their texts, where they are: a task holds what was found about one bucket, and its rows pass by. The table
+    goes at the end.
+    """
+    spark = rows.sparkSession
+    name, key = f"framewise_{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
+    before, path = spark.conf.get(key), new_path(spark, "staged")
+    numbered = rows.withColumn("part", F.spark_partition_id()).withColumn("key", F.monotonically_increasing_id())
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        numbered.write.format("parquet").bucketBy(buckets, "part").option("path", path).saveAsTable(name)
+        spark.conf.set(key, "false")  # buckets by part do for a join by part and key
+        yield spark.table(name)
+    finally:
+        spark.conf.set(key, before)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
 def bounded_rows(df: DataFrame, key: str, text: str, rows: int, *values: str) -> DataFrame:
     """At most ``rows`` different rows (key, text, values) of ``df``, those of the smallest hashed keys; rows of a null key go.
 

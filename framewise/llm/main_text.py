@@ -31,7 +31,10 @@ SAMPLE_PAGES = 2_000
 NAMES = 5_000
 
 # Element names of HTML. NAMED ones have weights of their own.
-BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
+    "hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NAMED = BLOCKS | VOID | frozenset("a b i em strong span u small sup sub code".split())
 #: Elements whose content is never shown as text; one that is not closed hides nothing.
@@ -49,11 +52,12 @@ IMPLIED_ENDS = frozenset("p li tr td th dd dt option".split())
 
 #: Prior evidence of names against (below 0) or for being part of an article: where labelled pages say nothing, it decides.
 PRIOR_NAMES = {
-    -3.0: "ad ads advert adverts advertisement advertisements advertorial sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments commentlist disqus newsletter",
-    -2.5: "sponsor sponsored promo promotion popup modal subscribe subscription signup login masthead topbar toolbar widget widgets social pagination pager paywall respond reply replies contentinfo complementary",
+    -3.0: "ad ads adsbygoogle advert adverts advertisement advertisements advertorial sidebar nav navbar navigation menu breadcrumb breadcrumbs comment comments commentlist disqus newsletter",
+    -2.5: "sponsor sponsored promo promotion popup modal subscribe subscription "
+    "signup login masthead topbar toolbar widget widgets social pagination pager paywall respond reply replies contentinfo complementary",
     -2.0: "banner cookie cookies consent gdpr notice alert footer copyright disclaimer related recommended share sharing search searchbox overlay form hidden",
-    -1.5: "header side aside tags site signin leave responses",
-    -1.0: "discussion bar reader readers links skip",
+    -1.5: "header side aside site signin leave responses feedback",
+    -1.0: "discussion bar reader readers links skip tags button buttons icons",
     -0.5: "posts articles stories",
     0.5: "article post entry story body main text",
 }

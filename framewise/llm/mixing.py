@@ -119,7 +119,8 @@ def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], share: float,
         kept = [c for c in plan.columns if c not in keys]
         sums = rows.groupBy(*keys, f"__mix_bin{i}").agg(F.sum("__mix_tokens").alias("__mix_sum"), *[F.first(c).alias(c) for c in kept])
         upto = F.sum("__mix_sum").over(Window.partitionBy(*keys).orderBy(f"__mix_bin{i}"))
-        cut = sums.withColumn("__mix_upto", upto).where("__mix_upto > __mix_left").groupBy(*keys).agg(F.min_by(F.struct(f"__mix_bin{i}", (F.col("__mix_upto") - F.col("__mix_sum")).alias("before")), f"__mix_bin{i}").alias("c"))
+        cut = sums.withColumn("__mix_upto", upto).where("__mix_upto > __mix_left").groupBy(*keys).agg(F.min_by(F.struct(f"__mix_bin{i}",
+            (F.col("__mix_upto") - F.col("__mix_sum")).alias("before")), f"__mix_bin{i}").alias("c"))
         cut = cut.select(*keys, F.col(f"c.__mix_bin{i}").alias(f"__mix_cut{i}"), F.col("c.before").alias("__mix_before"))
         plan = plan.join(cut, keys, "left").withColumn("__mix_left", F.col("__mix_left") - F.coalesce("__mix_before", F.lit(0))).drop("__mix_before")
         plan = save(plan, f"mix-cut{i}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, save, save_at, scratch
+from .common import join_keyed, save, save_at, scratch, staged
 from .components import components
 from .tiles import LINKED, linked, over_tiles
 
@@ -173,22 +173,22 @@ def link_tile(tile: pa.Table, itself: bool, threshold: float) -> pa.RecordBatch
 LAST = 2**63 - 1
 
 
-def signed_rows(source: DataFrame) -> DataFrame:
-    """doc_id, text_key, n (shingles) and sig per row of ``source`` (doc_id, text without nulls), saved."""
+def signed_rows(rows: DataFrame) -> DataFrame:
+    """doc_id, part, key, text_key, n (shingles) and sig per row of ``rows`` (doc_id, text without nulls, part, key)."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, counts, signatures = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(3):
                 text = t.as_py()
                 s = shingle_set(text)
                 keys.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest())
                 counts.append(len(s))
                 signatures.append(signature(s).tobytes() if len(s) else b"")
-            columns = [batch.column(0), pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "n", "sig"])
+            columns = [*batch.columns[:3], pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "key", "text_key", "n", "sig"])
 
-    return save(source.mapInArrow(sign, "doc_id long, text_key string, n long, sig binary"), "signatures")
+    return rows.select("doc_id", "part", "key", "text").mapInArrow(sign, "doc_id long, part int, key long, text_key string, n long, sig binary")
 
 
 def shared_bands(reps: DataFrame) -> DataFrame:
@@ -226,28 +226,36 @@ def dealt_to_blocks(reps: DataFrame) -> DataFrame:
     return blocks.join(others, "uid", "left").select("uid", "block", F.array_union(F.array("block"), partners).alias("partners"))
 
 
-def classified(docs: DataFrame, threshold: float) -> DataFrame:
-    """doc_id, text_key, n_links and kept per row: kept is the least (doc_id, text_key) of the row's class, null for texts without words; LAST stands for a null id."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = signed_rows(source)
-    reps = signed.where("n > 0").groupBy("text_key")
-    reps = reps.agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    reps = save(reps.withColumn("uid", F.monotonically_increasing_id()), "texts")
+def text_links(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed, reps, tiles), saved: rows with their text_key, different texts, and the links that tiles found.
+
+    rows: doc_id, text without nulls, part and key of staged rows. Texts stay in their buckets: one that has candidates
+    is cut into shingles there, and these are dealt to tiles.
+    """
     names = ["block", "partners", "uid", "copies", "sig"]
-    with scratch(docs.sparkSession) as keep:
-        members, path = save_at(dealt_to_blocks(reps).join(reps, "uid").select(*names, "rep", "text_key"), "members")
-        keep(path)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = [shingle_set(t.as_py()).tobytes() for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(blobs, pa.binary())], names=[*names, "shingles"])
 
-    texts = source.where("text <> ''").select(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "text", F.md5(F.col("text").cast("binary")).alias("text_key"))
-    texts = texts.groupBy("rep", "text_key").agg(F.first("text").alias("text"))  # repeated rows are one before they are dealt
-    texts = texts.join(members, ["rep", "text_key"]).select(*names, "text")
-    cuts = texts.mapInArrow(cut, "block long, partners array<long>, uid long, copies long, sig binary, shingles binary").withColumn("group", F.lit(0).cast("long"))
-    tiles = save(over_tiles(cuts, lambda t, itself: link_tile(t, itself, threshold), LINKED), "text-links")
+    with scratch(rows.sparkSession) as keep:
+        signed, path = save_at(signed_rows(rows), "signatures")
+        keep(path)
+        first = [F.min(F.coalesce("doc_id", F.lit(LAST))).alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("sig").alias("sig")]
+        reps = signed.where("n > 0").groupBy("text_key").agg(*first, F.min(F.struct("part", "key")).alias("at"))  # one of a text's rows stands for it
+        reps, path = save_at(reps.select("*", "at.part", "at.key", F.monotonically_increasing_id().alias("uid")).drop("at"), "texts")
+        keep(path)
+        members = save(dealt_to_blocks(reps).join(reps, "uid").select(*names, "part", "key"), "members")
+        texts = rows.select("part", "key", "text").join(members.hint("shuffle_hash"), ["part", "key"]).select(*names, "text")
+        cuts = texts.mapInArrow(cut, "block long, partners array<long>, uid long, copies long, sig binary, shingles binary").withColumn("group", F.lit(0).cast("long"))
+        tiles, path = save_at(over_tiles(cuts, lambda t, itself: link_tile(t, itself, threshold), LINKED), "text-links")
+        keep(path)
+    return signed, reps, tiles
+
+
+def classified(signed: DataFrame, reps: DataFrame, tiles: DataFrame) -> DataFrame:
+    """doc_id, part, key, text_key, n_links and kept per signed row: kept is the least (doc_id, text_key) of the row's class, null for texts without words; LAST stands for a null id."""
     links = tiles.groupBy("uid").agg(F.sum("links").alias("links"))
     named = components(tiles.select("uid", "root")).join(reps.select(F.col("uid").alias("node"), F.struct("rep", "text_key").alias("own")), "node")
     named = save(named, "text-components")
@@ -256,10 +264,10 @@ def classified(docs: DataFrame, threshold: float) -> DataFrame:
     found = reps.select("uid", "text_key", "rep", "copies").join(links, "uid", "left").join(named, "uid", "left")
     n_links, kept = F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.coalesce("kept", F.struct("rep", "text_key"))
     found = save(found.select("text_key", n_links.alias("n_links"), kept.alias("kept"), F.col("copies").alias("n")), "text-classes")
-    kept_type = found.schema["kept"].dataType
-    wordless = signed.where("n = 0").select("doc_id", "text_key", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast(kept_type).alias("kept"))
-    worded = signed.where("n > 0").select("doc_id", "text_key")
-    return join_keyed(worded, found, ["text_key"], worded.count()).select("doc_id", "text_key", "n_links", "kept").unionByName(wordless)
+    own = ["doc_id", "part", "key", "text_key"]
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("n_links", "kept")]
+    wordless, worded = signed.where("n = 0").select(*own, *nothing), signed.where("n > 0").select(*own)
+    return join_keyed(worded, found, ["text_key"], worded.count()).select(*own, "n_links", "kept").unionByName(wordless)
 
 
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -270,9 +278,11 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame
     white space) link with nothing. Repeated rows are copies; null doc_ids count as the largest, and a class of null
     ids alone has a null class_id. Extra columns are not read. text_key is the text's MD5.
     """
+    with staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))) as rows:
+        found = text_links(rows, threshold)
     name = F.col("kept.rep")
     named = F.when(F.col("kept").isNull(), F.col("doc_id")).when(name != LAST, name).alias("class_id")
-    return classified(docs, threshold).select("doc_id", "text_key", named, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return classified(*found).select("doc_id", "text_key", named, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -280,8 +290,14 @@ def one_of_each_class(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Texts without words are a class each, so they stay (repeated rows of one id once).
     """
-    own = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "text_key")
-    classes = classified(docs, threshold).where(F.col("kept").isNull() | (F.col("kept") == own)).select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("text_key").alias("__text")).distinct()
-    key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    rows = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("__text", key)
-    return rows.dropDuplicates(["__id", "__text"]).join(classes, ["__id", "__text"], "left_semi").drop("__id", "__text")
+    names = docs.columns
+    held = {c: f"__keep{i}" for i, c in enumerate(names)}  # extra columns may have any name
+    with scratch(docs.sparkSession) as keep, staged(docs.select(*[F.col(f"`{c}`").alias(h) for c, h in held.items()])) as rows:
+        texts = rows.select(F.col(held["doc_id"]).cast("long").alias("doc_id"), F.coalesce(held["text"], F.lit("")).alias("text"), "part", "key")
+        own = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("rep"), "text_key")
+        classes = classified(*text_links(texts, threshold)).where(F.col("kept").isNull() | (F.col("kept") == own))
+        chosen = classes.groupBy(own.alias("own")).agg(F.min(F.struct("part", "key")).alias("at")).select("at.part", "at.key")
+        kept = rows.join(chosen.hint("shuffle_hash"), ["part", "key"], "left_semi").select(*[F.col(h).alias(c) for c, h in held.items()])
+        kept, path = save_at(kept, "kept")
+        keep(path)
+    return kept

@@ -38,7 +38,8 @@ def op6(weights: dict, share: float, epochs: int, seed: int) -> str:
 {name}_f AS (SELECT *, coalesce(sum(c) OVER ({part}ORDER BY c / w, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::HUGEINT AS filled,
   sum(w) OVER ({part}ORDER BY c / w, {level} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::HUGEINT AS remaining FROM {name}_w),
 {name}_u AS (SELECT *, filled * w + c * remaining <= pb * w AS is_full FROM {name}_f),
-{name} AS (SELECT *, CASE WHEN is_full THEN c ELSE ((pb - coalesce(sum(c) FILTER (is_full) OVER ({part.strip()}), 0))::HUGEINT * w) // (sum(w) FILTER (NOT is_full) OVER ({part.strip()}))::HUGEINT END::BIGINT AS b FROM {name}_u)"""
+{name} AS (SELECT *, CASE WHEN is_full THEN c ELSE ((pb - coalesce(sum(c) FILTER (is_full) OVER ({part.strip()}),
+  0))::HUGEINT * w) // (sum(w) FILTER (NOT is_full) OVER ({part.strip()}))::HUGEINT END::BIGINT AS b FROM {name}_u)"""
 
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n,
@@ -48,7 +49,8 @@ leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS t, (sum(n) * {epochs})::
 {split("l1", "domain", "lang", "SELECT leaf.domain, lang, sum(leaf.c)::HUGEINT AS c, any_value(l0.b)::HUGEINT AS pb FROM leaf JOIN l0 USING (domain) GROUP BY leaf.domain, lang")},
 {split("l2", "domain, lang", "source", "SELECT leaf.domain, leaf.lang, source, leaf.c, leaf.t, l1.b::HUGEINT AS pb FROM leaf JOIN l1 ON leaf.domain = l1.domain AND leaf.lang = l1.lang")},
 plan AS (SELECT domain, lang, source, b // t AS whole, b % t AS rest FROM l2 WHERE t > 0),
-r AS (SELECT d.*, whole, rest, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || whole || ':' || doc_id), doc_id::VARCHAR, n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+r AS (SELECT d.*, whole, rest, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5('{seed}:' || whole || ':' || doc_id), doc_id::VARCHAR,
+  n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM d JOIN plan USING (domain, lang, source)),
 taken AS (SELECT *, whole + (upto <= rest)::BIGINT AS times FROM r)
 SELECT doc_id, domain, lang, source, n AS n_tokens, unnest(range(0, times))::INTEGER AS epoch FROM taken WHERE times > 0
@@ -57,7 +59,8 @@ SELECT doc_id, domain, lang, source, n AS n_tokens, unnest(range(0, times))::INT
 
 OP9 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) ELSE [array_to_string(words, ' ')] END) AS g FROM w WHERE len(words) > 0),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))
+  ELSE [array_to_string(words, ' ')] END) AS g FROM w WHERE len(words) > 0),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
 half AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE m >= 0.8::DOUBLE * (x.n + y.n - m) - 1e-9),
@@ -73,7 +76,8 @@ WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 e AS (SELECT *, length(text) + len(regexp_extract_all(text, '[\\#<:]')) + length(role) + len(regexp_extract_all(role, '[\\#<:]')) + 14 AS chars,
   CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END AS code FROM c),
 g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
-  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars, string_agg(code, '' ORDER BY turn NULLS FIRST, role, text) AS codes
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS chars,
+  string_agg(code, '' ORDER BY turn NULLS FIRST, role, text) AS codes
   FROM e GROUP BY conv_id)
 SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
   chars::BIGINT AS formatted_chars, regexp_full_match(codes, 's?(ua)+') AS valid FROM g

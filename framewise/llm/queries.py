@@ -71,7 +71,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     given = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    probe = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))]
+    probe = [spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"),
+        F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))]
     read = chat.read_chats(chat.format_chats(given.unionByName(probe[0]).unionByName(probe[1])))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -87,5 +88,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_classifier, op2_html_extraction, op3_warc, op4_embedding_near_dedup, op5_token_counts, op6_mixing, op7_quality_rules, op8_sentencepiece, op9_ngram_jaccard_join, op10_chat_formatting, pipeline)
+    found = (op1_quality_classifier, op2_html_extraction, op3_warc, op4_embedding_near_dedup, op5_token_counts, op6_mixing, op7_quality_rules, op8_sentencepiece,
+        op9_ngram_jaccard_join, op10_chat_formatting, pipeline)
     return {f.__name__: f for f in found}

@@ -12,14 +12,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_keyed, new_path, save, scratch
+from .common import join_keyed, new_path, save, scratch, staged
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -58,29 +57,20 @@ def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
     return headers.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(first.alias("original"), F.count("*").alias("n")).where("n > 1")
 
 
-def staged_rows(pages: DataFrame) -> tuple[DataFrame, str]:
-    """The rows as a table of buckets by partition, and the table's name: page_id, url, payload, digest, bytes, part and key.
-
-    The table is written once and by each task into one bucket, so keys stay what they are when an executor is lost.
-    """
-    spark = pages.sparkSession
+def with_digests(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload, payload_digest and payload_bytes per row of ``pages``."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(LAST)).alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    rows = rows.withColumn("part", F.spark_partition_id()).withColumn("key", F.monotonically_increasing_id())
-    name = f"framewise_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.write.format("parquet").bucketBy(buckets, "part").option("path", new_path(spark, "warc-rows")).saveAsTable(name)
-    return spark.table(name), name
+    return rows.withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary"))).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
 
 
-def with_originals(staged: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """``staged`` with the original of every revisit (page_id and key), null for responses; payloads are not shuffled."""
-    headers = staged.select("payload_digest", "payload_bytes", "page_id", "part", "key")
+def with_originals(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
+    """Staged ``rows`` with the original of every revisit (page_id and key), null for responses; payloads are not shuffled."""
+    headers = rows.select("payload_digest", "payload_bytes", "page_id", "part", "key")
     found = save(resolve_revisits(headers, least_bytes), "warc-originals")
     revisits = join_keyed(headers.select("payload_digest", "part", "key"), found, ["payload_digest"], headers.count())
     revisits = save(revisits.where(F.col("original.key") != F.col("key")).select("part", "key", "original"), "warc-revisits")
-    return staged.join(revisits.hint("shuffle_hash"), ["part", "key"], "left")  # a bucket's headers are held, its payloads pass by
+    return rows.join(revisits.hint("shuffle_hash"), ["part", "key"], "left")
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> None:
@@ -89,7 +79,6 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     A revisit record refers to the original's id and target. Repeated rows are records of their own: of equal page_ids
     the first as saved is taken as the smaller. A null page_id counts as the largest.
     """
-    spark = pages.sparkSession
     name = lambda page, key: record_urn(F.concat_ws(":", page, key))
     revisit = F.col("original").isNotNull()
     own, other = name(F.col("page_id"), F.col("key")), name(F.col("original.page_id"), F.col("original.key"))
@@ -105,20 +94,12 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         line("WARC-Payload-Length", F.col("payload_bytes").cast("string")), F.when(revisit, refers).otherwise(""),
         line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"),
     )
-    key = "spark.sql.requireAllClusterKeysForCoPartition"  # buckets by part do for a join by part and key
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    with scratch(spark):
-        staged, table = staged_rows(pages)
-        try:
-            average = staged.agg(F.avg("payload_bytes")).first()[0] or 1.0
-            most = max(1, min(ARCHIVE_RECORDS, int(archive_bytes / max(average, 1.0))))
-            records = with_originals(staged, least_bytes).select(F.concat(head, block).alias("value"))
-            # a record ends with two line ends: the writer's line separator
-            records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
-        finally:
-            spark.conf.set(key, before)
-            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    with scratch(pages.sparkSession), staged(with_digests(pages)) as rows:
+        average = rows.agg(F.avg("payload_bytes")).first()[0] or 1.0
+        most = max(1, min(ARCHIVE_RECORDS, int(archive_bytes / max(average, 1.0))))
+        records = with_originals(rows, least_bytes).select(F.concat(head, block).alias("value"))
+        # a record ends with two line ends: the writer's line separator
+        records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 def cut_records(pieces: Iterable[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.llm import chat, classifier, embeddings, main_text, mixing, ngrams, pieces, rules, unigram, warc
-from framewise.llm.common import new_path, prepare
+from framewise.llm.common import new_path, prepare, staged
 from framewise.llm.components import components
 from framewise.llm.oracles import oracle_sql
 from framewise.llm.queries import piece_model, queries
@@ -28,7 +28,8 @@ def ready(spark):
 
 def odd_texts():
     rng = random.Random(2)
-    out = ["", " ", "  ", "a  b", " a", "a ", "\n", "a\n b\n\n  c", "▁", "▁▁a▁", "<s> hi</s> <0x41>", "a" * 90, "日本語テキスト" * 30, "\t\t x\r\n", "😀😀 a😀", "\0a\0", " " * 60 + "x" + " " * 33, "=" * 160]
+    out = ["", " ", "  ", "a  b", " a", "a ", "\n", "a\n b\n\n  c", "▁", "▁▁a▁", "<s> hi</s> <0x41>", "a" * 90, "日本語テキスト" * 30, "\t\t x\r\n", "😀😀 a😀", "\0a\0",
+        " " * 60 + "x" + " " * 33, "=" * 160]
     for _ in range(300):
         letters = rng.choice(["ab ", "=- *", "théing ", "\n a", "0123.", "▁ a", "日本x "])
         out.append("".join(rng.choice(letters) for _ in range(rng.randint(1, 120))))
@@ -209,8 +210,12 @@ def test_article_parts_stay_and_comments_go(spark, learned):
         (article(p + q, f"<div>Buy this great product now</div>{SAID}"), both),
         (article(f"{p}{q}<h2>3 Comments</h2>{SAID}<h3>Re</h3>{SAID}"), both),
         (article(f"<h2>Comments on the new law</h2>{p}<h2>Discussion</h2>{q}"), f"Comments on the new law {FIRST} Discussion {SECOND}"),
-        *[(article(f'<section id="{name}">{p}</section>{q}'), both) for name in ("discussion", "related-work", "side-effects", "share-prices", "alert-systems", "meta", "rating", "footnotes")],
-        *[(article(f'{p}<div class="{name}">Other words in a box</div>{q}'), both) for name in ("ad", "ad-slot", "newsletter-signup", "cookie_notice", "postComments", "notice", "related-posts", "sidebar", "social share")],
+        *[(article(f'<section id="{name}">{p}</section>{q}'), both) for name in ("discussion", "related-work", "side-effects", "share-prices", "alert-systems", "meta",
+            "rating", "footnotes")],
+        *[(article(f'{p}<div class="{name}">Other words in a box</div>{q}'), both) for name in ("ad", "ad-slot", "newsletter-signup", "cookie_notice", "postComments",
+            "notice", "related-posts", "sidebar", "social share", "share-buttons", "comments-section", "user-comments")],
+        *[(f'<body><div role="{role}"><p>Words of the page around it</p></div><div>{p}{q}</div></body>', both) for role in ("banner", "navigation", "complementary", "contentinfo", "search")],
+        (article(f'{p}<p class="tags">plain words</p><div class="tags"><a href=x>one</a> <a href=y>two</a></div>{q}'), f"{FIRST} plain words {SECOND}"),
         (article(f"{p}<table><tr><td>a</td><td>b</td></tr><tr><td>c</td><td>d</td></tr></table>{q}"), f"{FIRST} a b c d {SECOND}"),
         (f'<body><div class="content has-sidebar"><h1>A title of some words</h1>{p}{q}</div><div id="comments"><h2>Comments</h2>{SAID}</div></body>', f"A title of some words {both}"),
         (f"<body><div><h1>A title of some words</h1>{p}{q}</div><section><header><h3>2 replies</h3></header>{SAID}</section></body>", f"A title of some words {both}"),
@@ -232,7 +237,8 @@ def test_names_are_learned(spark):
     assert "words of a box" in main_text.extract(page, {})
 
 
-@pytest.mark.parametrize("part", ["<i>x ", "<div>x ", "<p><i>", "<i></p><p>", "<li><i>", "<a ' ", "<b><p></b>", "<h2>Comments</h2><div>x ", "<h2>Comments</h2>x ", "<div class=a-b>x ", "</i>", "<svg>", "<!--", '<p class="'])
+@pytest.mark.parametrize("part", ["<i>x ", "<div>x ", "<p><i>", "<i></p><p>", "<li><i>", "<a ' ", "<b><p></b>", "<h2>Comments</h2><div>x ", "<h2>Comments</h2>x ",
+    "<div class=a-b>x ", "</i>", "<svg>", "<!--", '<p class="'])
 def test_hostile_pages_take_linear_time(part):
     import time
 
@@ -252,7 +258,8 @@ def test_sample_of_repeated_rows_is_bounded(spark):
 def test_boilerplate_in_article_cuts_nothing():
     """Excluded elements of any length and place inside an article: all other words of the article stay, as the best stretch by brute force says."""
     rng = random.Random(3)
-    boxes = ['<div class="advert">%s</div>', '<div class="notice"><p>%s</p></div>', "<form><p>%s</p><label>n</label></form>", '<section class="newsletter"><div><p>%s</p></div></section>', "<aside><ul><li>%s</li></ul></aside>"]
+    boxes = ['<div class="advert">%s</div>', '<div class="notice"><p>%s</p></div>', "<form><p>%s</p><label>n</label></form>",
+        '<section class="newsletter"><div><p>%s</p></div></section>', "<aside><ul><li>%s</li></ul></aside>"]
     for weights in ({}, {" p|in": 2.0, " h1|in": 2.0, "< div|in": -2.0, "< /div|in": -2.0}):
         for _ in range(60):
             words = iter(f"w{i}" for i in range(1000))
@@ -274,10 +281,13 @@ def test_boilerplate_in_article_cuts_nothing():
 @pytest.mark.parametrize(
     ("inside", "want"),
     [
-        ('<svg class="i"/>', ""), ("<math/>", ""), ("<svg-icon>", ""), ("<select-menu>", ""), ("<object-view>", ""), ("<script-note></script-note>", ""), ("<template>", ""), ("<noscript>", ""), ("<iframe src=x>", ""), ("<select>", ""), ("<svg>", ""),
-        ("<svg><title>icon</title><path d=''/><text>label</text></svg>", ""), ("<select><option>one<option>two</select>", ""), ("<template><template>a</template>b</template>", ""), ("<noscript></div><p>enable it</noscript>", ""), ("<select><svg></svg></select>", ""),
+        ('<svg class="i"/>', ""), ("<math/>", ""), ("<svg-icon>", ""), ("<select-menu>", ""), ("<object-view>", ""), ("<script-note></script-note>", ""),
+            ("<template>", ""), ("<noscript>", ""), ("<iframe src=x>", ""), ("<select>", ""), ("<svg>", ""),
+        ("<svg><title>icon</title><path d=''/><text>label</text></svg>", ""), ("<select><option>one<option>two</select>", ""),
+        ("<template><template>a</template>b</template>", ""), ("<noscript></div><p>enable it</noscript>", ""), ("<select><svg></svg></select>", ""),
         ("<svg><p>kept words</p>", "kept words"), ("<template><p>kept words</p><template>gone</template>", "kept words"),
-        ("<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math>", "x=2"), ("<math><mi>x</mi>", "x"), ("<object data=x><param name=a><param name=b>fallback text</object>", "fallback text"), ("<canvas>fallback text</canvas>", "fallback text"),
+        ("<math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math>", "x=2"), ("<math><mi>x</mi>", "x"),
+        ("<object data=x><param name=a><param name=b>fallback text</object>", "fallback text"), ("<canvas>fallback text</canvas>", "fallback text"),
         ("<p>a<object><p>b</p></object></p>", "a b"),
         ("<script>var x = '<p>no</p>'</script>", ""), ("<style>p { }</style>", ""), ("<textarea>no <p>no</p></textarea>", ""), ("<SCRIPT\n>no</script\n>", ""),
     ],
@@ -331,18 +341,13 @@ def test_warc_line_ends(spark):
 
 def test_warc_payloads_are_not_shuffled(spark):
     """Neither on the way to the archives nor for revisits: the payload side of the last join has no exchange."""
-    pages = spark.range(4_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "same page").otherwise(F.concat(F.lit("page "), F.col("id"))).alias("html"))
-    staged, name = warc.staged_rows(pages.repartition(6))
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    spark.conf.set(key, "false")
-    try:
-        joined = warc.with_originals(staged)
+    pages = spark.range(4_000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"),
+        F.when(F.col("id") % 3 == 0, "same page").otherwise(F.concat(F.lit("page "), F.col("id"))).alias("html"))
+    with staged(warc.with_digests(pages.repartition(6))) as rows:
+        joined = warc.with_originals(rows)
         assert joined.where("original is not null").count() == 1_333
         plan = joined._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") + plan.count("Exchange(") == 1 and "Bucketed: true" in plan, plan
-    finally:
-        spark.conf.unset(key)
-        spark.sql(f"DROP TABLE {name}")
 
 
 def test_warc_of_shuffled_input_and_large_pages(spark):
@@ -389,7 +394,8 @@ def test_embeddings(spark, monkeypatch, block_rows):
     near = [base[i % 20] + rng.normal(size=16) * s for i in range(120) for s in (0.04, 0.1)]
     rows = [(i, [float(np.float32(x)) for x in v], i % 2) for i, v in enumerate([*base, *near])]
     n = len(rows)
-    rows += [(n, rows[0][1], 0), (n + 1, rows[0][1], 1), (n + 2, None, 0), (n + 3, [0.0] * 16, 0), (n + 4, [float("nan")] * 16, 0), (n + 5, rows[0][1], None), (n + 6, [1.0, None], 0), (n + 7, [], 0), (n + 8, [2 * x for x in rows[0][1]], 0)]
+    rows += [(n, rows[0][1], 0), (n + 1, rows[0][1], 1), (n + 2, None, 0), (n + 3, [0.0] * 16, 0), (n + 4, [float("nan")] * 16, 0), (n + 5, rows[0][1], None),
+        (n + 6, [1.0, None], 0), (n + 7, [], 0), (n + 8, [2 * x for x in rows[0][1]], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("kept", F.lit(1))
     got = {r["vec_id"]: r for r in embeddings.near_duplicates(df).collect()}
     ok = {i: np.array(v, float) / np.linalg.norm(v) for i, v, lab in rows if lab is not None and v and None not in v and np.isfinite(v).all() and any(v)}
@@ -587,7 +593,8 @@ def test_mixing(spark):
 
 
 def test_chat_round_trip(spark):
-    rows = [(1, 1, "user", r"\h \\b </turn> ### user: x"), (1, 2, "assistant", "a\\"), (1, 3, "user", ""), (1, 4, "assistant", "<l#:"), (2, 1, "assistant", "x"), (3, 1, "system", "s"), (3, 2, "user", None), (3, 2, "user", None),
+    rows = [(1, 1, "user", r"\h \\b </turn> ### user: x"), (1, 2, "assistant", "a\\"), (1, 3, "user", ""), (1, 4, "assistant", "<l#:"), (2, 1, "assistant", "x"),
+        (3, 1, "system", "s"), (3, 2, "user", None), (3, 2, "user", None),
             (None, None, None, None), (4, 1, "od: d", "é" * 70_000), (4, 0, "user", "first\n</turn>\n")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     got = {r["conv_id"]: r for r in chat.read_chats(chat.format_chats(df)).collect()}

@@ -111,7 +111,8 @@ def test_run_against_slow_chain(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select(*COLUMNS)
     labels = spark.read.parquet(f"{DIR}/labels.parquet")
     few = [r["text"] for r in docs.orderBy("doc_id").limit(3).collect()]
-    odd = [(90_001, None, "en", "src1", 0), (90_002, "", None, None, None), (90_003, few[0], "en", "src2", 1), (90_003, few[0], "en", "src2", 1), (None, few[1], None, "no number", 2), (90_004, "word " * 3_000, "de", "src1", 3)]
+    odd = [(90_001, None, "en", "src1", 0), (90_002, "", None, None, None), (90_003, few[0], "en", "src2", 1), (90_003, few[0], "en", "src2", 1),
+        (None, few[1], None, "no number", 2), (90_004, "word " * 3_000, "de", "src1", 3)]
     path = new_path(spark, "small")
     docs.unionByName(spark.createDataFrame(odd, docs.schema)).repartition(3).write.parquet(f"{path}/documents.parquet")
     labels.write.parquet(f"{path}/labels.parquet")
