@@ -273,7 +273,8 @@ def checkpoint_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.resolve_checkpoint(c, "latest").drop("path").join(kept, "root").join(runs.newest(c), "root").select("root", "step", "available", "found", "kept", "removed", "path")
 
 
-CHECKPOINT_PLAN = with_views("""SELECT root, max(step) AS step, count(*) AS available, true AS found, least(count(*), 4) AS kept, count(*) - least(count(*), 4) AS removed, arg_max(path, (mtime, step)) AS path FROM checkpoints WHERE has_weights GROUP BY root""", "checkpoints")
+CHECKPOINT_PLAN = with_views("""SELECT root, max(step) AS step, count(*) AS available, true AS found, least(count(*), 4) AS kept, count(*) - least(count(*), 4) AS removed,
+  arg_max(path, (mtime, step)) AS path FROM checkpoints WHERE has_weights GROUP BY root""", "checkpoints")
 
 
 def rubric_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -395,11 +396,16 @@ def _mask_sql() -> str:
         upto += w
         modes += f" WHEN u < {upto}::DOUBLE / {float(sum(sampling.MASK_WEIGHTS))}::DOUBLE THEN {k}"
     axis = "".join(
-        f"CASE WHEN m = 8 THEN {among(u('a'), 's // 8', 's // 4')} WHEN m = 7 THEN {among(u(p), 's // 8', 's // 4')} ELSE {among(u(p), f'{size} // 4', f'{size} // 4 * 3')} // 2 END AS r{c}, {among(u(c), '0', size)} AS c{c}, "
+        f"CASE WHEN m = 8 THEN {among(u('a'), 's // 8', 's // 4')} WHEN m = 7 THEN {among(u(p), 's // 8', 's // 4')} "
+        f"ELSE {among(u(p), f'{size} // 4', f'{size} // 4 * 3')} // 2 END AS r{c}, {among(u(c), '0', size)} AS c{c}, "
         for c, size, p in (("x", "w", "a"), ("y", "h", "b"))
     )
     frame_at = f"SELECT p_partkey, m, f, h, w, many, unnest(range(0, f)) AS i FROM x WHERE m IN (6, 9)"  # noqa: F541
-    edge = "".join(f"CASE WHEN m IN (0, 4, 7, 8) THEN greatest(c{c} - r{c}, 0) WHEN m NOT IN (5, 6, 9) THEN 0 END AS {c}_from, CASE WHEN m IN (0, 4, 7, 8) THEN least(c{c} + r{c}, {s}) WHEN m NOT IN (5, 6, 9) THEN {s} END AS {c}_to, " for c, s in (("x", "w"), ("y", "h")))
+    edge = "".join(
+        f"CASE WHEN m IN (0, 4, 7, 8) THEN greatest(c{c} - r{c}, 0) WHEN m NOT IN (5, 6, 9) THEN 0 END AS {c}_from, "
+        f"CASE WHEN m IN (0, 4, 7, 8) THEN least(c{c} + r{c}, {s}) WHEN m NOT IN (5, 6, 9) THEN {s} END AS {c}_to, "
+        for c, s in (("x", "w"), ("y", "h"))
+    )
     return f"""+v AS (SELECT p_partkey, CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE nb_read_frames END AS f, height AS h, width AS w, least(height, width) AS s, {u("mode")} AS u FROM probes),
 y AS (SELECT *, CASE WHEN f = 1 THEN CASE WHEN u < 0.2 THEN 0 ELSE 1 END ELSE CASE{modes} ELSE 9 END END AS m FROM v),
 x AS (SELECT *, {axis}{among(u("cut"), "1", "5")} AS cut, {among(u("count"), "1", "greatest(f // 2, 1) + 1")} AS many, {among(u("first"), "0", "f // 2")} AS fst,
@@ -457,7 +463,8 @@ hs AS (SELECT *, floor((d * round_even(255 * 4096.0::DOUBLE / greatest(v, 1), 0)
   floor(((CASE WHEN v = r THEN g - u WHEN v = g THEN u - r + 2 * d ELSE r - g + 4 * d END) * round_even(30 * 4096.0::DOUBLE / greatest(d, 1), 0) + 2048) / 4096) AS h FROM vd),
 cells AS (SELECT clip_id, frame_idx, side, floor(least(CASE WHEN h < 0 THEN h + 180 ELSE h END, 179) * 50 / 180)::INT * 60 + floor(s * 60 / 256)::INT AS cell FROM hs),
 counts AS (SELECT clip_id, frame_idx, cell, count(*) FILTER (side = 'a') AS na, count(*) FILTER (side = 'b') AS nb FROM cells GROUP BY ALL),
-sums AS (SELECT clip_id, frame_idx, sum(na * nb) - 64 * 64 / 3000.0::DOUBLE AS ab, sum(na * na) - 64 * 64 / 3000.0::DOUBLE AS aa, sum(nb * nb) - 64 * 64 / 3000.0::DOUBLE AS bb FROM counts GROUP BY ALL),
+sums AS (SELECT clip_id, frame_idx, sum(na * nb) - 64 * 64 / 3000.0::DOUBLE AS ab, sum(na * na) - 64 * 64 / 3000.0::DOUBLE AS aa,
+  sum(nb * nb) - 64 * 64 / 3000.0::DOUBLE AS bb FROM counts GROUP BY ALL),
 hist AS (SELECT clip_id, frame_idx, ab / sqrt(aa * bb) AS hist_corr FROM sums),
 sizes AS (SELECT * FROM (VALUES (32, 11), (16, 11), (8, 8), (4, 4), (2, 2), (1, 1), (3, 11)) v(n, size)),
 bell AS (SELECT n, size, t, exp(-pow(t - size // 2, 2) / 4.5::DOUBLE) / sum(exp(-pow(t - size // 2, 2) / 4.5::DOUBLE)) OVER (PARTITION BY n) AS w FROM sizes, range(11) z(t) WHERE t < size),
@@ -468,7 +475,8 @@ level0 AS (SELECT clip_id, frame_idx, 0 AS k, 16 AS n, c, y, x, a[((y // 2) * 8
 levels AS (SELECT * FROM level0 UNION ALL SELECT * FROM level1 UNION ALL SELECT * FROM level2 UNION ALL SELECT * FROM level3 UNION ALL SELECT * FROM level4),
 flat0 AS ({products("levels", "n")}), {smooth("flat1", "flat0", "y", "c, x, nx")}, {smooth("flat2", "flat1", "x", "c, y")},
 scales AS (SELECT clip_id, frame_idx, k, avg((2 * a * b + 1e-4) / (a * a + b * b + 1e-4) * {terms}) AS whole, avg({terms}) AS contrast FROM flat2 GROUP BY ALL),
-multi AS (SELECT clip_id, frame_idx, CASE WHEN min(contrast) FILTER (k < 4) >= 0 AND max(whole) FILTER (k = 4) >= 0 THEN {power} * pow(max(whole) FILTER (k = 4), {fr.SCALE_WEIGHTS[-1] * 4}) END AS ms_ssim
+multi AS (SELECT clip_id, frame_idx, CASE WHEN min(contrast) FILTER (k < 4) >= 0 AND max(whole) FILTER (k = 4) >= 0
+  THEN {power} * pow(max(whole) FILTER (k = 4), {fr.SCALE_WEIGHTS[-1] * 4}) END AS ms_ssim
   FROM scales GROUP BY ALL),
 taps AS (SELECT o, floor(greatest(o / 2.0::DOUBLE - 0.25, 0))::INT AS low, greatest(o / 2.0::DOUBLE - 0.25, 0) - floor(greatest(o / 2.0::DOUBLE - 0.25, 0)) AS part FROM range(32) t(o)),
 mixes AS (SELECT o, i, sum(w) AS w FROM (SELECT o, low AS i, 1 - part AS w FROM taps UNION ALL SELECT o, least(low + 1, 15), part FROM taps) GROUP BY ALL),

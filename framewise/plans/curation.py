@@ -115,21 +115,24 @@ def prop_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.prop_frequency(plan.plan_clips(views.segments(spark, sf_dir)))
 
 
-PROP_FREQUENCY = with_views("+p AS (SELECT clip_id, unnest(props) AS prop FROM planned) SELECT prop, count(*) AS mentions, count(DISTINCT clip_id) AS clips, count(*) < 2 AS lonely, count(DISTINCT clip_id) < 2 AS lonely_clips FROM p GROUP BY prop", "segments")
+PROP_FREQUENCY = with_views("""+p AS (SELECT clip_id, unnest(props) AS prop FROM planned)
+SELECT prop, count(*) AS mentions, count(DISTINCT clip_id) AS clips, count(*) < 2 AS lonely, count(DISTINCT clip_id) < 2 AS lonely_clips FROM p GROUP BY prop""", "segments")
 
 
 def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.sources_by_clips(plan.plan_clips(views.segments(spark, sf_dir)), 20)
 
 
-TOP_SOURCES = with_views("SELECT source_file, count(*) AS clips, round(sum(out_ms / 1000.0 - in_ms / 1000.0), 3) AS footage_s FROM planned GROUP BY source_file ORDER BY clips DESC, source_file LIMIT 20", "segments")
+TOP_SOURCES = with_views("""SELECT source_file, count(*) AS clips, round(sum(out_ms / 1000.0 - in_ms / 1000.0), 3) AS footage_s
+FROM planned GROUP BY source_file ORDER BY clips DESC, source_file LIMIT 20""", "segments")
 
 
 def character_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comp.presence(views.segments(spark, sf_dir), ("a", "b"))
 
 
-CHARACTER_PRESENCE = with_views("SELECT count(*) FILTER (character = 'a') AS only_first, count(*) FILTER (character = 'b') AS only_second, count(*) FILTER (character = 'a+b') AS \"both\", count(DISTINCT source_file) AS sources FROM segments", "segments")
+CHARACTER_PRESENCE = with_views("""SELECT count(*) FILTER (character = 'a') AS only_first, count(*) FILTER (character = 'b') AS only_second,
+  count(*) FILTER (character = 'a+b') AS "both", count(DISTINCT source_file) AS sources FROM segments""", "segments")
 
 
 def clip_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +169,8 @@ def frame_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return val.frame_count_verdict(views.probes(spark, sf_dir))
 
 
-FRAME_COUNTS = with_views("SELECT array_to_string(list_sort(list(DISTINCT nb_read_frames)), ',') AS counts, CASE WHEN count(DISTINCT nb_read_frames) = 1 THEN any_value(nb_read_frames) % 8 = 1 END AS ok_8n1 FROM probes", "probes")
+FRAME_COUNTS = with_views("""SELECT array_to_string(list_sort(list(DISTINCT nb_read_frames)), ',') AS counts,
+  CASE WHEN count(DISTINCT nb_read_frames) = 1 THEN any_value(nb_read_frames) % 8 = 1 END AS ok_8n1 FROM probes""", "probes")
 
 
 def probe_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

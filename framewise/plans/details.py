@@ -291,7 +291,8 @@ def caption_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("clip_id", cap.trigger_variant(F.col("text"), identity, "TRGTOK").alias("variant"))
 
 
-CAPTION_VARIANTS = with_views("SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN anchor || ', ' || suffix ELSE 'TRGTOK' || substr(anchor || ', ' || suffix, length(substr(anchor, 1, 12)) + 1) END AS variant FROM captions", "captions")
+CAPTION_VARIANTS = with_views("""SELECT clip_id, CASE WHEN clip_id % 3 = 0 THEN anchor || ', ' || suffix
+  ELSE 'TRGTOK' || substr(anchor || ', ' || suffix, length(substr(anchor, 1, 12)) + 1) END AS variant FROM captions""", "captions")
 
 
 def captions_by_stem(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,7 +319,8 @@ def clip_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CLIP_CAPTIONS = with_views(
-    "SELECT m.doc_id AS clip_id, m.type, CASE WHEN m.doc_id % 4 > 0 THEN d.lang END AS text, CASE WHEN m.doc_id % 4 > 0 THEN d.lang ELSE 'stub' END AS filled FROM metadata m JOIN documents d ON d.doc_id = m.doc_id",
+    """SELECT m.doc_id AS clip_id, m.type, CASE WHEN m.doc_id % 4 > 0 THEN d.lang END AS text, CASE WHEN m.doc_id % 4 > 0 THEN d.lang ELSE 'stub' END AS filled
+FROM metadata m JOIN documents d ON d.doc_id = m.doc_id""",
     "metadata",
 )
 
@@ -331,7 +333,8 @@ def first_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIRST_ENTRIES = with_views(
-    "SELECT * FROM (SELECT 'caption' AS kind, doc_id AS ord, text FROM metadata ORDER BY doc_id LIMIT 3) UNION ALL SELECT * FROM (SELECT 'video' AS kind, doc_id AS ord, text FROM metadata WHERE doc_id % 5 > 0 ORDER BY doc_id LIMIT 1)",
+    """SELECT * FROM (SELECT 'caption' AS kind, doc_id AS ord, text FROM metadata ORDER BY doc_id LIMIT 3)
+UNION ALL SELECT * FROM (SELECT 'video' AS kind, doc_id AS ord, text FROM metadata WHERE doc_id % 5 > 0 ORDER BY doc_id LIMIT 1)""",
     "metadata",
 )
 
