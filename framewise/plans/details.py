@@ -114,6 +114,20 @@ SELECT clip_id, round(ssim, 6) AS ssim, ssim >= 0.5 AS closed FROM scores""",
 )
 
 
+def reconstruction_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and least SSIM by clip of frames against their quantised form."""
+    f = views.frames(spark, sf_dir)
+    rebuilt = f.select("clip_id", "frame_idx", F.transform("pixels", lambda p: 16 * F.floor(p / 16 + 0.5).cast("double")).alias("pixels"))
+    out = fr.quality_by_clip(fr.structural(fr.reconstruction(f, rebuilt), 8, 8), ["ssim"])
+    return out.select("clip_id", F.round("ssim_mean", 6).alias("ssim_mean"), F.round("ssim_least", 6).alias("ssim_least"), "frames")
+
+
+RECONSTRUCTION_SIMILARITY = with_views(
+    f"""+pairs AS (SELECT clip_id, frame_idx, pixels AS a, list_transform(pixels, lambda p: 16 * floor(p / 16 + 0.5)) AS b FROM frames), {analytics.STRUCTURE}
+SELECT clip_id, round(avg(ssim), 6) AS ssim_mean, round(min(ssim), 6) AS ssim_least, count(*) AS frames FROM scores GROUP BY clip_id""",
+    "frames",
+)
+
 # Checkpoints and runs
 
 
@@ -426,7 +440,7 @@ KEY_CHECKS = "SELECT doc_id, doc_id % 2 <> 0 OR doc_id % 3 = 0 AS fails, (doc_id
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (first_frame_drift, FIRST_FRAME_DRIFT), (versus_first_frame, VERSUS_FIRST), (run_comparison, RUN_COMPARISON), (clip_macro_means, MACRO_MEANS), (loop_closure, LOOP_CLOSURE),
+        (first_frame_drift, FIRST_FRAME_DRIFT), (versus_first_frame, VERSUS_FIRST), (run_comparison, RUN_COMPARISON), (clip_macro_means, MACRO_MEANS), (loop_closure, LOOP_CLOSURE), (reconstruction_similarity, RECONSTRUCTION_SIMILARITY),
         (checkpoint_resolution, CHECKPOINT_RESOLUTION), (run_completion, RUN_COMPLETION), (log_fields, LOG_FIELDS), (run_states, RUN_STATES),
         (frame_draws, FRAME_DRAWS), (epoch_draws, EPOCH_DRAWS), (replaced_draws, REPLACED_DRAWS), (schedule_plans, SCHEDULE_PLANS), (bucket_crops, BUCKET_CROPS), (model_caps, MODEL_CAPS),
         (caption_variants, CAPTION_VARIANTS), (captions_by_stem, CAPTIONS_BY_STEM), (clip_captions, CLIP_CAPTIONS), (first_entries, FIRST_ENTRIES), (column_choices, COLUMN_CHOICES),
