@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows, save
+from .common import bounded_rows, save, tidied
 
 #: Labelled rows that the model is fitted on, at most: those of the smallest hashed ids.
 SAMPLE_ROWS = 6_000
@@ -27,7 +27,7 @@ ROWS, DIMS, NONZERO, WINDOW, REPEAT_WITHIN = 1 << 14, 64, 8, 2, 6
 PARTS = 16
 #: Longer words, as of texts without white space, are read in pieces of so many characters.
 PIECE = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 @lru_cache(maxsize=1)
@@ -126,7 +126,7 @@ def word_vectors(sample: DataFrame) -> np.ndarray:
         sums = np.sum([np.frombuffer(x, np.int32) for x in group["sums"]], axis=0, dtype=np.int32)
         return group.head(1).assign(sums=[sums.tobytes()])
 
-    got = sample.select("text").mapInArrow(context_sums, "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").toPandas()
+    got = sample.select("text").mapInArrow(tidied(context_sums), "part int, sums binary").groupBy("part").applyInPandas(add, "part int, sums binary").toPandas()
     out = np.zeros((PARTS, ROWS // PARTS, DIMS))
     for part, sums in zip(got["part"], got["sums"], strict=True):
         out[part] = np.frombuffer(sums, np.int32).reshape(-1, DIMS)
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np
             x = pooled(batch.column(2).to_pylist(), shared.value, tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = sample.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("bigint"), "text").mapInArrow(features, "doc_id bigint, quality bigint, x binary").toPandas()
+    got = sample.select(F.col("doc_id").cast("bigint"), F.col("quality").cast("bigint"), "text").mapInArrow(tidied(features), "doc_id bigint, quality bigint, x binary").toPandas()
     got = got.sort_values(["doc_id", "x"]).reset_index(drop=True)
     if got["quality"].nunique() < 2:
         return vectors, None
@@ -247,4 +247,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, k
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32), pa.int32())], names=[*kept,
                 "held_out", "score", "predicted"])
 
-    return source.mapInArrow(run, source.drop("__text").schema.add("score", "double").add("predicted", "integer"))
+    return source.mapInArrow(tidied(run), source.drop("__text").schema.add("score", "double").add("predicted", "integer"))

@@ -87,7 +87,7 @@ def staged(rows: DataFrame) -> Iterator[DataFrame]:
     goes at the end.
     """
     spark = rows.sparkSession
-    name, key = f"framewise_{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
+    name, key = f"spark_catalog.default.framewise_{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
     before, path = spark.conf.get(key), new_path(spark, "staged")
     numbered = rows.withColumn("part", F.spark_partition_id()).withColumn("key", F.monotonically_increasing_id())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -114,6 +114,28 @@ def bounded_rows(df: DataFrame, key: str, text: str, rows: int, *values: str) ->
     return found.groupBy(key, "__mark").agg(*first).drop("__mark")
 
 
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a task's batches; at the task's end memory that is free goes back to the machine, as a worker process stays for later tasks."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return whole
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def column_or_null(df: DataFrame, name: str, kind: str):
     """``df[name]`` cast to ``kind``, or null where there is no such column."""
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, save, save_at, scratch
+from .common import join_keyed, save, save_at, scratch, tidied
 from .components import components
 from .tiles import LINKED, linked, over_tiles
 
@@ -162,7 +162,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     names = ["uid", "group", "rep", "copies", "k1", "k2"]
     group = F.xxhash64("label", F.size("embedding")).alias("group")
     reps = reps.select("embedding", F.monotonically_increasing_id().alias("uid"), group, F.col("rep").cast("long").alias("rep"), "copies", "k1", "k2")
-    reps = save(reps.mapInArrow(unit, "uid long, group long, rep long, copies long, k1 long, k2 int, unit binary, leads array<double>, reach double"), "vectors")
+    reps = save(reps.mapInArrow(tidied(unit), "uid long, group long, rep long, copies long, k1 long, k2 int, unit binary, leads array<double>, reach double"), "vectors")
     with scratch(vectors.sparkSession) as keep:
         tiles, path = save_at(over_tiles(dealt_to_cells(reps, cosine), lambda t, itself: link_tile(t, itself, cosine), LINKED), "vector-links")
         keep(path)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows
+from .common import bounded_rows, tidied
 
 #: Labelled rows that weights are learned from, at most: those of the smallest hashed ids.
 SAMPLE_PAGES = 2_000
@@ -517,7 +517,7 @@ def learn_weights(pages: DataFrame, rows: int = SAMPLE_PAGES, names: int = NAMES
         yield pa.RecordBatch.from_arrays(columns, names=["feature", "n_in", "n_out"])
 
     sample = bounded_rows(pages, "page_id", "html", rows)
-    counts = sample.select("html").mapInArrow(run, "feature string, n_in bigint, n_out bigint")
+    counts = sample.select("html").mapInArrow(tidied(run), "feature string, n_in bigint, n_out bigint")
     counts = counts.groupBy("feature").agg(F.sum("n_in").alias("a"), F.sum("n_out").alias("b"))
     named = F.col("feature").startswith("name:")
     kept = counts.where(~named).unionByName(counts.where(named).orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(names))
@@ -539,4 +539,4 @@ def extract_main_text(pages: DataFrame, rows: int = SAMPLE_PAGES, weights: Mappi
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
     schema = pages.select("page_id", "url").schema.add("text", "string").add("n_chars", "long")
-    return pages.select("page_id", "url", "html").mapInArrow(run, schema)
+    return pages.select("page_id", "url", "html").mapInArrow(tidied(run), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_keyed, save, save_at, scratch, staged
+from .common import join_keyed, save, save_at, scratch, staged, tidied
 from .components import components
 from .tiles import LINKED, linked, over_tiles
 
@@ -188,7 +188,7 @@ def signed_rows(rows: DataFrame) -> DataFrame:
             columns = [*batch.columns[:3], pa.array(keys, pa.string()), pa.array(counts, pa.int64()), pa.array(signatures, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "part", "key", "text_key", "n", "sig"])
 
-    return rows.select("doc_id", "part", "key", "text").mapInArrow(sign, "doc_id long, part int, key long, text_key string, n long, sig binary")
+    return rows.select("doc_id", "part", "key", "text").mapInArrow(tidied(sign), "doc_id long, part int, key long, text_key string, n long, sig binary")
 
 
 def shared_bands(reps: DataFrame) -> DataFrame:
@@ -248,7 +248,7 @@ def text_links(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame,
         keep(path)
         members = save(dealt_to_blocks(reps).join(reps, "uid").select(*names, "part", "key"), "members")
         texts = rows.select("part", "key", "text").join(members.hint("shuffle_hash"), ["part", "key"]).select(*names, "text")
-        cuts = texts.mapInArrow(cut, "block long, partners array<long>, uid long, copies long, sig binary, shingles binary").withColumn("group", F.lit(0).cast("long"))
+        cuts = texts.mapInArrow(tidied(cut), "block long, partners array<long>, uid long, copies long, sig binary, shingles binary").withColumn("group", F.lit(0).cast("long"))
         tiles, path = save_at(over_tiles(cuts, lambda t, itself: link_tile(t, itself, threshold), LINKED), "text-links")
         keep(path)
     return signed, reps, tiles

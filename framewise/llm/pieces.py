@@ -20,12 +20,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 SPACE = "▁"
 NONE = np.iinfo(np.int64).max
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 120_000
 #: Characters of new words that are merged in one flat array at most, unless one word is longer.
-FLAT_CHARS = 500_000
+FLAT_CHARS = 300_000
 
 
 class PieceModel:
@@ -255,4 +257,4 @@ def sentencepiece_digests(docs: DataFrame, model_path: str, id_col: str = "doc_i
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), schema)

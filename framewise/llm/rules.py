@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_rows
+from .common import bounded_rows, tidied
 
 SYMBOLS = "[#*$%&|<>]"
 SPACES = "\t\n\x0b\x0c\r "
@@ -71,7 +71,7 @@ def with_counts(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     schema = source.drop("__text").schema
     for c in COUNTS:
         schema = schema.add(c, "long")
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def base_failed() -> Column:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidied
+
 
 def over_tiles(members: DataFrame, work: Callable[[pa.Table, bool], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Runs ``work`` on every tile of every group.
@@ -47,7 +49,7 @@ def over_tiles(members: DataFrame, work: Callable[[pa.Table, bool], pa.RecordBat
                 held.append(batch.slice(a, b - a))
         yield from finish()
 
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(tidied(run), schema)
 
 
 def linked(left: np.ndarray, right: np.ndarray, ids: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:

@@ -16,6 +16,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 300_000
@@ -122,4 +124,4 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([count(t.as_py() or "") for t in batch.column(1)], pa.int64())], names=[id_col, "n_tokens"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint")
+    return docs.select(id_col, text_col).mapInArrow(tidied(run), f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens bigint")

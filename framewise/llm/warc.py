@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_keyed, new_path, save, scratch, staged
+from .common import join_keyed, new_path, save, scratch, staged, tidied
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -159,7 +159,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
 
     # a compressed file is read whole by one task and in order, and ends with a record's end
     pieces = spark.read.option("lineSep", "\r\n\r\n").option("pathGlobFilter", "*.txt.gz").schema("value string").text(path)
-    return pieces.select(F.col("value").cast("binary")).mapInArrow(run, READ + ", payload binary" * payloads)
+    return pieces.select(F.col("value").cast("binary")).mapInArrow(tidied(run), READ + ", payload binary" * payloads)
 
 
 def with_payloads(records: DataFrame) -> DataFrame:

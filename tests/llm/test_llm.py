@@ -243,8 +243,8 @@ def test_hostile_pages_take_linear_time(part):
     import time
 
     began = time.process_time()
-    main_text.extract(part * 200_000, {})
-    assert time.process_time() - began < 60
+    main_text.extract(part * 60_000, {})
+    assert time.process_time() - began < 20
 
 
 def test_sample_of_repeated_rows_is_bounded(spark):
