@@ -16,7 +16,7 @@ def split_clauses(text: Column) -> Column:
 def blocked(clause: Column, patterns: Sequence[str], word_boundary: bool = False) -> Column:
     """A pattern occurs in the clause, in any case; also inside words unless ``word_boundary``."""
     any_of = "|".join(patterns)
-    return clause.rlike(rf"(?i)\b(?:{any_of})\b" if word_boundary else f"(?i){any_of}")
+    return clause.rlike(rf"(?iu)\b(?:{any_of})\b" if word_boundary else f"(?iu){any_of}")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -28,6 +28,7 @@ def test_plan_rules(spark):
 def test_captions(spark):
     assert one(spark, captions.split_clauses(F.lit("A b. c, d and e while f;g ,"))) == ["A b", "c", "d", "e", "f;g"]
     assert one(spark, captions.blocked(F.lit("that is"), ("hat",))) and not one(spark, captions.blocked(F.lit("that is"), ("hat",), word_boundary=True))
+    assert one(spark, captions.blocked(F.lit("CHAPEAU DORÉ"), ("doré",)))  # any case, of any letter
     df = spark.createDataFrame([("c", "An anchor,", "a hat. red coat")], "clip_id string, anchor string, suffix string")
     assert captions.prune(df, ("hat",)).first()["final"] == "An anchor, red coat."
     empty = spark.createDataFrame([("c", "An anchor,", None)], "clip_id string, anchor string, suffix string")
