@@ -158,7 +158,7 @@ def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -
 
 
 #: Rows and bytes of an Arrow batch, at most: whole texts make rows large.
-BATCH_ROWS, BATCH_BYTES = 1_000, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def prepare(spark: SparkSession) -> None:
