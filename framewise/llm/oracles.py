@@ -84,7 +84,18 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, lengt
 """
 
 
+OP11 = """
+WITH r AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM r a JOIN r b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, row_number() OVER w::INTEGER AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) QUALIFY row_number() OVER w <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from .queries import MIX_EPOCHS, MIX_SEED, MIX_SHARE, MIX_WEIGHTS
 
-    return {"op3_warc": OP3, "op4_embedding_near_dedup": OP4, "op6_mixing": op6(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED), "op9_ngram_jaccard_join": OP9, "op10_chat_formatting": OP10}
+    return {"op3_warc": OP3, "op4_embedding_near_dedup": OP4, "op6_mixing": op6(MIX_WEIGHTS, MIX_SHARE, MIX_EPOCHS, MIX_SEED), "op9_ngram_jaccard_join": OP9, "op10_chat_formatting": OP10, "op11_hard_negatives": OP11}

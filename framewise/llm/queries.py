@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, embeddings, main_text, mixing, ngrams, pieces, rules, unigram, warc
+from . import chat, classifier, embeddings, main_text, mixing, negatives, ngrams, packing, periods, pieces, rules, unigram, warc
 from .common import prepare, save, table
 
 #: The mixture of op6: weights by node, the part of all tokens it takes, and how often a row may be taken.
@@ -81,6 +81,43 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of rows whose id is divisible by 7 are moved on first; rows whose id is divisible by 50 are anchors."""
+    prepare(spark)
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine_hard_negatives(rows, F.col("vec_id") % 50 == 0)
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, of which a tenth, by a hash of doc_id, becomes periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    chosen = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    chosen = chosen.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    chosen = chosen.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    periodic = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get(F.col("words"), place(i).cast("int"))), " ")
+    return chosen.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = periods.periodic_runs(with_planted_periods(table(spark, sf_dir, "documents")))
+    longest = F.get(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period")))), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("")
+    out = found.select("doc_id", "runs", "collapsed_sha256", longest.alias("top"), F.sha2(listed, 256).alias("runs_sha256"))
+    out = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), (-F.col("top.l")).alias("length"), F.col("top.period").alias("period"), "runs_sha256", "collapsed_sha256")
+    return out.withColumn("exponent_milli", F.expr("1000 * length div period"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    prepare(spark)
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,5 +126,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_quality_classifier, op2_html_extraction, op3_warc, op4_embedding_near_dedup, op5_token_counts, op6_mixing, op7_quality_rules, op8_sentencepiece,
-        op9_ngram_jaccard_join, op10_chat_formatting, pipeline)
+        op9_ngram_jaccard_join, op10_chat_formatting, op11_hard_negatives, op12_periodic_runs, op13_packing, pipeline)
     return {f.__name__: f for f in found}
