@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similarity
+
+
 def split_clauses(text: Column) -> Column:
     """Clauses at white space after . ; , and at ' while ' and ' and ' (lower case); stripped, empty ones dropped."""
     parts = F.split(text, r"(?U)(?<=[.;,])\s+|\s+(?:while|and)\s+")
@@ -19,47 +23,53 @@ def blocked(clause: Column, patterns: Sequence[str], word_boundary: bool = False
     return clause.rlike(rf"(?iu)\b(?:{any_of})\b" if word_boundary else f"(?iu){any_of}")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two number arrays, in double precision."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
-#: Anchors of a clip that one row holds, at most.
-ANCHORS = 256
-
-
 def prune_semantic(clauses: DataFrame, anchors: DataFrame, threshold: float) -> DataFrame:
-    """clauses (clip_id, clause_ord, vector) with their largest cosine to the clip's anchor vectors; dropped above ``threshold``, kept without anchors.
+    """clauses (clip_id, clause_ord, vector) with best, their largest cosine to the clip's anchor vectors, and dropped: above ``threshold``.
 
-    A clip's anchors come in arrays of at most about ANCHORS, dealt by hash, so a clause is joined to few rows; each
-    gives the largest cosine over its array, and the largest of these counts.
+    Clauses without a vector or without anchors are kept, with a null best; a zero vector has cosine 0. Every row is judged by
+    its own vector, also where clip_id and clause_ord repeat or are null. The vector itself is not given out.
     """
-    counts = anchors.groupBy("clip_id").agg(F.ceil(F.count("*") / ANCHORS).cast("long").alias("parts"))
-    dealt = anchors.join(counts, "clip_id").withColumn("part", F.pmod(F.xxhash64("vector"), "parts"))
-    packed = dealt.groupBy("clip_id", "part").agg(F.collect_list("vector").alias("held")).drop("part")
-    # the largest cosine inside an array first: clause rows are not multiplied by anchors
-    top = F.array_max(F.transform("held", lambda a: cosine(F.col("vector"), a)))
-    best = clauses.join(packed, "clip_id").select("clip_id", "clause_ord", top.alias("best")).groupBy("clip_id", "clause_ord").agg(F.max("best").alias("best"))
-    return clauses.drop("vector").join(best, ["clip_id", "clause_ord"], "left").withColumn("dropped", F.coalesce(F.col("best") > threshold, F.lit(False)))
+    best = similarity.with_best_cosine(clauses, anchors, "clip_id")
+    return best.withColumn("dropped", F.coalesce(F.col("best") > threshold, F.lit(False))).drop("vector")
 
 
-def prune(captions: DataFrame, patterns: Sequence[str], repair: bool = True, word_boundary: bool = False) -> DataFrame:
+def prune(captions: DataFrame, patterns: Sequence[str], repair: bool = True, word_boundary: bool = False, drops: str | None = None) -> DataFrame:
     """clip_id, anchor, suffix -> with suffix_in, kept, dropped, suffix_out and final.
 
-    An emptied suffix gives 'anchor.' (``repair``) or 'anchor, .'. Null texts count as empty. Each clause is looked at once.
+    ``drops`` names a column of clause places (from 0, in the split suffix) that a second stage drops: dropped holds what the
+    patterns drop, then these, each in the caption's order. An emptied suffix gives 'anchor.' (``repair``) or 'anchor, .'.
+    Null texts count as empty. Each clause is looked at once.
     """
     start, rest = F.trim(F.coalesce("anchor", F.lit(""))), F.trim(F.coalesce("suffix", F.lit("")))
-    flagged = F.transform(split_clauses(F.col("suffix_in")), lambda s: F.struct(s.alias("text"), blocked(s, patterns, word_boundary).alias("hit")))
+    second = (lambda i: F.coalesce(F.array_contains(drops, i), F.lit(False))) if drops else (lambda i: F.lit(False))
+    stage = lambda s, i: F.when(blocked(s, patterns, word_boundary), 1).when(second(i), 2).otherwise(0)
+    flagged = F.transform(split_clauses(F.col("suffix_in")), lambda s, i: F.struct(s.alias("text"), stage(s, i).alias("stage")))
     out = captions.withColumn("anchor", start).withColumn("suffix_in", rest).withColumn("clauses", flagged)
-    texts = lambda hit: F.transform(F.filter("clauses", lambda c: c["hit"] if hit else ~c["hit"]), lambda c: c["text"])
-    out = out.withColumn("kept", texts(False)).withColumn("dropped", texts(True)).withColumn("suffix_out", F.array_join("kept", ", "))
+    texts = lambda n: F.transform(F.filter("clauses", lambda c: c["stage"] == n), lambda c: c["text"])
+    out = out.withColumn("kept", texts(0)).withColumn("dropped", F.concat(texts(1), texts(2)) if drops else texts(1)).withColumn("suffix_out", F.array_join("kept", ", "))
     bare = F.regexp_replace("anchor", ",+$", "")
     full = F.concat(bare, F.lit(", "), F.col("suffix_out"), F.lit("."))
     final = F.replace(F.when((F.size("kept") == 0), F.concat(bare, F.lit("."))).otherwise(full) if repair else full, F.lit(" ,"), F.lit(","))
     return out.withColumn("final", final).drop("clauses", "suffix")
 
 
+def prune_in_stages(
+    captions: DataFrame, clause_vectors: DataFrame, anchor_vectors: DataFrame, patterns: Sequence[str], threshold: float, repair: bool = True, word_boundary: bool = False
+) -> DataFrame:
+    """Both pruning stages: ``prune`` by patterns, then of the clauses left those whose vector is too close to one of the anchor's.
+
+    clause_vectors: clip_id, clause_ord (the clause's place in the split suffix, from 0) and vector; anchor_vectors:
+    clip_id and vector. A clause without a vector, or of a clip without anchor vectors, stays; of several vectors of a
+    place one that is too close drops it. Places that a clip's suffix does not have belong to no clause. A null clip_id
+    has patterns alone.
+    """
+    places = captions.groupBy("clip_id").agg(F.max(F.size(split_clauses(F.trim(F.coalesce("suffix", F.lit("")))))).alias("__places"))
+    judged = prune_semantic(clause_vectors.select("clip_id", "clause_ord", "vector"), anchor_vectors, threshold).where("dropped").select("clip_id", "clause_ord").distinct()
+    close = judged.join(places, "clip_id").where((F.col("clause_ord") >= 0) & (F.col("clause_ord") < F.col("__places")))
+    drops = close.groupBy("clip_id").agg(F.collect_list(F.col("clause_ord").cast("int")).alias("__drops"))  # no more than the longest suffix has clauses
+    return prune(captions.join(drops, "clip_id", "left"), patterns, repair, word_boundary, "__drops").drop("__drops")
+
+
 def mentions(text: Column, names: Sequence[str]) -> list[Column]:
     return [F.coalesce(F.contains(F.lower(text), F.lit(n.lower())), F.lit(False)).alias(f"has_{n}") for n in names]
 
@@ -75,10 +85,21 @@ def unquote(text: Column) -> Column:
 
 
 def ground_colours(text: Column, colours: Mapping[str, str], noun: str) -> Column:
-    """Each whole word of ``colours`` is followed by its colour and the noun."""
-    for token, colour in colours.items():
-        text = F.regexp_replace(text, rf"\b{token}\b", f"{token}, a {colour} {noun}")
-    return text
+    """Each whole word of ``colours`` is followed by its colour and the noun: 'cat' by 'cat, a red thing'.
+
+    Words are taken as they are written, the longest first where several begin at one place, and text that was put in is not
+    looked at again.
+    """
+    if not colours:
+        return text
+    quoted = [re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted(colours, key=lambda w: (-len(w), w))]
+    word = r"(?U)(?<!\w)(?:" + "|".join(quoted) + r")(?!\w)"
+    found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
+    apart = F.split(text, word)
+    colour = F.create_map(*[F.lit(x) for pair in colours.items() for x in pair])
+    grounded = F.transform(apart, lambda s, i: F.when(i == 0, s).otherwise(
+        F.concat(F.get(found, i - 1), F.lit(", a "), F.element_at(colour, F.get(found, i - 1)), F.lit(f" {noun}"), s)))
+    return F.array_join(grounded, "")
 
 
 def with_id_token(text: Column, token: str) -> Column:

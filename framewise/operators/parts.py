@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,14 +16,34 @@ def in_parts(rows: DataFrame, order: str, span: int = SPAN) -> DataFrame:
     return rows.withColumn("__part", F.floor(F.col(order) / span).cast("long"))
 
 
-def ranked(rows: DataFrame, group: str, order: str, span: int = SPAN) -> DataFrame:
-    """Adds __rn (from 1, in order within ``group``) and __n (rows of the group). Null groups form a group."""
+#: A key of this many rows is hot, and so is one of a thousandth of all rows; hot keys are at most a thousand of the most frequent.
+HOT_ROWS, HOT_KEYS = 1_000_000, 1_000
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``: one row for each key, with how many of ``rows`` have it in column n, which is dropped.
+
+    Hot keys are joined by broadcast, so their rows stay where they are; they are HOT_KEYS at most, the most frequent
+    ones, whatever the input. Null keys meet nothing.
+    """
+    total = keyed.agg(F.sum("n").alias("__total"))
+    bound = F.least(F.lit(HOT_ROWS), F.greatest(F.col("__total") / HOT_KEYS, F.lit(2)))
+    known = keyed.dropna(subset=list(keys))
+    hot = known.crossJoin(F.broadcast(total)).where(F.col("n") >= bound).orderBy(F.desc("n"), *keys).limit(HOT_KEYS)  # one row
+    few = F.broadcast(hot.drop("n", "__total"))
+    marks = F.broadcast(hot.select(*keys))
+    cold = known.join(marks, list(keys), "left_anti").drop("n")
+    return rows.join(few, list(keys)).unionByName(rows.join(marks, list(keys), "left_anti").join(cold, list(keys)))
+
+
+def ranked(rows: DataFrame, group: str, order: str, span: int = SPAN, then: Sequence[str] = ()) -> DataFrame:
+    """Adds __rn (from 1, in order within ``group``, rows of one order by the columns of ``then``) and __n (rows of the group). Null groups form a group."""
     rows = in_parts(rows, order, span)
     counts = rows.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count("*").alias("__in"))
     w = Window.partitionBy("__g")
     before = F.coalesce(F.sum("__in").over(w.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select("__g", "__p", before.alias("__before"), F.sum("__in").over(w).alias("__n"))
-    local = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order))
+    local = F.row_number().over(Window.partitionBy(group, "__part").orderBy(order, *then))
     joined = rows.withColumn("__rn", local).join(counts, F.col(group).eqNullSafe(F.col("__g")) & F.col("__part").eqNullSafe(F.col("__p")))
     return joined.withColumn("__rn", F.col("__rn") + F.col("__before")).drop("__g", "__p", "__part", "__before")
 
@@ -48,3 +70,25 @@ def previous(rows: DataFrame, group: str, order: str, column: str, name: str, sp
     local = F.lag(column).over(Window.partitionBy(group, "__part").orderBy(order))
     joined = rows.withColumn(name, local).join(ends, F.col(group).eqNullSafe(F.col("__g")) & F.col("__part").eqNullSafe(F.col("__p")))
     return joined.withColumn(name, F.when(F.col(order) == F.col("__first"), F.col("__end")).otherwise(F.col(name))).drop("__g", "__p", "__part", "__first", "__end")
+
+
+def previous_two(rows: DataFrame, group: str, order: str, column: str, names: tuple[str, str], span: int = SPAN) -> DataFrame:
+    """Adds ``names``: ``column`` of the row before and of the one before that in the group's order, null where there is none.
+
+    The last two values of a part, or of the part before too where it has one row, are carried over its end; a row for
+    each part travels for that.
+    """
+    rows = in_parts(rows, order, span)
+    w = Window.partitionBy(group, "__part").orderBy(order)
+    rows = rows.withColumn("__at", F.row_number().over(w)).withColumn("__l1", F.lag(column).over(w)).withColumn("__l2", F.lag(column, 2).over(w))
+    ends = rows.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(
+        F.count("*").alias("__n"), F.max_by(F.struct(F.col(column).alias("last"), F.col("__l1").alias("before")), "__at").alias("__end")
+    )
+    over = Window.partitionBy("__g").orderBy("__p")
+    carried = F.when(F.lag("__n").over(over) > 1, F.lag("__end.before").over(over)).otherwise(F.lag("__end.last", 2).over(over))
+    ends = ends.select("__g", "__p", F.lag("__end.last").over(over).alias("__c1"), carried.alias("__c2"))
+    joined = rows.join(ends, F.col(group).eqNullSafe(F.col("__g")) & F.col("__part").eqNullSafe(F.col("__p")))
+    first, second = F.col("__at") == 1, F.col("__at") == 2
+    joined = joined.withColumn(names[0], F.when(first, F.col("__c1")).otherwise(F.col("__l1")))
+    joined = joined.withColumn(names[1], F.when(first, F.col("__c2")).when(second, F.col("__c1")).otherwise(F.col("__l2")))
+    return joined.drop("__g", "__p", "__part", "__at", "__l1", "__l2", "__c1", "__c2")

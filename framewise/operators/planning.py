@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,13 @@ def frame_rate(rate: Column) -> Column:
     return F.bround(F.element_at(parts, 1).try_cast("double") / F.greatest(den, F.lit(1.0))).cast("int")
 
 
+def exact_rate(rate: Column, places: int = 3) -> Column:
+    """'num[/den]' to a rate of ``places`` decimals; a missing denominator is 1, null for a denominator of 0 or a part that is no number."""
+    parts = F.split(rate, "/")
+    den = F.when(F.size(parts) > 1, F.element_at(parts, F.when(F.size(parts) > 1, 2).otherwise(1)).try_cast("double")).otherwise(1.0)
+    return F.bround(F.try_divide(F.element_at(parts, 1).try_cast("double"), den), places)
+
+
 def clip_id(source_file: Column, ordinal: Column, label: Column) -> Column:
     """Name without folder and last suffix, three-digit ordinal, label with dashes for spaces."""
     stem = F.regexp_replace(F.regexp_replace(source_file, r"^.*/", ""), r"(?<=.)\.[^.]*$", "")
@@ -42,13 +49,19 @@ def strategy(alpha: Column, background: Column, plate: Column) -> Column:
 
 
 def anchor(character: Column, anchors: Mapping[str, str], default: str) -> Column:
-    """Text by character; every other value gets ``default``."""
+    """Text by character; every other value gets ``default``, also one that is_unknown."""
     out = F.lit(default)
     for k, v in anchors.items():
         out = F.when(character == k, v).otherwise(out)
     return out
 
 
+def is_unknown(character: Column, anchors: Mapping[str, str], others: Sequence[str] = ()) -> Column:
+    """The character is none of those with a text nor of ``others``, those that the default text is meant for; a null or blank one is unknown too. Never null."""
+    known = [*anchors, *others]
+    return ~F.coalesce(character.isin(*known), F.lit(False)) if known else F.lit(True)
+
+
 def resolve_path(path: Column, root: str) -> Column:
     return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), path))
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import parts
+
 POINT = r"(\d+)/\d+ \[[^\]]*?loss=([0-9.eE+-]+),\s*lr=([0-9.eE+-]+)"
 
 
@@ -68,13 +71,24 @@ def completion(lines: DataFrame, points: DataFrame, total_steps: DataFrame, mark
 
 
 def sparkline(points: DataFrame, width: int = 60, levels: int = 8) -> DataFrame:
-    """Every max(1, n // width)-th point with its level from 0 to levels - 1 between least and largest loss."""
-    w = Window.partitionBy("run")
-    rows = points.withColumn("__i", F.row_number().over(w.orderBy("line_no", "nth")) - 1).withColumn("__n", F.count("*").over(w))
-    rows = rows.where(F.col("__i") % F.greatest(F.lit(1), F.floor(F.col("__n") / width)) == 0)
-    low, high = F.min("loss").over(w), F.max("loss").over(w)
-    level = F.when(high > low, F.floor((F.col("loss") - low) / (high - low) * (levels - 1))).otherwise(0).cast("int")
-    return rows.withColumn("level", level).select("run", F.col("__i").alias("i"), "level")
+    """Every max(1, n // width)-th point of a run, by line and place in the line, with its level from 0 to levels - 1 between the run's least and largest loss.
+
+    A point's number is the count of those in earlier parts of the run and its rank in its own part, so no run is sorted.
+    A point at the largest loss has the level below the last unless losses are so far apart that the difference is
+    lost in rounding, as levels divide a range that is longer by 1e-12.
+    """
+    ends = points.groupBy(F.col("run").alias("__run")).agg(F.min("loss").alias("__low"), F.max("loss").alias("__high"))
+    rows = parts.ranked(points, "run", "line_no", then=("nth",)).withColumn("__i", F.col("__rn") - 1)
+    rows = rows.where(F.col("__i") % F.greatest(F.lit(1), F.floor(F.col("__n") / width)) == 0).join(ends, F.col("run").eqNullSafe(F.col("__run")))  # fewer than 2 * width of a run are left
+    level = F.least(F.lit(levels - 1), F.floor((F.col("loss") - F.col("__low")) / (F.col("__high") - F.col("__low") + 1e-12) * (levels - 1)))
+    return rows.select("run", F.col("__i").alias("i"), level.cast("int").alias("level"))
+
+
+def sparkline_text(points: DataFrame, width: int = 60, blocks: str = "▁▂▃▄▅▆▇█") -> DataFrame:
+    """run and sparkline: the levels of a run as characters, in order."""
+    drawn = sparkline(points, width, len(blocks)).withColumn("block", F.substring(F.lit(blocks), F.col("level") + 1, F.lit(1)))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("i", "block"))), lambda x: x["block"])  # fewer than 2 * width
+    return drawn.groupBy("run").agg(F.array_join(line, "").alias("sparkline"))
 
 
 def find_checkpoints(files: DataFrame) -> DataFrame:
@@ -88,26 +102,37 @@ def find_checkpoints(files: DataFrame) -> DataFrame:
     return files.where("has_weights").withColumn("step", step).withColumn("is_final", step.isNull() & own).where(F.col("step").isNotNull() | F.col("is_final"))
 
 
-def resolve_checkpoint(checkpoints: DataFrame, wanted: str | int = "latest") -> DataFrame:
-    """By root the checkpoint wanted: step, path, label, found, and how many steps there are.
+def resolve_checkpoint(checkpoints: DataFrame, wanted: str | int = "latest", folders: DataFrame | None = None) -> DataFrame:
+    """By root the checkpoint wanted: step, path, label, found, available (how many steps there are) and alternatives.
 
     'latest' is the highest step, or the root's weights where there is no step; 'final' the root's weights, or else the
-    highest step; a number that step alone. A root without it has found false and lists its steps in alternatives, the
-    first hundred.
+    highest step; a number that step alone. A root without it has found false and lists all its steps in
+    alternatives, in order. Any other text is a folder's path, which is the checkpoint for every root if ``folders`` (path,
+    has_weights: any folders, of no root) holds it with weights; its label is its name and its step that of a name
+    'checkpoint-<step>'. A folder with weights comes first, also one that is named like a step.
     """
-    number = None if wanted in ("latest", "final") else int(wanted)
+    asked = str(wanted)
     order = F.struct(F.coalesce(F.col("is_final"), F.lit(False)).cast("int").alias("final"), F.coalesce("step", F.lit(-1)).alias("step"))
-    if wanted == "latest":
+    if asked == "latest":
         order = F.struct(F.coalesce("step", F.lit(-1)).alias("step"))
-    fits = F.lit(True) if number is None else F.col("step") == number
+    number = int(asked) if re.fullmatch(r"[0-9]+", asked) else None
+    fits = F.lit(True) if asked in ("latest", "final") else F.col("step") == F.lit(number).cast("long")
+    fits = F.coalesce(fits, F.lit(False))
     steps = F.count_if(F.col("step").isNotNull()).alias("available")
-    some = F.slice(F.array_sort(F.collect_set("step")), 1, 100) if number is not None else F.lit(None)
-    best = F.max_by(F.struct("step", "path"), F.when(fits, order)).alias("best")
-    out = checkpoints.groupBy("root").agg(best, F.bool_or(fits).alias("found"), steps, *([some.alias("__some")] if number is not None else []))
-    out = out.withColumn("found", F.coalesce("found", F.lit(False))).withColumn("step", F.when(F.col("found"), F.col("best.step"))).withColumn("path", F.when(F.col("found"), F.col("best.path")))
-    label = F.when(F.col("found"), F.when(F.col("step").isNull(), "final").otherwise(F.concat(F.lit("checkpoint-"), F.col("step"))))
-    told = F.when(~F.col("found"), F.array_join(F.col("__some").cast("array<string>"), ", ")) if number is not None else F.lit(None).cast("string")
-    return out.withColumn("label", label).withColumn("alternatives", told).select("root", "step", "path", "label", "found", "available", "alternatives")
+    listed = F.array_sort(F.collect_set("step")) if asked not in ("latest", "final") else F.lit(None).cast("array<long>")
+    out = checkpoints.groupBy("root").agg(F.max_by(F.struct("step", "path"), F.when(fits, order)).alias("best"), F.bool_or(fits).alias("found"), steps, listed.alias("__steps"))
+    step, path, found = F.col("best.step"), F.col("best.path"), F.col("found")
+    label = F.when(step.isNull(), "final").otherwise(F.concat(F.lit("checkpoint-"), step))
+    if folders is not None:
+        bare = lambda c: F.regexp_replace(c, r"(?<=.)/+$", "")
+        there = folders.where("has_weights").where(bare(F.col("path")) == asked.rstrip("/")).agg(F.min("path").alias("__folder"))
+        out = out.crossJoin(F.broadcast(there))  # one row
+        name = F.regexp_extract(bare(F.col("__folder")), r"([^/]*)$", 1)
+        own = F.col("__folder").isNotNull()
+        step = F.when(own, F.nullif(F.regexp_extract(name, r"^checkpoint-(\d+)$", 1), F.lit("")).cast("long")).otherwise(step)
+        path, label, found = F.when(own, F.col("__folder")).otherwise(path), F.when(own, name).otherwise(label), own | found
+    told = F.when(~found, F.array_join(F.col("__steps").cast("array<string>"), ", "))
+    return out.select("root", F.when(found, step).alias("step"), F.when(found, path).alias("path"), F.when(found, label).alias("label"), found.alias("found"), "available", told.alias("alternatives"))
 
 
 def retention(checkpoints: DataFrame, limit: int) -> DataFrame:
@@ -120,17 +145,42 @@ def newest(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("root").agg(F.max_by("path", F.struct("mtime", "step")).alias("path"))
 
 
-#: Runs that a ranking compares, at most: they are ranked by one task.
-MOST_RANKED = 100_000
+#: Ranges that a ranking is worked out in, and rows that their bounds are drawn from.
+RANGES, SAMPLED = 256, 8_192
+
 
+def rank_by(runs: DataFrame, metrics: Sequence[tuple[str, bool]], ranges: int = RANGES) -> DataFrame:
+    """Adds rank: 1 and how many rows are better, by metrics in order, each (column, larger is better); rows alike in all share a rank, nulls come last.
 
-def rank_by(runs: DataFrame, metrics: Sequence[tuple[str, bool]], most: int = MOST_RANKED) -> DataFrame:
-    """Rank by metrics in order, each (column, larger is better), over a report of at most ``most`` rows; more raise when it runs."""
+    Rows alike are counted first. What is left is dealt into ranges between bounds drawn over all metrics, as many as
+    ``ranges`` at most; each range is ranked by itself and goes on where the counts of those before it end. The rows take
+    their rank from their metrics, so no task sorts all rows nor those of a frequent value.
+    """
+    names = [c for c, _ in metrics]
     order = [F.desc_nulls_last(c) if up else F.asc_nulls_last(c) for c, up in metrics]
-    everything = Window.partitionBy()
-    told = F.raise_error(F.lit(f"more than {most} rows to rank")).cast("int")
-    ranked = runs.withColumn("rank", F.rank().over(everything.orderBy(*order)))
-    return ranked.withColumn("rank", F.when(F.col("rank") > most, told).otherwise(F.col("rank")))
+    kinds = runs.select(*[F.col(c).alias(c) for c in names]).groupBy(*names).agg(F.count("*").alias("__rows"))
+    drawn = kinds.select(*names).orderBy(F.xxhash64(*names), *names).limit(SAMPLED)
+    at = F.row_number().over(Window.orderBy(*order))
+    step = -(-SAMPLED // ranges)
+    bounds = drawn.withColumn("__at", at).where(F.col("__at") % step == 0).agg(F.collect_list(F.struct(*names)).alias("__bounds"))  # of SAMPLED rows at most
+
+    def from_bound_on(b: Column) -> Column:
+        """The row is the bound or comes after it."""
+        later, alike = F.lit(False), F.lit(True)
+        for c, up in metrics:
+            x, y = F.col(c), b[c]
+            behind = F.when(y.isNull(), False).when(x.isNull(), True).otherwise(x < y if up else x > y)
+            later, alike = later | (alike & behind), alike & x.eqNullSafe(y)
+        return later | alike
+
+    placed = kinds.crossJoin(F.broadcast(bounds)).withColumn("__range", F.size(F.filter("__bounds", from_bound_on))).drop("__bounds")  # one row
+    totals = placed.groupBy("__range").agg(F.sum("__rows").alias("__in"))
+    before = F.coalesce(F.sum("__in").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # ``ranges`` rows
+    local = F.coalesce(F.sum("__rows").over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = placed.withColumn("__local", local).join(F.broadcast(totals.select("__range", before.alias("__before"))), "__range")
+    key = F.struct(*names)  # structs compare nulls as equal
+    ranks = ranked.select(key.alias("__key"), (1 + F.col("__before") + F.col("__local")).alias("rank"), F.col("__rows").alias("n"))
+    return parts.join_counted(runs.drop("rank").withColumn("__key", key), ranks, ["__key"]).drop("__key")
 
 
 def compare_runs(runs: DataFrame, summaries: DataFrame, last_frames: DataFrame) -> DataFrame:

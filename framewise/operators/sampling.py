@@ -147,6 +147,30 @@ def key_frames(length: Column) -> Column:
     return F.array_distinct(F.array(F.lit(0), F.floor(length / 4).cast("int"), F.floor(length / 2).cast("int"), F.floor(length * 3 / 4).cast("int"), (length - 1).cast("int")))
 
 
+def middle_frame(length: Column) -> Column:
+    """The frame in the middle, the later one of two."""
+    return F.floor(length / 2).cast("int")
+
+
+def end_frames(length: Column) -> Column:
+    """First and last frame."""
+    return F.array_distinct(F.array(F.lit(0), (length - 1).cast("int")))
+
+
+def picked_frames(frames: DataFrame, clip: str = "clip_id", index: str = "frame_idx") -> DataFrame:
+    """Frames that the three picks take, with pick ('quarters', 'middle', 'ends') and nth, the place in the pick from 0.
+
+    A clip's length is the number of its highest frame and one. A pick whose frame the clip does not hold is left out, a
+    frame of several picks has a row for each.
+    """
+    lengths = frames.groupBy(clip).agg((F.max(index) + 1).alias("__n"), F.count("*").alias("n"))
+    n = F.col("__n")
+    one = lambda name, at: F.transform(at, lambda f, i: F.struct(F.lit(name).alias("pick"), i.alias("nth"), f.cast("long").alias("at")))
+    picks = F.concat(one("quarters", key_frames(n)), one("middle", F.array(middle_frame(n))), one("ends", end_frames(n)))
+    wanted = lengths.where("__n > 0").select(clip, F.explode(picks).alias("p")).select(clip, F.col("p.at").alias(index), "p.pick", "p.nth")  # eight rows for each clip
+    return frames.join(wanted, [clip, index])
+
+
 def frame_skip(fps: Column, total: Column, target: int = 8, least: int = 49) -> Column:
     """Frames skipped between kept ones: towards the target rate, at most 5, less where fewer than ``least`` would stay."""
     first = F.least(F.lit(5), F.greatest(F.lit(0), F.ceil(fps / target) - 1))
@@ -164,20 +188,21 @@ def kept_frames(fps: Column, total: Column, target: int = 8, least: int = 49) ->
 def nearest_per_second(frames: DataFrame, most: int = 24) -> DataFrame:
     """Per clip and whole second up to the rounded last time, at most ``most`` seconds: the nearest frame, the earliest of equally near ones.
 
-    Frames meet only the seconds on both sides of them, so the join grows with frames; a second none is that near to looks at
-    the last frame before and the first after it by windows.
+    Frames are grouped by whole second, all before 0 in one bin and all from ``most`` on in another, and a bin's first and
+    last frame are all that a second can be nearest to: the last one before it and the first one from it on, over empty
+    bins. So tasks reduce frames before the shuffle, and no clip is sorted. Frames without a time, or whose time is no
+    number, count for nothing. frames: clip, t (seconds), idx.
     """
-    w = Window.partitionBy("clip")
-    last = frames.groupBy("clip").agg(F.least(F.bround(F.max("t")).cast("int"), F.lit(most - 1)).alias("last"))
-    seconds = last.select("clip", F.explode(F.sequence(F.lit(0), "last")).alias("second")).select("clip", F.col("second").cast("double").alias("t"), F.lit(None).cast("long").alias("idx"), "second")
-    both = frames.select("clip", "t", "idx", F.lit(None).cast("int").alias("second")).unionByName(seconds)
-    here = F.when(F.col("idx").isNotNull(), F.struct("t", "idx"))
-    before = F.last(here, True).over(w.orderBy("t", F.col("idx").isNull()).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(here, True).over(w.orderBy("t", F.col("idx").isNotNull()).rowsBetween(0, Window.unboundedFollowing))
-    near = both.withColumn("b", before).withColumn("a", after).where("second is not null")
+    timed = frames.where(F.col("t").isNotNull() & ~F.isnan(F.col("t").cast("double")))
+    bins = F.greatest(F.lit(-1), F.least(F.lit(most), F.floor("t"))).cast("int")
+    ends = timed.groupBy("clip", bins.alias("bin")).agg(F.min(F.struct("t", "idx")).alias("first"), F.max(F.struct(F.col("t"), (-F.col("idx")).alias("back"))).alias("last"))
+    clips = ends.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("bin", "first", "last"))).alias("bins"), F.max("last.t").alias("top"))  # at most ``most`` + 2 bins
+    seconds = clips.select("clip", "bins", F.explode(F.sequence(F.lit(0), F.least(F.greatest(F.bround("top"), F.lit(0)), F.lit(most - 1)).cast("int"))).alias("second"))
+    before = F.try_element_at(F.filter("bins", lambda x: x["bin"] < F.col("second")), F.lit(-1))
+    after = F.get(F.filter("bins", lambda x: x["bin"] >= F.col("second")), F.lit(0))
+    near = seconds.select("clip", "second", before["last"].alias("b"), after["first"].alias("a"))
     take_after = F.col("b").isNull() | (F.col("a").isNotNull() & (F.col("a.t") - F.col("second") < F.col("second") - F.col("b.t")))
-    near = near.withColumn("hit", F.when(take_after, F.col("a.t")).otherwise(F.col("b.t"))).select("clip", "second", F.col("hit").alias("t"))
-    return near.join(frames.groupBy("clip", "t").agg(F.min("idx").alias("idx")), ["clip", "t"]).select("clip", "second", "idx")
+    return near.select("clip", "second", F.when(take_after, F.col("a.idx")).otherwise(-F.col("b.back")).alias("idx"))
 
 
 def substitute_bad(rows: DataFrame, key: str, seed: int) -> DataFrame:
@@ -209,19 +234,20 @@ def schedules(plans: DataFrame, accumulation: int, max_steps: int, batch_size: i
     return out.withColumn("resume_epoch", F.floor(F.lit(resume_step) / F.col("steps_per_epoch")).cast("long")).withColumn("effective_batch", F.lit(batch_size * processes * accumulation).cast("long"))
 
 
-def epoch_draws(rows: DataFrame, key: str, seed: int, epoch: int, count: int, resume: int = 0) -> DataFrame:
+def epoch_draws(rows: DataFrame, key: str, seed: int, epoch: int, count: Column | int, resume: int = 0) -> DataFrame:
     """``count`` draws of an epoch without replacement: whole shuffles of all rows, then the first of one more; draws before ``resume`` are done.
 
-    A row for each draw, with draw_no; each shuffle has an order of its own.
+    A row for each draw, with draw_no; each shuffle has an order of its own. ``count`` may be a column of ``n``, the number
+    of rows. Rows are counted when it runs.
     """
-    total = rows.count()
-    if not total:
-        return rows.withColumn("draw_no", F.lit(0).cast("long")).limit(0)
-    rounds = -(-count // total)
-    each = rows.withColumn("__round", F.explode(F.sequence(F.lit(0), F.lit(max(rounds - 1, 0)))))
+    total = rows.agg(F.count("*").alias("n"))
+    wanted = count if isinstance(count, Column) else F.lit(count)
+    total = total.select(F.col("n").alias("__total"), wanted.cast("long").alias("__count"))
+    each = rows.crossJoin(F.broadcast(total)).withColumn("__round", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("__count") / F.col("__total")) - 1, F.lit(0)))))  # one row
     u = draw(F.concat_ws("/", F.col(key).cast("string"), F.col("__round")), seed, "order", epoch)
-    ranked = with_positions(each, u, key, ["__round"]).withColumn("draw_no", F.col("__round") * total + F.col("position"))
-    return ranked.where((F.col("draw_no") >= resume) & (F.col("draw_no") < count)).drop("__round", "__u", "__n", "position")
+    ranked = with_positions(each, u, key, ["__round"]).withColumn("draw_no", F.col("__round") * F.col("__total") + F.col("position"))
+    kept = ranked.where((F.col("draw_no") >= resume) & (F.col("draw_no") < F.col("__count")))
+    return kept.drop("__round", "__u", "__n", "position", "__total", "__count")
 
 
 def uniform_indices(length: Column, fps: Column, count: int = 24, seconds: int = 60) -> Column:
@@ -302,3 +328,26 @@ def mask_plan(clips: DataFrame, key: str, seed: int) -> DataFrame:
     covered = F.when(m.isin(6, 9), F.aggregate("boxes", F.lit(0.0), lambda s, b: s + area(b))).when(m <= 4, covered)
     rows = rows.withColumn("boxes", boxes)
     return rows.withColumn("coverage", F.when(m == 5, 0.5).otherwise(covered / (f.cast("double") * h * w))).drop("__cx", "__cy", "__rx", "__ry")
+
+
+def mask_plan_of_four(clips: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds the plan of an inpainting mask of four modes of equal chance to clips with frames, height and width; no pixels are painted.
+
+    mask_mode: 0 all but the first frame, 1 all but the first and last, 2 a box in all frames, 3 a box in a run of frames. frame_from
+    and frame_to, x_from and x_to, y_from and y_to bound the masked part, ends excluded; coverage is its share. A box has
+    a drawn middle and sides of a quarter to below three quarters of the frame's, and is cut at its edges.
+    """
+    u = lambda purpose: draw(F.col(key).cast("string"), seed, f"mask4-{purpose}")
+    f, h, w = (F.col(c).cast("int") for c in ("frames", "height", "width"))
+    zero, half = F.lit(0), F.floor(f / 2).cast("int")
+    m = F.col("mask_mode")
+    rows = clips.withColumn("mask_mode", F.least(F.floor(u("mode") * 4), F.lit(3)).cast("int"))
+    first = F.when(m.isin(0, 1), F.least(F.lit(1), f)).when(m == 3, between(u("first"), zero, half)).otherwise(zero)
+    last = F.when(m == 1, F.greatest(f - 1, F.least(F.lit(1), f))).when(m == 3, between(u("last"), half, f)).otherwise(f)
+    rows = rows.withColumn("frame_from", first).withColumn("frame_to", last)
+    for axis, size in (("x", w), ("y", h)):
+        quarter = F.floor(size / 4).cast("int")
+        middle, reach = between(u(axis), zero, size), F.floor(between(u(f"{axis}-size"), quarter, quarter * 3) / 2).cast("int")
+        rows = rows.withColumn(f"{axis}_from", F.when(m >= 2, F.greatest(middle - reach, zero)).otherwise(zero)).withColumn(f"{axis}_to", F.when(m >= 2, F.least(middle + reach, size)).otherwise(size))
+    covered = (F.col("frame_to") - F.col("frame_from")).cast("double") * (F.col("x_to") - F.col("x_from")) * (F.col("y_to") - F.col("y_from"))
+    return rows.withColumn("coverage", covered / (f.cast("double") * h * w))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from .planning import frame_rate
 
@@ -28,24 +30,33 @@ def divisible(n: int) -> Column:
 def metadata_problems(metadata: DataFrame, probes: DataFrame, frames: int = 33, size: tuple[int, int] = (768, 1360), rate: str = "16/1") -> DataFrame:
     """metadata (file_path, text, type) with problems, an array of names.
 
-    A missing key or file ends the checks of a row, as nothing else can be told of it.
+    A missing key or file ends the checks of a row, as nothing else can be told of it. A value that the probe does not
+    have is a problem like a wrong one.
     """
     probed = probes.dropDuplicates(["file_path"]).withColumn("__there", F.lit(True))
     rows = metadata.join(probed.select("file_path", "__there", F.col("width").alias("__w"), F.col("height").alias("__h"), "r_frame_rate", "nb_read_frames"), "file_path", "left")
+    differs = lambda c, wanted: ~F.col(c).eqNullSafe(F.lit(wanted))
     missing = F.col("file_path").isNull() | F.col("text").isNull() | F.col("type").isNull()
     checks = F.array_compact(F.array(
-        F.when(F.trim("text") == "", "empty_caption"), F.when(F.col("nb_read_frames") != frames, "frames"),
-        F.when((F.col("__w") != size[0]) | (F.col("__h") != size[1]), "size"), F.when(F.col("r_frame_rate") != rate, "rate"),
+        F.when(F.trim("text") == "", "empty_caption"), F.when(differs("nb_read_frames", frames), "frames"),
+        F.when(differs("__w", size[0]) | differs("__h", size[1]), "size"), F.when(differs("r_frame_rate", rate), "rate"),
     ))
     problems = F.when(missing, F.array(F.lit("missing_key"))).when(F.col("__there").isNull(), F.array(F.lit("missing_file"))).otherwise(checks)
     return rows.withColumn("problems", problems).drop("__there", "__w", "__h", "r_frame_rate", "nb_read_frames")
 
 
 def key_set_fails(keys: Column, required: Sequence[str] = ("file_path", "text", "type"), parity: bool = False) -> Column:
-    """A required key is absent; with ``parity`` only if the keys are a strict subset of the required ones."""
+    """A required key is absent; with ``parity`` only if the keys are a strict subset of the required ones. Null keys (an entry that is no object) are none."""
+    need, keys = F.array(*[F.lit(k) for k in required]), F.coalesce(keys, F.array().cast("array<string>"))
+    lacking = F.size(F.array_except(need, keys)) > 0
+    return lacking & (F.size(F.array_except(keys, need)) == 0) if parity else lacking
+
+
+def with_key_checks(entries: DataFrame, required: Sequence[str] = ("file_path", "text", "type")) -> DataFrame:
+    """Entries as tables.read_entries gives them, with missing_keys (sorted) and both verdicts: fails, and fails_strictly, which an extra key hides."""
     need = F.array(*[F.lit(k) for k in required])
-    lacks = F.size(F.array_except(need, keys)) > 0
-    return lacks & (F.size(F.array_except(keys, need)) == 0) if parity else lacks
+    lacking = F.array_sort(F.array_except(need, F.coalesce("keys", F.array().cast("array<string>"))))
+    return entries.withColumn("missing_keys", lacking).withColumn("fails", key_set_fails(F.col("keys"), required)).withColumn("fails_strictly", key_set_fails(F.col("keys"), required, parity=True))
 
 
 def frame_count_verdict(probes: DataFrame) -> DataFrame:
@@ -78,16 +89,65 @@ def run_status(runs: DataFrame, outputs: DataFrame) -> DataFrame:
     return runs.join(there, "output", "left").withColumn("status", F.when((F.col("exit_code") == 0) & F.col("__there"), "OK").otherwise("FAILED")).drop("__there")
 
 
-def prompt_problems(records: DataFrame, forbidden: Sequence[str], most_words: int = 200) -> DataFrame:
-    """Structured prompts (identity, action_beats, style, negatives, schema_version, rendered) with problems."""
-    bad = "(?i)" + "|".join(forbidden)
-    words = F.size(F.filter(F.split("rendered", r"\s+"), lambda w: w != ""))
-    problems = F.array_compact(F.array(
-        F.when(words > most_words, "too_long"), F.when(F.contains(F.col("rendered"), F.lit("\n")), "paragraphs"), F.when(F.size("identity") == 0, "no_identity"),
-        F.when(F.exists("action_beats", lambda b: b.rlike(bad)), "forbidden_term"), F.when(F.coalesce(F.trim("style"), F.lit("")) == "", "no_style"),
-        F.when(F.size("negatives") == 0, "no_negatives"), F.when(F.col("schema_version").isNull(), "no_version"),
-    ))
-    return records.withColumn("problems", problems)
+@dataclass(frozen=True)
+class Required:
+    """A field that every record needs: ``problem`` is raised where it is missing.
+
+    path: names joined by dots, into structs that may be null. kind: 'text' needs characters that are no white space, 'items' an
+    array with an item that is not null and, if text, not blank, 'value' a value that is not null.
+    """
+
+    problem: str
+    path: str
+    kind: str = "text"
+
+
+#: What a structured prompt needs.
+PROMPT_FIELDS = (
+    Required("no_identity", "identity", "items"), Required("no_style", "style"), Required("no_action_beat", "action_beats", "items"), Required("no_camera", "camera.move"),
+    Required("no_lighting", "lighting"), Required("no_negatives", "negatives", "items"), Required("no_version", "schema_version", "value"), Required("no_rendered", "rendered"),
+)
+
+
+def type_at(schema: StructType, path: str) -> DataType | None:
+    """Type of a field by its dotted path, None where the schema has no such field."""
+    at: DataType | None = schema
+    for name in path.split("."):
+        at = next((f.dataType for f in at.fields if f.name == name), None) if isinstance(at, StructType) else None
+    return at
+
+
+def lacks(schema: StructType, field: Required) -> Column:
+    """The record does not have the field; never null. A field the schema does not have is missing from every record."""
+    kind = type_at(schema, field.path)
+    if kind is None:
+        return F.lit(True)
+    value = F.col(".".join(f"`{name}`" for name in field.path.split(".")))
+    blank = lambda x: F.regexp_replace(x.cast("string"), r"(?U)\s+", "") == ""
+    if field.kind == "value":
+        return value.isNull()
+    if field.kind == "text":
+        return F.coalesce(blank(value), F.lit(True))
+    if field.kind != "items":
+        raise ValueError(f"no kind {field.kind!r}; there are text, items and value")
+    if not isinstance(kind, ArrayType):
+        raise ValueError(f"{field.path} is no array")
+    fits = (lambda x: x.isNotNull() & ~F.coalesce(blank(x), F.lit(True))) if isinstance(kind.elementType, StringType) else (lambda x: x.isNotNull())
+    return ~F.coalesce(F.exists(value, fits), F.lit(False))
+
+
+def prompt_problems(records: DataFrame, forbidden: Sequence[str], most_words: int = 200, fields: Sequence[Required] = PROMPT_FIELDS) -> DataFrame:
+    """Structured prompts with problems, an array of names: those of ``fields`` in their order, then too_long, paragraphs and forbidden_term.
+
+    rendered (text) has at most ``most_words`` words in one paragraph, without line breaks of any kind; action_beats (an
+    array of texts) name none of the ``forbidden`` patterns, in any case. Nulls in any place are missing values.
+    """
+    bad = "(?iu)" + "|".join(forbidden)
+    words = F.size(F.filter(F.split(F.coalesce("rendered", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    named = F.coalesce(F.exists("action_beats", lambda b: F.coalesce(b.rlike(bad), F.lit(False))), F.lit(False)) if forbidden else F.lit(False)
+    checks = [F.when(lacks(records.schema, f), f.problem) for f in fields]
+    checks += [F.when(words > most_words, "too_long"), F.when(F.coalesce(F.col("rendered").rlike(r"\R"), F.lit(False)), "paragraphs"), F.when(named, "forbidden_term")]
+    return records.withColumn("problems", F.array_compact(F.array(*checks)))
 
 
 def breakdown_problems(clips: DataFrame, registry: DataFrame, frames: Sequence[int] = (49, 81)) -> DataFrame:

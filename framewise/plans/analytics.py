@@ -262,8 +262,8 @@ def sparklines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SPARKLINES = """WITH x AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, value AS v FROM events),
-y AS (SELECT *, min(v) OVER (PARTITION BY run) AS lo, max(v) OVER (PARTITION BY run) AS hi FROM x WHERE i % greatest(1, n // 60) = 0)
-SELECT run, count(*) AS points, sum(CASE WHEN hi > lo THEN floor((v - lo) / (hi - lo) * 7) ELSE 0 END)::BIGINT AS levels FROM y GROUP BY run"""
+y AS (SELECT *, min(v) OVER (PARTITION BY run) AS lo, max(v) OVER (PARTITION BY run) AS hi FROM x)
+SELECT run, count(*) AS points, sum(least(7, floor((v - lo) / (hi - lo + 1e-12::DOUBLE) * 7)))::BIGINT AS levels FROM y WHERE i % greatest(1, n // 60) = 0 GROUP BY run"""
 
 
 def checkpoint_plan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import composition as comp
 from ..operators import geometry as geo
 from ..operators import planning as plan
 from ..operators import validate as val
+from ..sources import tables
 from . import views
 from .views import with_views
 
@@ -27,13 +28,14 @@ def caption_curation(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CLAUSES = r"""clauses AS (SELECT clip_id, source, anchor, list_filter(list_transform(string_split(regexp_replace(regexp_replace(suffix, '([.;,])\s+', '\1' || chr(1), 'g'),
+SPLIT = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(suffix, '([.;,])\s+', '\1' || chr(1), 'g'),
   '\s+(while|and)\s+', chr(1), 'g'), chr(1)),
-  lambda s: trim(s, ' ,.;')), lambda s: s <> '') AS c FROM captions),
+  lambda s: trim(s, ' ,.;')), lambda s: s <> '')"""
+CLAUSES = r"""clauses AS (SELECT clip_id, source, anchor, SPLIT AS c FROM captions),
 pruned AS (SELECT *, list_filter(c, lambda s: NOT regexp_matches(s, '(?i)PATTERN')) AS kept, list_filter(c, lambda s: regexp_matches(s, '(?i)PATTERN')) AS dropped,
   regexp_replace(anchor, ',+$', '') AS bare FROM clauses),
 finals AS (SELECT *, replace(CASE WHEN len(kept) = 0 THEN bare || '.' ELSE bare || ', ' || array_to_string(kept, ', ') || '.' END, ' ,', ',') AS final
-  FROM pruned)""".replace("PATTERN", "|".join(PATTERNS))
+  FROM pruned)""".replace("SPLIT", SPLIT).replace("PATTERN", "|".join(PATTERNS))
 
 CAPTION_CURATION = with_views(f"""+{CLAUSES}
 SELECT source, count(*) AS captions, sum(len(kept))::BIGINT AS kept, sum(len(dropped))::BIGINT AS dropped, count(*) FILTER (len(kept) = 0) AS emptied,
@@ -63,6 +65,39 @@ CAPTION_SPOT_CHECK = r"""SELECT doc_id AS clip_id, doc_id || '_' || translate(su
 FROM documents d JOIN benchmark b ON item_id = doc_id % 40 WHERE doc_id % 10 = 0"""
 
 
+def caption_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions pruned by patterns, then by the vectors of their clauses and anchors, drawn from the embeddings; every 37th clip has no anchor vectors."""
+    c = views.captions(spark, sf_dir)
+    e = views.table(spark, sf_dir, "embeddings")
+    total = F.broadcast(e.agg(F.count("*").alias("n")))  # one row
+    vector_of = lambda rows, k: rows.crossJoin(total).withColumn("vec_id", (F.col("clip_id") * k + F.col("clause_ord")) % F.col("n")).join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    places = lambda text: c.select("clip_id", F.posexplode(cap.split_clauses(F.trim(text))).alias("clause_ord", "clause"))
+    out = cap.prune_in_stages(c, vector_of(places("suffix"), 31), vector_of(places("anchor").where("clip_id % 37 > 0"), 7), PATTERNS, 0.3)
+    return out.select("clip_id", "suffix_out", F.array_join("dropped", "; ").alias("dropped"), "final")
+
+
+CAPTION_STAGES = with_views(f"""+split AS (SELECT clip_id, {SPLIT} AS c, {SPLIT.replace("(suffix,", "(anchor,")} AS a, regexp_replace(anchor, ',+$', '') AS bare FROM captions),
+n AS (SELECT count(*) AS n FROM embeddings), e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+alike AS (SELECT x.vec_id AS x, y.vec_id AS y FROM e x JOIN e y ON list_cosine_similarity(x.v, y.v) > 0.3),
+clause AS (SELECT clip_id, unnest(range(0, len(c))) AS k, unnest(c) AS s FROM split), anchors AS (SELECT clip_id, unnest(range(0, len(a))) AS k FROM split WHERE clip_id % 37 > 0),
+near AS (SELECT DISTINCT clause.clip_id, clause.k FROM clause JOIN anchors USING (clip_id) CROSS JOIN n JOIN alike ON x = (clip_id * 31 + clause.k) % n AND y = (clip_id * 7 + anchors.k) % n),
+judged AS (SELECT clause.*, regexp_matches(s, '(?i){"|".join(PATTERNS)}') AS hit, near.k IS NOT NULL AS close FROM clause LEFT JOIN near ON near.clip_id = clause.clip_id AND near.k = clause.k),
+texts AS (SELECT clip_id, string_agg(s, ', ' ORDER BY k) FILTER (NOT hit AND NOT close) AS kept, string_agg(s, '; ' ORDER BY k) FILTER (hit) AS one,
+  string_agg(s, '; ' ORDER BY k) FILTER (NOT hit AND close) AS two FROM judged GROUP BY clip_id)
+SELECT clip_id, coalesce(kept, '') AS suffix_out, concat_ws('; ', one, two) AS dropped, replace(CASE WHEN kept IS NULL THEN bare || '.' ELSE bare || ', ' || kept || '.' END, ' ,', ',') AS final
+FROM split LEFT JOIN texts USING (clip_id)""", "captions")
+
+
+def caption_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour variant of every caption by several words, of which some are put in by others."""
+    return views.captions(spark, sf_dir).select("clip_id", cap.ground_colours(F.col("suffix"), {"the": "blue", "blue": "red", "thing": "green", "and": "grey"}, "thing").alias("coloured"))
+
+
+CAPTION_COLOURS = with_views(r"""+w AS (SELECT clip_id, regexp_split_to_array(suffix, '\b(the|blue|thing|and)\b') AS apart, regexp_extract_all(suffix, '\b(?:the|blue|thing|and)\b') AS found FROM captions)
+SELECT clip_id, apart[1] || array_to_string(list_transform(range(1, len(apart)), lambda i: found[i] || ', a ' ||
+  CASE found[i] WHEN 'the' THEN 'blue' WHEN 'blue' THEN 'red' WHEN 'thing' THEN 'green' ELSE 'grey' END || ' thing' || apart[i + 1]), '') AS coloured FROM w""", "captions")
+
+
 def caption_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The colour variant of every caption."""
     return views.captions(spark, sf_dir).select("clip_id", cap.ground_colours(F.col("suffix"), {"the": "blue"}, "thing").alias("grounded"))
@@ -72,27 +107,35 @@ CAPTION_GROUNDING = with_views(r"SELECT clip_id, regexp_replace(suffix, '\bthe\b
 
 
 def semantic_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = views.table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip_id"), F.col("vec_id").alias("clause_ord"), F.col("embedding").alias("vector"))
-    out = cap.prune_semantic(e.where("clause_ord % 5 <> 0"), e.where("clause_ord % 5 = 0"), 0.25)
-    return out.select("clip_id", "clause_ord", F.round("best", 5).alias("best"), "dropped")
+    """Clauses by their cosine to the clip's anchors; some places are null or repeat, some vectors are zero or null, some clips have no anchors."""
+    key = F.col("vec_id")
+    vector = F.when(key % 17 != 0, F.when(key % 13 == 0, F.transform("embedding", lambda x: F.lit(0.0).cast("float"))).otherwise(F.col("embedding")))
+    e = views.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(key % 19 == 0, F.col("label") + 100).otherwise(F.col("label")).alias("clip_id"), F.when(key % 11 > 0, key - key % 4).alias("clause_ord"), vector.alias("vector")
+    )
+    anchors = e.where("vec_id % 5 = 0 and clip_id < 100")
+    out = cap.prune_semantic(e.where("vec_id % 5 <> 0").unionByName(anchors.where("vec_id % 3 = 0")), anchors, 0.25)
+    return out.select("vec_id", "clip_id", "clause_ord", F.round("best", 5).alias("best"), "dropped")
 
 
-SEMANTIC_PRUNE = """WITH e AS (SELECT label AS clip_id, vec_id AS clause_ord, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-m AS (SELECT a.clip_id, a.clause_ord, max(list_cosine_similarity(a.v, b.v)) AS best FROM e a JOIN e b ON a.clip_id = b.clip_id WHERE a.clause_ord % 5 <> 0 AND b.clause_ord % 5 = 0
-  GROUP BY ALL)
-SELECT clip_id, clause_ord, round(best, 5) AS best, best > 0.25 AS dropped FROM m"""
+SEMANTIC_PRUNE = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 19 = 0 THEN label + 100 ELSE label END AS clip_id, CASE WHEN vec_id % 11 > 0 THEN vec_id - vec_id % 4 END AS clause_ord,
+  CASE WHEN vec_id % 17 <> 0 THEN list_transform(embedding, lambda x: CASE WHEN vec_id % 13 = 0 THEN 0 ELSE x END::DOUBLE) END AS v, vec_id % 13 = 0 AS zero FROM embeddings),
+a AS (SELECT * FROM e WHERE vec_id % 5 = 0 AND clip_id < 100), c AS (SELECT * FROM e WHERE vec_id % 5 <> 0 OR (clip_id < 100 AND vec_id % 3 = 0)),
+m AS (SELECT c.vec_id, max(CASE WHEN c.zero OR a.zero THEN 0 ELSE list_cosine_similarity(c.v, a.v) END) AS best FROM c JOIN a ON c.clip_id = a.clip_id AND c.v IS NOT NULL AND a.v IS NOT NULL GROUP BY ALL)
+SELECT c.vec_id, clip_id, clause_ord, round(best, 5) AS best, coalesce(best > 0.25, false) AS dropped FROM c LEFT JOIN m USING (vec_id)"""
 
 
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = plan.plan_clips(views.segments(spark, sf_dir))
     return out.select("row_ord", "clip_id", F.round("duration_s", 3).alias("duration_s"), "frames", "bg_type", "strategy",
         F.round("duration_s", 3).between(2.0, 5.2).alias("in_window"), "verdict", F.array_join("props", ",").alias("props"),
-                      plan.anchor(F.col("character"), {"a": "A,", "b": "B,"}, "A and B,").alias("anchor"), plan.resolve_path(F.col("source_file"), "/data/").alias("path"))
+                      plan.anchor(F.col("character"), {"a": "A,", "b": "B,"}, "A and B,").alias("anchor"), plan.resolve_path(F.col("source_file"), "/data/").alias("path"),
+                      plan.is_unknown(F.col("character"), {"a": "A,", "b": "B,"}).alias("unknown"))
 
 
 SEGMENT_PLAN = with_views("""SELECT row_ord, clip_id, duration_s, frames, bg_type, strategy, duration_s BETWEEN 2.0 AND 5.2 AS in_window, CASE WHEN out_ms > in_ms THEN 'ok'
   ELSE 'empty' END AS verdict, array_to_string(props, ',') AS props,
-  CASE character WHEN 'a' THEN 'A,' WHEN 'b' THEN 'B,' ELSE 'A and B,' END AS anchor, '/data/' || source_file AS path FROM planned""", "segments")
+  CASE character WHEN 'a' THEN 'A,' WHEN 'b' THEN 'B,' ELSE 'A and B,' END AS anchor, '/data/' || source_file AS path, character NOT IN ('a', 'b') AS unknown FROM planned""", "segments")
 
 
 def composition_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,16 +188,25 @@ CLIP_CONFORMANCE = with_views("""SELECT p_partkey, fps::INT AS fps, ((width = 76
   nb_read_frames % 8 = 1 AS ok_8n1, width % 32 = 0 AND height % 32 = 0 AS div32 FROM probes""", "probes")
 
 
+def torn_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of which some lack a value."""
+    p, key = views.probes(spark, sf_dir), F.col("p_partkey")
+    lost = {"nb_read_frames": 7, "width": 8, "height": 10, "r_frame_rate": 9}
+    return p.withColumns({c: F.when(F.floor(key / 3) % n > 0, F.col(c)) for c, n in lost.items()})
+
+
 def metadata_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = views.metadata(spark, sf_dir).drop("width", "height")
-    out = val.metadata_problems(m, views.probes(spark, sf_dir))
+    out = val.metadata_problems(m, torn_probes(spark, sf_dir))
     return out.select("doc_id", F.array_join("problems", ",").alias("problems"))
 
 
-METADATA_PROBLEMS = with_views("""+j AS (SELECT m.*, p.file_path AS there, p.width AS w, p.height AS h, p.nb_read_frames AS n, p.fps FROM metadata m
-  LEFT JOIN probes p ON m.file_path = p.file_path)
-SELECT doc_id, CASE WHEN there IS NULL THEN 'missing_file' ELSE array_to_string(list_filter([CASE WHEN trim(text) = '' THEN 'empty_caption' END, CASE WHEN n <> 33 THEN 'frames' END,
-  CASE WHEN w <> 768 OR h <> 1360 THEN 'size' END, CASE WHEN fps <> 16 THEN 'rate' END], lambda x: x IS NOT NULL), ',') END AS problems FROM j""", "metadata", "probes")
+METADATA_PROBLEMS = with_views("""+torn AS (SELECT file_path, CASE WHEN p_partkey // 3 % 8 > 0 THEN width END AS width, CASE WHEN p_partkey // 3 % 10 > 0 THEN height END AS height,
+  CASE WHEN p_partkey // 3 % 7 > 0 THEN nb_read_frames END AS nb_read_frames, CASE WHEN p_partkey // 3 % 9 > 0 THEN fps END AS fps FROM probes),
+j AS (SELECT m.*, p.file_path AS there, p.width AS w, p.height AS h, p.nb_read_frames AS n, p.fps FROM metadata m
+  LEFT JOIN torn p ON m.file_path = p.file_path)
+SELECT doc_id, CASE WHEN there IS NULL THEN 'missing_file' ELSE array_to_string(list_filter([CASE WHEN trim(text) = '' THEN 'empty_caption' END, CASE WHEN n IS DISTINCT FROM 33 THEN 'frames' END,
+  CASE WHEN w IS DISTINCT FROM 768 OR h IS DISTINCT FROM 1360 THEN 'size' END, CASE WHEN fps IS DISTINCT FROM 16 THEN 'rate' END], lambda x: x IS NOT NULL), ',') END AS problems FROM j""", "metadata", "probes")
 
 
 def first_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,20 +300,97 @@ SELECT coalesce(l.name, r.name) AS name, coalesce(l.n, 0) AS n_left, coalesce(r.
 
 
 def prompt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Structured prompts from conversations."""
-    c = views.table(spark, sf_dir, "conversations")
+    """Structured prompts from conversations; some lack fields, whole structs, or items in their arrays, some break lines."""
+    c, key = views.table(spark, sf_dir, "conversations"), F.col("conv_id")
     texts = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"])
     r = c.groupBy("conv_id").agg(texts("system").alias("identity"), texts("user").alias("action_beats"), F.array_join(texts("assistant"), " ").alias("rendered"))
-    r = r.withColumn("style", F.when(F.col("conv_id") % 2 == 0, "flat")).withColumn("negatives", F.col("identity")).withColumn("schema_version", F.lit("v1"))
+    r = r.withColumn("identity", F.when(key % 6 == 0, None).when(key % 6 == 1, F.array(F.lit(None).cast("string"), F.lit(" "))).otherwise(F.col("identity")))
+    r = r.withColumn("action_beats", F.when(key % 7 == 0, None).when(key % 7 == 1, F.array().cast("array<string>")).when(key % 7 == 2, F.concat(F.array(F.lit(None).cast("string")), "action_beats")).otherwise(F.col("action_beats")))
+    move = F.when(key % 4 == 1, F.lit(None).cast("string")).when(key % 4 == 2, F.lit("\u00a0\t")).otherwise("pan")
+    r = r.withColumn("camera", F.when(key % 5 > 0, F.struct(move.alias("move"), F.lit(35).alias("lens")))).withColumn("lighting", F.when(key % 8 > 1, "flat").when(key % 8 == 1, ""))
+    r = r.withColumn("rendered", F.when(key % 9 == 0, None).when(key % 9 == 1, F.concat("rendered", F.lit("\rend"))).when(key % 9 == 2, F.concat("rendered", F.lit("\u2028end"))).otherwise(F.col("rendered")))
+    r = r.withColumn("style", F.when(key % 2 == 0, "flat")).withColumn("negatives", F.when(key % 3 > 0, F.array(F.lit("blur")))).withColumn("schema_version", F.when(key % 10 > 0, "v1"))
     return val.prompt_problems(r, ("the hat", "beak")).select("conv_id", F.array_join("problems", ",").alias("problems"))
 
 
-PROMPT_PROBLEMS = r"""WITH r AS (SELECT conv_id, list(text) FILTER (role = 'system') AS identity, list(text) FILTER (role = 'user') AS beats,
-  coalesce(string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS rendered FROM conversations GROUP BY conv_id)
-SELECT conv_id, array_to_string(list_filter([CASE WHEN len(list_filter(regexp_split_to_array(rendered, '\s+'), lambda w: w <> '')) > 200 THEN 'too_long' END, CASE
-  WHEN contains(rendered, chr(10)) THEN 'paragraphs' END,
-  CASE WHEN identity IS NULL THEN 'no_identity' END, CASE WHEN len(list_filter(coalesce(beats, []), lambda b: regexp_matches(b, '(?i)the hat|beak'))) > 0 THEN 'forbidden_term' END,
-  CASE WHEN conv_id % 2 <> 0 THEN 'no_style' END, CASE WHEN identity IS NULL THEN 'no_negatives' END], lambda x: x IS NOT NULL), ',') AS problems FROM r"""
+PROMPT_PROBLEMS = r"""WITH g AS (SELECT conv_id, list(text) FILTER (role = 'system') AS systems, list(text) FILTER (role = 'user') AS users,
+  coalesce(string_agg(text, ' ' ORDER BY turn, text) FILTER (role = 'assistant'), '') AS said FROM conversations GROUP BY conv_id),
+r AS (SELECT conv_id, CASE WHEN conv_id % 6 > 1 THEN coalesce(systems, []) ELSE [] END AS identity, CASE WHEN conv_id % 7 > 1 THEN coalesce(users, []) ELSE [] END AS beats,
+  CASE conv_id % 9 WHEN 0 THEN '' WHEN 1 THEN said || chr(13) || 'end' WHEN 2 THEN said || chr(8232) || 'end' ELSE said END AS rendered FROM g)
+SELECT conv_id, array_to_string(list_filter([CASE WHEN len(list_filter(identity, lambda x: trim(x) <> '')) = 0 THEN 'no_identity' END, CASE WHEN conv_id % 2 <> 0 THEN 'no_style' END,
+  CASE WHEN len(list_filter(beats, lambda x: trim(x) <> '')) = 0 THEN 'no_action_beat' END, CASE WHEN conv_id % 5 = 0 OR conv_id % 4 IN (1, 2) THEN 'no_camera' END,
+  CASE WHEN conv_id % 8 < 2 THEN 'no_lighting' END, CASE WHEN conv_id % 3 = 0 THEN 'no_negatives' END, CASE WHEN conv_id % 10 = 0 THEN 'no_version' END,
+  CASE WHEN trim(rendered) = '' THEN 'no_rendered' END,
+  CASE WHEN len(list_filter(regexp_split_to_array(replace(rendered, chr(8232), ' '), '\s+'), lambda w: w <> '')) > 200 THEN 'too_long' END,
+  CASE WHEN contains(rendered, chr(10)) OR contains(rendered, chr(13)) OR contains(rendered, chr(8232)) THEN 'paragraphs' END,
+  CASE WHEN len(list_filter(beats, lambda b: regexp_matches(b, '(?i)the hat|beak'))) > 0 THEN 'forbidden_term' END], lambda x: x IS NOT NULL), ',') AS problems FROM r"""
+
+
+def entry_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of metadata entries as they were written, in texts that hold one entry, an array of them or an object with one, with both verdicts."""
+    d, key = views.table(spark, sf_dir, "documents"), F.col("doc_id")
+    field = lambda n, test, text: F.when(test, F.concat(F.lit(f'"{n}": '), text))
+    entry = F.concat(F.lit("{"), F.concat_ws(", ", field("file_path", key % 2 == 0, F.concat(F.lit('"'), key, F.lit('.mp4"'))), field("text", key % 3 > 0, F.when(key % 4 == 0, "null").otherwise('"t"')),
+        field("type", key % 7 > 0, F.lit('"video"')), field("extra", key % 5 == 0, F.lit('{"deep": 1}'))), F.lit("}"))
+    text = F.when(key % 10 == 1, F.concat(F.lit("["), entry, F.lit(", 7, {}]"))).when(key % 10 == 2, F.concat(F.lit('{"version": 2, "data": ['), entry, F.lit("]}"))).when(key % 10 == 3, "no json").otherwise(entry)
+    out = val.with_key_checks(tables.entries_of(d.select("doc_id", text.alias("value"))))
+    return out.select("doc_id", "pos", F.array_join(F.array_sort("keys"), ",").alias("keys"), F.array_join("missing_keys", ",").alias("missing_keys"), "fails", "fails_strictly")
+
+
+ENTRY_KEY_SETS = """WITH k AS (SELECT doc_id, list_filter([CASE WHEN doc_id % 5 = 0 THEN 'extra' END, CASE WHEN doc_id % 2 = 0 THEN 'file_path' END, CASE WHEN doc_id % 3 > 0 THEN 'text' END,
+  CASE WHEN doc_id % 7 > 0 THEN 'type' END], lambda x: x IS NOT NULL) AS keys FROM documents),
+e AS (SELECT doc_id, 0 AS pos, CASE WHEN doc_id % 10 <> 3 THEN keys END AS keys FROM k
+  UNION ALL SELECT doc_id, 1, NULL FROM k WHERE doc_id % 10 = 1 UNION ALL SELECT doc_id, 2, [] FROM k WHERE doc_id % 10 = 1),
+m AS (SELECT *, list_filter(['file_path', 'text', 'type'], lambda x: NOT list_contains(coalesce(keys, []), x)) AS lacking FROM e)
+SELECT doc_id, pos, array_to_string(keys, ',') AS keys, array_to_string(lacking, ',') AS missing_keys, len(lacking) > 0 AS fails,
+  len(lacking) > 0 AND NOT list_contains(coalesce(keys, []), 'extra') AS fails_strictly FROM m"""
+
+
+def name_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos and storyboards by their names' stems and versions; some names are given twice, some have odd capitals."""
+    p, key = views.table(spark, sf_dir, "part"), F.col("p_partkey")
+    word = F.concat(F.lit("Skit"), F.chr(F.lit(65) + (key % 700 % 26).cast("int")), F.lit("_x"), F.translate((key % 700).cast("string"), "0123456789", "abcdefghij"))
+    version = lambda n: F.when(key % n == 0, "_v2").when(key % n == 1, "2").otherwise("")
+    left = p.where("p_partkey % 3 <> 0").select(F.concat(F.lit("videos/2D_PP_"), word, version(4), F.lit("_Base.mp4")).alias("name_in"))
+    right = p.where("p_partkey % 5 <> 0").select(F.concat(F.when(key % 9 == 0, "PP_LIfe").otherwise("PP_"), word, version(6), F.lit(".pdf")).alias("name_in"))
+    return comp.reconcile_versions(left, right, "name_in", ("2D", "PP", "Base"))
+
+
+NAME_VERSIONS = """WITH w AS (SELECT p_partkey AS k, 'skit' || chr((97 + p_partkey % 700 % 26)::INT) || '_x' || translate((p_partkey % 700)::VARCHAR, '0123456789', 'abcdefghij') AS stem FROM part),
+l AS (SELECT stem, CASE WHEN k % 4 < 2 THEN 2 ELSE 1 END AS v, false AS odd FROM w WHERE k % 3 <> 0),
+r AS (SELECT CASE WHEN k % 9 = 0 THEN 'life' ELSE '' END || stem AS stem, CASE WHEN k % 6 < 2 THEN 2 ELSE 1 END AS v, k % 9 = 0 AS odd FROM w WHERE k % 5 <> 0),
+x AS (SELECT stem, v, count(*) AS n, bool_or(odd) AS odd FROM l GROUP BY ALL), y AS (SELECT stem, v, count(*) AS n, bool_or(odd) AS odd FROM r GROUP BY ALL),
+a AS (SELECT stem, sum(n)::BIGINT AS n, max(n) AS most, count(*) AS versions, max(v)::BIGINT AS latest, bool_or(odd) AS odd FROM x GROUP BY stem),
+b AS (SELECT stem, sum(n)::BIGINT AS n, max(n) AS most, count(*) AS versions, max(v)::BIGINT AS latest, bool_or(odd) AS odd FROM y GROUP BY stem)
+SELECT coalesce(a.stem, b.stem) AS stem, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right, a.latest AS latest_left, b.latest AS latest_right,
+  coalesce(a.odd, false) OR coalesce(b.odd, false) AS odd_case, CASE WHEN a.n IS NULL THEN 'right_only' WHEN b.n IS NULL THEN 'left_only' WHEN greatest(a.most, b.most) > 1 THEN 'duplicated'
+  WHEN a.latest <> b.latest THEN 'version_mismatch' WHEN greatest(a.versions, b.versions) > 1 THEN 'superseded' ELSE 'matched' END AS status FROM a FULL JOIN b ON a.stem = b.stem"""
+
+
+def beat_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbering errors of storyboards drawn from order lines: beats are numbered by the lines' quantities."""
+    li = views.table(spark, sf_dir, "lineitem")
+    number = (F.col("l_quantity") % 9 + F.col("l_linenumber") % 2).cast("int").cast("string")
+    label = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("Beat "), number, F.lit(": x"))).when(F.col("l_linenumber") == 7, "no number").otherwise(F.concat(F.lit(" "), number, F.lit(". y 5")))
+    return comp.beat_problems(li.select((F.col("l_orderkey") % 5000).alias("storyboard"), label.alias("label")))
+
+
+BEAT_PROBLEMS = """WITH b AS (SELECT l_orderkey % 5000 AS storyboard, (l_quantity % 9 + l_linenumber % 2)::INT AS number FROM lineitem WHERE l_linenumber <> 7),
+c AS (SELECT storyboard, number, count(*) AS times FROM b GROUP BY ALL), p AS (SELECT *, coalesce(lag(number) OVER (PARTITION BY storyboard ORDER BY number) + 1, least(1, number)) AS first FROM c)
+SELECT storyboard, 'duplicated' AS problem, number::BIGINT AS number, times FROM c WHERE times > 1
+UNION ALL SELECT storyboard, 'missing', first::BIGINT, (number - first)::BIGINT FROM p WHERE number > first"""
+
+
+def exact_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame rates to three decimals; some denominators are 1001, missing or 0, some rates are no numbers."""
+    p, key = views.table(spark, sf_dir, "part"), F.col("p_partkey")
+    rate = F.when(key % 6 == 0, F.concat(key * 1000, F.lit("/1001"))).when(key % 6 == 1, key.cast("string")).when(key % 6 == 2, F.concat(key, F.lit("/0"))).when(key % 6 == 3, "N/A").when(
+        key % 6 == 4, F.concat(key, F.lit("/7"))).otherwise(None)
+    return p.select("p_partkey", plan.exact_rate(rate).alias("rate"))
+
+
+EXACT_RATES = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN round_even(p_partkey * 1000 / 1001::DOUBLE, 3) WHEN 1 THEN p_partkey::DOUBLE
+  WHEN 4 THEN round_even(p_partkey / 7::DOUBLE, 3) END AS rate FROM part"""
 
 
 def breakdown_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,10 +421,11 @@ QUERIES = {
     for f, sql in (
         (breakdown_problems, BREAKDOWN_PROBLEMS),
         (caption_curation, CAPTION_CURATION), (caption_prune, CAPTION_PRUNE), (caption_spot_check, CAPTION_SPOT_CHECK), (caption_grounding, CAPTION_GROUNDING),
+        (caption_stages, CAPTION_STAGES), (caption_colours, CAPTION_COLOURS),
         (semantic_prune, SEMANTIC_PRUNE), (segment_plan, SEGMENT_PLAN),
         (composition_gates, COMPOSITION_GATES), (action_parity, ACTION_PARITY), (prop_frequency, PROP_FREQUENCY), (top_sources, TOP_SOURCES), (character_presence, CHARACTER_PRESENCE),
         (clip_conformance, CLIP_CONFORMANCE), (metadata_problems, METADATA_PROBLEMS), (first_problems, FIRST_PROBLEMS), (frame_counts, FRAME_COUNTS), (probe_sizes, PROBE_SIZES),
         (fitted_sizes, FITTED_SIZES), (aspect_buckets, ASPECT_BUCKETS), (file_totals, FILE_TOTALS), (identical_texts, IDENTICAL_TEXTS),
-        (name_reconciliation, NAME_RECONCILIATION), (prompt_problems, PROMPT_PROBLEMS),
+        (name_reconciliation, NAME_RECONCILIATION), (prompt_problems, PROMPT_PROBLEMS), (entry_key_sets, ENTRY_KEY_SETS), (name_versions, NAME_VERSIONS), (beat_problems, BEAT_PROBLEMS), (exact_rates, EXACT_RATES),
     )
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import captions as cap
@@ -10,7 +10,7 @@ from ..operators import composition as comp
 from ..operators import frames as fr
 from ..operators import geometry as geo
 from ..operators import planning as plan
-from ..operators import runs, sampling
+from ..operators import parts, runs, sampling
 from ..operators import validate as val
 from ..sources import tables
 from . import analytics, views
@@ -22,8 +22,7 @@ from .views import with_views
 
 def _histogram_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = views.frames(spark, sf_dir).select("clip_id", "frame_idx", fr.histogram(F.col("pixels"), 16, 0.0, 256.0).alias("hist"))
-    previous = F.lag("hist").over(Window.partitionBy("clip_id").orderBy("frame_idx"))
-    f = fr.with_first(f, "hist").withColumn("previous", previous)
+    f = parts.previous(fr.with_first(f, "hist"), "clip_id", "frame_idx", "hist", "previous")
     return f.select("clip_id", "frame_idx", fr.correlation(F.col("previous"), F.col("hist")).alias("adjacent"), fr.correlation(F.col("first"), F.col("hist")).alias("versus_first"))
 
 
@@ -148,12 +147,31 @@ CHECKPOINT_RESOLUTION = with_views(
   UNION ALL SELECT r_regionkey + 100, NULL, r_regionkey % 2 = 0 FROM region), g AS (SELECT * FROM f WHERE has_weights)
 SELECT root, coalesce('checkpoint-' || max(step), 'final') AS latest, count(step) AS available, CASE WHEN bool_or(step IS NULL) THEN 'final' ELSE 'checkpoint-' || max(step) END AS final,
   coalesce(bool_or(step = 33), false) AS has_33, CASE WHEN coalesce(bool_or(step = 33), false) THEN 'checkpoint-33' END AS path_33,
-  CASE WHEN NOT coalesce(bool_or(step = 33), false) THEN coalesce(array_to_string((list_sort(list(DISTINCT step) FILTER (step IS NOT NULL)))[1:100], ', '), '') END AS alternatives
+  CASE WHEN NOT coalesce(bool_or(step = 33), false) THEN coalesce(array_to_string(list_sort(list(DISTINCT step) FILTER (step IS NOT NULL)), ', '), '') END AS alternatives
   FROM g GROUP BY root""",
     "checkpoints",
 )
 
 
+def checkpoint_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By root: what a folder that holds weights resolves to, and what one that does not."""
+    found = runs.find_checkpoints(views.checkpoints(spark, sf_dir).select("root", "path", "has_weights"))
+    folders = views.table(spark, sf_dir, "orders").select(F.concat(F.lit("/kept/checkpoint-"), F.col("o_orderkey"), F.when(F.col("o_orderkey") % 2 == 0, "/").otherwise("")).alias("path"),
+        (F.col("o_orderkey") % 32 < 4).alias("has_weights"))
+    there = runs.resolve_checkpoint(found, "/kept/checkpoint-34//", folders).select("root", "step", "path", "label", "found", "alternatives")
+    gone = runs.resolve_checkpoint(found, "/kept/checkpoint-7", folders).select("root", F.col("found").alias("found_7"), F.length("alternatives").cast("long").alias("listed_7"))
+    return there.join(gone, "root")
+
+
+CHECKPOINT_FOLDERS = with_views(
+    """+g AS (SELECT root, list_sort(list(DISTINCT step)) AS steps FROM checkpoints WHERE has_weights GROUP BY root),
+f AS (SELECT max(o_orderkey = 34) AS yes FROM orders), x AS (SELECT root, array_to_string(steps, ', ') AS listed, yes FROM g, f)
+SELECT root, CASE WHEN yes THEN 34 END::BIGINT AS step, CASE WHEN yes THEN '/kept/checkpoint-34/' END AS path, CASE WHEN yes THEN 'checkpoint-34' END AS label, yes AS found,
+  CASE WHEN NOT yes THEN listed END AS alternatives, false AS found_7, length(listed)::BIGINT AS listed_7 FROM x""",
+    "checkpoints",
+)
+
+
 def run_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that are over: by what their log says, or by their planned number of steps."""
     lines = analytics.log_lines(spark, sf_dir)
@@ -218,7 +236,7 @@ SELECT p_partkey, CASE WHEN m > 0 THEN array_to_string(list_transform(range(0, m
 def epoch_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A shuffled epoch of one and a half times all rows, resumed at draw 10."""
     d = views.table(spark, sf_dir, "documents").select("doc_id")
-    return sampling.epoch_draws(d, "doc_id", 7, 1, d.count() * 3 // 2, 10).select("doc_id", "draw_no")
+    return sampling.epoch_draws(d, "doc_id", 7, 1, F.floor(F.col("n") * 3 / 2), 10).select("doc_id", "draw_no")
 
 
 EPOCH_DRAWS = """WITH n AS (SELECT count(*) AS n FROM documents), r AS (SELECT doc_id, unnest([0, 1]) AS round FROM documents),
@@ -238,6 +256,65 @@ d AS (SELECT draw_no, {draw_sql("replace", "draw_no")} AS u FROM (SELECT unnest(
 SELECT draw_no, doc_id FROM d JOIN r ON k = floor(u * n)::BIGINT"""
 
 
+def picked_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quarters, middle, first and last frames of clips, with their mean brightness; every 40th frame is not held."""
+    f = views.frames(spark, sf_dir).where("frame_idx % 40 <> 30")
+    mean = F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x) / F.size("pixels")
+    return sampling.picked_frames(f).select("clip_id", "frame_idx", "pick", "nth", F.round(mean, 4).alias("mean"))
+
+
+PICKED_FRAMES = with_views(
+    """+f AS (SELECT * FROM frames WHERE frame_idx % 40 <> 30), l AS (SELECT clip_id, max(frame_idx) + 1 AS n FROM f GROUP BY clip_id),
+p AS (SELECT clip_id, 'quarters' AS pick, unnest([0, 1, 2, 3, 4]) AS nth, unnest([0, n // 4, n // 2, n * 3 // 4, n - 1]) AS frame_idx FROM l
+  UNION ALL SELECT clip_id, 'middle', 0, n // 2 FROM l UNION ALL SELECT clip_id, 'ends', unnest([0, 1]), unnest([0, n - 1]) FROM l)
+SELECT p.clip_id, p.frame_idx, pick, nth, round(list_avg(pixels), 4) AS mean FROM p JOIN f ON f.clip_id = p.clip_id AND f.frame_idx = p.frame_idx""",
+    "frames",
+)
+
+
+def four_mode_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inpainting masks of four modes planned for every probe; some clips have one or two frames."""
+    p, key = views.probes(spark, sf_dir), F.col("p_partkey")
+    p = p.withColumn("frames", F.when(key % 13 < 2, key % 13 + 1).otherwise(F.col("nb_read_frames")))
+    out = sampling.mask_plan_of_four(p, "p_partkey", 7)
+    return out.select("p_partkey", "mask_mode", "frame_from", "frame_to", "x_from", "x_to", "y_from", "y_to", F.round("coverage", 6).alias("coverage"))
+
+
+def _four_sql() -> str:
+    u = lambda purpose: draw_sql(f"mask4-{purpose}", "p_partkey")
+    among = lambda x, low, high: f"({low} + floor({x} * greatest({high} - ({low}), 1))::INT)"
+    axes = ", ".join(f"{among(u(a), '0', size)} AS c{a}, {among(u(f'{a}-size'), f'{size} // 4', f'{size} // 4 * 3')} // 2 AS r{a}" for a, size in (("x", "width"), ("y", "height")))
+    sides = ", ".join(f"CASE WHEN m < 2 THEN 0 ELSE greatest(c{a} - r{a}, 0) END AS {a}_from, CASE WHEN m < 2 THEN {s} ELSE least(c{a} + r{a}, {s}) END AS {a}_to" for a, s in (("x", "width"), ("y", "height")))
+    return f"""+p AS (SELECT *, (CASE WHEN p_partkey % 13 < 2 THEN p_partkey % 13 + 1 ELSE nb_read_frames END)::INT AS f, least(floor({u("mode")} * 4), 3)::INT AS m FROM probes),
+q AS (SELECT *, {axes}, {among(u("first"), "0", "f // 2")} AS a, {among(u("last"), "f // 2", "f")} AS b FROM p),
+r AS (SELECT p_partkey, m AS mask_mode, f, width, height, CASE WHEN m < 2 THEN least(1, f) WHEN m = 3 THEN a ELSE 0 END AS frame_from,
+  CASE WHEN m = 1 THEN greatest(f - 1, least(1, f)) WHEN m = 3 THEN b ELSE f END AS frame_to, {sides} FROM q)
+SELECT p_partkey, mask_mode, frame_from, frame_to, x_from, x_to, y_from, y_to,
+  round((frame_to - frame_from)::DOUBLE * (x_to - x_from) * (y_to - y_from) / (f::DOUBLE * height * width), 6) AS coverage FROM r"""
+
+
+FOUR_MODE_MASKS = with_views(_four_sql(), "probes")
+
+
+def order_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All order lines ranked by quantity, the largest first, then by discount, of which some are missing: most share their rank with many."""
+    li = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.when(F.col("l_orderkey") % 5 > 0, F.col("l_discount")).alias("discount"))
+    return runs.rank_by(li, (("l_quantity", True), ("discount", False))).select("l_orderkey", "l_linenumber", "rank")
+
+
+ORDER_RANKING = """SELECT l_orderkey, l_linenumber, rank() OVER (ORDER BY l_quantity DESC, CASE WHEN l_orderkey % 5 > 0 THEN l_discount END ASC NULLS LAST) AS rank FROM lineitem"""
+
+
+def spark_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss curves as lines of block characters."""
+    return runs.sparkline_text(runs.log_points(analytics.log_lines(spark, sf_dir)))
+
+
+SPARK_TEXTS = """WITH x AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, value AS v,
+  min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events)
+SELECT run, string_agg(substr('▁▂▃▄▅▆▇█', least(7, floor((v - lo) / (hi - lo + 1e-12::DOUBLE) * 7))::INT + 1, 1), '' ORDER BY i) AS sparkline FROM x WHERE i % greatest(1, n // 60) = 0 GROUP BY run"""
+
+
 def schedule_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps, epochs and the effective batch of each type and source."""
     m = views.metadata(spark, sf_dir).groupBy("type", "source").agg(F.floor(F.count("*") / 4).cast("long").alias("n_batches"))
@@ -445,6 +522,6 @@ QUERIES = {
         (frame_draws, FRAME_DRAWS), (epoch_draws, EPOCH_DRAWS), (replaced_draws, REPLACED_DRAWS), (schedule_plans, SCHEDULE_PLANS), (bucket_crops, BUCKET_CROPS), (model_caps, MODEL_CAPS),
         (caption_variants, CAPTION_VARIANTS), (captions_by_stem, CAPTIONS_BY_STEM), (clip_captions, CLIP_CAPTIONS), (first_entries, FIRST_ENTRIES), (column_choices, COLUMN_CHOICES),
         (eligible_clips, ELIGIBLE_CLIPS), (share_gates, SHARE_GATES), (source_footage, SOURCE_FOOTAGE), (category_lists, CATEGORY_LISTS), (first_paths, FIRST_PATHS),
-        (key_checks, KEY_CHECKS),
+        (key_checks, KEY_CHECKS), (checkpoint_folders, CHECKPOINT_FOLDERS), (picked_frames, PICKED_FRAMES), (four_mode_masks, FOUR_MODE_MASKS), (order_ranking, ORDER_RANKING), (spark_texts, SPARK_TEXTS),
     )
 }

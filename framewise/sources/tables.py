@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SEGMENT_COLUMNS = ("source_file", "in", "out", "character", "action_label", "bg_type", "alpha_file", "bg_plate", "props")
 METADATA_SCHEMA = "file_path string, text string, type string, width int, height int, source_skit string, source_shot string, window string"
@@ -57,6 +58,35 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*[F.col(f"__e.{n}").alias(n) for n in names], (F.col("__rank") + F.col("__before")).cast("long").alias("ord"))
 
 
+def entries_of(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Entries of JSON texts: the columns of ``texts`` without the text, pos (from 0), entry (JSON text) and keys.
+
+    A text is an array of entries, an object that holds one as 'data', or one entry. keys are those an entry was written
+    with, also where the value is null; they are null for an entry that is no object. Texts that are no JSON have one
+    entry, null.
+    """
+    held = F.try_parse_json(F.col(text))
+    kind = F.schema_of_variant(held)
+    listed = F.when(kind.startswith("ARRAY<"), held).when(F.schema_of_variant(F.try_variant_get(held, "$.data", "variant")).startswith("ARRAY<"), F.try_variant_get(held, "$.data", "variant"))
+    items = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array(held))
+    rows = texts.select(*[F.col(f"`{c}`") for c in texts.columns if c != text], F.posexplode(items).alias("pos", "__e"))
+    return rows.withColumn("entry", F.to_json("__e")).withColumn("keys", F.json_object_keys("entry")).drop("__e")
+
+
+def read_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of JSON metadata files, whatever keys they have: the columns of read_metadata, keys and ord, their place from 0 over all files by path.
+
+    A field that an entry lacks is null and not among its keys. A file of this kind is one text, read by one task.
+    """
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("__file"))
+    rows = entries_of(files)
+    counts = rows.groupBy("__file").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy().orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(counts.select("__file", before.alias("__before")), "__file")
+    held = F.from_json("entry", METADATA_SCHEMA)
+    return rows.select("keys", held.alias("__h"), (F.col("__before") + F.col("pos")).cast("long").alias("ord")).select("__h.*", "keys", "ord")
+
+
 def read_captions(spark: SparkSession, path: str) -> DataFrame:
     """Caption lines; blank lines are skipped, lines that are no JSON stay in _corrupt_record."""
     return spark.read.schema(CAPTION_SCHEMA + ", _corrupt_record string").json(path)
@@ -109,6 +139,41 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", columns: Sequen
     writer.option("header", True).csv(path) if kind == "csv" else writer.json(path) if kind == "json" else writer.parquet(path)
 
 
+def _committed(spark: SparkSession, path: str) -> dict[str, str]:
+    """Batches of a table of appended batches that were written whole, with their folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return {}
+    inside = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("batch-")]
+    return {p.getName().removeprefix("batch-"): p.toString() for p in inside if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))}
+
+
+def read_appended(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """Rows of all batches that append_absent wrote whole; what a broken write left is not read."""
+    found = sorted(_committed(spark, path).values())
+    return spark.read.schema(schema).parquet(*found) if found else spark.createDataFrame([], schema)
+
+
+def append_absent(new: DataFrame, path: str, key: str, batch: str) -> bool:
+    """Appends the rows of ``new`` whose key is not in the table yet, as one batch; rows that are there are neither read whole nor changed.
+
+    A batch is a folder that counts once its writer's commit marker is there, so the same call may be made again: a batch
+    that was written whole is left alone (False), one that broke off is written anew. Of several new rows of a key the
+    least is added, as a struct of its columns; null keys are never there yet and are one key. One writer at a time.
+    """
+    spark = new.sparkSession
+    done = _committed(spark, path)
+    if batch in done:
+        return False
+    there = read_appended(spark, path, new.schema) if done else None
+    rows = new.groupBy(F.struct(key).alias("__key")).agg(F.min(F.struct(*[f"`{c}`" for c in new.columns])).alias("__row"))
+    if there is not None:
+        rows = rows.join(there.where(F.col(key).isNotNull()).select(F.struct(key).alias("__key")), "__key", "left_anti")
+    rows.select("__row.*").write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch-{batch}")
+    return True
+
+
 def markdown_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A Markdown table row per row of ``df``."""
     cells = F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("–")) for c in columns])
