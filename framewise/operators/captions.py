@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import similarity
@@ -126,8 +126,7 @@ def every_nth(rows: DataFrame, ordinal: str, part: float) -> DataFrame:
 
 
 def by_stem(videos: DataFrame, captions: DataFrame) -> DataFrame:
-    """Captions of videos by file stem; of several of a stem the first by ordinal."""
+    """Captions of videos by file stem; of several of a stem the first by ordinal, then by path."""
     stem = lambda c: F.regexp_replace(F.regexp_replace(c, r"^.*/", ""), r"\.[^.]*$", "")
-    w = Window.partitionBy("stem").orderBy("ord")
-    first = captions.withColumn("stem", stem(F.col("file_path"))).withColumn("rn", F.row_number().over(w)).where("rn = 1").select("stem", "text")
+    first = captions.groupBy(stem(F.col("file_path")).alias("stem")).agg(F.min_by("text", F.struct("ord", "file_path")).alias("text"))
     return videos.withColumn("stem", stem(F.col("path"))).join(first, "stem", "left")

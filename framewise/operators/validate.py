@@ -102,9 +102,9 @@ class Required:
     kind: str = "text"
 
 
-#: What a structured prompt needs.
+#: What a structured prompt needs; its other fields are environment, audio and the struct provenance.
 PROMPT_FIELDS = (
-    Required("no_identity", "identity", "items"), Required("no_style", "style"), Required("no_action_beat", "action_beats", "items"), Required("no_camera", "camera.move"),
+    Required("no_identity", "identity", "items"), Required("no_style", "style"), Required("no_action_beat", "action_beats", "items"), Required("no_camera", "camera"),
     Required("no_lighting", "lighting"), Required("no_negatives", "negatives", "items"), Required("no_version", "schema_version", "value"), Required("no_rendered", "rendered"),
 )
 

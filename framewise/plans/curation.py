@@ -307,10 +307,12 @@ def prompt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = r.withColumn("identity", F.when(key % 6 == 0, None).when(key % 6 == 1, F.array(F.lit(None).cast("string"), F.lit(" "))).otherwise(F.col("identity")))
     r = r.withColumn("action_beats", F.when(key % 7 == 0, None).when(key % 7 == 1, F.array().cast("array<string>")).when(key % 7 == 2, F.concat(F.array(F.lit(None).cast("string")), "action_beats")).otherwise(F.col("action_beats")))
     move = F.when(key % 4 == 1, F.lit(None).cast("string")).when(key % 4 == 2, F.lit("\u00a0\t")).otherwise("pan")
-    r = r.withColumn("camera", F.when(key % 5 > 0, F.struct(move.alias("move"), F.lit(35).alias("lens")))).withColumn("lighting", F.when(key % 8 > 1, "flat").when(key % 8 == 1, ""))
+    author = F.when(key % 5 == 2, F.lit(None).cast("string")).when(key % 5 == 3, "").otherwise("a")
+    r = r.withColumn("camera", move).withColumn("provenance", F.when(key % 5 > 0, F.struct(author.alias("author"), F.lit("beats").alias("source")))).withColumn("lighting", F.when(key % 8 > 1, "flat").when(key % 8 == 1, ""))
     r = r.withColumn("rendered", F.when(key % 9 == 0, None).when(key % 9 == 1, F.concat("rendered", F.lit("\rend"))).when(key % 9 == 2, F.concat("rendered", F.lit("\u2028end"))).otherwise(F.col("rendered")))
     r = r.withColumn("style", F.when(key % 2 == 0, "flat")).withColumn("negatives", F.when(key % 3 > 0, F.array(F.lit("blur")))).withColumn("schema_version", F.when(key % 10 > 0, "v1"))
-    return val.prompt_problems(r, ("the hat", "beak")).select("conv_id", F.array_join("problems", ",").alias("problems"))
+    fields = (*val.PROMPT_FIELDS, val.Required("no_author", "provenance.author"))
+    return val.prompt_problems(r, ("the hat", "beak"), fields=fields).select("conv_id", F.array_join("problems", ",").alias("problems"))
 
 
 PROMPT_PROBLEMS = r"""WITH g AS (SELECT conv_id, list(text) FILTER (role = 'system') AS systems, list(text) FILTER (role = 'user') AS users,
@@ -318,9 +320,9 @@ PROMPT_PROBLEMS = r"""WITH g AS (SELECT conv_id, list(text) FILTER (role = 'syst
 r AS (SELECT conv_id, CASE WHEN conv_id % 6 > 1 THEN coalesce(systems, []) ELSE [] END AS identity, CASE WHEN conv_id % 7 > 1 THEN coalesce(users, []) ELSE [] END AS beats,
   CASE conv_id % 9 WHEN 0 THEN '' WHEN 1 THEN said || chr(13) || 'end' WHEN 2 THEN said || chr(8232) || 'end' ELSE said END AS rendered FROM g)
 SELECT conv_id, array_to_string(list_filter([CASE WHEN len(list_filter(identity, lambda x: trim(x) <> '')) = 0 THEN 'no_identity' END, CASE WHEN conv_id % 2 <> 0 THEN 'no_style' END,
-  CASE WHEN len(list_filter(beats, lambda x: trim(x) <> '')) = 0 THEN 'no_action_beat' END, CASE WHEN conv_id % 5 = 0 OR conv_id % 4 IN (1, 2) THEN 'no_camera' END,
+  CASE WHEN len(list_filter(beats, lambda x: trim(x) <> '')) = 0 THEN 'no_action_beat' END, CASE WHEN conv_id % 4 IN (1, 2) THEN 'no_camera' END,
   CASE WHEN conv_id % 8 < 2 THEN 'no_lighting' END, CASE WHEN conv_id % 3 = 0 THEN 'no_negatives' END, CASE WHEN conv_id % 10 = 0 THEN 'no_version' END,
-  CASE WHEN trim(rendered) = '' THEN 'no_rendered' END,
+  CASE WHEN trim(rendered) = '' THEN 'no_rendered' END, CASE WHEN conv_id % 5 IN (0, 2, 3) THEN 'no_author' END,
   CASE WHEN len(list_filter(regexp_split_to_array(replace(rendered, chr(8232), ' '), '\s+'), lambda w: w <> '')) > 200 THEN 'too_long' END,
   CASE WHEN contains(rendered, chr(10)) OR contains(rendered, chr(13)) OR contains(rendered, chr(8232)) THEN 'paragraphs' END,
   CASE WHEN len(list_filter(beats, lambda b: regexp_matches(b, '(?i)the hat|beak'))) > 0 THEN 'forbidden_term' END], lambda x: x IS NOT NULL), ',') AS problems FROM r"""

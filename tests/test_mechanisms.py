@@ -93,9 +93,9 @@ def test_key_sets_of_files(spark, tmp_path):
 
 
 def test_prompt_gates(spark):
-    kind = "id int, identity array<string>, action_beats array<string>, camera struct<move: string, lens: int>, lighting string, style string, negatives array<string>, schema_version string, rendered string"
-    good = (["TOK"], ["it waves"], ("pan", 35), "soft", "flat", ["blur"], "v1", "It waves.")
-    change = lambda i, **new: (i, *[new.get(k, v) for k, v in zip(("identity", "action_beats", "camera", "lighting", "style", "negatives", "schema_version", "rendered"), good, strict=True)])
+    kind = "id int, identity array<string>, action_beats array<string>, camera string, lighting string, style string, negatives array<string>, schema_version string, rendered string, provenance struct<author: string, seed: int>"
+    good = (["TOK"], ["it waves"], "pan", "soft", "flat", ["blur"], "v1", "It waves.", ("a", 7))
+    change = lambda i, **new: (i, *[new.get(k, v) for k, v in zip(("identity", "action_beats", "camera", "lighting", "style", "negatives", "schema_version", "rendered", "provenance"), good, strict=True)])
     cases = {
         0: ({}, []), 1: ({"identity": None}, ["no_identity"]), 2: ({"identity": [None, " \t"]}, ["no_identity"]), 3: ({"action_beats": None}, ["no_action_beat"]), 4: ({"action_beats": []}, ["no_action_beat"]),
         5: ({"camera": None}, ["no_camera"]), 6: ({"camera": (None, 35)}, ["no_camera"]), 7: ({"camera": (" ", 35)}, ["no_camera"]), 8: ({"lighting": None}, ["no_lighting"]), 9: ({"lighting": " \n"}, ["no_lighting"]),
@@ -105,8 +105,9 @@ def test_prompt_gates(spark):
     }
     df = spark.createDataFrame([change(i, **new) for i, (new, _) in cases.items()], kind)
     assert {r["id"]: r["problems"] for r in validate.prompt_problems(df, ("beak",)).collect()} == {i: want for i, (_, want) in cases.items()}
-    own = (validate.Required("no_lens", "camera.lens", "value"), validate.Required("no_seed", "sampler.seed", "value"))  # a field the schema does not have
-    assert [r["problems"] for r in validate.prompt_problems(df.where("id in (0, 5)"), (), fields=own).orderBy("id").collect()] == [["no_seed"], ["no_lens", "no_seed"]]
+    own = (validate.Required("no_author", "provenance.author"), validate.Required("no_seed", "provenance.seed", "value"), validate.Required("no_steps", "sampler.steps", "value"))  # no such field
+    got = [r["problems"] for r in validate.prompt_problems(df.where("id in (0, 5, 6)"), (), fields=own).orderBy("id").collect()]
+    assert got == [["no_steps"], ["no_author", "no_seed", "no_steps"], ["no_author", "no_seed", "no_steps"]]
     with pytest.raises(ValueError, match="no array"):
         validate.prompt_problems(df, (), fields=(validate.Required("x", "style", "items"),))
 
