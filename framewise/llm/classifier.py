@@ -168,7 +168,11 @@ class Network:
 
 
 def train(x: np.ndarray, y: np.ndarray, hidden: int = 24, steps: int = 400, rate: float = 0.02, decay: float = 1e-3, seed: int = 7) -> Network:
-    """Full-batch Adam on four fifths of the rows; the temperature is that of least loss on the other fifth."""
+    """Full-batch Adam on four fifths of the rows; the temperature is that of least loss on the other fifth.
+
+    Of fewer than 50 rows, or where four fifths are of one kind, all are trained on and the temperature is 1, as ten rows
+    or fewer calibrate nothing.
+    """
     rng = np.random.default_rng(seed)
     x, y = x.astype(float), y.astype(float)
     held = np.arange(len(y)) % 5 == 4
@@ -229,7 +233,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, k
 
     Whole texts are scored; a null text counts as empty and gets the score of a text without words. Null ids are
     scored and not held out. Labels with null id or quality are not learned from, and of several labels of an id the
-    lowest counts. Without labels of both kinds every score is 0.5. Other columns are not read unless kept.
+    lowest counts. Without labels of both kinds every score is 0.5; with fewer than 50 labelled rows scores are not
+    calibrated (see ``train``). Other columns are not read unless kept.
     """
     vectors, net = fit(docs, labels, rows)
     shared = docs.sparkSession.sparkContext.broadcast((vectors, net))

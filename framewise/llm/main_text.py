@@ -27,8 +27,6 @@ from .common import bounded_rows, tidied
 
 #: Labelled rows that weights are learned from, at most: those of the smallest hashed ids.
 SAMPLE_PAGES = 2_000
-#: Names that weights are kept for, at most: those of most elements.
-NAMES = 5_000
 
 # Element names of HTML. NAMED ones have weights of their own.
 BLOCKS = frozenset(
@@ -104,6 +102,7 @@ class Page:
     names: list[tuple[str, ...]] = field(default_factory=list)
     block: list[int] = field(default_factory=list)  # nearest block element, itself included; -1: none
     linked: list[bool] = field(default_factory=list)
+    quoted: list[bool] = field(default_factory=list)  # in a listing, whose names say what a programme's words are
     section: list[str] = field(default_factory=list)  # nearest sectioning element's tag
     unseen: list[bool] = field(default_factory=list)
     marks: dict[str, list[int]] = field(default_factory=lambda: {"article": [], "main": [], "articlebody": []})
@@ -117,6 +116,7 @@ class Page:
         self.names.append(named)
         self.block.append(at if tag in BLOCKS else self.block[parent] if parent >= 0 else -1)
         self.linked.append(tag == "a" or parent >= 0 and self.linked[parent])
+        self.quoted.append(parent >= 0 and (self.quoted[parent] or self.tag[parent] in ("pre", "code")))
         self.section.append(tag if tag in SECTIONS else self.section[parent] if parent >= 0 else "")
         hides = bool(attrs) and tag not in FRAME and ("hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style", ""))))
         self.unseen.append(tag in CONTROLS or hides or parent >= 0 and self.unseen[parent])
@@ -265,7 +265,7 @@ def taken_out(page: Page, weights: Mapping[str, float], inside: list[bool], word
             continue
         elif tag in SECTIONS and not (tag == "header" and inside[e]) and not (tag == "form" and not marks and 2 * words[e] > all_words):
             out[e] = True
-        elif page.names[e] and not (tag == "article" and len(marks) == 1):
+        elif page.names[e] and not page.quoted[e] and not (tag == "article" and len(marks) == 1):
             ev = evidence(page.names[e], weights, not inside[e])
             if ev < 0 and words[e] and links[e] > LINKED_SHARE * words[e]:
                 ev += LINKED_EVIDENCE
@@ -502,8 +502,8 @@ def weigh(counts: Mapping[str, tuple[int, int]]) -> dict[str, float]:
     return out
 
 
-def learn_weights(pages: DataFrame, rows: int = SAMPLE_PAGES, names: int = NAMES) -> dict[str, float]:
-    """Weights from at most ``rows`` rows of pages; places are a fixed set, and of names the ``names`` commonest are kept."""
+def learn_weights(pages: DataFrame, rows: int = SAMPLE_PAGES) -> dict[str, float]:
+    """Weights from at most ``rows`` rows of pages, of all places and names that these show."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inside, outside = Counter(), Counter()
@@ -519,9 +519,7 @@ def learn_weights(pages: DataFrame, rows: int = SAMPLE_PAGES, names: int = NAMES
     sample = bounded_rows(pages, "page_id", "html", rows)
     counts = sample.select("html").mapInArrow(tidied(run), "feature string, n_in bigint, n_out bigint")
     counts = counts.groupBy("feature").agg(F.sum("n_in").alias("a"), F.sum("n_out").alias("b"))
-    named = F.col("feature").startswith("name:")
-    kept = counts.where(~named).unionByName(counts.where(named).orderBy(F.desc(F.col("a") + F.col("b")), "feature").limit(names))
-    return weigh({r["feature"]: (r["a"], r["b"]) for r in kept.collect()})
+    return weigh({r["feature"]: (r["a"], r["b"]) for r in counts.collect()})
 
 
 def extract_main_text(pages: DataFrame, rows: int = SAMPLE_PAGES, weights: Mapping[str, float] | None = None) -> DataFrame:

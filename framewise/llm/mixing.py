@@ -84,7 +84,7 @@ def leaf_budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], sh
 def mix(docs: DataFrame, weights: Mapping[str, Mapping[str, int]], share: float, max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", token_col: str = "n_tokens") -> DataFrame:
     """The rows of ``docs`` a mixture takes, with epoch (0 and up): a row for each epoch that takes it.
 
-    ``docs`` needs LEVELS, ``id_col`` and ``token_col``; null levels form a source of their own ('') and null token
+    An input column named epoch is replaced. ``docs`` needs LEVELS, ``id_col`` and ``token_col``; null levels form a source of their own ('') and null token
     counts are 0. ``share`` is the mixture's part of all tokens, ``weights`` maps level names to whole weights by node
     ('*' for others, 1 if absent). Rows without tokens are taken with the prefix they fall in; a leaf without tokens is
     not taken. Ties of the hash are broken by id and tokens; repeated rows are taken one by one. Budgets are whole
