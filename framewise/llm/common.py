@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,8 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
-#: Open scratch scopes, the innermost last: paths to remove when each ends.
-_scopes: list[list[str]] = []
+#: Open scratch scopes of this thread, the innermost last: paths to remove when each ends.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
@@ -38,16 +40,17 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[str], None]]:
     """
     own: list[str] = []
     kept: list[str] = []
-    _scopes.append(own)
+    around = _scopes.get()
+    token = _scopes.set((*around, own))
     try:
         yield kept.append
     finally:
-        _scopes.remove(own)
+        _scopes.reset(token)
         for path in own:
             if path not in kept:
                 remove(spark, path)
-            elif _scopes:
-                _scopes[-1].append(path)
+            elif around:
+                around[-1].append(path)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -55,8 +58,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/framewise/{name}-{uuid.uuid4().hex}"
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    if _scopes:
-        _scopes[-1].append(path)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
     return path
 
 
@@ -77,20 +80,54 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return save_at(df, name)[0]
 
 
+#: Names of staged tables begin with this. The database that they are entered in while they are open: a session setting.
+STAGED, DATABASE = "framewise_staged_", "spark.framewise.database"
+
+
+def database(spark: SparkSession) -> str:
+    return spark.conf.get(DATABASE, "default")
+
+
+def drop_stale(spark: SparkSession, name: str) -> None:
+    """Drops entries of staged tables whose files are gone: those of sessions that broke off, as files go with a session's JVM."""
+    for t in spark.sql(f"SHOW TABLES IN spark_catalog.`{name}` LIKE '{STAGED}*'").collect():
+        entry = f"spark_catalog.`{name}`.`{t['tableName']}`"
+        at = [r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {entry}").collect() if r["col_name"] == "Location"]
+        path = spark._jvm.org.apache.hadoop.fs.Path(at[0]) if at else None
+        if path is not None and not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            spark.sql(f"DROP TABLE IF EXISTS {entry}")
+
+
+@lru_cache(maxsize=8)
+def _numbers(found: tuple[tuple[int, int], ...], buckets: int) -> str:
+    known = dict(found)
+    return ",".join(str(known.get(b, b)) for b in range(buckets))
+
+
+def bucket_numbers(spark: SparkSession, buckets: int) -> Column:
+    """An array of ``buckets`` whole numbers, of which the i-th is hashed into the i-th of as many buckets."""
+    few = spark.range(32 * buckets).select(F.col("id").cast("int").alias("p")).select("p", F.pmod(F.hash("p"), F.lit(buckets)).alias("b"))
+    found = tuple(sorted((r["b"], r["p"]) for r in few.groupBy("b").agg(F.min("p").alias("p")).collect()))  # a number for each bucket
+    return F.split(F.lit(_numbers(found, buckets)), ",").cast("array<int>")
+
+
 @contextmanager
 def staged(rows: DataFrame) -> Iterator[DataFrame]:
     """``rows`` with part and key, saved once as a table of buckets by part: what is found out about rows goes back to them by part and key.
 
-    Each task writes the rows it holds into one bucket, so keys stay what they are when an executor is lost, and a join
-    by part and key (``found.hint("shuffle_hash")``) deals the few columns that were found to the buckets and leaves the
-    rows, with their texts, where they are: a task holds what was found about one bucket, and its rows pass by. The table
-    goes at the end.
+    Each task writes the rows it holds into one bucket, tasks in turn into all of them, so keys stay what they are when an
+    executor is lost, and a join by part and key (``found.hint("shuffle_hash")``) deals the few columns that were found to
+    the buckets and leaves the rows, with their texts, where they are: a task holds what was found about one bucket, and
+    its rows pass by. The table is entered in the database that DATABASE names while it is open, and a session setting
+    about the keys of such joins is changed for as long; entries that broken sessions left are dropped first.
     """
     spark = rows.sparkSession
-    name, key = f"spark_catalog.default.framewise_{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
+    drop_stale(spark, database(spark))
+    name, key = f"spark_catalog.`{database(spark)}`.{STAGED}{uuid.uuid4().hex}", "spark.sql.requireAllClusterKeysForCoPartition"
     before, path = spark.conf.get(key), new_path(spark, "staged")
-    numbered = rows.withColumn("part", F.spark_partition_id()).withColumn("key", F.monotonically_increasing_id())
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = F.get(bucket_numbers(spark, buckets), F.spark_partition_id() % buckets)
+    numbered = rows.withColumn("part", part).withColumn("key", F.monotonically_increasing_id())
     try:
         numbered.write.format("parquet").bucketBy(buckets, "part").option("path", path).saveAsTable(name)
         spark.conf.set(key, "false")  # buckets by part do for a join by part and key
@@ -141,20 +178,24 @@ def column_or_null(df: DataFrame, name: str, kind: str):
     return df[name].cast(kind) if name in df.columns else F.lit(None).cast(kind)
 
 
-#: A key is hot when it holds this share of all rows or more; so there are at most 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1e-3
+#: A key is hot when it holds this share of all rows or more, or this many rows; hot keys beyond a number are left to Spark's skew splitting, the rarest first.
+HOT_SHARE, HOT_ROWS, HOT_KEYS = 1e-3, 1_000_000, 65_536
 
 
 def join_keyed(rows: DataFrame, keyed: DataFrame, keys: list[str], total: int) -> DataFrame:
     """Inner join of ``rows`` with ``keyed``, one row for each key and how many of the ``total`` rows have it in column n.
 
-    Hot keys are at most a thousand, whatever the input, so their rows are joined by broadcast and stay where they are;
-    no task gets more than about a thousandth of all rows for one key. Null keys meet nothing. n is dropped.
+    Hot keys are at most a thousand of up to a billion rows and HOT_KEYS of more, so their rows are joined by broadcast and
+    stay where they are; no task gets more rows of one key than a thousandth of all, nor than HOT_ROWS while hot keys are
+    fewer than HOT_KEYS. Null keys meet nothing. n is dropped.
     """
-    hot = keyed.where(F.col("n") >= max(HOT_SHARE * total, 2)).drop("n")
-    cold = keyed.where(F.col("n") < max(HOT_SHARE * total, 2)).drop("n")
-    few = F.broadcast(hot)
-    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    bound = max(min(HOT_SHARE * total, HOT_ROWS), 2)
+    hot, cold = keyed.where(F.col("n") >= bound), keyed.where(F.col("n") < bound)
+    if total / bound > HOT_KEYS:
+        hot = hot.orderBy(F.desc("n"), *keys).limit(HOT_KEYS)
+        cold = keyed.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    few = F.broadcast(hot.drop("n"))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold.drop("n"), keys))
 
 
 #: Rows and bytes of an Arrow batch, at most: whole texts make rows large.
