@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import classifier, mixing, ngrams, pieces, rules
-from framewise.llm.common import new_path, prepare, scratch, table
+from framewise.llm.common import new_path, prepare, remove, scratch, table
 from framewise.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, piece_model
 
 #: The mixture takes as many tokens as the stage is given: over-full sources are cut, scarce ones repeated.
@@ -73,11 +73,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each result written as Parquet in the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each result written as Parquet in the shared folder and read again; it goes once the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         path = new_path(spark, f"stage{i}")
-        with scratch(spark):  # what a stage saved on its way is of no use once its result is written
+        with scratch(spark):  # what a stage saved on its way is of no use once its result is written, and so is what it read
             stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
