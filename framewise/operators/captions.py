@@ -30,7 +30,7 @@ def prune_semantic(clauses: DataFrame, anchors: DataFrame, threshold: float) ->
     its own vector, also where clip_id and clause_ord repeat or are null. The vector itself is not given out.
     """
     best = similarity.with_best_cosine(clauses, anchors, "clip_id")
-    return best.withColumn("dropped", F.coalesce(F.col("best") > threshold, F.lit(False))).drop("vector")
+    return best.withColumn("dropped", F.coalesce(F.col("best") > threshold, F.lit(False)))
 
 
 def prune(captions: DataFrame, patterns: Sequence[str], repair: bool = True, word_boundary: bool = False, drops: str | None = None) -> DataFrame:
@@ -94,12 +94,11 @@ def ground_colours(text: Column, colours: Mapping[str, str], noun: str) -> Colum
         return text
     quoted = [re.sub(r"([^\w\s])", r"\\\1", w) for w in sorted(colours, key=lambda w: (-len(w), w))]
     word = r"(?U)(?<!\w)(?:" + "|".join(quoted) + r")(?!\w)"
-    found = F.regexp_extract_all(text, F.lit(word), F.lit(0))
-    apart = F.split(text, word)
+    found, apart = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word)
     colour = F.create_map(*[F.lit(x) for pair in colours.items() for x in pair])
-    grounded = F.transform(apart, lambda s, i: F.when(i == 0, s).otherwise(
-        F.concat(F.get(found, i - 1), F.lit(", a "), F.element_at(colour, F.get(found, i - 1)), F.lit(f" {noun}"), s)))
-    return F.array_join(grounded, "")
+    after = F.slice(apart, F.lit(2), F.size(apart) - 1)
+    grounded = F.zip_with(found, after, lambda w, s: F.concat(w, F.lit(", a "), F.element_at(colour, w), F.lit(f" {noun}"), s))
+    return F.concat(F.get(apart, F.lit(0)), F.array_join(grounded, ""))
 
 
 def with_id_token(text: Column, token: str) -> Column:

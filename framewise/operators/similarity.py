@@ -7,49 +7,59 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .parts import join_counted
-
 #: Anchors of a block, about: a task holds one block while the group's other vectors pass by. Vectors of a block, about.
 ANCHORS, VECTORS = 2_048, 65_536
+#: Groups that are dealt into several blocks, at most, the largest first; others have one of each kind.
+SPLIT_GROUPS = 65_536
 
 
-def valid(name: str) -> F.Column:
-    """The vector is there, and all its components are numbers."""
-    return F.coalesce(F.col(name).isNotNull() & F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))), F.lit(False))
-
-
-def units(batch: pa.RecordBatch, dims: int) -> np.ndarray:
-    """Rows of length 1; zero vectors stay zero."""
-    flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+def units(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1, zero vectors stay zero; and which rows have numbers in all places."""
+    flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null is NaN
     rows = flat.reshape(batch.num_rows, dims)
+    fine = np.isfinite(rows).all(axis=1)
+    rows = np.where(fine[:, None], rows, 0)
     top = np.abs(rows).max(axis=1, keepdims=True) if dims else np.zeros((len(rows), 1))
     rows = rows / np.where(top > 0, top, 1)
     norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-    return rows / np.where(norm > 0, norm, 1)
+    return rows / np.where(norm > 0, norm, 1), fine
+
+
+def marks(vector: str) -> list[Column]:
+    """128 bits that stand for a vector: two hashes."""
+    return [F.xxhash64(vector).alias("__m1"), F.xxhash64(F.lit(1), vector).alias("__m2")]
+
+
+def split_groups(vectors: DataFrame, anchors: DataFrame, group: str) -> DataFrame:
+    """group, vb and ab: into how many blocks the vectors and anchors of large groups are dealt. SPLIT_GROUPS rows at most."""
+    counted = [df.groupBy(group).agg(F.count("*").alias(n)).where(F.col(n) > most) for df, n, most in ((vectors, "__v", VECTORS), (anchors, "__a", ANCHORS))]
+    large = counted[0].join(counted[1], group, "full_outer").na.fill(1, ["__v", "__a"])
+    large = large.orderBy(F.desc(F.col("__v") * F.col("__a")), group).limit(SPLIT_GROUPS)
+    return large.select(group, F.ceil(F.col("__v") / VECTORS).cast("int").alias("vb"), F.ceil(F.col("__a") / ANCHORS).cast("int").alias("ab"))
 
 
 def best_cosines(vectors: DataFrame, anchors: DataFrame, group: str, vector: str = "vector") -> DataFrame:
-    """group, vector and best of every different vector of a group that has anchors: its largest cosine to these, in double precision.
+    """group, __m1, __m2 (the ``marks`` of a vector) and best of every different vector of a group that has anchors: its largest cosine to these, in double precision.
 
     Vectors meet anchors of their length; zero vectors have cosine 0 with all, those that are null or hold null or
-    non-finite components meet nothing. A group is dealt into blocks of both sides, by the vectors' hash, and each pair of
-    blocks is a tile of its own, so a hot group is many tasks' work; equal vectors of a group are compared once.
+    non-finite components meet nothing. A large group is dealt into blocks of both sides, by the vectors' hash, and each pair
+    of blocks is a tile of its own, so a hot group is many tasks' work; equal vectors of a group are compared once.
     """
     spark = vectors.sparkSession
-    sides = [df.select(group, F.col(vector).alias("vector")).where(valid("vector") & F.col(group).isNotNull()).distinct().withColumn("dims", F.size("vector")) for df in (vectors, anchors)]
-    keys = [group, "dims"]
-    sizes = [df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in zip(sides, ("__v", "__a"), strict=True)]
-    sizes = sizes[0].join(sizes[1], keys).select(*keys, "__v", "__a", F.ceil(F.col("__v") / VECTORS).cast("int").alias("vb"), F.ceil(F.col("__a") / ANCHORS).cast("int").alias("ab"))
+    sides = [df.select(group, F.col(vector).alias("vector")).where(F.col(vector).isNotNull() & F.col(group).isNotNull()) for df in (vectors, anchors)]
+    large = F.broadcast(split_groups(sides[0].select(group), sides[1].select(group), group))
     block = lambda c: F.pmod(F.xxhash64("vector", F.lit(7)), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = join_counted(sides[0], sizes.select(*keys, "vb", "ab", F.col("__v").alias("n")), keys).withColumn("j", block("vb")).withColumn("i", every("ab")).withColumn("side", F.lit(1))
-    right = join_counted(sides[1], sizes.select(*keys, "vb", "ab", F.col("__a").alias("n")), keys).withColumn("i", block("ab")).withColumn("j", every("vb")).withColumn("side", F.lit(0))
+    dealt = []
+    for side, (df, own, other) in enumerate(((sides[1], ("i", "ab"), ("j", "vb")), (sides[0], ("j", "vb"), ("i", "ab")))):
+        rows = df.distinct().join(large, group, "left").na.fill(1, ["vb", "ab"])
+        rows = rows.withColumn(own[0], block(own[1])).withColumn(other[0], every(other[1])).withColumn("dims", F.size("vector"))
+        dealt.append(rows.select(group, "dims", "i", "j", F.lit(side).alias("side"), *marks("vector"), "vector"))
     tile = [group, "dims", "i", "j"]
-    dealt = left.select(*tile, "side", "vector").unionByName(right.select(*tile, "side", "vector"))
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *tile).sortWithinPartitions(*tile, "side")
+    both = dealt[0].unionByName(dealt[1]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *tile).sortWithinPartitions(*tile, "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = held = None
@@ -61,26 +71,31 @@ def best_cosines(vectors: DataFrame, anchors: DataFrame, group: str, vector: str
                 x = batch.column(c)
                 new |= pc.not_equal(x[1:], x[:-1]).to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(new) + 1
+            at, found = [], []
             for a, b in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 part = batch.slice(a, b - a)
                 key = tuple(part.column(c)[0].as_py() for c in tile)
                 if key != last:
                     last, held = key, []
-                dims = key[1]
+                rows, fine = units(part, key[1])
                 if not part.column("side")[0].as_py():
-                    held.append(units(part, dims))
-                elif held:
+                    if fine.any():
+                        held.append(rows[fine])
+                elif held and fine.any():
                     if len(held) > 1:
                         held = [np.concatenate(held)]
-                    best = (units(part, dims) @ held[0].T).max(axis=1)
-                    yield pa.RecordBatch.from_arrays([part.column(group), part.column("vector"), pa.array(best)], names=[group, "vector", "best"])
+                    at.append(a + np.flatnonzero(fine))
+                    found.append((rows[fine] @ held[0].T).max(axis=1))
+            if at:
+                kept = batch.select([group, "__m1", "__m2"]).take(pa.array(np.concatenate(at)))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.concatenate(found))], names=[group, "__m1", "__m2", "best"])
 
-    kind = {f.name: f.dataType.simpleString() for f in dealt.schema}
-    found = dealt.mapInArrow(run, f"`{group}` {kind[group]}, vector {kind['vector']}, best double")
-    return found.groupBy(group, "vector").agg(F.max("best").alias("best")).withColumnRenamed("vector", vector)
+    kind = both.schema[group].dataType.simpleString()
+    best = both.mapInArrow(run, f"`{group}` {kind}, __m1 long, __m2 long, best double")
+    return best.groupBy(group, "__m1", "__m2").agg(F.max("best").alias("best"))
 
 
 def with_best_cosine(rows: DataFrame, anchors: DataFrame, group: str, vector: str = "vector") -> DataFrame:
-    """All rows with best, null where best_cosines has none: a row is matched by its group and vector, so keys may be null or repeat."""
+    """All rows with best, null where best_cosines has none, without the vector: a row is matched by its group and its vector's marks, so keys may be null or repeat."""
     best = best_cosines(rows, anchors, group, vector)
-    return rows.join(best, [group, vector], "left")
+    return rows.select("*", *marks(vector)).drop(vector).join(best, [group, "__m1", "__m2"], "left").drop("__m1", "__m2")

@@ -98,9 +98,9 @@ def test_prompt_gates(spark):
     change = lambda i, **new: (i, *[new.get(k, v) for k, v in zip(("identity", "action_beats", "camera", "lighting", "style", "negatives", "schema_version", "rendered", "provenance"), good, strict=True)])
     cases = {
         0: ({}, []), 1: ({"identity": None}, ["no_identity"]), 2: ({"identity": [None, " \t"]}, ["no_identity"]), 3: ({"action_beats": None}, ["no_action_beat"]), 4: ({"action_beats": []}, ["no_action_beat"]),
-        5: ({"camera": None}, ["no_camera"]), 6: ({"camera": (None, 35)}, ["no_camera"]), 7: ({"camera": (" ", 35)}, ["no_camera"]), 8: ({"lighting": None}, ["no_lighting"]), 9: ({"lighting": " \n"}, ["no_lighting"]),
+        5: ({"camera": None, "provenance": None}, ["no_camera"]), 6: ({"camera": "", "provenance": (None, None)}, ["no_camera"]), 7: ({"camera": "\u2003"}, ["no_camera"]), 8: ({"lighting": None}, ["no_lighting"]), 9: ({"lighting": " \n"}, ["no_lighting"]),
         10: ({"style": None, "negatives": None}, ["no_style", "no_negatives"]), 11: ({"schema_version": None}, ["no_version"]), 12: ({"rendered": None}, ["no_rendered"]), 13: ({"rendered": "a\rb"}, ["paragraphs"]),
-        14: ({"rendered": "a b"}, ["paragraphs"]), 15: ({"rendered": "w " * 200}, []), 16: ({"rendered": "w " * 201}, ["too_long"]), 17: ({"action_beats": [None, "its BEAK opens"]}, ["forbidden_term"]),
+        14: ({"rendered": "a\u2028b"}, ["paragraphs"]), 15: ({"rendered": "w " * 200}, []), 16: ({"rendered": "w " * 201}, ["too_long"]), 17: ({"action_beats": [None, "its BEAK opens"]}, ["forbidden_term"]),
         18: ({k: None for k in ("identity", "action_beats", "camera", "lighting", "style", "negatives", "schema_version", "rendered")}, [f.problem for f in validate.PROMPT_FIELDS]),
     }
     df = spark.createDataFrame([change(i, **new) for i, (new, _) in cases.items()], kind)
