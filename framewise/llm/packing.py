@@ -46,9 +46,12 @@ def encoder(path: str, ranks: str | None):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={})
 
     def ids(text: str) -> np.ndarray:
-        if any(s in text for s in special):
-            return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
-        return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint32)
+        if not any(s in text for s in special):
+            try:
+                return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint32)
+            except ValueError:  # a run of a million spaces is more than its patterns' stack holds
+                pass
+        return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
     return ids
 

@@ -228,6 +228,12 @@ def test_packing_of_nothing_and_of_repeated_ids(spark):
     assert sum(r["length"] for r in rows) == 3 * 3 + 2 * 2 and sorted(r["offset"] for r in rows if r["offset"] == 0) == [0] * len({r["sequence_id"] for r in rows})
 
 
+def test_ids_of_very_long_runs_are_the_tokenizers():
+    fast, slow = packing.encoder(tokenizer(), ranks()), packing.encoder(tokenizer(), None)
+    for text in ("a" + " " * 1_000_000 + "b", "ab1é" * 40_000, "\n" * 300_000, "#$%" * 50_000):
+        assert (fast(text) == slow(text)).all()
+
+
 def test_index_scores_are_bm25():
     rng = np.random.default_rng(6)
     tails = [rng.integers(0, 60, rng.integers(1, 40)) for _ in range(50)] + [np.array([3, 3, 3])] * 2
