@@ -196,7 +196,8 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A run is a stretch of at least ``least`` words and twice its smallest period q in which words q apart are identical
     and that no neighbouring word extends. collapsed_sha256 is the digest of the words joined by one space without those
-    that a run holds after its first q words. A null text has no word; ids may be null or repeat; other columns are not read.
+    that a run holds after its first q words. A null or blank text has no word and no
+    run; ids may be null or repeat, rows are taken one by one, an empty table gives no row; other columns are not read.
 
     Texts with fragments alone are kept for the second look that drops words. A text is one task's, as it is one value;
     names and Z-values are held for one tile at a time. ``least`` is 10 or more.

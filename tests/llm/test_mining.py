@@ -159,6 +159,13 @@ def test_periodic_runs_of_a_very_long_text(spark):
     assert one == many and (20_000, 70_000, 9_973) in [tuple(r) for r in one]
 
 
+def test_periodic_runs_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert periods.periodic_runs(empty).count() == 0
+    with pytest.raises(ValueError, match="fewer than 10"):
+        periods.periodic_runs(empty, least=9)
+
+
 def test_periodic_runs_query(spark):
     """Against the contract, word by word."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
