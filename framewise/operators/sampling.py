@@ -191,13 +191,14 @@ def nearest_per_second(frames: DataFrame, most: int = 24) -> DataFrame:
     Frames are grouped by whole second, all before 0 in one bin and all from ``most`` on in another, and a bin's first and
     last frame are all that a second can be nearest to: the last one before it and the first one from it on, over empty
     bins. So tasks reduce frames before the shuffle, and no clip is sorted. Frames without a time, or whose time is no
-    number, count for nothing. frames: clip, t (seconds), idx.
+    number, count for nothing; a clip that ends before 0 has no second. frames: clip, t (seconds), idx.
     """
     timed = frames.where(F.col("t").isNotNull() & ~F.isnan(F.col("t").cast("double")))
     bins = F.greatest(F.lit(-1), F.least(F.lit(most), F.floor("t"))).cast("int")
     ends = timed.groupBy("clip", bins.alias("bin")).agg(F.min(F.struct("t", "idx")).alias("first"), F.max(F.struct(F.col("t"), (-F.col("idx")).alias("back"))).alias("last"))
     clips = ends.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("bin", "first", "last"))).alias("bins"), F.max("last.t").alias("top"))  # at most ``most`` + 2 bins
-    seconds = clips.select("clip", "bins", F.explode(F.sequence(F.lit(0), F.least(F.greatest(F.bround("top"), F.lit(0)), F.lit(most - 1)).cast("int"))).alias("second"))
+    upto = F.least(F.bround("top"), F.lit(most - 1)).cast("int")
+    seconds = clips.where(upto >= 0).select("clip", "bins", F.explode(F.sequence(F.lit(0), upto)).alias("second"))
     before = F.try_element_at(F.filter("bins", lambda x: x["bin"] < F.col("second")), F.lit(-1))
     after = F.get(F.filter("bins", lambda x: x["bin"] >= F.col("second")), F.lit(0))
     near = seconds.select("clip", "second", before["last"].alias("b"), after["first"].alias("a"))

@@ -70,7 +70,8 @@ def caption_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.captions(spark, sf_dir)
     e = views.table(spark, sf_dir, "embeddings")
     total = F.broadcast(e.agg(F.count("*").alias("n")))  # one row
-    vector_of = lambda rows, k: rows.crossJoin(total).withColumn("vec_id", (F.col("clip_id") * k + F.col("clause_ord")) % F.col("n")).join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    vector_of = lambda rows, k: rows.crossJoin(total).withColumn("vec_id", (F.col("clip_id") * k + F.col("clause_ord")) % F.col("n")).join(e.select("vec_id",
+        F.col("embedding").alias("vector")), "vec_id")
     places = lambda text: c.select("clip_id", F.posexplode(cap.split_clauses(F.trim(text))).alias("clause_ord", "clause"))
     out = cap.prune_in_stages(c, vector_of(places("suffix"), 31), vector_of(places("anchor").where("clip_id % 37 > 0"), 7), PATTERNS, 0.3)
     return out.select("clip_id", "suffix_out", F.array_join("dropped", "; ").alias("dropped"), "final")
@@ -93,7 +94,8 @@ def caption_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.captions(spark, sf_dir).select("clip_id", cap.ground_colours(F.col("suffix"), {"the": "blue", "blue": "red", "thing": "green", "and": "grey"}, "thing").alias("coloured"))
 
 
-CAPTION_COLOURS = with_views(r"""+w AS (SELECT clip_id, regexp_split_to_array(suffix, '\b(the|blue|thing|and)\b') AS apart, regexp_extract_all(suffix, '\b(?:the|blue|thing|and)\b') AS found FROM captions)
+CAPTION_COLOURS = with_views(r"""+w AS (SELECT clip_id, regexp_split_to_array(suffix, '\b(the|blue|thing|and)\b') AS apart,
+  regexp_extract_all(suffix, '\b(?:the|blue|thing|and)\b') AS found FROM captions)
 SELECT clip_id, apart[1] || array_to_string(list_transform(range(1, len(apart)), lambda i: found[i] || ', a ' ||
   CASE found[i] WHEN 'the' THEN 'blue' WHEN 'blue' THEN 'red' WHEN 'thing' THEN 'green' ELSE 'grey' END || ' thing' || apart[i + 1]), '') AS coloured FROM w""", "captions")
 
@@ -121,7 +123,8 @@ def semantic_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEMANTIC_PRUNE = """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 19 = 0 THEN label + 100 ELSE label END AS clip_id, CASE WHEN vec_id % 11 > 0 THEN vec_id - vec_id % 4 END AS clause_ord,
   CASE WHEN vec_id % 17 <> 0 THEN list_transform(embedding, lambda x: CASE WHEN vec_id % 13 = 0 THEN 0 ELSE x END::DOUBLE) END AS v, vec_id % 13 = 0 AS zero FROM embeddings),
 a AS (SELECT * FROM e WHERE vec_id % 5 = 0 AND clip_id < 100), c AS (SELECT * FROM e WHERE vec_id % 5 <> 0 OR (clip_id < 100 AND vec_id % 3 = 0)),
-m AS (SELECT c.vec_id, max(CASE WHEN c.zero OR a.zero THEN 0 ELSE list_cosine_similarity(c.v, a.v) END) AS best FROM c JOIN a ON c.clip_id = a.clip_id AND c.v IS NOT NULL AND a.v IS NOT NULL GROUP BY ALL)
+m AS (SELECT c.vec_id, max(CASE WHEN c.zero OR a.zero THEN 0 ELSE list_cosine_similarity(c.v, a.v) END) AS best FROM c
+  JOIN a ON c.clip_id = a.clip_id AND c.v IS NOT NULL AND a.v IS NOT NULL GROUP BY ALL)
 SELECT c.vec_id, clip_id, clause_ord, round(best, 5) AS best, coalesce(best > 0.25, false) AS dropped FROM c LEFT JOIN m USING (vec_id)"""
 
 
@@ -206,7 +209,8 @@ METADATA_PROBLEMS = with_views("""+torn AS (SELECT file_path, CASE WHEN p_partke
 j AS (SELECT m.*, p.file_path AS there, p.width AS w, p.height AS h, p.nb_read_frames AS n, p.fps FROM metadata m
   LEFT JOIN torn p ON m.file_path = p.file_path)
 SELECT doc_id, CASE WHEN there IS NULL THEN 'missing_file' ELSE array_to_string(list_filter([CASE WHEN trim(text) = '' THEN 'empty_caption' END, CASE WHEN n IS DISTINCT FROM 33 THEN 'frames' END,
-  CASE WHEN w IS DISTINCT FROM 768 OR h IS DISTINCT FROM 1360 THEN 'size' END, CASE WHEN fps IS DISTINCT FROM 16 THEN 'rate' END], lambda x: x IS NOT NULL), ',') END AS problems FROM j""", "metadata", "probes")
+  CASE WHEN w IS DISTINCT FROM 768 OR h IS DISTINCT FROM 1360 THEN 'size' END, CASE WHEN fps IS DISTINCT FROM 16 THEN 'rate' END],
+  lambda x: x IS NOT NULL), ',') END AS problems FROM j""", "metadata", "probes")
 
 
 def first_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,11 +309,14 @@ def prompt_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = lambda role: F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda t: t["text"])
     r = c.groupBy("conv_id").agg(texts("system").alias("identity"), texts("user").alias("action_beats"), F.array_join(texts("assistant"), " ").alias("rendered"))
     r = r.withColumn("identity", F.when(key % 6 == 0, None).when(key % 6 == 1, F.array(F.lit(None).cast("string"), F.lit(" "))).otherwise(F.col("identity")))
-    r = r.withColumn("action_beats", F.when(key % 7 == 0, None).when(key % 7 == 1, F.array().cast("array<string>")).when(key % 7 == 2, F.concat(F.array(F.lit(None).cast("string")), "action_beats")).otherwise(F.col("action_beats")))
+    r = r.withColumn("action_beats", F.when(key % 7 == 0, None).when(key % 7 == 1, F.array().cast("array<string>")).when(key % 7 == 2,
+        F.concat(F.array(F.lit(None).cast("string")), "action_beats")).otherwise(F.col("action_beats")))
     move = F.when(key % 4 == 1, F.lit(None).cast("string")).when(key % 4 == 2, F.lit("\u00a0\t")).otherwise("pan")
     author = F.when(key % 5 == 2, F.lit(None).cast("string")).when(key % 5 == 3, "").otherwise("a")
-    r = r.withColumn("camera", move).withColumn("provenance", F.when(key % 5 > 0, F.struct(author.alias("author"), F.lit("beats").alias("source")))).withColumn("lighting", F.when(key % 8 > 1, "flat").when(key % 8 == 1, ""))
-    r = r.withColumn("rendered", F.when(key % 9 == 0, None).when(key % 9 == 1, F.concat("rendered", F.lit("\rend"))).when(key % 9 == 2, F.concat("rendered", F.lit("\u2028end"))).otherwise(F.col("rendered")))
+    r = r.withColumn("camera", move).withColumn("provenance", F.when(key % 5 > 0, F.struct(author.alias("author"),
+        F.lit("beats").alias("source")))).withColumn("lighting", F.when(key % 8 > 1, "flat").when(key % 8 == 1, ""))
+    r = r.withColumn("rendered", F.when(key % 9 == 0, None).when(key % 9 == 1, F.concat("rendered", F.lit("\rend"))).when(key % 9 == 2, F.concat("rendered",
+        F.lit("\u2028end"))).otherwise(F.col("rendered")))
     r = r.withColumn("style", F.when(key % 2 == 0, "flat")).withColumn("negatives", F.when(key % 3 > 0, F.array(F.lit("blur")))).withColumn("schema_version", F.when(key % 10 > 0, "v1"))
     fields = (*val.PROMPT_FIELDS, val.Required("no_author", "provenance.author"))
     return val.prompt_problems(r, ("the hat", "beak"), fields=fields).select("conv_id", F.array_join("problems", ",").alias("problems"))
@@ -332,9 +339,11 @@ def entry_key_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys of metadata entries as they were written, in texts that hold one entry, an array of them or an object with one, with both verdicts."""
     d, key = views.table(spark, sf_dir, "documents"), F.col("doc_id")
     field = lambda n, test, text: F.when(test, F.concat(F.lit(f'"{n}": '), text))
-    entry = F.concat(F.lit("{"), F.concat_ws(", ", field("file_path", key % 2 == 0, F.concat(F.lit('"'), key, F.lit('.mp4"'))), field("text", key % 3 > 0, F.when(key % 4 == 0, "null").otherwise('"t"')),
+    entry = F.concat(F.lit("{"), F.concat_ws(", ", field("file_path", key % 2 == 0, F.concat(F.lit('"'), key, F.lit('.mp4"'))), field("text", key % 3 > 0,
+        F.when(key % 4 == 0, "null").otherwise('"t"')),
         field("type", key % 7 > 0, F.lit('"video"')), field("extra", key % 5 == 0, F.lit('{"deep": 1}'))), F.lit("}"))
-    text = F.when(key % 10 == 1, F.concat(F.lit("["), entry, F.lit(", 7, {}]"))).when(key % 10 == 2, F.concat(F.lit('{"version": 2, "data": ['), entry, F.lit("]}"))).when(key % 10 == 3, "no json").otherwise(entry)
+    text = F.when(key % 10 == 1, F.concat(F.lit("["), entry, F.lit(", 7, {}]"))).when(key % 10 == 2, F.concat(F.lit('{"version": 2, "data": ['), entry,
+        F.lit("]}"))).when(key % 10 == 3, "no json").otherwise(entry)
     out = val.with_key_checks(tables.entries_of(d.select("doc_id", text.alias("value"))))
     return out.select("doc_id", "pos", F.array_join(F.array_sort("keys"), ",").alias("keys"), F.array_join("missing_keys", ",").alias("missing_keys"), "fails", "fails_strictly")
 
@@ -428,6 +437,7 @@ QUERIES = {
         (composition_gates, COMPOSITION_GATES), (action_parity, ACTION_PARITY), (prop_frequency, PROP_FREQUENCY), (top_sources, TOP_SOURCES), (character_presence, CHARACTER_PRESENCE),
         (clip_conformance, CLIP_CONFORMANCE), (metadata_problems, METADATA_PROBLEMS), (first_problems, FIRST_PROBLEMS), (frame_counts, FRAME_COUNTS), (probe_sizes, PROBE_SIZES),
         (fitted_sizes, FITTED_SIZES), (aspect_buckets, ASPECT_BUCKETS), (file_totals, FILE_TOTALS), (identical_texts, IDENTICAL_TEXTS),
-        (name_reconciliation, NAME_RECONCILIATION), (prompt_problems, PROMPT_PROBLEMS), (entry_key_sets, ENTRY_KEY_SETS), (name_versions, NAME_VERSIONS), (beat_problems, BEAT_PROBLEMS), (exact_rates, EXACT_RATES),
+        (name_reconciliation, NAME_RECONCILIATION), (prompt_problems, PROMPT_PROBLEMS), (entry_key_sets, ENTRY_KEY_SETS), (name_versions, NAME_VERSIONS), (beat_problems,
+            BEAT_PROBLEMS), (exact_rates, EXACT_RATES),
     )
 }

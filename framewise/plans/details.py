@@ -284,7 +284,8 @@ def _four_sql() -> str:
     u = lambda purpose: draw_sql(f"mask4-{purpose}", "p_partkey")
     among = lambda x, low, high: f"({low} + floor({x} * greatest({high} - ({low}), 1))::INT)"
     axes = ", ".join(f"{among(u(a), '0', size)} AS c{a}, {among(u(f'{a}-size'), f'{size} // 4', f'{size} // 4 * 3')} // 2 AS r{a}" for a, size in (("x", "width"), ("y", "height")))
-    sides = ", ".join(f"CASE WHEN m < 2 THEN 0 ELSE greatest(c{a} - r{a}, 0) END AS {a}_from, CASE WHEN m < 2 THEN {s} ELSE least(c{a} + r{a}, {s}) END AS {a}_to" for a, s in (("x", "width"), ("y", "height")))
+    sides = ", ".join(f"CASE WHEN m < 2 THEN 0 ELSE greatest(c{a} - r{a}, 0) END AS {a}_from, CASE WHEN m < 2 THEN {s} ELSE least(c{a} + r{a}, {s}) END AS {a}_to" for a,
+        s in (("x", "width"), ("y", "height")))
     return f"""+p AS (SELECT *, (CASE WHEN p_partkey % 13 < 2 THEN p_partkey % 13 + 1 ELSE nb_read_frames END)::INT AS f, least(floor({u("mode")} * 4), 3)::INT AS m FROM probes),
 q AS (SELECT *, {axes}, {among(u("first"), "0", "f // 2")} AS a, {among(u("last"), "f // 2", "f")} AS b FROM p),
 r AS (SELECT p_partkey, m AS mask_mode, f, width, height, CASE WHEN m < 2 THEN least(1, f) WHEN m = 3 THEN a ELSE 0 END AS frame_from,
@@ -312,7 +313,8 @@ def spark_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SPARK_TEXTS = """WITH x AS (SELECT user_id AS run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n, value AS v,
   min(value) OVER (PARTITION BY user_id) AS lo, max(value) OVER (PARTITION BY user_id) AS hi FROM events)
-SELECT run, string_agg(substr('▁▂▃▄▅▆▇█', least(7, floor((v - lo) / (hi - lo + 1e-12::DOUBLE) * 7))::INT + 1, 1), '' ORDER BY i) AS sparkline FROM x WHERE i % greatest(1, n // 60) = 0 GROUP BY run"""
+SELECT run, string_agg(substr('▁▂▃▄▅▆▇█', least(7, floor((v - lo) / (hi - lo + 1e-12::DOUBLE) * 7))::INT + 1, 1), '' ORDER BY i) AS sparkline FROM x
+WHERE i % greatest(1, n // 60) = 0 GROUP BY run"""
 
 
 def schedule_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -517,11 +519,13 @@ KEY_CHECKS = "SELECT doc_id, doc_id % 2 <> 0 OR doc_id % 3 = 0 AS fails, (doc_id
 QUERIES = {
     f.__name__: (f, sql)
     for f, sql in (
-        (first_frame_drift, FIRST_FRAME_DRIFT), (versus_first_frame, VERSUS_FIRST), (run_comparison, RUN_COMPARISON), (clip_macro_means, MACRO_MEANS), (loop_closure, LOOP_CLOSURE), (reconstruction_similarity, RECONSTRUCTION_SIMILARITY),
+        (first_frame_drift, FIRST_FRAME_DRIFT), (versus_first_frame, VERSUS_FIRST), (run_comparison, RUN_COMPARISON), (clip_macro_means, MACRO_MEANS), (loop_closure,
+            LOOP_CLOSURE), (reconstruction_similarity, RECONSTRUCTION_SIMILARITY),
         (checkpoint_resolution, CHECKPOINT_RESOLUTION), (run_completion, RUN_COMPLETION), (log_fields, LOG_FIELDS), (run_states, RUN_STATES),
         (frame_draws, FRAME_DRAWS), (epoch_draws, EPOCH_DRAWS), (replaced_draws, REPLACED_DRAWS), (schedule_plans, SCHEDULE_PLANS), (bucket_crops, BUCKET_CROPS), (model_caps, MODEL_CAPS),
         (caption_variants, CAPTION_VARIANTS), (captions_by_stem, CAPTIONS_BY_STEM), (clip_captions, CLIP_CAPTIONS), (first_entries, FIRST_ENTRIES), (column_choices, COLUMN_CHOICES),
         (eligible_clips, ELIGIBLE_CLIPS), (share_gates, SHARE_GATES), (source_footage, SOURCE_FOOTAGE), (category_lists, CATEGORY_LISTS), (first_paths, FIRST_PATHS),
-        (key_checks, KEY_CHECKS), (checkpoint_folders, CHECKPOINT_FOLDERS), (picked_frames, PICKED_FRAMES), (four_mode_masks, FOUR_MODE_MASKS), (order_ranking, ORDER_RANKING), (spark_texts, SPARK_TEXTS),
+        (key_checks, KEY_CHECKS), (checkpoint_folders, CHECKPOINT_FOLDERS), (picked_frames, PICKED_FRAMES), (four_mode_masks, FOUR_MODE_MASKS), (order_ranking,
+            ORDER_RANKING), (spark_texts, SPARK_TEXTS),
     )
 }

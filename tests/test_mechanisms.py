@@ -31,7 +31,8 @@ def test_semantic_pruning(spark, monkeypatch, blocks):
     rows = [(i, "hot" if i % 3 else f"c{i % 7}", i % 5 if i % 4 else None, vector()) for i in range(90)]
     rows += [(100, "hot", 1, [0.0] * 4), (101, "hot", 1, None), (102, "hot", 2, [1.0, None, 0.0, 0.0]), (103, "hot", 2, [math.nan] * 4), (104, "hot", 2, [1.0, 1.0]), (105, None, 1, vector()),
         (106, "alone", 1, vector()), (107, "hot", 3, [1e200] * 4), (108, "hot", 3, [1e-200] * 4), (109, "none", None, [1.0, 0.0, 0.0, 0.0]), (110, "none", None, [0.0, 1.0, 0.0, 0.0])]
-    anchors = [("hot", vector()) for _ in range(20)] + [(f"c{i}", vector()) for i in range(6)] + [("hot", [0.0] * 4), ("hot", None), ("c1", [math.inf] * 4), (None, vector()), ("none", [1.0, 0.0, 0.0, 0.0])]
+    anchors = [("hot", vector()) for _ in range(20)] + [(f"c{i}", vector()) for i in range(6)] + [("hot", [0.0] * 4), ("hot", None), ("c1", [math.inf] * 4), (None,
+        vector()), ("none", [1.0, 0.0, 0.0, 0.0])]
     anchors += anchors[:9]
     df = spark.createDataFrame(rows, "row int, clip_id string, clause_ord int, vector array<double>").repartition(3)
     got = captions.prune_semantic(df, spark.createDataFrame(anchors, "clip_id string, vector array<double>"), 0.6)
@@ -86,21 +87,28 @@ def test_key_sets_of_files(spark, tmp_path):
         for r in validate.with_key_checks(entries).orderBy("ord").collect()]
     every = ["file_path", "text", "type"]
     assert got == [
-        (0, "a", None, every, [], False, False), (1, "b", None, ["extra", "file_path"], ["text", "type"], True, False), (2, None, None, None, every, True, True), (3, None, None, [], every, True, True),
+        (0, "a", None, every, [], False, False), (1, "b", None, ["extra", "file_path"], ["text", "type"], True, False), (2, None, None, None, every, True, True), (3,
+            None, None, [], every, True, True),
         (4, "a", 5, ["file_path", "more", "text", "type", "width"], [], False, False), (5, None, None, ["text"], ["file_path", "type"], True, True), (6, "a", None, every, [], False, False),
         (7, None, None, None, every, True, True), (8, None, None, ["type"], ["file_path", "text"], True, True),
     ]
 
 
 def test_prompt_gates(spark):
-    kind = "id int, identity array<string>, action_beats array<string>, camera string, lighting string, style string, negatives array<string>, schema_version string, rendered string, provenance struct<author: string, seed: int>"
+    kind = "id int, identity array<string>, action_beats array<string>, camera string, lighting string, style string, "
+    kind += "negatives array<string>, schema_version string, rendered string, provenance struct<author: string, seed: int>"
     good = (["TOK"], ["it waves"], "pan", "soft", "flat", ["blur"], "v1", "It waves.", ("a", 7))
-    change = lambda i, **new: (i, *[new.get(k, v) for k, v in zip(("identity", "action_beats", "camera", "lighting", "style", "negatives", "schema_version", "rendered", "provenance"), good, strict=True)])
+    change = lambda i, **new: (i, *[new.get(k, v) for k, v in zip(("identity", "action_beats", "camera", "lighting", "style", "negatives", "schema_version", "rendered",
+        "provenance"), good, strict=True)])
     cases = {
-        0: ({}, []), 1: ({"identity": None}, ["no_identity"]), 2: ({"identity": [None, " \t"]}, ["no_identity"]), 3: ({"action_beats": None}, ["no_action_beat"]), 4: ({"action_beats": []}, ["no_action_beat"]),
-        5: ({"camera": None, "provenance": None}, ["no_camera"]), 6: ({"camera": "", "provenance": (None, None)}, ["no_camera"]), 7: ({"camera": "\u2003"}, ["no_camera"]), 8: ({"lighting": None}, ["no_lighting"]), 9: ({"lighting": " \n"}, ["no_lighting"]),
-        10: ({"style": None, "negatives": None}, ["no_style", "no_negatives"]), 11: ({"schema_version": None}, ["no_version"]), 12: ({"rendered": None}, ["no_rendered"]), 13: ({"rendered": "a\rb"}, ["paragraphs"]),
-        14: ({"rendered": "a\u2028b"}, ["paragraphs"]), 15: ({"rendered": "w " * 200}, []), 16: ({"rendered": "w " * 201}, ["too_long"]), 17: ({"action_beats": [None, "its BEAK opens"]}, ["forbidden_term"]),
+        0: ({}, []), 1: ({"identity": None}, ["no_identity"]), 2: ({"identity": [None, " \t"]}, ["no_identity"]), 3: ({"action_beats": None}, ["no_action_beat"]),
+            4: ({"action_beats": []}, ["no_action_beat"]),
+        5: ({"camera": None, "provenance": None}, ["no_camera"]), 6: ({"camera": "", "provenance": (None, None)}, ["no_camera"]), 7: ({"camera": "\u2003"},
+            ["no_camera"]), 8: ({"lighting": None}, ["no_lighting"]), 9: ({"lighting": " \n"}, ["no_lighting"]),
+        10: ({"style": None, "negatives": None}, ["no_style", "no_negatives"]), 11: ({"schema_version": None}, ["no_version"]), 12: ({"rendered": None}, ["no_rendered"]),
+            13: ({"rendered": "a\rb"}, ["paragraphs"]),
+        14: ({"rendered": "a\u2028b"}, ["paragraphs"]), 15: ({"rendered": "w " * 200}, []), 16: ({"rendered": "w " * 201}, ["too_long"]), 17: ({"action_beats": [None,
+            "its BEAK opens"]}, ["forbidden_term"]),
         18: ({k: None for k in ("identity", "action_beats", "camera", "lighting", "style", "negatives", "schema_version", "rendered")}, [f.problem for f in validate.PROMPT_FIELDS]),
     }
     df = spark.createDataFrame([change(i, **new) for i, (new, _) in cases.items()], kind)
@@ -114,20 +122,22 @@ def test_prompt_gates(spark):
 
 def test_null_probes_are_problems(spark):
     meta = spark.createDataFrame([("a", "t", "video"), ("b", "t", "video"), ("c", None, "video")], "file_path string, text string, type string")
-    probes = spark.createDataFrame([("a", None, None, None, None), ("b", 768, 1360, "16/1", 33), ("c", 768, 1360, "16/1", 33)], "file_path string, width int, height int, r_frame_rate string, nb_read_frames int")
+    probes = spark.createDataFrame([("a", None, None, None, None), ("b", 768, 1360, "16/1", 33), ("c", 768, 1360, "16/1", 33)],
+        "file_path string, width int, height int, r_frame_rate string, nb_read_frames int")
     got = {r["file_path"]: r["problems"] for r in validate.metadata_problems(meta, probes).collect()}
     assert got == {"a": ["frames", "size", "rate"], "b": [], "c": ["missing_key"]}
 
 
 def slow_nearest(times, most):
     """Seconds to frames as the earliest minimum of the distances, over times in order of frames."""
-    return {s: min(range(len(times)), key=lambda i: (abs(times[i] - s), times[i], i)) for s in range(min(max(round(max(times)), 0), most - 1) + 1)}
+    return {s: min(range(len(times)), key=lambda i: (abs(times[i] - s), times[i], i)) for s in range(min(round(max(times)) + 1, most))}
 
 
 def test_nearest_frames_by_bins(spark):
     """Empty bins, ties, equal times, times before 0 and behind the last second, one frame; null and NaN times are left out."""
     rng = np.random.default_rng(3)
-    clips = {"dense": [i / 30 for i in range(400)], "sparse": [0.0, 7.5, 7.5, 40.0], "ties": [0.5, 1.5, 2.5], "one": [3.2], "late": [90.0, 91.0], "early": [-5.0, -4.0], "both": [-3.0, 4.6, 4.6, 22.49, 300.0]}
+    clips = {"dense": [i / 30 for i in range(400)], "sparse": [0.0, 7.5, 7.5, 40.0], "ties": [0.5, 1.5, 2.5], "one": [3.2], "late": [90.0, 91.0], "early": [-5.0, -4.0],
+        "both": [-3.0, 4.6, 4.6, 22.49, 300.0]}
     clips |= {f"r{k}": sorted(float(x) for x in rng.uniform(0, 40, rng.integers(1, 9)).round(1)) for k in range(40)}
     rows = [(c, t, i) for c, ts in clips.items() for i, t in enumerate(ts)] + [("dense", None, 900), ("dense", math.nan, 901), ("nothing", None, 0)]
     df = spark.createDataFrame(rows, "clip string, t double, idx long").repartition(5)
@@ -153,7 +163,8 @@ def test_two_rows_before_over_borders(spark):
 
 def test_medians_by_selection(spark):
     rng = np.random.default_rng(5)
-    groups = {"hot": rng.normal(size=30_000), "ties": rng.integers(0, 3, 5_000), "one": [7.0], "two": [1.0, 4.0], "same": [2.5] * 900, "wide": rng.exponential(size=2_001) ** 9, "halves": [0.0] * 500 + [1.0] * 500}
+    groups = {"hot": rng.normal(size=30_000), "ties": rng.integers(0, 3, 5_000), "one": [7.0], "two": [1.0, 4.0], "same": [2.5] * 900,
+        "wide": rng.exponential(size=2_001) ** 9, "halves": [0.0] * 500 + [1.0] * 500}
     rows = [(g, float(x)) for g, v in groups.items() for x in v] + [("hot", None), ("hot", math.nan), ("void", None), (None, 1.0)]
     got = {r["g"]: r["median"] for r in frames.medians(spark.createDataFrame(rows, "g string, v double").repartition(7), "g", "v").collect()}
     assert got == {g: statistics.median([float(x) for x in v]) for g, v in groups.items()}
@@ -215,7 +226,8 @@ def test_names_versions_and_beats(spark):
     left = [(n,) for n in ("2D_PP_Unhelpful_Base.mp4", "2D_PP_Fixer2_Base.mp4", "2D_PP_Follow_Base.mp4", "only_Base.mp4", "x_v1.mp4", "x_v2.mp4", "y.mp4", "y.mov", None)]
     right = [(n,) for n in ("PP_Unhelpful_v2.pdf", "PP_Fixer.pdf", "PP_FOLLOW.pdf", "x_v2.pdf", "y.pdf", "other.pdf")]
     got = composition.reconcile_versions(spark.createDataFrame(left, "name string"), spark.createDataFrame(right, "name string"), "name", ("2D", "PP", "Base")).collect()
-    assert {r["stem"]: r["status"] for r in got} == {"unhelpful": "version_mismatch", "fixer": "version_mismatch", "follow": "matched", "only": "left_only", "x": "superseded", "y": "duplicated", "other": "right_only"}
+    assert {r["stem"]: r["status"] for r in got} == {"unhelpful": "version_mismatch", "fixer": "version_mismatch", "follow": "matched", "only": "left_only",
+        "x": "superseded", "y": "duplicated", "other": "right_only"}
     beats = [("s", t) for t in ("1. a", "2) b", " 2: c", "#6 d", "Beat 9 e", "no number")] + [("t", "1. a"), ("t", "2. b"), ("z", "0 a"), ("z", "1 b"), (None, "1 a"), ("u", "3. a")]
     got = {tuple(r) for r in composition.beat_problems(spark.createDataFrame(beats, "storyboard string, label string")).collect()}
     assert got == {("s", "duplicated", 2, 2), ("s", "missing", 3, 3), ("s", "missing", 7, 2), ("u", "missing", 1, 2)}
