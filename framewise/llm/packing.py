@@ -30,6 +30,10 @@ K1, B = 1.2, 0.75
 SHARD_WINDOWS = 1 << 24
 
 
+#: Texts from this length on are encoded by a call that can be refused, which takes longer.
+LONG_CHARS = 50_000
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, ranks: str | None):
     """Ids of a text as a tokenizers file gives them, without special tokens added; by the file itself, or by the same vocabulary as ranks, which is faster."""
@@ -48,8 +52,8 @@ def encoder(path: str, ranks: str | None):
     def ids(text: str) -> np.ndarray:
         if not any(s in text for s in special):
             try:
-                return fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.uint32)
-            except ValueError:  # a run of a million spaces is more than its patterns' stack holds
+                return np.array(fast.encode_ordinary(text) if len(text) < LONG_CHARS else fast.encode(text, disallowed_special=()), np.uint32)
+            except ValueError:  # a run of a million spaces is more than its patterns' stack holds; encode_ordinary could not tell
                 pass
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -59,15 +63,12 @@ def encoder(path: str, ranks: str | None):
 @lru_cache(maxsize=2)
 def signs(bits: int) -> np.ndarray:
     """Random signs of 2^16 token residues, the same in every process."""
-    return np.random.default_rng(29).choice(np.array([-1.0, 1.0], np.float32), (1 << 16, bits))
+    return np.random.default_rng(29).choice(np.array([-1, 1], np.int8), (1 << 16, bits))
 
 
 def signature(ids: np.ndarray) -> int:
-    """Bits of the summed signs of a tail's tokens, weighted by the logarithm of their counts: tails of like tokens share leading bits."""
-    if not len(ids):
-        return 0
-    term, times = np.unique(ids, return_counts=True)
-    total = (1 + np.log(times.astype(np.float32))) @ signs(BITS)[term & 0xFFFF]
+    """Bits of the summed signs of a tail's tokens: tails of like tokens share leading bits."""
+    total = signs(BITS)[ids & 0xFFFF].sum(0, dtype=np.int32)
     return int(np.packbits(total > 0).view(">u2")[0])
 
 
@@ -82,26 +83,24 @@ class Index:
         term, times = np.concatenate(terms), np.concatenate(times)
         order = np.argsort(term, kind="stable")
         term, tail, times = term[order], tail[order], times[order]
-        self.known, self.start, df = np.unique(term, return_index=True, return_counts=True)
-        self.end = self.start + df
+        self.known, start, df = np.unique(term, return_index=True, return_counts=True)
         idf = np.log((n - df + 0.5) / (df + 0.5))
         self.useful = idf > 0  # terms of half of the tails or more tell nothing
         length = np.array([len(t) for t in tails], np.float64)
         norm = K1 * (1 - B + B * length / max(length.mean(), 1.0))
-        self.weight = np.repeat(idf, df) * times * (K1 + 1) / (times + norm[tail])
-        self.tail, self.n = tail, n
+        weight = np.repeat(idf, df) * times * (K1 + 1) / (times + norm[tail])
+        bounds = list(zip(start.tolist(), (start + df).tolist(), strict=True))
+        self.postings = [(tail[a:b], weight[a:b]) if u else None for (a, b), u in zip(bounds, self.useful, strict=True)]
+        self.n = n
 
-    def neighbours(self, i: int) -> np.ndarray:
-        """Tails that share a useful term with tail ``i``, the highest score first, ties by place."""
+    def neighbours(self, i: int, used: np.ndarray) -> np.ndarray:
+        """Tails not ``used`` that share a useful term with tail ``i``, the highest score first, ties by place."""
         at = np.searchsorted(self.known, self.terms[i])
-        at = at[self.useful[at]]
-        if not len(at):
-            return at
-        size = self.end[at] - self.start[at]
-        upto = np.cumsum(size)
-        places = np.arange(int(upto[-1])) + np.repeat(self.start[at] - (upto - size), size)
-        score = np.bincount(self.tail[places], self.weight[places], self.n)
-        found = np.flatnonzero(score > 0)
+        held = [self.postings[k] for k in at[self.useful[at]].tolist()]
+        if not held:
+            return np.empty(0, np.int64)
+        score = np.bincount(np.concatenate([t for t, _ in held]), np.concatenate([w for _, w in held]), self.n)
+        found = np.flatnonzero((score > 0) & ~used)
         return found[np.lexsort((found, -score[found]))]
 
 
@@ -126,8 +125,7 @@ def fill_windows(tails: list[np.ndarray], size: int) -> Iterator[list[tuple[int,
         (seed, begin), rest = rest, None
         window, room = [(seed, begin, length[seed] - begin)], size - (length[seed] - begin)
         if room > 0:
-            near = index.neighbours(seed) if index else np.empty(0, np.int64)
-            for other in near[~used[near]].tolist():
+            for other in index.neighbours(seed, used).tolist() if index else ():
                 used[other] = True
                 window.append((other, 0, min(room, length[other])))
                 room -= length[other]
