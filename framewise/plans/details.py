@@ -277,7 +277,7 @@ def four_mode_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, key = views.probes(spark, sf_dir), F.col("p_partkey")
     p = p.withColumn("frames", F.when(key % 13 < 2, key % 13 + 1).otherwise(F.col("nb_read_frames")))
     out = sampling.mask_plan_of_four(p, "p_partkey", 7)
-    return out.select("p_partkey", "mask_mode", "frame_from", "frame_to", "x_from", "x_to", "y_from", "y_to", F.round("coverage", 6).alias("coverage"))
+    return out.select("p_partkey", "mask_mode", "frame_from", "frame_to", "x_from", "x_to", "y_from", "y_to", "coverage")
 
 
 def _four_sql() -> str:
@@ -291,7 +291,7 @@ q AS (SELECT *, {axes}, {among(u("first"), "0", "f // 2")} AS a, {among(u("last"
 r AS (SELECT p_partkey, m AS mask_mode, f, width, height, CASE WHEN m < 2 THEN least(1, f) WHEN m = 3 THEN a ELSE 0 END AS frame_from,
   CASE WHEN m = 1 THEN greatest(f - 1, least(1, f)) WHEN m = 3 THEN b ELSE f END AS frame_to, {sides} FROM q)
 SELECT p_partkey, mask_mode, frame_from, frame_to, x_from, x_to, y_from, y_to,
-  round((frame_to - frame_from)::DOUBLE * (x_to - x_from) * (y_to - y_from) / (f::DOUBLE * height * width), 6) AS coverage FROM r"""
+  (frame_to - frame_from)::DOUBLE * (x_to - x_from) * (y_to - y_from) / (f::DOUBLE * height * width) AS coverage FROM r"""
 
 
 FOUR_MODE_MASKS = with_views(_four_sql(), "probes")
