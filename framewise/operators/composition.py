@@ -82,8 +82,8 @@ def parsed_name(name: Column, affixes: Sequence[str] = ()) -> dict[str, Column]:
     """stem, version and case_differs of a file's or storyboard's name.
 
     Folder and ending go, then ``affixes`` at either end, which are patterns, as often as they are there. A version is '_v2', '-v2', ' v2' or
-    'v2' at the end, or else digits right after a letter ('Fixer2'); without one it is 1. The stem is what is left in lower case.
-    case_differs: a word begins with two capitals and goes on in lower case ('LIfe'), which looks like a typing error.
+    'v2' at the end, or else digits right after a letter ('Kettle2'); without one it is 1. The stem is what is left in lower case.
+    case_differs: a word begins with two capitals and goes on in lower case ('HOrse'), which looks like a typing error.
     """
     bare = F.trim(F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"(?<=.)\.[A-Za-z0-9]+$", ""))
     if affixes:

@@ -362,14 +362,14 @@ def name_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, key = views.table(spark, sf_dir, "part"), F.col("p_partkey")
     word = F.concat(F.lit("Skit"), F.chr(F.lit(65) + (key % 700 % 26).cast("int")), F.lit("_x"), F.translate((key % 700).cast("string"), "0123456789", "abcdefghij"))
     version = lambda n: F.when(key % n == 0, "_v2").when(key % n == 1, "2").otherwise("")
-    left = p.where("p_partkey % 3 <> 0").select(F.concat(F.lit("videos/2D_PP_"), word, version(4), F.lit("_Base.mp4")).alias("name_in"))
-    right = p.where("p_partkey % 5 <> 0").select(F.concat(F.when(key % 9 == 0, "PP_LIfe").otherwise("PP_"), word, version(6), F.lit(".pdf")).alias("name_in"))
-    return comp.reconcile_versions(left, right, "name_in", ("2D", "PP", "Base"))
+    left = p.where("p_partkey % 3 <> 0").select(F.concat(F.lit("videos/2D_XQ_"), word, version(4), F.lit("_Base.mp4")).alias("name_in"))
+    right = p.where("p_partkey % 5 <> 0").select(F.concat(F.when(key % 9 == 0, "XQ_HOrse").otherwise("XQ_"), word, version(6), F.lit(".pdf")).alias("name_in"))
+    return comp.reconcile_versions(left, right, "name_in", ("2D", "XQ", "Base"))
 
 
 NAME_VERSIONS = """WITH w AS (SELECT p_partkey AS k, 'skit' || chr((97 + p_partkey % 700 % 26)::INT) || '_x' || translate((p_partkey % 700)::VARCHAR, '0123456789', 'abcdefghij') AS stem FROM part),
 l AS (SELECT stem, CASE WHEN k % 4 < 2 THEN 2 ELSE 1 END AS v, false AS odd FROM w WHERE k % 3 <> 0),
-r AS (SELECT CASE WHEN k % 9 = 0 THEN 'life' ELSE '' END || stem AS stem, CASE WHEN k % 6 < 2 THEN 2 ELSE 1 END AS v, k % 9 = 0 AS odd FROM w WHERE k % 5 <> 0),
+r AS (SELECT CASE WHEN k % 9 = 0 THEN 'horse' ELSE '' END || stem AS stem, CASE WHEN k % 6 < 2 THEN 2 ELSE 1 END AS v, k % 9 = 0 AS odd FROM w WHERE k % 5 <> 0),
 x AS (SELECT stem, v, count(*) AS n, bool_or(odd) AS odd FROM l GROUP BY ALL), y AS (SELECT stem, v, count(*) AS n, bool_or(odd) AS odd FROM r GROUP BY ALL),
 a AS (SELECT stem, sum(n)::BIGINT AS n, max(n) AS most, count(*) AS versions, max(v)::BIGINT AS latest, bool_or(odd) AS odd FROM x GROUP BY stem),
 b AS (SELECT stem, sum(n)::BIGINT AS n, max(n) AS most, count(*) AS versions, max(v)::BIGINT AS latest, bool_or(odd) AS odd FROM y GROUP BY stem)

@@ -218,15 +218,15 @@ def test_appends_of_absent_rows(spark, tmp_path):
 
 
 def test_names_versions_and_beats(spark):
-    names = ["v/2D_PP_Unhelpful_Base.mp4", "2D_PP_Fixer2_Base.mp4", "PP_LIfeWithHer.pdf", "PP_Unhelpful_v2.pdf", "a.b-V3.pdf", "Love.pdf", " plain ", None]
-    part = composition.parsed_name(F.col("n"), ("2D", "PP", "Base"))
+    names = ["v/2D_XQ_Lantern_Base.mp4", "2D_XQ_Kettle2_Base.mp4", "XQ_HOrseRide.pdf", "XQ_Lantern_v2.pdf", "a.b-V3.pdf", "Love.pdf", " plain ", None]
+    part = composition.parsed_name(F.col("n"), ("2D", "XQ", "Base"))
     got = spark.createDataFrame([(n,) for n in names], "n string").select("n", *[c.alias(k) for k, c in part.items()]).collect()
-    assert [(r["stem"], r["version"], r["case_differs"]) for r in got] == [("unhelpful", 1, False), ("fixer", 2, False), ("lifewithher", 1, True), ("unhelpful", 2, False), ("a_b", 3, False),
+    assert [(r["stem"], r["version"], r["case_differs"]) for r in got] == [("lantern", 1, False), ("kettle", 2, False), ("horseride", 1, True), ("lantern", 2, False), ("a_b", 3, False),
         ("love", 1, False), ("plain", 1, False), (None, 1, False)]
-    left = [(n,) for n in ("2D_PP_Unhelpful_Base.mp4", "2D_PP_Fixer2_Base.mp4", "2D_PP_Follow_Base.mp4", "only_Base.mp4", "x_v1.mp4", "x_v2.mp4", "y.mp4", "y.mov", None)]
-    right = [(n,) for n in ("PP_Unhelpful_v2.pdf", "PP_Fixer.pdf", "PP_FOLLOW.pdf", "x_v2.pdf", "y.pdf", "other.pdf")]
-    got = composition.reconcile_versions(spark.createDataFrame(left, "name string"), spark.createDataFrame(right, "name string"), "name", ("2D", "PP", "Base")).collect()
-    assert {r["stem"]: r["status"] for r in got} == {"unhelpful": "version_mismatch", "fixer": "version_mismatch", "follow": "matched", "only": "left_only",
+    left = [(n,) for n in ("2D_XQ_Lantern_Base.mp4", "2D_XQ_Kettle2_Base.mp4", "2D_XQ_Harbour_Base.mp4", "only_Base.mp4", "x_v1.mp4", "x_v2.mp4", "y.mp4", "y.mov", None)]
+    right = [(n,) for n in ("XQ_Lantern_v2.pdf", "XQ_Kettle.pdf", "XQ_HARBOUR.pdf", "x_v2.pdf", "y.pdf", "other.pdf")]
+    got = composition.reconcile_versions(spark.createDataFrame(left, "name string"), spark.createDataFrame(right, "name string"), "name", ("2D", "XQ", "Base")).collect()
+    assert {r["stem"]: r["status"] for r in got} == {"lantern": "version_mismatch", "kettle": "version_mismatch", "harbour": "matched", "only": "left_only",
         "x": "superseded", "y": "duplicated", "other": "right_only"}
     beats = [("s", t) for t in ("1. a", "2) b", " 2: c", "#6 d", "Beat 9 e", "no number")] + [("t", "1. a"), ("t", "2. b"), ("z", "0 a"), ("z", "1 b"), (None, "1 a"), ("u", "3. a")]
     got = {tuple(r) for r in composition.beat_problems(spark.createDataFrame(beats, "storyboard string, label string")).collect()}
