@@ -12,11 +12,15 @@ def blank_to_null(c: Column) -> Column:
     return F.nullif(F.trim(c), F.lit(""))
 
 
+#: Decimals of a second that times and durations are told apart by: equal times are equal numbers, whatever parts they were written in.
+SECOND_PLACES = 9
+
+
 def to_seconds(ts: Column) -> Column:
-    """Seconds of '[[HH:]MM:]SS[.s]': the last three parts of a longer value count; null if a part is no number."""
-    parts = F.split(F.trim(ts), ":")
-    part = lambda k: F.when(F.size(parts) >= k, F.element_at(parts, F.when(F.size(parts) >= k, -k).otherwise(-1))).otherwise("0").try_cast("double")
-    return part(3) * 3600 + part(2) * 60 + part(1)
+    """Seconds of '[[HH:]MM:]SS[.s]', to SECOND_PLACES: the last three parts of a longer value count; null if a part is no number."""
+    parts = F.split(F.substring_index(F.trim(ts), ":", -3), ":")
+    total = F.aggregate(parts, F.lit(0.0), lambda upto, part: upto * 60 + part.try_cast("double"))
+    return F.round(total, SECOND_PLACES)
 
 
 def choose_frames(seconds: Column, fps: int = 16, long: int = 81, short: int = 49) -> Column:
@@ -74,8 +78,8 @@ def plan_clips(segments: DataFrame, fps: int = 16) -> DataFrame:
     """
     start, end = to_seconds(F.col("in")), to_seconds(F.col("out"))
     background = F.coalesce(blank_to_null(F.col("bg_type")), F.lit("gray"))
-    out = segments.withColumn("start_s", start).withColumn("end_s", end).withColumn("duration_s", end - start)
-    out = out.withColumn("verdict", F.when(F.col("duration_s").isNull(), "bad_time").when(F.col("duration_s") <= 0, "empty").otherwise("ok"))
+    out = segments.withColumn("start_s", start).withColumn("end_s", end).withColumn("duration_s", F.round(end - start, SECOND_PLACES))
+    out = out.withColumn("verdict", F.when(F.col("duration_s") > 0, "ok").when(F.col("duration_s").isNull(), "bad_time").otherwise("empty"))
     out = out.withColumn("frames", choose_frames(F.col("duration_s"), fps))
     return (
         out.withColumn("clip_id", clip_id(F.col("source_file"), F.col("row_ord"), F.col("action_label")))

@@ -281,3 +281,17 @@ def test_joins_by_counted_keys(spark, monkeypatch):
         monkeypatch.setattr(parts, "HOT_ROWS", most)
         monkeypatch.setattr(parts, "HOT_KEYS", keys)
         assert sorted((r["g"], r["v"], r["s"]) for r in parts.join_counted(rows, keyed, ["g"]).collect()) == want
+
+
+def stood_still(spark):
+    """Segments whose end is their start, written in other parts: doubles of parts added up differ in the last place for the first three."""
+    rows = [(f"s{i}.mp4", f"{ms // 3_600_000:02d}:{ms // 60_000 % 60:02d}:{ms % 60_000 / 1000:06.3f}", f"{ms / 1000:.3f}") for i, ms in enumerate((61_029, 61_154, 2_039_928, 500))]
+    rows += [("long.mp4", "00:01:01.029", "61.030"), ("edge.mp4", "5.1", "10.1625")]
+    given = [(i + 1, f, a, b, "a+b" if i < 4 else "a", "x", "show" if i < 4 else "", "", "", "p") for i, (f, a, b) in enumerate(rows)]
+    return planning.plan_clips(spark.createDataFrame(given, "row_ord long, source_file string, in string, out string, " + ", ".join(f"{c} string" for c in ("character", "action_label",
+        "bg_type", "alpha_file", "bg_plate", "props"))))
+
+
+def test_gates_leave_out_segments_without_length(spark):
+    got = composition.gates(stood_still(spark).where("verdict = 'ok'")).first()
+    assert (got["total"], got["multi_share"], got["show_share"], got["show_ok"]) == (2, 0.0, 0.0, True)
