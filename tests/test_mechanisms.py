@@ -295,3 +295,8 @@ def stood_still(spark):
 def test_gates_leave_out_segments_without_length(spark):
     got = composition.gates(stood_still(spark).where("verdict = 'ok'")).first()
     assert (got["total"], got["multi_share"], got["show_share"], got["show_ok"]) == (2, 0.0, 0.0, True)
+
+
+def test_equal_times_are_no_clip(spark):
+    got = {r["row_ord"]: (r["verdict"], r["duration_s"], r["frames"]) for r in stood_still(spark).collect()}
+    assert got == {**{i: ("empty", 0.0, 49) for i in (1, 2, 3, 4)}, 5: ("ok", 0.001, 49), 6: ("ok", 5.0625, 81)}
