@@ -300,3 +300,8 @@ def test_gates_leave_out_segments_without_length(spark):
 def test_equal_times_are_no_clip(spark):
     got = {r["row_ord"]: (r["verdict"], r["duration_s"], r["frames"]) for r in stood_still(spark).collect()}
     assert got == {**{i: ("empty", 0.0, 49) for i in (1, 2, 3, 4)}, 5: ("ok", 0.001, 49), 6: ("ok", 5.0625, 81)}
+
+
+def test_footage_without_length_is_no_source(spark):
+    clips = stood_still(spark).where("verdict = 'ok'").withColumn("shot", F.col("action_label"))
+    assert sorted((r["source_file"], r["clips"], r["footage_s"]) for r in composition.footage(clips).collect()) == [("edge.mp4", 1, 5.063), ("long.mp4", 1, 0.001)]
