@@ -95,7 +95,10 @@ def quality_by_clip(scored: DataFrame, columns: Sequence[str]) -> DataFrame:
 def summary(metrics: DataFrame) -> DataFrame:
     """Mean, least and population deviation of adjacent similarity (to 4 places before), of clips of two frames or more."""
     s = F.round("similarity", 4)
-    return metrics.where("similarity is not null").groupBy("clip_id").agg(F.avg(s).alias("mean"), F.min(s).alias("least"), F.stddev_pop(s).alias("deviation"), F.count("*").alias("pairs"))
+    metrics = metrics.where("similarity is not null")
+    means = parts.means_in_order(metrics, "clip_id", "frame_idx", {"mean": s}).withColumnRenamed("clip_id", "__clip")
+    stats = metrics.groupBy("clip_id").agg(F.min(s).alias("least"), F.stddev_pop(s).alias("deviation"), F.count("*").alias("pairs"))
+    return stats.join(means, F.col("clip_id").eqNullSafe(F.col("__clip"))).select("clip_id", "mean", "least", "deviation", "pairs")
 
 
 def flicker(metrics: DataFrame, k: float = 2.0) -> DataFrame:
@@ -114,16 +117,15 @@ def worst_pair(metrics: DataFrame) -> DataFrame:
 def drift(metrics: DataFrame, part: float = 0.15) -> DataFrame:
     """Absolute difference of the means over the first and last ``part`` of a clip's frames."""
     r = parts.ranked(metrics, "clip_id", "frame_idx").withColumn("__edge", F.greatest(F.floor(F.col("__n") * part), F.lit(1)))
-    head = F.avg(F.when(F.col("__rn") <= F.col("__edge"), F.col("similarity")))
-    tail = F.avg(F.when(F.col("__rn") > F.col("__n") - F.col("__edge"), F.col("similarity")))
-    return r.groupBy("clip_id").agg(F.abs(head - tail).alias("drift"))
+    ends = {"__head": F.when(F.col("__rn") <= F.col("__edge"), F.col("similarity")), "__tail": F.when(F.col("__rn") > F.col("__n") - F.col("__edge"), F.col("similarity"))}
+    return parts.means_in_order(r, "clip_id", "frame_idx", ends).select("clip_id", F.abs(F.col("__head") - F.col("__tail")).alias("drift"))
 
 
 def smoothness(motion: DataFrame, still: float) -> DataFrame:
     """Jerk (mean absolute second difference of the motion) and the share of held frames (motion below ``still``)."""
     rows = parts.previous_two(motion, "clip_id", "frame_idx", "motion", ("__one", "__two"))
     second = F.col("motion") - 2 * F.col("__one") + F.col("__two")
-    return rows.withColumn("__d", second).groupBy("clip_id").agg(F.avg(F.abs("__d")).alias("jerk"), F.avg((F.col("motion") < still).cast("double")).alias("held"))
+    return parts.means_in_order(rows, "clip_id", "frame_idx", {"jerk": F.abs(second), "held": (F.col("motion") < still).cast("double")})
 
 
 def gaussian(size: int = 11, sigma: float = 1.5) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,3 +92,19 @@ def previous_two(rows: DataFrame, group: str, order: str, column: str, names: tu
     joined = joined.withColumn(names[0], F.when(first, F.col("__c1")).otherwise(F.col("__l1")))
     joined = joined.withColumn(names[1], F.when(first, F.col("__c2")).when(second, F.col("__c1")).otherwise(F.col("__l2")))
     return joined.drop("__g", "__p", "__part", "__at", "__l1", "__l2", "__c1", "__c2")
+
+
+def means_in_order(rows: DataFrame, group: str, order: str, values: Mapping[str, Column], span: int = SPAN) -> DataFrame:
+    """``group`` and each named mean of doubles, null without a value: added one by one in the group's order, so its last places do not depend on tasks.
+
+    A part is added up by itself, then sums of parts in the parts' order. Null groups form a group.
+    """
+    total = lambda c, by, at: F.sum(c).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    columns = [f"{f}_{k}" for k in values for f in ("__sum", "__n")]
+    given = [x for k, c in values.items() for x in (c.cast("double").alias(f"__sum_{k}"), F.when(c.isNotNull(), 1.0).otherwise(0.0).alias(f"__n_{k}"))]
+    rows = in_parts(rows, order, span).select(group, order, "__part", *given)
+    rows = rows.select(group, "__part", *[total(c, (group, "__part"), order).alias(c) for c in columns])
+    each = rows.groupBy(group, "__part").agg(*[F.max(c).alias(c) for c in columns])
+    each = each.select(group, *[total(c, (group,), "__part").alias(c) for c in columns])
+    each = each.groupBy(group).agg(*[F.max(c).alias(c) for c in columns])
+    return each.select(group, *[F.try_divide(f"__sum_{k}", f"__n_{k}").alias(k) for k in values])

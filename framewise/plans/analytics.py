@@ -186,7 +186,8 @@ def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _metrics(spark, sf_dir)
     out = fr.summary(m).join(fr.worst_pair(m).select("clip_id", F.col("frame_idx").alias("worst")), "clip_id").join(fr.drift(m), "clip_id").join(fr.smoothness(m, 10), "clip_id")
-    return out.select("clip_id", "pairs", "worst", *[F.round(c, 5).alias(c) for c in ("mean", "least", "deviation", "drift", "jerk", "held")])
+    near = lambda c: F.signum(c) * F.floor(F.abs(c) * 1e5 + 0.5) / 1e5  # noqa: E731  # the double itself, not its shortest decimal
+    return out.select("clip_id", "pairs", "worst", *[near(c).alias(c) for c in ("mean", "least", "deviation", "drift", "jerk", "held")])
 
 
 CONSISTENCY = with_views("""+x AS (SELECT *, round(similarity, 4) AS s, row_number() OVER (PARTITION BY clip ORDER BY idx) AS rn, count(*) OVER (PARTITION BY clip) AS n,

@@ -305,3 +305,20 @@ def test_equal_times_are_no_clip(spark):
 def test_footage_without_length_is_no_source(spark):
     clips = stood_still(spark).where("verdict = 'ok'").withColumn("shot", F.col("action_label"))
     assert sorted((r["source_file"], r["clips"], r["footage_s"]) for r in composition.footage(clips).collect()) == [("edge.mp4", 1, 5.063), ("long.mp4", 1, 0.001)]
+
+
+def test_consistency_ties_fall_as_added_in_order(spark, tmp_path):
+    """Clips whose exact drift lies between two numbers of 5 places: sums in the order of frames tell which one, as the SQL has it, however rows are dealt."""
+    duckdb = pytest.importorskip("duckdb")
+    from framewise.plans import analytics
+
+    path = "/root/testdata/sf0.01/events.parquet"
+    spark.read.parquet(path).repartition(7, "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    names = ["clip_id", "pairs", "worst", "mean", "least", "deviation", "drift", "jerk", "held"]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{path}'")
+    want = sorted(con.sql(f"SELECT {', '.join(names)} FROM ({analytics.CONSISTENCY})").fetchall())
+    got = sorted(tuple(r) for r in analytics.consistency_summary(spark, str(tmp_path)).select(*names).collect())
+    assert len(got) == len(want) == 150
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(a[3:], b[3:], strict=True)), (a, b)
