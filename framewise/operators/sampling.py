@@ -5,7 +5,7 @@ Draws come from MD5 of key, seed, epoch and purpose, so they do not depend on pa
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,11 +104,16 @@ def downsample_ratio(u: Column, size: int) -> Column:
     return pick_weighted(u, choices, weights)
 
 
+def once(values: Mapping[str, Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of a row's values, a struct: each is worked out once for a row, where a function over an array's elements would do it for every element."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in values.items()])), then), F.lit(0))
+
+
 def strided_indices(length: Column, frames: int, stride: int, u: Column) -> Column:
     """``frames`` indices over a clip of at most (frames - 1) * stride + 1 source frames with a drawn start; they repeat where it is short."""
     span = F.least(length, F.lit((frames - 1) * stride + 1))
-    start = F.floor(u * (length - span + 1))
-    return F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: (start + F.floor(i * (span - 1) / max(frames - 1, 1))).cast("int"))
+    place = lambda v, i: (v["start"] + F.floor(i * (v["span"] - 1) / max(frames - 1, 1))).cast("int")
+    return once({"span": span, "start": F.floor(u * (length - span + 1))}, lambda v: F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), lambda i: place(v, i)))
 
 
 def dropped_ends_indices(length: Column, frames: int, stride: int, head: float, tail: float, u: Column) -> Column:
@@ -120,11 +125,19 @@ def dropped_ends_indices(length: Column, frames: int, stride: int, head: float,
     """
     n = F.least(F.lit(frames), F.floor(F.floor(length * (tail - head)) / stride).cast("int"))
     end = F.floor(length * tail).cast("int")
-    span = F.least(end, (n - 1) * stride + 1)
-    low = F.floor(F.lit(head) * end).cast("int")
-    start = F.when(end == span, 0).otherwise(low + F.least(F.floor(u * (end - span - low + 1)), end - span - low).cast("int"))
-    step = lambda i: F.when(n > 1, F.floor(i * (span - 1) / F.greatest(n - 1, F.lit(1)))).otherwise(0)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (start + step(i)).cast("int")))
+
+    def placed(v: Column) -> Column:
+        room = v["end"] - v["span"] - v["low"]
+        start = F.when(v["end"] == v["span"], 0).otherwise(v["low"] + F.least(F.floor(v["u"] * (room + 1)), room).cast("int"))
+        return once({"n": v["n"], "span": v["span"], "start": start}, indices)
+
+    def indices(v: Column) -> Column:
+        step = lambda i: F.when(v["n"] > 1, F.floor(i * (v["span"] - 1) / F.greatest(v["n"] - 1, F.lit(1)))).otherwise(0)
+        return F.when(v["n"] > 0, F.transform(F.sequence(F.lit(0), F.greatest(v["n"], F.lit(1)) - 1), lambda i: (v["start"] + step(i)).cast("int")))
+
+    span = lambda v: F.least(v["end"], (v["n"] - 1) * stride + 1)
+    low = lambda v: F.floor(F.lit(head) * v["end"]).cast("int")
+    return once({"n": n, "end": end, "u": u}, lambda v: once({"n": v["n"], "end": v["end"], "u": v["u"], "span": span(v), "low": low(v)}, placed))
 
 
 def single_frame(length: Column, u: Column) -> Column:
@@ -139,7 +152,8 @@ def head_tail_indices(length: Column, head: int, tail: int, most: int) -> Column
     stride = F.when(left <= most, 1).otherwise(F.floor(left / most)).cast("int")
     n = F.least(F.floor((left + stride - 1) / stride), F.lit(most))
     n = F.floor((n - 1) / 4) * 4 + 1
-    return F.when(left <= 0, F.array(F.lit(head))).otherwise(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), lambda i: (head + i * stride).cast("int")))
+    every = lambda v: F.transform(F.sequence(F.lit(0), (v["n"] - 1).cast("int")), lambda i: (head + i * v["stride"]).cast("int"))
+    return F.when(left <= 0, F.array(F.lit(head))).otherwise(once({"n": n, "stride": stride}, every))
 
 
 def key_frames(length: Column) -> Column:
@@ -180,9 +194,10 @@ def frame_skip(fps: Column, total: Column, target: int = 8, least: int = 49) ->
 
 def kept_frames(fps: Column, total: Column, target: int = 8, least: int = 49) -> Column:
     """Indices of the first ``least`` frames that frame_skip keeps."""
-    step = frame_skip(fps, total, target, least) + 1
-    count = F.least(F.lit(least), F.ceil(total / step))
-    return F.when(total > 0, F.transform(F.sequence(F.lit(0), F.greatest(count.cast("int"), F.lit(1)) - 1), lambda i: (i * step).cast("int"))).otherwise(F.array().cast("array<int>"))
+    every = lambda v: F.transform(F.sequence(F.lit(0), F.greatest(v["count"], F.lit(1)) - 1), lambda i: (i * v["step"]).cast("int"))
+    count = lambda v: F.least(F.lit(least), F.ceil(v["total"] / v["step"])).cast("int")
+    kept = once({"step": frame_skip(fps, total, target, least) + 1, "total": total}, lambda v: once({"step": v["step"], "count": count(v)}, every))
+    return F.when(total > 0, kept).otherwise(F.array().cast("array<int>"))
 
 
 def nearest_per_second(frames: DataFrame, most: int = 24) -> DataFrame:
