@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import parts
@@ -162,6 +162,22 @@ def sobel(images: np.ndarray) -> np.ndarray:
     return np.hypot(gx, gy)
 
 
+#: Pairs scored at a time, and bytes of an Arrow batch, at most: a worker's memory does not grow with its input.
+PAIRS, BATCH_BYTES = 128, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, as pairs of images make rows large."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def in_slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of PAIRS rows at most; empty ones go."""
+    for pdf in batches:
+        for at in range(0, len(pdf), PAIRS):
+            yield pdf.iloc[at : at + PAIRS]
+
+
 def structural(pairs: DataFrame, height: int, width: int) -> DataFrame:
     """Adds ssim, edge_ssim and flat_mae (null without flat pixels) to pairs with columns a and b, pixel arrays of one size.
 
@@ -169,9 +185,7 @@ def structural(pairs: DataFrame, height: int, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        for pdf in in_slices(batches):
             a, b = (np.stack(pdf[c].to_numpy()).astype(float).reshape(-1, height, width) for c in "ab")
             ea, eb = sobel(a), sobel(b)
             top = ea.max(axis=(1, 2))
@@ -182,6 +196,7 @@ def structural(pairs: DataFrame, height: int, width: int) -> DataFrame:
             flat_mae = pd.Series(mae, index=pdf.index).astype(object).where(count > 0, None)
             yield pdf.drop(columns=["a", "b"]).assign(ssim=ssim_stack(a, b), edge_ssim=edge, flat_mae=flat_mae)
 
+    bound_batches(pairs.sparkSession)
     schema = pairs.drop("a", "b").schema.add("ssim", "double").add("edge_ssim", "double").add("flat_mae", "double")
     return pairs.mapInPandas(run, schema)
 
@@ -323,9 +338,7 @@ def colour_pairs(pairs: DataFrame, height: int, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
+        for pdf in in_slices(batches):
             a, b = (np.stack(pdf[c].to_numpy()).astype(float).reshape(-1, height, width, 3) for c in "ab")
             whole = [np.clip(x, 0, 255).astype(np.uint8).reshape(len(x), -1, 3) for x in (a, b)]
             planes = [(x.transpose(2, 0, 1) / 255, y.transpose(2, 0, 1) / 255) for x, y in zip(a, b, strict=True)]
@@ -333,5 +346,6 @@ def colour_pairs(pairs: DataFrame, height: int, width: int) -> DataFrame:
             yield pdf.drop(columns=["a", "b"]).assign(hist_corr=histogram_correlation(*whole), similarity=small, ms_ssim=pd.Series([multi_scale(x, y) for x, y in planes],
                 index=pdf.index, dtype=object))
 
+    bound_batches(pairs.sparkSession)
     schema = pairs.drop("a", "b").schema.add("hist_corr", "double").add("similarity", "double").add("ms_ssim", "double")
     return pairs.mapInPandas(run, schema)

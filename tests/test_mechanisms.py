@@ -322,3 +322,35 @@ def test_consistency_ties_fall_as_added_in_order(spark, tmp_path):
     assert len(got) == len(want) == 150
     for a, b in zip(got, want, strict=True):
         assert a[:3] == b[:3] and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in zip(a[3:], b[3:], strict=True)), (a, b)
+
+
+def test_indices_work_out_a_draw_once(spark):
+    """A row's draw is a value that elements share, not worked out for each of them: it is in the plan a few times, not once an element's step."""
+    u = sampling.draw(F.col("id").cast("string"), 7, "ends")
+    n = (F.col("id") * 7 % 90).cast("int")
+    rows = spark.range(200).select("id", n.alias("n"), sampling.dropped_ends_indices(n, 16, 3, 0.1, 0.9, u).alias("d"), sampling.kept_frames(F.lit(30), n).alias("k"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
+    for r in rows.collect():
+        length = int(r["n"])
+        m = min(16, math.floor(math.floor(length * (0.9 - 0.1)) / 3))
+        assert (r["d"] is None) == (m <= 0) and (m <= 0 or (len(r["d"]) == m and r["d"] == sorted(r["d"]) and 0 <= r["d"][0] and r["d"][-1] < max(math.floor(length * 0.9), 1)))
+        step = next(s for s in range(5, -1, -1) if s <= 3 and (length / (s + 1) >= 49 or s == 0)) + 1
+        assert r["k"] == [i * step for i in range(min(49, math.ceil(length / step)))]
+
+
+def test_pairs_are_scored_in_bounded_batches(spark):
+    """Arrow batches are bounded by bytes, and what is worked on at a time by pairs; results do not depend on it."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        rows = spark.range(300, numPartitions=1).select("id", *[F.transform(F.sequence(F.lit(0), F.lit(767)), lambda i, k=k: (F.col("id") * k + i * i) % 251.0).alias(c) for c, k in (("a", 3), ("b", 5))])
+        whole = frames.colour_pairs(rows, 16, 16)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
+        got = {r["id"]: tuple(r)[1:] for r in whole.collect()}
+        one_by_one = {r["id"]: tuple(r)[1:] for r in frames.colour_pairs(rows.where("id in (0, 127, 128, 299)").repartition(4, "id"), 16, 16).collect()}
+        assert len(got) == 300 and {i: got[i] for i in one_by_one} == one_by_one
+        parts_of = list(frames.in_slices(iter([__import__("pandas").DataFrame({"x": range(300)}), __import__("pandas").DataFrame({"x": []})])))
+        assert [len(p) for p in parts_of] == [128, 128, 44]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
