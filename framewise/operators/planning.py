@@ -67,7 +67,8 @@ def is_unknown(character: Column, anchors: Mapping[str, str], others: Sequence[s
 
 
 def resolve_path(path: Column, root: str) -> Column:
-    return F.when(path.startswith("/"), path).otherwise(F.concat_ws("/", F.lit(root.rstrip("/")), path))
+    """Absolute paths as they are, others below ``root``; null stays null."""
+    return F.when(path.startswith("/"), path).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), path))
 
 
 def plan_clips(segments: DataFrame, fps: int = 16) -> DataFrame:

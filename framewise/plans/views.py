@@ -15,11 +15,13 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     start_ms = (F.hour("ts") * 3_600_000 + F.minute("ts") * 60_000 + F.second("ts") * 1000 + F.date_format("ts", "SSS").cast("int")).cast("long")
     out_ms = F.floor(start_ms + F.col("value") * 20).cast("long")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
     k = F.get_json_object("props", "$.k").cast("long")
     rest = F.col("event_id") % 10
     return e.select(
-        (F.col("event_id") + 1).alias("row_ord"), F.concat(F.lit("sheets/skit_"), F.col("user_id"), F.lit(".mp4")).alias("source_file"), F.date_format("ts", "HH:mm:ss.SSS").alias("in"),
-        F.concat(F.floor(out_ms / 1000).cast("string"), F.lit("."), F.lpad((out_ms % 1000).cast("string"), 3, "0")).alias("out"),
+        (F.col("event_id") + 1).alias("row_ord"), F.concat(F.lit("sheets/skit_"), F.col("user_id"), F.lit(".mp4")).alias("source_file"),
+        F.concat(two(F.hour("ts")), F.lit(":"), two(F.minute("ts")), F.lit(":"), F.date_format("ts", "ss.SSS")).alias("in"),  # hours of the session's time zone may not exist
+        F.concat(F.when(out_ms < 0, "-").otherwise(""), F.floor(F.abs(out_ms) / 1000).cast("string"), F.lit("."), F.lpad((F.abs(out_ms) % 1000).cast("string"), 3, "0")).alias("out"),
         F.when(F.col("user_id") % 3 == 0, "a").when(F.col("user_id") % 3 == 1, "b").otherwise("a+b").alias("character"), F.col("event_type").alias("action_label"),
         F.when(rest < 7, "gray").when(rest < 9, "show").otherwise(" ").alias("bg_type"), F.when(F.col("event_id") % 4 == 0, "alpha.mov").otherwise("").alias("alpha_file"),
         F.when(F.col("event_id") % 3 == 0, "plate.png").otherwise("").alias("bg_plate"), F.concat(F.lit("Prp_"), k % 12, F.lit("| Prp_"), k % 7).alias("props"),

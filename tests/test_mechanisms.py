@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.operators import captions, composition, frames, parts, planning, runs, sampling, similarity, validate
+from framewise.plans import curation
 from framewise.sources import tables
 
 
@@ -307,6 +308,26 @@ def test_footage_without_length_is_no_source(spark):
     assert sorted((r["source_file"], r["clips"], r["footage_s"]) for r in composition.footage(clips).collect()) == [("edge.mp4", 1, 5.063), ("long.mp4", 1, 0.001)]
 
 
+def test_segments_of_odd_times_are_planned_as_by_sql(spark, tmp_path):
+    """Ends before midnight, an hour that the session's time zone leaves out, and no user."""
+    duckdb = pytest.importorskip("duckdb")
+    at = "timestamp_ntz'2024-03-10 "
+    rows = f"(0, {at}00:00:01.25', 3, 'x', -150.0D), (1, {at}02:30:00.125', 4, 'y', 100.0D), (2, {at}00:00:00', 5, 'x', -0.1D), (3, {at}00:00:00', 6, 'x', 0.0D), (4, {at}23:59:59.9999', null, 'x', 253.1D)"
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.sql(f"select bigint(i) event_id, ts, bigint(u) user_id, t event_type, v value, '{{\"k\": 5}}' props from values {rows} as e(i, ts, u, t, v)").write.parquet(f"{tmp_path}/events.parquet")
+    columns = ["row_ord", "duration_s", "frames", "in_window", "verdict", "path"]
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = [tuple(r) for r in curation.segment_plan(spark, str(tmp_path)).select(columns).orderBy("row_ord").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [(1, -3.0, 49, False, "empty", "/data/sheets/skit_3.mp4"), (2, 2.0, 49, True, "ok", "/data/sheets/skit_4.mp4"), (3, -0.002, 49, False, "empty", "/data/sheets/skit_5.mp4"),
+        (4, 0.0, 49, False, "empty", "/data/sheets/skit_6.mp4"), (5, 5.062, 49, True, "ok", None)]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert con.sql(f"SELECT {', '.join(columns)} FROM ({curation.SEGMENT_PLAN}) ORDER BY row_ord").fetchall() == got
+
+
 def test_consistency_ties_fall_as_added_in_order(spark, tmp_path):
     """Clips whose exact drift lies between two numbers of 5 places: sums in the order of frames tell which one, as the SQL has it, however rows are dealt."""
     duckdb = pytest.importorskip("duckdb")
