@@ -28,9 +28,15 @@ def prop_frequency(clips: DataFrame, least: int = 2) -> DataFrame:
     return out.withColumn("lonely", F.col("mentions") < least).withColumn("lonely_clips", F.col("clips") < least)
 
 
+def total_seconds(seconds: Column) -> Column:
+    """Aggregate: the sum to three decimals, the same in every order of rows; added as decimals, or as doubles where a value is no decimal below 10^10."""
+    exact = seconds.try_cast("decimal(28,18)")
+    return F.when(F.count(exact) == F.count(seconds), F.round(F.sum(exact), 3).cast("double")).otherwise(F.round(F.sum(seconds), 3))
+
+
 def sources_by_clips(clips: DataFrame, k: int) -> DataFrame:
     """The k sources of most clips with their footage, ties by name."""
-    out = clips.groupBy("source_file").agg(F.count("*").alias("clips"), F.round(F.sum("duration_s"), 3).alias("footage_s"))
+    out = clips.groupBy("source_file").agg(F.count("*").alias("clips"), total_seconds(F.col("duration_s")).alias("footage_s"))
     return out.orderBy(F.desc("clips"), "source_file").limit(k)
 
 
@@ -42,7 +48,7 @@ def presence(clips: DataFrame, names: tuple[str, str]) -> DataFrame:
 
 def footage(clips: DataFrame) -> DataFrame:
     """By source: shots, clips, clips a shot, and seconds of footage. clips: source_file, shot, duration_s."""
-    out = clips.groupBy("source_file").agg(F.count_distinct("shot").alias("shots"), F.count("*").alias("clips"), F.round(F.sum("duration_s"), 3).alias("footage_s"))
+    out = clips.groupBy("source_file").agg(F.count_distinct("shot").alias("shots"), F.count("*").alias("clips"), total_seconds(F.col("duration_s")).alias("footage_s"))
     return out.withColumn("clips_per_shot", F.round(F.col("clips") / F.col("shots"), 6))
 
 

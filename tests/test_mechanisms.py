@@ -328,6 +328,17 @@ def test_segments_of_odd_times_are_planned_as_by_sql(spark, tmp_path):
     assert con.sql(f"SELECT {', '.join(columns)} FROM ({curation.SEGMENT_PLAN}) ORDER BY row_ord").fetchall() == got
 
 
+def test_footage_is_the_same_in_every_order(spark):
+    """Doubles give 0.8 for the first source in one order and 0.801 in another, and lose the short clips of the second beside its long ones."""
+    given = [("tie", 0.7), ("tie", 0.1), ("tie", 0.0005), *[("long", 9e9)] * 3, *[("long", 1e-7)] * 10_000, ("none", None), ("huge", 1e30), ("huge", 1.0), ("odd", math.nan)]
+    for rows in (given, given[::-1]):
+        clips = spark.createDataFrame(rows, "source_file string, duration_s double").withColumn("shot", F.lit("x")).coalesce(1)
+        for out in (composition.footage(clips), composition.sources_by_clips(clips, 9)):
+            got = {r["source_file"]: r["footage_s"] for r in out.collect()}
+            assert math.isnan(got.pop("odd")) and got == {"tie": 0.801, "long": 27_000_000_000.001, "none": None, "huge": 1e30}
+            assert dict(out.dtypes)["footage_s"] == "double"
+
+
 def test_consistency_ties_fall_as_added_in_order(spark, tmp_path):
     """Clips whose exact drift lies between two numbers of 5 places: sums in the order of frames tell which one, as the SQL has it, however rows are dealt."""
     duckdb = pytest.importorskip("duckdb")
